@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import decontaminate, quality, shards, tokens
+from plumbline.llm import binary, chat, decontaminate, language, linededup, neardup, packing, quality, shards, tokens
 from plumbline.llm.common import table
 from plumbline.llm.oracles import ORACLES
 
@@ -37,4 +37,47 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.withColumn("over_limit", F.col("n_tokens") > 512)
 
 
-QUERIES = {f.__name__: f for f in (op1_line_quality, op2_wu_manber, op3_jump_shards, op7_token_counts)}
+def op4_prob_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return neardup.near_duplicates(docs).select("doc_id", "class_id", "class_size", "kept")
+
+
+def op5_chat_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chats = chat.with_probe(spark, table(spark, sf_dir, "conversations"))
+    return chat.read_chats(chat.format_chats(chats))
+
+
+def op6_bin_slack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    pieces = packing.token_pieces(docs, WORD_BPE, with_ids=False)
+    placed = packing.pack(pieces, "length", ["doc_id", "start", "ids_crc32"])
+    return placed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
+def op8_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return linededup.drop_repeated_lines(docs).select("doc_id", "n_lines", "n_removed_lines", "text")
+
+
+def op9_elias_fano(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    path = binary.block_path(spark)
+    binary.write_blocks(docs, path, WORD_BPE)
+    found = binary.read_blocks(spark.read.schema(binary.BLOCK).parquet(path), with_ids=False)
+    return found.withColumnRenamed("key", "doc_id")
+
+
+def op10_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language.fit_on_fold(docs)
+    found = language.identify(docs.select("doc_id", "text"), model, keep=["doc_id"])
+    return found.select("doc_id", language.held_out("doc_id").alias("held_out"), "lang_pred", "score", "rejected")
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_line_quality, op2_wu_manber, op3_jump_shards, op4_prob_minhash, op5_chat_round_trip,
+        op6_bin_slack, op7_token_counts, op8_line_runs, op9_elias_fano, op10_centroids,
+    )
+}

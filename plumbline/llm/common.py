@@ -15,15 +15,17 @@ from pyspark.sql import types as T
 STEP_BYTES = 8 << 20
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The same rows, written to the session's shared checkpoint folder, with the lineage cut.
-
-    ``spark.checkpoint.dir`` decides the folder; only where it is unset (tests on one machine) a
-    temporary folder is taken.
-    """
-    context = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in ``spark.checkpoint.dir``; a temporary one only where that is unset (tests on one machine)."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="plumbline-"))
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="plumbline-"))
+    return context.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """The same rows, written to the session's shared checkpoint folder, with the lineage cut."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
