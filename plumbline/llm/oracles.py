@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from plumbline.llm import quality
+from plumbline.llm import linededup, quality
 
 _BOILER = "|".join(quality.BOILERPLATE)
 
@@ -139,3 +139,45 @@ FROM placed
 """
 
 ORACLES = {"op1_line_quality": OP1, "op2_wu_manber": OP2, "op3_jump_shards": OP3}
+
+#: White space inside a line, and blocks of just enough words that start or end at a line.
+OP8 = rf"""
+WITH d AS (
+  SELECT row_number() OVER (ORDER BY doc_id NULLS FIRST) AS r, doc_id, text FROM documents
+),
+l AS (
+  SELECT r, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^ \t\x0b\f\r]')) AS lines FROM d WHERE text IS NOT NULL
+),
+t AS (
+  SELECT r, lines, list_transform(lines, lambda x: regexp_replace(x, '^[ \t\x0b\f\r]+|[ \t\x0b\f\r]+$', '', 'g')) AS own FROM l
+),
+one AS (
+  SELECT r, unnest(generate_series(1, len(own))) AS p, unnest(own) AS line FROM t
+),
+n AS (
+  SELECT r, p, len(regexp_extract_all(line, '[^ \t\x0b\f\r]+')) AS n FROM one
+),
+s AS (SELECT r, p, n, sum(n) OVER (PARTITION BY r ORDER BY p) AS ends FROM n),
+forth AS (
+  SELECT a.r, a.p AS start, min(b.p) AS stop FROM s a JOIN s b ON a.r = b.r AND b.p >= a.p AND b.p < a.p + {linededup.MIN_WORDS} AND b.ends - a.ends + a.n >= {linededup.MIN_WORDS} GROUP BY 1, 2
+),
+back AS (
+  SELECT a.r, max(b.p) AS start, a.p AS stop FROM s a JOIN s b ON a.r = b.r AND b.p <= a.p AND b.p > a.p - {linededup.MIN_WORDS} AND a.ends - b.ends + b.n >= {linededup.MIN_WORDS} GROUP BY a.r, a.p
+),
+block AS (
+  SELECT r, start, stop, sha256(array_to_string(list_slice(own, start, stop), chr(10))) AS body
+  FROM (SELECT * FROM forth UNION SELECT * FROM back) JOIN t USING (r)
+),
+later AS (
+  SELECT r, start, stop FROM (SELECT *, row_number() OVER (PARTITION BY body ORDER BY r, start) AS k FROM block) WHERE k > 1
+),
+gone AS (
+  SELECT r, list(DISTINCT p) AS ps FROM (SELECT r, unnest(generate_series(start, stop)) AS p FROM later) GROUP BY r
+)
+SELECT doc_id, coalesce(len(lines), 0)::BIGINT AS n_lines, coalesce(len(ps), 0)::BIGINT AS n_removed_lines,
+  CASE WHEN ps IS NULL THEN text
+    ELSE coalesce(array_to_string(list_filter(list_transform(generate_series(1, len(lines)), lambda i: CASE WHEN list_contains(ps, i) THEN NULL ELSE lines[i] END), lambda x: x IS NOT NULL), chr(10)), '') END AS text
+FROM d LEFT JOIN l USING (r) LEFT JOIN gone USING (r)
+"""
+
+ORACLES["op8_line_runs"] = OP8

@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 from plumbline.llm.common import map_texts
 
 #: Pieces that one Python worker remembers; it forgets all of them beyond.
-MEMO_PIECES = 400_000
+MEMO_PIECES = 1_000_000
 #: Pieces given to the library at a time; characters of a part of a long text.
 ASK, PART_CHARS = 4096, 1 << 16
 #: White space other than space and line feed, in either library's view.
