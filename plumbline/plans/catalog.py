@@ -1,4 +1,6 @@
 """Registry of every query of the library outside the training-data subpackage, with its SQL."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from plumbline.plans.oracles import ORACLES
+from plumbline.plans.queries import QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
