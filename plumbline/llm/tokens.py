@@ -21,6 +21,8 @@ from plumbline.llm.common import map_texts
 MEMO_PIECES = 1_000_000
 #: Pieces given to the library at a time; characters of a part of a long text.
 ASK, PART_CHARS = 4096, 1 << 16
+#: Punctuation that no token joins to a letter before it.
+MARKS = ".,!?;:"
 #: White space other than space and line feed, in either library's view.
 _ODD = re.compile("[^\\S \n]|[" + "".join(map(chr, (*range(0x1C, 0x20), 0x85, 0x180E, 0x200B, 0x2060, 0xFEFF))) + "]")
 _PART = re.compile("(?<=[^\\s\x1c-\x1f\x85])(?=[ \n])")
@@ -48,6 +50,8 @@ class PieceIds:
         self.tokenizer, self.most = Tokenizer.from_file(path), most
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        #: Whether the library folds case before it looks at words.
+        self.folds = self.tokenizer.normalizer is not None and self.tokenizer.normalizer.normalize_str("Az") == "az"
         #: By what stands before the piece: nothing, a space, a line feed.
         self.memo: dict[str, dict[str, bytes]] = {"": {}, " ": {}, "\n": {}}
 
@@ -74,45 +78,60 @@ class PieceIds:
             for k, p in enumerate(some):
                 memo[p] = self.value(ids[ends[k] : ends[k + 1]])
 
+    def stem(self, piece: str) -> tuple[str, str]:
+        """A piece that ends in plain punctuation after a letter, parted there: no token reaches across."""
+        word = piece.rstrip(MARKS)
+        if not word or not word[-1].isalpha() or not word[-1].lower().isalpha():  # a capital may fold to a letter and a mark
+            word = piece
+        tail = piece[len(word) :]
+        return (word.lower() if self.folds and word.isascii() else word), tail
+
+    def learn(self, wanted: dict[str, set[str]]) -> None:
+        """Puts all the pieces into the memo: stems that are not there yet go to the library, once each."""
+        parted = {before: {p: self.stem(p) for p in pieces} for before, pieces in wanted.items()}
+        tails = {tail for found in parted.values() for _, tail in found.values() if tail}
+        self.ask("", sorted(tails - self.memo[""].keys()))
+        for before, found in parted.items():
+            memo = self.memo[before]
+            self.ask(before, sorted({word for word, _ in found.values()} - memo.keys()))
+            for p, (word, tail) in found.items():
+                memo[p] = self.join([memo[word], self.memo[""][tail]]) if tail else memo[word]
+
     def __call__(self, texts: list[str | None]) -> list:
-        plain, lines, wanted = [], [], {"": set(), " ": set(), "\n": set()}
-        space = self.memo[" "]
+        first, space, fresh = (self.memo[b].get for b in ("", " ", "\n"))
+        values: list = []
+        bounds: list[tuple[int, int] | None] = []
+        todo: list[tuple[int, str, str]] = []
         for t in texts:
-            if not t or _ODD.search(t):
-                plain.append(False)
-                lines.append(None)
-                continue
-            own = [line.split(" ") for line in t.split("\n")]
-            if not all(map(all, own)):  # an empty piece: two or more spaces or line ends meet
-                plain.append(False)
-                lines.append(None)
+            own = None if not t or _ODD.search(t) else [line.split(" ") for line in t.split("\n")]
+            if own is None or not all(map(all, own)):  # an empty piece: two or more spaces or line ends meet
+                bounds.append(None)
                 continue
-            plain.append(True)
-            lines.append(own)
+            start = len(values)
             for k, line in enumerate(own):
-                if line[0] not in self.memo["\n" if k else ""]:
-                    wanted["\n" if k else ""].add(line[0])
-                wanted[" "].update([p for p in line[1:] if p not in space])
-        if sum(map(len, self.memo.values())) + sum(map(len, wanted.values())) > self.most:
+                head = line.pop(0)
+                values.append((fresh if k else first)(head))
+                if values[-1] is None:
+                    todo.append((len(values) - 1, "\n" if k else "", head))
+                base, got = len(values), list(map(space, line))
+                values += got
+                todo += [(base + i, " ", line[i]) for i, v in enumerate(got) if v is None]
+            bounds.append((start, len(values)))
+        if sum(map(len, self.memo.values())) + len(todo) > self.most:
             for m in self.memo.values():
                 m.clear()
-            for own in filter(None, lines):
-                for k, line in enumerate(own):
-                    wanted["\n" if k else ""].add(line[0])
-                    wanted[" "].update(line[1:])
-        for before, pieces in wanted.items():
-            self.ask(before, sorted(pieces))
-        first, space, fresh = self.memo[""], self.memo[" "], self.memo["\n"]
+        wanted: dict[str, set[str]] = {"": set(), " ": set(), "\n": set()}
+        for _, before, p in todo:
+            wanted[before].add(p)
+        self.learn(wanted)
+        for at, before, p in todo:
+            values[at] = self.memo[before][p]
         out = []
-        for t, ok, own in zip(texts, plain, lines, strict=True):
-            if not ok:
+        for t, bound in zip(texts, bounds, strict=True):
+            if bound is None:
                 out.append(self.direct(t) if t else self.none())
-                continue
-            got = []
-            for k, line in enumerate(own):
-                got.append((fresh if k else first)[line[0]])
-                got.extend(map(space.__getitem__, line[1:]))
-            out.append(self.join(got))
+            else:
+                out.append(self.join(values[bound[0] : bound[1]]))
         return out
 
 
