@@ -1,11 +1,77 @@
-"""Corpus pipeline: the stages are added as their operators land."""
+"""Corpus pipeline: language, repeated lines, near duplicates, benchmark passages, packing.
 
-STAGES: list = []
+Each stage takes (spark, docs, sf_dir) and works on all that the stage before it kept. Between stages
+the rows are a Parquet table, so a lost executor costs at most the stage that runs.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from plumbline.llm import decontaminate, language, linededup, neardup, packing
+from plumbline.llm.common import shared_folder
+
+TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+
+
+def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that language identification does not reject (null or letterless texts, and texts far
+    from every learnt language, go); columns as they were."""
+    model = language.fit_on_fold(docs)
+    found = language.identify(docs, model)
+    return found.where(~F.col("rejected")).select(*docs.columns)
+
+
+def drop_repeated_runs(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without later copies of repeated line runs; documents of which nothing is left go, and
+    n_chars follows the text where it changed."""
+    found = linededup.drop_repeated_lines(docs)
+    changed = F.col("n_removed_lines") > 0
+    left = found.where(~(changed & (F.col("text") == "")))
+    return left.select(*(F.when(changed, F.length("text").cast("long")).otherwise(F.col(c)).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns))
+
+
+def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate class."""
+    return neardup.keep_one(docs)
+
+
+def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without any window of a benchmark item."""
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    found = decontaminate.benchmark_hits(docs, benchmark)
+    return found.where(F.size("hits") == 0).select(*docs.columns)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The kept documents' token pieces with their places in sequences of at most 2048 tokens."""
+    pieces = packing.token_pieces(docs, TOKENIZER, with_ids=False)
+    return packing.pack(pieces, "length", ["doc_id", "start", "ids_crc32"])
+
+
+STAGES = [
+    ("language", keep_known_languages),
+    ("line_runs", drop_repeated_runs),
+    ("near_duplicates", keep_one_of_near_copies),
+    ("benchmark", drop_benchmark_leaks),
+    ("packing", pack_sequences),
+]
+
+#: SQL cannot express the language model, the sketches or the tokenizer; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the table ``documents``; between stages the rows are written and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k + 1 < len(STAGES):
+            docs.write.parquet(f"{folder}/{k}-{name}")
+            docs = spark.read.parquet(f"{folder}/{k}-{name}")
     return docs

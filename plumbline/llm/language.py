@@ -90,8 +90,8 @@ def fit(df: DataFrame, text: str = "text", lang: str = "lang", order: str | None
     """The model: idf (WIDTH values), langs and centroids (one row each, k per language).
 
     At most ``per_language`` rows of each language with letters in their text are used: those of least
-    hash of ``order`` (by default of the text). Rows without text or language are left out; a table
-    without any is refused. Only sums and centroids, whose size the parameters bound for each
+    hash of ``order`` (by default of the text). Rows without text or language are left out; from a
+    table without any, no language is learnt. Only sums and centroids, whose size the parameters bound for each
     language, reach the driver.
     """
     at = F.xxhash64(F.col(f"`{order or text}`"))
@@ -104,9 +104,10 @@ def fit(df: DataFrame, text: str = "text", lang: str = "lang", order: str | None
         df_ = (counts(pdf["text"].tolist()) > 0).sum(axis=0)
         return pd.DataFrame({"lang": [pdf["lang"].iloc[0]], "n": [len(pdf)], "df": [df_.astype(np.int64)]})
 
+    # counts by language: bounded by the sample
     known = sorted(sample.groupBy("lang").applyInPandas(frequency, "lang string, n long, df array<long>").collect(), key=lambda r: r.lang)
     if not known:
-        raise ValueError("there is no labelled text to learn from")
+        return {"idf": np.ones(WIDTH, np.float32), "langs": [], "centroids": np.zeros((0, WIDTH), np.float32)}
     total = sum(r.n for r in known)
     idf = np.log((1 + total) / (1 + sum(np.array(r.df) for r in known))).astype(np.float32) + np.float32(1)
 
@@ -122,7 +123,8 @@ def identify(df: DataFrame, model: dict, text: str = "text", keep: list[str] | N
     """``df`` with lang_pred, score (cosine with the nearest centroid, 0 to 1) and rejected.
 
     A text that is null or has no letter gets ``und``, score 0 and is rejected; any other gets a learnt
-    language, and is rejected if the score is below LEAST_COSINE. Ties go to the first language. One
+    language, and is rejected if the score is below LEAST_COSINE. If no language was learnt, the others
+    get ``und`` and score 0 too, and are not rejected. Ties go to the first language. One
     row for each input row; new columns replace input columns of the same name.
     """
     shared = df.sparkSession.sparkContext.broadcast(model)
@@ -131,14 +133,15 @@ def identify(df: DataFrame, model: dict, text: str = "text", keep: list[str] | N
         out: dict[str, list] = {n: [] for n in OUT.names}
         for a in range(0, len(texts), 64):
             x = counts(texts[a : a + 64])
+            langs = shared.value["langs"]
             cosine = weigh(x, shared.value["idf"]) @ shared.value["centroids"].T
-            best = cosine.argmax(axis=1)
+            best = cosine.argmax(axis=1) if langs else np.zeros(len(x), np.int64)
             for i, j in enumerate(best):
                 blank = not x[i].any()
-                score = 0.0 if blank else float(min(1.0, max(0.0, cosine[i, j])))
-                out["lang_pred"].append(UNKNOWN if blank else shared.value["langs"][j])
+                score = 0.0 if blank or not langs else float(min(1.0, max(0.0, cosine[i, j])))
+                out["lang_pred"].append(UNKNOWN if blank or not langs else langs[j])
                 out["score"].append(score)
-                out["rejected"].append(blank or score < LEAST_COSINE)
+                out["rejected"].append(bool(blank or (langs and score < LEAST_COSINE)))
         return out
 
     return map_texts(df, text, compute, OUT, keep, as_bytes=False)
