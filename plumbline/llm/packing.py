@@ -19,9 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbline.llm.common import free_name, numbered
+from plumbline.llm.common import cut, free_name, numbered, steps
 from plumbline.llm.tokens import PieceIds, load
-from plumbline.llm.common import steps
 
 CAPACITY = 2048
 END_ID = 1
@@ -91,7 +90,8 @@ def pack(df: DataFrame, length: str, order: list[str], capacity: int = CAPACITY)
     driver. No rows give no rows; other columns pass, nulls too, and columns named like the new
     ones are replaced.
     """
-    df = df.drop("sequence_id", "offset")
+    # the pieces may come from a tokenizer: they are made once, before anything samples their order
+    df = cut(df.drop("sequence_id", "offset"))
     rank = free_name(df, "rank_of_length")
     ranked = numbered(df, [length], [*order, length], rank)
     counts = {int(r[0]): int(r[1]) for r in ranked.groupBy(length).agg(F.count(F.lit(1))).collect()}
