@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -39,7 +37,8 @@ def plain_answer(c: Column) -> Column:
 def normalized_answer(c: Column) -> Column:
     """Stripped and lower-cased; a number from 0 to 12 becomes its word."""
     a = plain_answer(c)
-    return reduce(lambda out, i: F.when(a == str(i), F.lit(NUMBER_WORDS[i])).otherwise(out), range(len(NUMBER_WORDS)), a)
+    words = F.create_map(*(F.lit(x) for i, w in enumerate(NUMBER_WORDS) for x in (str(i), w)))
+    return F.coalesce(F.try_element_at(words, a), a)
 
 
 def is_yes(c: Column) -> Column:

@@ -25,6 +25,14 @@ def _matched(question: Column, pattern: str, caption: Callable[..., Column]) ->
     return F.when(F.rlike(question, F.lit(pattern)), caption(*groups))
 
 
+def _yes(answer: Column) -> Column:
+    return answer.isin(*t.YES)
+
+
+def _no(answer: Column) -> Column:
+    return answer.isin(*t.NO)
+
+
 def _be(question: Column) -> Column:
     return F.when(F.contains(question, F.lit(" are ")), "are").otherwise("is")
 
@@ -35,11 +43,11 @@ def what_color(q: Column, a: Column) -> Column:
 
 def how_many(q: Column, a: Column) -> Column:
     def caption(x: Column) -> Column:
-        x, n = t.strip(x), t.normalized_answer(a)
+        x = t.strip(x)
         return (
-            F.when(t.is_no(a) | n.isin("zero", "none"), _say("There are no ", x, "."))
-            .when(n.isin("one", "1"), _say("There is one ", x, "."))
-            .otherwise(_say("There are ", n, " ", x, "."))
+            F.when(_no(a) | (a == "zero"), _say("There are no ", x, "."))
+            .when(a == "one", _say("There is one ", x, "."))
+            .otherwise(_say("There are ", a, " ", x, "."))
         )
 
     return _matched(q, r"^how many (.+?)(?: are there| is there| are in| is in| in .+| on .+)?$", caption)
@@ -75,8 +83,8 @@ def which(q: Column, a: Column) -> Column:
 
 def _existence(a: Column, x: Column, be: str, thing: Column, other: Column) -> Column:
     return (
-        F.when(t.is_yes(a), _say(f"There {be} ", thing, "."))
-        .when(t.is_no(a), _say(f"There {be} no ", x, "."))
+        F.when(_yes(a), _say(f"There {be} ", thing, "."))
+        .when(_no(a), _say(f"There {be} no ", x, "."))
         .otherwise(_say(f"There {be} ", other, " ", x, "."))
     )
 
@@ -101,7 +109,7 @@ def is_are_yesno(q: Column, a: Column) -> Column:
         be = F.when(aux.isin("are", "were"), "are").otherwise("is")
         plain = _say("The ", F.regexp_replace(subject, "^the ", ""), " ", predicate, ".")
         fact = F.when(pointed, this).when(aux.isin("is", "are", "was", "were"), t.about_subject(subject, predicate, be)).when(aux.isin("does", "do", "did"), plain)
-        return F.when(t.is_yes(a), fact).when(t.is_no(a), t.negated(fact))
+        return F.when(_yes(a), fact).when(_no(a), t.negated(fact))
 
     return _matched(q, r"^(is|are|was|were|does|do|did|can|could) (.+)$", caption)
 
@@ -118,7 +126,7 @@ def what_is(q: Column, a: Column) -> Column:
 
 def fallback(q: Column, a: Column) -> Column:
     head = t.capitalized(t.without_question_mark(q))
-    return F.when(t.is_yes(a), _say(head, " — yes.")).when(t.is_no(a), _say(head, " — no.")).otherwise(_say(head, " The answer is ", a, "."))
+    return F.when(_yes(a), _say(head, " — yes.")).when(_no(a), _say(head, " — no.")).otherwise(_say(head, " The answer is ", a, "."))
 
 
 #: Specific rules first; add your own (name, builder) anywhere in a copy of this list.
