@@ -29,6 +29,17 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def join_hot(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join on ``keys`` where one of them may hold much of ``left``.
+
+    A side that was grouped by the keys is already dealt by them, and then Spark cannot split a hot
+    partition of the join. A hash of the keys as one more key makes it deal both sides anew.
+    """
+    deal = free_name(left, "deal")
+    a, b = left.withColumn(deal, F.xxhash64(*keys)), right.withColumn(deal, F.xxhash64(*keys))
+    return a.join(b, [deal, *keys], how).drop(deal)
+
+
 def free_name(df: DataFrame, base: str) -> str:
     """A column name that ``df`` does not have yet."""
     taken = {c.lower() for c in df.columns}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import cut
+from plumbline.llm.common import cut, join_hot
 
 
 def _both(edges: DataFrame) -> DataFrame:
@@ -16,18 +16,27 @@ def _large_star(edges: DataFrame) -> DataFrame:
     """Links each node's larger neighbours to the least node around it."""
     around = _both(edges)
     least = around.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-    return around.where("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+    return join_hot(around.where("v > u"), least, ["u"]).select(F.col("v").alias("a"), F.col("m").alias("b")).where("a <> b")
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Links each node and its smaller neighbours to the least of them."""
     down = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
     least = down.groupBy("u").agg(F.min("v").alias("m"))
-    joined = down.join(least, "u")
+    joined = join_hot(down, least, ["u"])
     pulled = joined.select(F.col("v").alias("a"), F.col("m").alias("b")).unionByName(least.select(F.col("u").alias("a"), F.col("m").alias("b")))
     return pulled.where("a <> b").distinct()
 
 
+def _all_stars(edges: DataFrame) -> bool:
+    """Whether every node has one link down, or only links from above."""
+    ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(
+        edges.select(F.col("b").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down"))
+    )
+    sums = ends.groupBy("node").agg(F.sum("up").alias("ups"), F.max("down").alias("down"))
+    return sums.where("ups > 1 or (ups = 1 and down = 1)").isEmpty()
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, comp): the least node of each linked node's component; ``links`` has long columns a and b.
 
@@ -35,12 +44,7 @@ def components(links: DataFrame) -> DataFrame:
     folder; a hub's links are dealt out by the joins, and only its least neighbour is aggregated.
     """
     edges = cut(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
-    before = None
-    while True:
-        state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if tuple(state) == before:
-            break
-        before = tuple(state)
+    while not _all_stars(edges):
         edges = cut(_small_star(_large_star(edges)))
     roots = edges.select(F.col("b").alias("node")).distinct()
     return edges.select(F.col("a").alias("node"), F.col("b").alias("comp")).unionByName(roots.select("node", F.col("node").alias("comp")))

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import cut, free_name
+from plumbline.llm.common import cut, free_name, join_hot
 
 #: A repeated run is removed if it has at least so many words.
 MIN_WORDS = 50
@@ -110,7 +110,7 @@ def repeated_runs(df: DataFrame, key: str = "doc_id", text: str = "text", min_wo
     named = cut(sized.join(left, ["hx", "hy", "h", "pos"]).join(right, ["hx", "hy", "h", "tail"]).select("id", "hx", "hy", "pos", "m", "ra", "rb"))
     place = F.struct("id", "hx", "hy", "pos")
     earliest = named.groupBy("m", "ra", "rb").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first < last").drop("last")
-    later = named.join(earliest, ["m", "ra", "rb"]).where(place != F.col("first"))
+    later = join_hot(named, earliest, ["m", "ra", "rb"]).where(place != F.col("first"))
     spans = later.groupBy("hx", "hy", "pos").agg(F.max(F.col("pos") + F.col("m")).alias("stop"))
     doc = Window.partitionBy("hx", "hy").orderBy("pos")
     reached = F.max("stop").over(doc.rowsBetween(Window.unboundedPreceding, -1))
