@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbline.llm.common import cut, free_name, map_texts
+from plumbline.llm.common import cut, free_name, join_hot, map_texts
 from plumbline.llm.components import components
 from plumbline.llm.decontaminate import words_of
 
@@ -26,8 +26,10 @@ SHINGLE = 5
 SIMILARITY = 0.8
 #: Registers in a band, and bands: at a similarity of 0.8 one pair in 17,000 shares no band.
 ROWS, BANDS = 6, 32
-#: Probes per bucket grow by this factor from round to round.
-PROBES = 64
+#: Members of a bucket that one task compares with as many others; larger buckets take more tasks.
+BLOCK = 1024
+#: Standard deviations below the threshold at which signatures are still taken for candidates.
+SIGMAS = 5.2
 
 # Odd 64-bit constants of the splitmix64 generator and of multiplicative hashing.
 GOLDEN, MIX1, MIX2 = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
@@ -94,18 +96,20 @@ def signatures(sets: list[tuple[np.ndarray, np.ndarray]], m: int) -> np.ndarray:
     return who.reshape(-1, m)
 
 
-def band_keys(texts: list[bytes | None], rows: int = ROWS, bands: int = BANDS) -> list[list[int] | None]:
-    """One 64-bit key per band of each text; None for a text without words."""
+def sketches(texts: list[bytes | None], rows: int = ROWS, bands: int = BANDS) -> dict[str, list]:
+    """Of each text, one 64-bit key per band and one byte per register; None for a text without words."""
     sets = [shingles(t) for t in texts]
     full = [i for i, (h, _) in enumerate(sets) if len(h)]
-    out: list[list[int] | None] = [None] * len(texts)
+    out: dict[str, list] = {"bands": [None] * len(texts), "registers": [None] * len(texts)}
     if full:
-        parts = signatures([sets[i] for i in full], rows * bands).reshape(len(full), bands, rows)
+        registers = signatures([sets[i] for i in full], rows * bands)
+        parts = registers.reshape(len(full), bands, rows)
         key = np.broadcast_to(np.arange(bands, dtype=np.uint64), (len(full), bands))
         for j in range(rows):
             key = mix(key * _U(GOLDEN) + parts[:, :, j])
-        for i, one in zip(full, key.view(np.int64).tolist(), strict=True):
-            out[i] = one
+        small = (mix(registers) >> _U(56)).astype(np.uint8)
+        for i, one, short in zip(full, key.view(np.int64).tolist(), small, strict=True):
+            out["bands"][i], out["registers"][i] = one, short.tobytes()
     return out
 
 
@@ -139,6 +143,44 @@ def _links(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, at_least: float
     return _verified(pairs, at_least).distinct()
 
 
+def _likely(open_: DataFrame, at_least: float, registers: int) -> DataFrame:
+    """Pairs (a, b) of one bucket and different components whose registers agree enough, found in blocks.
+
+    ``open_``: bucket, node, comp, registers. In each bucket the members of its largest component are
+    held against all others, and the others against each other, BLOCK by BLOCK; only likely pairs
+    leave a task. Members of one component never meet, so a hot group costs its size times its strays.
+    """
+    needed = at_least - SIGMAS * float(np.sqrt(at_least * (1 - at_least) / registers))
+    sizes = open_.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("n"))
+    shape = sizes.groupBy("bucket").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.max("n").alias("n_main"), (F.sum("n") - F.max("n")).alias("n_stray"))
+    blocks = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
+    known = join_hot(open_, shape, ["bucket"]).withColumns({"is_main": F.col("comp") == F.col("main"), "x": blocks("n_main"), "y": blocks("n_stray")})
+    own = F.pmod(F.xxhash64("node"), F.when(F.col("is_main"), F.col("x")).otherwise(F.col("y"))).cast("int")
+    named = known.withColumn("own", own)
+    every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    task = lambda kind, i, j: F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"))
+    o = F.col("own")
+    tasks = F.when(F.col("is_main"), F.transform(every("y"), lambda j: task(0, o, j))).otherwise(
+        F.concat(F.transform(every("x"), lambda i: task(0, i, o)), F.transform(every("y"), lambda k: task(1, F.least(o, k), F.greatest(o, k))))
+    )
+    dealt = named.select("bucket", "node", "comp", "is_main", "registers", F.explode(tasks).alias("t")).select("*", "t.*").drop("t")
+
+    def compare(table: pa.Table) -> pa.Table:
+        node, comp, main = (table.column(c).to_numpy(zero_copy_only=False) for c in ("node", "comp", "is_main"))
+        sig = np.frombuffer(b"".join(table.column("registers").to_pylist()), np.uint8).reshape(len(node), registers)
+        a, b = [], []
+        two_sided = table.column("kind")[0].as_py() == 0
+        others = np.flatnonzero(main) if two_sided else np.arange(len(node))
+        for i in np.flatnonzero(~main) if two_sided else others:
+            rest = others[comp[others] != comp[i]] if two_sided else others[i + 1 :][comp[i + 1 :] != comp[i]]
+            near = rest[(sig[rest] == sig[i]).mean(axis=1) >= needed]
+            a += [max(node[i], node[j]) for j in near]
+            b += [min(node[i], node[j]) for j in near]
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return dealt.groupBy("bucket", "kind", "i", "j").applyInArrow(compare, "a long, b long").distinct()
+
+
 def near_duplicates(
     df: DataFrame, key: str = "doc_id", text: str = "text", at_least: float = SIMILARITY, rows: int = ROWS, bands: int = BANDS
 ) -> DataFrame:
@@ -152,58 +194,45 @@ def near_duplicates(
     are not read. An empty table gives no rows.
 
     Copies are collapsed by digest before any banding. In a bucket each text is held against the
-    bucket's least text first; buckets that still hold more than one component get further probes,
-    64 times as many each round, until every pair of a bucket is compared or in one component. So no
-    bucket is listed as pairs, and no candidate is lost.
+    bucket's least text first. Buckets that then still hold more than one component are searched for
+    further pairs by their registers, in blocks of bounded size (see ``_likely``); likely pairs are
+    confirmed on whole texts. So no bucket is listed as pairs, and every pair that shares a bucket is
+    either in one component already or compared.
     """
     base = df.select(F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").cast("string").alias("text")).select(
         "id", F.unhex(F.md5("text")).alias("digest"), "text"
     )
 
-    def compute(texts: list) -> dict[str, list]:
-        return {"bands": band_keys(texts, rows, bands)}
-
-    out = T.StructType([T.StructField("bands", T.ArrayType(T.LongType()))])
-    sketched = cut(map_texts(base, "text", compute, out, ["id", "digest"]))
+    out = T.StructType([T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("registers", T.BinaryType())])
+    sketched = cut(map_texts(base, "text", lambda texts: sketches(texts, rows, bands), out, ["id", "digest"]))
     present = sketched.where("digest is not null")
     nodes = cut(
         present.groupBy("digest").agg(F.min("id").alias("first_id"), F.count(F.lit(1)).alias("copies")).withColumn("node", F.monotonically_increasing_id())
     )
-    first = present.alias("s").join(nodes.alias("n"), (F.col("s.digest") == F.col("n.digest")) & F.col("s.id").eqNullSafe(F.col("n.first_id")))
+    first = join_hot(present, nodes.select("digest", "first_id", "node"), ["digest"]).where(F.col("id").eqNullSafe(F.col("first_id")))
     banded = first.select("node", F.posexplode("bands").alias("band", "hash")).select("node", F.xxhash64("band", "hash").alias("bucket"))
-    shared = banded.groupBy("bucket").agg(F.min("node").alias("least"), F.max("node").alias("most"), F.count(F.lit(1)).alias("size")).where("least < most")
-    members = cut(banded.join(shared.select("bucket", "least", "size"), "bucket"))
+    shared = banded.groupBy("bucket").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least < most")
+    members = cut(join_hot(banded, shared.select("bucket", "least"), ["bucket"]))
     texts = base.where("digest is not null")
 
     pairs = members.where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b")).distinct()
     links = cut(_links(pairs, nodes, texts, at_least))
     comps = cut(components(links))
-    probes = 1
-    while True:
-        named = members.join(comps, "node", "left").select("bucket", "node", "least", "size", F.coalesce("comp", "node").alias("comp"))
-        mixed = named.groupBy("bucket").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.max("size").alias("n")).where("c0 < c1")
-        mixed = cut(mixed.where(F.col("n") > probes).select("bucket"))
-        if mixed.isEmpty():
-            break
-        open_ = cut(named.join(mixed, "bucket"))
-        place = F.pmod(F.xxhash64("node"), F.col("size"))
-        more = probes * PROBES
-        probe = open_.where((place < more) & ((place >= probes) | (F.lit(probes) == 1))).select(
-            "bucket", F.col("node").alias("b"), F.col("comp").alias("comp_b")
-        )
-        pairs = open_.withColumnRenamed("node", "a").join(probe, "bucket").where("comp <> comp_b")
-        pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-        links = cut(links.unionByName(_links(pairs, nodes, texts, at_least)).distinct())
-        comps = cut(components(links))
-        probes = more
+    placed = members.join(comps, "node", "left").select("bucket", "node", F.coalesce("comp", "node").alias("comp"))
+    mixed = placed.groupBy("bucket").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 < c1")
+    open_ = join_hot(placed, mixed.select("bucket"), ["bucket"])
+    open_ = open_.join(first.select("node", "registers"), "node")
+    more = cut(_likely(open_, at_least, rows * bands))
+    if not more.isEmpty():
+        comps = cut(components(links.unionByName(_links(more, nodes, texts, at_least))))
 
     named = nodes.join(comps, "node", "left").select("digest", "first_id", "copies", "node", F.coalesce("comp", "node").alias("comp"))
     classes = named.groupBy("comp").agg(F.min("first_id").alias("class_id"), F.sum("copies").alias("class_size"))
-    heads = named.join(classes, "comp").where(F.col("first_id").eqNullSafe(F.col("class_id"))).groupBy("comp").agg(F.min("node").alias("head"))
-    known = named.join(classes, "comp").join(heads, "comp").select(
+    heads = join_hot(named, classes, ["comp"]).where(F.col("first_id").eqNullSafe(F.col("class_id"))).groupBy("comp").agg(F.min("node").alias("head"))
+    known = join_hot(named, classes.join(heads, "comp"), ["comp"]).select(
         "digest", "first_id", "class_id", "class_size", (F.col("node") == F.col("head")).alias("is_head")
     )
-    found = present.select("id", "digest").join(known, "digest").select(
+    found = join_hot(present.select("id", "digest"), known, ["digest"]).select(
         F.col("id").alias(key), "digest", "class_id", "class_size", (F.col("is_head") & F.col("id").eqNullSafe(F.col("first_id"))).alias("kept")
     )
     alone = sketched.where("digest is null").select(

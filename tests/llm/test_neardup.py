@@ -94,3 +94,22 @@ def test_components_of_a_path_and_a_hub(spark):
     got = {r.node: r.comp for r in components(spark.createDataFrame(pairs, "a long, b long")).collect()}
     assert got == {**dict.fromkeys(range(31), 0), **dict.fromkeys(range(100, 160), 100)}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_blocks_find_all_likely_pairs_across_components(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "BLOCK", 3)
+    rng = np.random.default_rng(9)
+    centre = rng.integers(0, 256, (3, 192))
+    rows = []
+    for node in range(24):
+        sig = centre[node % 3].copy()
+        sig[rng.integers(0, 192, 10)] = 7
+        rows.append((node % 2, node, 0 if node < 12 else node, bytes(sig.astype(np.uint8).tolist())))
+    got = {(r.a, r.b) for r in neardup._likely(spark.createDataFrame(rows, "bucket long, node long, comp long, registers binary"), 0.8, 192).collect()}
+    want = set()
+    for b1, n1, c1, s1 in rows:
+        for b2, n2, c2, s2 in rows:
+            same = np.mean(np.frombuffer(s1, np.uint8) == np.frombuffer(s2, np.uint8))
+            if b1 == b2 and n1 > n2 and c1 != c2 and same >= 0.65:
+                want.add((n1, n2))
+    assert got == want and want
