@@ -22,6 +22,8 @@ from plumbline.llm.common import map_texts
 WIDTH, CENTROIDS, ROUNDS = 1 << 13, 4, 12
 #: Labelled rows per language that the fit uses (the documented bound); characters of each in the vector are all of it.
 SAMPLE_PER_LANGUAGE = 600
+#: Different languages that a model may have; their counts are broadcast.
+MOST_LANGUAGES = 10_000
 #: Rows looked at for each row of the sample; more where texts without letters are common.
 MARGIN = 8
 #: A text is rejected below this cosine with the nearest centroid: no script or vocabulary in common.
@@ -101,7 +103,9 @@ def fit(df: DataFrame, text: str = "text", lang: str = "lang", order: str | None
     rows = rows.where(r"lang is not null and text rlike '\\p{L}'")
     # rows that can be among the first of their language: a few times as many as are wanted, at any size
     sizes = df.groupBy(F.col(f"`{lang}`").cast("string").alias("of")).agg(F.count(F.lit(1)).alias("n"))
-    near = rows.join(sizes, (rows["lang"] == sizes["of"]) & (F.col("at") * F.col("n") <= MARGIN * per_language)).drop("of", "n")
+    if sizes.limit(MOST_LANGUAGES + 1).count() > MOST_LANGUAGES:
+        raise ValueError(f"column {lang!r} has more than {MOST_LANGUAGES} values")
+    near = rows.join(F.broadcast(sizes), (rows["lang"] == sizes["of"]) & (F.col("at") * F.col("n") <= MARGIN * per_language)).drop("of", "n")
     nth = F.row_number().over(Window.partitionBy("lang").orderBy("at", F.length("text"), "text"))
     sample = near.withColumn("nth", nth).where(F.col("nth") <= per_language).select("lang", "nth", "text")
 
