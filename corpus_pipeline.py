@@ -7,32 +7,40 @@ the rows are a Parquet table, so a lost executor costs at most the stage that ru
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable, Iterable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm import decontaminate, language, linededup, neardup, packing
-from plumbline.llm.common import shared_folder
+from plumbline.llm.common import free_name, shared_folder
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 
+def shielded(docs: DataFrame, fresh: Iterable[str]) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """``docs`` with columns that share a name with an operator's new ones put aside, and what restores them."""
+    taken = {n.lower() for n in fresh}
+    aside = {c: free_name(docs, f"{c}_of_docs") for c in docs.columns if c.lower() in taken}
+    return docs.withColumnsRenamed(aside), lambda df: df.select(*(F.col(f"`{aside.get(c, c)}`").alias(c) for c in docs.columns))
+
+
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that language identification does not reject (null or letterless texts, and texts far
     from every learnt language, go); columns as they were."""
-    model = language.fit_on_fold(docs)
-    found = language.identify(docs, model)
-    return found.where(~F.col("rejected")).select(*docs.columns)
+    own, restored = shielded(docs, language.OUT.names)
+    return restored(language.identify(own, language.fit_on_fold(own)).where(~F.col("rejected")))
 
 
 def drop_repeated_runs(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without later copies of repeated line runs; documents of which nothing is left go, and
     n_chars follows the text where it changed."""
-    found = linededup.drop_repeated_lines(docs)
+    own, restored = shielded(docs, ("n_lines", "n_removed_lines"))
+    found = linededup.drop_repeated_lines(own)
     changed = F.col("n_removed_lines") > 0
     left = found.where(~(changed & (F.col("text") == "")))
-    return left.select(*(F.when(changed, F.length("text").cast("long")).otherwise(F.col(c)).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns))
+    return restored(left.withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars"))))
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,8 +51,8 @@ def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without any window of a benchmark item."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    found = decontaminate.benchmark_hits(docs, benchmark)
-    return found.where(F.size("hits") == 0).select(*docs.columns)
+    own, restored = shielded(docs, decontaminate.OUT.names)
+    return restored(decontaminate.benchmark_hits(own, benchmark).where(F.size("hits") == 0))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """The pipeline's stages on planted cases, and the whole on the smallest tables."""
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from plumbline.llm.decontaminate import words_of
@@ -23,6 +24,8 @@ def results(spark, tmp_path_factory):
         (9005, "A fresh start here. " + items[0], "en", "s", 1), (9006, text.replace("the", "teh", 1), "en", "s", len(text)),
     ]
     docs = docs.unionByName(spark.createDataFrame(extra, docs.schema))
+    for clash in ("score", "Rejected", "n_lines", "hits"):
+        docs = docs.withColumn(clash, F.lit("own"))
     for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
         docs.write.parquet(str(folder / str(k)))
         out.append(spark.read.parquet(str(folder / str(k))))
@@ -38,6 +41,7 @@ def test_each_decision_takes_effect(results):
     assert 9004 not in ids[3] and 9005 in ids[3] and 9005 not in ids[4]
     assert len(ids[1]) > 0.95 * (len(ids[0]) - 3)
     assert all(df.columns == results[0].columns for df in results[:-1])
+    assert results[4].where("score = 'own' and Rejected = 'own' and n_lines = 'own' and hits = 'own'").count() == len(ids[4])
 
 
 def test_no_window_of_the_benchmark_is_left(spark, results):
