@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from unicodedata import is_normalized
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -26,9 +27,19 @@ MARKS = ".,!?;:"
 #: White space other than space and line feed, in either library's view.
 _ODD = re.compile("[^\\S \n]|[" + "".join(map(chr, (*range(0x1C, 0x20), 0x85, 0x180E, 0x200B, 0x2060, 0xFEFF))) + "]")
 _PART = re.compile("(?<=[^\\s\x1c-\x1f\x85])(?=[ \n])")
+#: Words of Latin letters without a fold that adds marks: the library's model sees them as they are.
+_WORD = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+")
+_PROBES = ("hello", "xyzzyq", "garçon", "straße", "señor", "łódź")
 _loaded: dict[tuple[str, type], object] = {}
 
 
+def byte_letters() -> dict[int, int]:
+    """The visible character that byte-level vocabularies write for each byte (a fixed rule)."""
+    seen = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    hidden = [b for b in range(256) if b not in seen]
+    return {b: b for b in seen} | {b: 256 + i for i, b in enumerate(hidden)}
+
+
 def parts_of(text: str, most: int = PART_CHARS) -> list[str]:
     """The text cut at safe boundaries into parts of about ``most`` characters."""
     out, start = [], 0
@@ -54,6 +65,8 @@ class PieceIds:
         self.folds = self.tokenizer.normalizer is not None and self.tokenizer.normalizer.normalize_str("Az") == "az"
         #: By what stands before the piece: nothing, a space, a line feed.
         self.memo: dict[str, dict[str, bytes]] = {"": {}, " ": {}, "\n": {}}
+        self.model, self.letters = Tokenizer(self.tokenizer.model), byte_letters()
+        self.lane = self.lanes()
 
     def value(self, ids: np.ndarray) -> object:
         return ids.tobytes()
@@ -68,15 +81,32 @@ class PieceIds:
     def join(self, values: list) -> object:
         return b"".join(values)
 
+    def lanes(self) -> dict[str, str | None]:
+        """What the model reads before a plain word that stands after nothing, a space or a line feed; None
+        where it reads more than the word. Found by trying: the library decides."""
+        found: dict[str, str | None] = {}
+        for before in self.memo:
+            want = [self.tokenizer.encode(before + p, add_special_tokens=False).ids for p in _PROBES]
+            fit = [x for x in ("", " ") if [self.model.encode(self.written(x + p), add_special_tokens=False).ids for p in _PROBES] == want]
+            found[before] = fit[0] if fit else None
+        return found
+
+    def written(self, word: str) -> str:
+        return word.encode().decode("latin-1").translate(self.letters)
+
     def ask(self, before: str, pieces: list[str]) -> None:
-        memo = self.memo[before]
-        for i in range(0, len(pieces), ASK):
-            some = pieces[i : i + ASK]
-            e = self.tokenizer.encode([before + p for p in some], is_pretokenized=True, add_special_tokens=False)
-            ids, of = np.array(e.ids, "<u4"), np.array(e.word_ids, np.int64)
-            ends = np.searchsorted(of, np.arange(len(some) + 1))
-            for k, p in enumerate(some):
-                memo[p] = self.value(ids[ends[k] : ends[k + 1]])
+        """Puts the pieces' values into the memo. Plain words go to the model without the steps before it,
+        which leave them as they are."""
+        lane = self.lane[before]
+        plain = [p for p in pieces if _WORD.fullmatch(p) and not (self.folds and p != p.lower()) and is_normalized("NFC", p)] if lane is not None else []
+        odd = sorted(set(pieces) - set(plain)) if plain else pieces
+        for library, some, sent in ((self.model, plain, [self.written(lane + p) for p in plain] if plain else []), (self.tokenizer, odd, [before + p for p in odd])):
+            for i in range(0, len(some), ASK):
+                e = library.encode(sent[i : i + ASK], is_pretokenized=True, add_special_tokens=False)
+                ids, of = np.array(e.ids, "<u4"), np.array(e.word_ids, np.int64)
+                ends = np.searchsorted(of, np.arange(len(some[i : i + ASK]) + 1)).tolist()
+                for k, p in enumerate(some[i : i + ASK]):
+                    self.memo[before][p] = self.value(ids[ends[k] : ends[k + 1]])
 
     def stem(self, piece: str) -> tuple[str, str]:
         """A piece that ends in plain punctuation after a letter, parted there: no token reaches across."""
@@ -84,7 +114,7 @@ class PieceIds:
         if not word or not word[-1].isalpha() or not word[-1].lower().isalpha():  # a capital may fold to a letter and a mark
             word = piece
         tail = piece[len(word) :]
-        return (word.lower() if self.folds and word.isascii() else word), tail
+        return (word.lower() if self.folds and _WORD.fullmatch(word) else word), tail
 
     def learn(self, wanted: dict[str, set[str]]) -> None:
         """Puts all the pieces into the memo: stems that are not there yet go to the library, once each."""
