@@ -28,8 +28,10 @@ SIMILARITY = 0.8
 ROWS, BANDS = 6, 32
 #: Members of a bucket that one task compares with as many others; larger buckets take more tasks.
 BLOCK = 1024
-#: Standard deviations below the threshold at which signatures are still taken for candidates.
-SIGMAS = 5.2
+#: Bytes of text of such members.
+BLOCK_BYTES = 16 << 20
+#: Rounding that a similarity of just the threshold may lose.
+EPSILON = 1e-9
 
 # Odd 64-bit constants of the splitmix64 generator and of multiplicative hashing.
 GOLDEN, MIX1, MIX2 = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
@@ -97,19 +99,17 @@ def signatures(sets: list[tuple[np.ndarray, np.ndarray]], m: int) -> np.ndarray:
 
 
 def sketches(texts: list[bytes | None], rows: int = ROWS, bands: int = BANDS) -> dict[str, list]:
-    """Of each text, one 64-bit key per band and one byte per register; None for a text without words."""
+    """Of each text, one 64-bit key per band; None for a text without words."""
     sets = [shingles(t) for t in texts]
     full = [i for i, (h, _) in enumerate(sets) if len(h)]
-    out: dict[str, list] = {"bands": [None] * len(texts), "registers": [None] * len(texts)}
+    out: dict[str, list] = {"bands": [None] * len(texts)}
     if full:
-        registers = signatures([sets[i] for i in full], rows * bands)
-        parts = registers.reshape(len(full), bands, rows)
+        parts = signatures([sets[i] for i in full], rows * bands).reshape(len(full), bands, rows)
         key = np.broadcast_to(np.arange(bands, dtype=np.uint64), (len(full), bands))
         for j in range(rows):
             key = mix(key * _U(GOLDEN) + parts[:, :, j])
-        small = (mix(registers) >> _U(56)).astype(np.uint8)
-        for i, one, short in zip(full, key.view(np.int64).tolist(), small, strict=True):
-            out["bands"][i], out["registers"][i] = one, short.tobytes()
+        for i, one in zip(full, key.view(np.int64).tolist(), strict=True):
+            out["bands"][i] = one
     return out
 
 
@@ -125,7 +125,7 @@ def _verified(pairs: DataFrame, at_least: float) -> DataFrame:
                 x, y = x.as_py(), y.as_py()
                 if known[0] != y:
                     known = y, shingles(y)
-                ok.append(probability_jaccard(shingles(x), known[1]) >= at_least)
+                ok.append(probability_jaccard(shingles(x), known[1]) >= at_least - EPSILON)
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(ok)), batch.column(1).filter(pa.array(ok))], names=["a", "b"])
 
     return pairs.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
@@ -143,39 +143,71 @@ def _links(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, at_least: float
     return _verified(pairs, at_least).distinct()
 
 
-def _likely(open_: DataFrame, at_least: float, registers: int) -> DataFrame:
-    """Pairs (a, b) of one bucket and different components whose registers agree enough, found in blocks.
-
-    ``open_``: bucket, node, comp, registers. In each bucket the members of its largest component are
-    held against all others, and the others against each other, BLOCK by BLOCK; only likely pairs
-    leave a task. Members of one component never meet, so a hot group costs its size times its strays.
+def _close(own: int, rest: np.ndarray, ids: np.ndarray, weights: np.ndarray, ends: np.ndarray, lane: np.ndarray, sets: list, at_least: float) -> np.ndarray:
+    """Of the members ``rest``, those similar to member ``own``; ids and weights hold all sets one after the other, ``lane`` is all 0."""
+    size = ends[rest + 1] - ends[rest]
+    starts = np.concatenate([[0], np.cumsum(size)[:-1]])
+    at = np.arange(size.sum()) + np.repeat(ends[rest] - starts, size)
+    mine = slice(ends[own], ends[own + 1])
+    lane[ids[mine]] = weights[mine]
+    x, y = lane[ids[at]], weights[at]
+    lane[ids[mine]] = 0
+    whole = lambda k: weights[ends[k] : ends[k + 1]].sum()
+    if len(sets[own][0]) == whole(own) and (y == 1).all():  # weights of 1 alone: the share of common elements
+        common = np.add.reduceat((x > 0).astype(np.int64), starts)
+        return rest[common / (len(sets[own][0]) + size - common) >= at_least - EPSILON]
+    total = np.add.reduceat(y, starts)
+    most = np.add.reduceat(np.minimum(x / whole(own), y / np.repeat(total, size)), starts)  # never below the similarity
+    return np.array([j for j in rest[most >= at_least - EPSILON] if probability_jaccard(sets[own], sets[j]) >= at_least - EPSILON], np.int64)
+
+
+def _compared(open_: DataFrame, at_least: float) -> DataFrame:
+    """Links (a, b) between different components of one bucket, by the exact similarity of whole texts, found in blocks.
+
+    ``open_``: bucket, band, node, comp, bands, text. In each bucket the members of its largest component
+    are held against all others, and the others against each other, block by block. A pair meets in the
+    first band that it shares. A task merges components as it finds links and gives back only the links
+    that merged some, fewer than its members; so a hot group is never listed as pairs.
     """
-    needed = at_least - SIGMAS * float(np.sqrt(at_least * (1 - at_least) / registers))
-    sizes = open_.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("n"))
-    shape = sizes.groupBy("bucket").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.max("n").alias("n_main"), (F.sum("n") - F.max("n")).alias("n_stray"))
-    blocks = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
-    known = join_hot(open_, shape, ["bucket"]).withColumns({"is_main": F.col("comp") == F.col("main"), "x": blocks("n_main"), "y": blocks("n_stray")})
-    own = F.pmod(F.xxhash64("node"), F.when(F.col("is_main"), F.col("x")).otherwise(F.col("y"))).cast("int")
-    named = known.withColumn("own", own)
+    bytes_ = F.octet_length("text")
+    sizes = open_.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("n"), F.sum(bytes_).alias("size"))
+    shape = sizes.groupBy("bucket").agg(
+        F.max_by("comp", F.struct("n", "comp")).alias("main"),
+        F.max(F.struct("n", "comp", "size")).alias("top"), F.sum("n").alias("n"), F.sum("size").alias("size"),
+    )
+    blocks = lambda n, size: F.greatest(F.lit(1), F.ceil(n / BLOCK), F.ceil(size / BLOCK_BYTES)).cast("int")
+    shape = shape.select("bucket", "main", blocks(F.col("top.n"), F.col("top.size")).alias("x"), blocks(F.col("n") - F.col("top.n"), F.col("size") - F.col("top.size")).alias("y"))
+    known = join_hot(open_, shape, ["bucket"]).withColumn("is_main", F.col("comp") == F.col("main"))
+    named = known.withColumn("own", F.pmod(F.xxhash64("node"), F.when(F.col("is_main"), F.col("x")).otherwise(F.col("y"))).cast("int"))
     every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
     task = lambda kind, i, j: F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"))
     o = F.col("own")
     tasks = F.when(F.col("is_main"), F.transform(every("y"), lambda j: task(0, o, j))).otherwise(
         F.concat(F.transform(every("x"), lambda i: task(0, i, o)), F.transform(every("y"), lambda k: task(1, F.least(o, k), F.greatest(o, k))))
     )
-    dealt = named.select("bucket", "node", "comp", "is_main", "registers", F.explode(tasks).alias("t")).select("*", "t.*").drop("t")
+    dealt = named.select("bucket", "band", "node", "comp", "is_main", "own", "bands", "text", F.explode(tasks).alias("t")).select("*", "t.*").drop("t")
 
     def compare(table: pa.Table) -> pa.Table:
-        node, comp, main = (table.column(c).to_numpy(zero_copy_only=False) for c in ("node", "comp", "is_main"))
-        sig = np.frombuffer(b"".join(table.column("registers").to_pylist()), np.uint8).reshape(len(node), registers)
+        node, comp, main, own, band = (table.column(c).to_numpy(zero_copy_only=False) for c in ("node", "comp", "is_main", "own", "band"))
+        kind, i_own, j_own = (table.column(c)[0].as_py() for c in ("kind", "i", "j"))
+        bands = np.array(table.column("bands").to_pylist(), np.int64)
+        sets = [shingles(t) for t in table.column("text").cast(pa.binary()).to_pylist()]
+        _, ids = np.unique(np.concatenate([h for h, _ in sets]), return_inverse=True)
+        weights = np.concatenate([w for _, w in sets])
+        ends = np.concatenate([[0], np.cumsum([len(h) for h, _ in sets])])
+        lane, root = np.zeros(ids.max() + 1), comp.copy()
+        left = np.flatnonzero(~main) if kind == 0 else np.flatnonzero(own == i_own)
+        right = np.flatnonzero(main) if kind == 0 else np.flatnonzero(own == j_own)
         a, b = [], []
-        two_sided = table.column("kind")[0].as_py() == 0
-        others = np.flatnonzero(main) if two_sided else np.arange(len(node))
-        for i in np.flatnonzero(~main) if two_sided else others:
-            rest = others[comp[others] != comp[i]] if two_sided else others[i + 1 :][comp[i + 1 :] != comp[i]]
-            near = rest[(sig[rest] == sig[i]).mean(axis=1) >= needed]
-            a += [max(node[i], node[j]) for j in near]
-            b += [min(node[i], node[j]) for j in near]
+        for i in left:
+            others = right[right > i] if kind == 1 and i_own == j_own else right
+            rest = others[root[others] != root[i]]
+            rest = rest[(bands[rest] == bands[i]).argmax(axis=1) == band[i]] if len(rest) else rest
+            for j in _close(i, rest, ids, weights, ends, lane, sets, at_least) if len(rest) else ():
+                if root[i] != root[j]:
+                    root[root == root[j]] = root[i]
+                    a.append(max(node[i], node[j]))
+                    b.append(min(node[i], node[j]))
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return dealt.groupBy("bucket", "kind", "i", "j").applyInArrow(compare, "a long, b long").distinct()
@@ -194,37 +226,42 @@ def near_duplicates(
     are not read. An empty table gives no rows.
 
     Copies are collapsed by digest before any banding. In a bucket each text is held against the
-    bucket's least text first. Buckets that then still hold more than one component are searched for
-    further pairs by their registers, in blocks of bounded size (see ``_likely``); likely pairs are
-    confirmed on whole texts. So no bucket is listed as pairs, and every pair that shares a bucket is
-    either in one component already or compared.
+    bucket's hub first: the member with the most company over all its buckets, which is where the
+    source of many copies stands. Buckets that then still hold more than one component are compared
+    exactly, on whole texts, in blocks of bounded size (see ``_compared``). So no bucket is listed as
+    pairs, and every pair that shares a bucket is either in one component already or compared.
     """
     base = df.select(F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").cast("string").alias("text")).select(
         "id", F.unhex(F.md5("text")).alias("digest"), "text"
     )
 
-    out = T.StructType([T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("registers", T.BinaryType())])
+    out = T.StructType([T.StructField("bands", T.ArrayType(T.LongType()))])
     sketched = cut(map_texts(base, "text", lambda texts: sketches(texts, rows, bands), out, ["id", "digest"]))
     present = sketched.where("digest is not null")
     nodes = cut(
         present.groupBy("digest").agg(F.min("id").alias("first_id"), F.count(F.lit(1)).alias("copies")).withColumn("node", F.monotonically_increasing_id())
     )
     first = join_hot(present, nodes.select("digest", "first_id", "node"), ["digest"]).where(F.col("id").eqNullSafe(F.col("first_id")))
-    banded = first.select("node", F.posexplode("bands").alias("band", "hash")).select("node", F.xxhash64("band", "hash").alias("bucket"))
-    shared = banded.groupBy("bucket").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least < most")
-    members = cut(join_hot(banded, shared.select("bucket", "least"), ["bucket"]))
+    banded = first.select("node", F.posexplode("bands").alias("band", "hash")).select("node", "band", F.xxhash64("band", "hash").alias("bucket"))
+    shared = banded.groupBy("bucket").agg(F.min("node").alias("least"), F.max("node").alias("most"), F.count(F.lit(1)).alias("n")).where("least < most")
+    met = cut(join_hot(banded, shared.select("bucket", "n"), ["bucket"]))
+    company = met.groupBy("node").agg(F.sum("n").alias("company"))
+    hubs = met.join(company, "node").groupBy("bucket").agg(F.max_by("node", "company").alias("hub"))
+    members = cut(join_hot(met.drop("n"), hubs, ["bucket"]))
     texts = base.where("digest is not null")
 
-    pairs = members.where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b")).distinct()
+    pairs = members.where("node <> hub").select(F.greatest("node", "hub").alias("a"), F.least("node", "hub").alias("b")).distinct()
     links = cut(_links(pairs, nodes, texts, at_least))
     comps = cut(components(links))
-    placed = members.join(comps, "node", "left").select("bucket", "node", F.coalesce("comp", "node").alias("comp"))
+    placed = members.join(comps, "node", "left").select("bucket", "band", "node", F.coalesce("comp", "node").alias("comp"))
     mixed = placed.groupBy("bucket").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 < c1")
-    open_ = join_hot(placed, mixed.select("bucket"), ["bucket"])
-    open_ = open_.join(first.select("node", "registers"), "node")
-    more = cut(_likely(open_, at_least, rows * bands))
+    open_ = cut(join_hot(placed, mixed.select("bucket"), ["bucket"]))
+    wanted = first.join(open_.select("node").distinct(), "node", "left_semi").select("node", F.col("digest").alias("own"), F.col("id").alias("own_id"), "bands")
+    wanted = wanted.dropDuplicates(["node"])
+    read = texts.join(wanted, (F.col("digest") == F.col("own")) & F.col("id").eqNullSafe(F.col("own_id"))).select("node", "bands", "text").dropDuplicates(["node"])
+    more = cut(_compared(open_.join(read, "node"), at_least))
     if not more.isEmpty():
-        comps = cut(components(links.unionByName(_links(more, nodes, texts, at_least))))
+        comps = cut(components(links.unionByName(more)))
 
     named = nodes.join(comps, "node", "left").select("digest", "first_id", "copies", "node", F.coalesce("comp", "node").alias("comp"))
     classes = named.groupBy("comp").agg(F.min("first_id").alias("class_id"), F.sum("copies").alias("class_size"))

@@ -96,20 +96,31 @@ def test_components_of_a_path_and_a_hub(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
-def test_blocks_find_all_likely_pairs_across_components(spark, monkeypatch):
+@pytest.mark.parametrize("repeats", [False, True])
+def test_blocks_join_all_similar_texts_of_a_bucket(spark, monkeypatch, repeats):
     monkeypatch.setattr(neardup, "BLOCK", 3)
-    rng = np.random.default_rng(9)
-    centre = rng.integers(0, 256, (3, 192))
-    rows = []
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    centre = [[word() for _ in range(120)] for _ in range(3)]
+    rows, sets = [], {}
     for node in range(24):
-        sig = centre[node % 3].copy()
-        sig[rng.integers(0, 192, 10)] = 7
-        rows.append((node % 2, node, 0 if node < 12 else node, bytes(sig.astype(np.uint8).tolist())))
-    got = {(r.a, r.b) for r in neardup._likely(spark.createDataFrame(rows, "bucket long, node long, comp long, registers binary"), 0.8, 192).collect()}
-    want = set()
-    for b1, n1, c1, s1 in rows:
-        for b2, n2, c2, s2 in rows:
-            same = np.mean(np.frombuffer(s1, np.uint8) == np.frombuffer(s2, np.uint8))
-            if b1 == b2 and n1 > n2 and c1 != c2 and same >= 0.65:
-                want.add((n1, n2))
-    assert got == want and want
+        body = list(centre[node % 3])
+        for _ in range(rng.choice((1, 1, 2))):  # one change each: similar; more: not
+            body[rng.randrange(120)] = word()
+        text = " ".join(body * (1 + repeats * (1 + node % 2)))
+        rows.append((node % 2, 0, node, 0 if node < 9 else node, [node % 2], text))
+        sets[node] = shingles(text.encode())
+    df = spark.createDataFrame(rows, "bucket long, band int, node long, comp long, bands array<long>, text string")
+    links = [(r.a, r.b) for r in neardup._compared(df, 0.8).collect()]
+    near = lambda a, b: probability_jaccard(sets[a], sets[b]) >= 0.8
+    assert links and all(a > b and near(a, b) for a, b in links)
+    comp = {node: c for _, _, node, c, _, _ in rows}
+
+    def closed(pairs):
+        pairs, reach = [*pairs, *comp.items()], {n: n for n in comp}
+        for _ in range(len(comp)):
+            for a, b in pairs:
+                reach[a] = reach[b] = min(reach[a], reach[b])
+        return reach
+
+    assert closed(links) == closed([(a, b) for a in comp for b in comp if a > b and a % 2 == b % 2 and near(a, b)])
