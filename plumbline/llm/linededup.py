@@ -96,7 +96,8 @@ def _blocks(first: DataFrame, least: int) -> DataFrame:
 def repeated_runs(df: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """(hx, hy, runs): per document with later copies, the line ranges [start, stop) that they cover, merged."""
     lines = _lines(df, text, key)
-    first = cut(lines.join(_repeated(lines, ["x", "y"], "rank"), ["x", "y"]).select("id", "hx", "hy", "pos", "n", "rank"))
+    # a row that stands several times is one document: each of its lines is kept once
+    first = cut(lines.join(_repeated(lines, ["x", "y"], "rank"), ["x", "y"]).select("id", "hx", "hy", "pos", "n", "rank").distinct())
     blocks = cut(_blocks(first, min_words))
     depth = blocks.agg(F.max("m")).first()[0] or 0
     ranks = suffix_ranks(first, depth)

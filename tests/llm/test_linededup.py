@@ -53,6 +53,19 @@ def test_odd_rows(spark):
     assert linededup.drop_repeated_lines(df.limit(0)).count() == 0
 
 
+def test_repeated_rows_are_one_document(spark):
+    passage = [" ".join(f"w{i}_{j}" for j in range(10)) for i in range(6)]
+    first, later = "\n".join(["head", *passage, "tail"]), "\n".join(["top", *passage, "end"])
+    for copies in ((3, 1), (1, 3), (3, 3)):
+        rows = [(1, first)] * copies[0] + [(2, later)] * copies[1]
+        got = linededup.drop_repeated_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+        assert sorted(r.text for r in got if r.doc_id == 1) == [first] * copies[0], copies
+        assert sorted((r.n_removed_lines, r.text) for r in got if r.doc_id == 2) == [(6, "top\nend")] * copies[1], copies
+    inside = "\n".join([*passage, "between", *passage])
+    got = linededup.drop_repeated_lines(spark.createDataFrame([(1, inside)] * 3, "doc_id long, text string")).collect()
+    assert [r.text for r in got] == ["\n".join([*passage, "between"])] * 3
+
+
 def test_query_against_sql(spark):
     assert_same(catalog.op8_line_runs(spark, SF), connect(SF), catalog.ORACLES["op8_line_runs"])
 
