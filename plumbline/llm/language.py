@@ -3,7 +3,7 @@
 A text is a vector of hashed letter n-grams (1 to 3, runs of other characters read as one space) with
 TF-IDF weights and unit length. Each language is learnt as several centroids by spherical k-means over
 a bounded sample; a text takes the language of the centroid nearest by cosine, and is rejected if even
-that one is too far.
+that one is too far. How far is too far is learnt for each language from its own labelled texts.
 """
 
 from __future__ import annotations
@@ -26,8 +26,12 @@ SAMPLE_PER_LANGUAGE = 600
 MOST_LANGUAGES = 10_000
 #: Rows looked at for each row of the sample; more where texts without letters are common.
 MARGIN = 8
-#: A text is rejected below this cosine with the nearest centroid: no script or vocabulary in common.
-LEAST_COSINE = 0.08
+#: A text is rejected below its nearest language's floor: this share of the low quantile of the cosines that the
+#: language's own labelled texts have with centroids learnt from others of them.
+FLOOR_QUANTILE, FLOOR_SHARE = 0.01, 2 / 3
+#: The floor of a language with fewer labelled texts of enough n-grams than FLOOR_ROWS, the least any language has,
+#: and that of texts of fewer different n-grams (about 15 letters), whose cosine is low in any language.
+LEAST_COSINE, FLOOR_ROWS, FLOOR_GRAMS = 0.08, 20, 48
 UNKNOWN = "und"
 
 # Odd multipliers of the n-gram hash.
@@ -90,8 +94,18 @@ def k_means(x: np.ndarray, k: int) -> np.ndarray:
     return centres
 
 
+def floor_of(x: np.ndarray, idf: np.ndarray, k: int) -> float:
+    """The least cosine for a language of which these are the n-gram counts: each half of the rows is held against the other."""
+    x = weigh(x[(x > 0).sum(axis=1) >= FLOOR_GRAMS], idf)
+    if len(x) < FLOOR_ROWS:
+        return LEAST_COSINE
+    halves = x[::2], x[1::2]
+    own = [(a @ k_means(b, k).T).max(axis=1) for a, b in (halves, halves[::-1])]
+    return max(LEAST_COSINE, FLOOR_SHARE * float(np.quantile(np.concatenate(own), FLOOR_QUANTILE)))
+
+
 def fit(df: DataFrame, text: str = "text", lang: str = "lang", order: str | None = None, per_language: int = SAMPLE_PER_LANGUAGE, k: int = CENTROIDS) -> dict:
-    """The model: idf (WIDTH values), langs and centroids (one row each, k per language).
+    """The model: idf (WIDTH values), langs, centroids and floors (one row each, k per language).
 
     At most ``per_language`` rows of each language with letters in their text are used: those of least
     hash of ``order`` (by default of the text). Rows without text or language are left out; from a
@@ -116,23 +130,25 @@ def fit(df: DataFrame, text: str = "text", lang: str = "lang", order: str | None
     # counts by language: bounded by the sample
     known = sorted(sample.groupBy("lang").applyInPandas(frequency, "lang string, n long, df array<long>").collect(), key=lambda r: r.lang)
     if not known:
-        return {"idf": np.ones(WIDTH, np.float32), "langs": [], "centroids": np.zeros((0, WIDTH), np.float32)}
+        return {"idf": np.ones(WIDTH, np.float32), "langs": [], "centroids": np.zeros((0, WIDTH), np.float32), "floors": []}
     total = sum(r.n for r in known)
     idf = np.log((1 + total) / (1 + sum(np.array(r.df) for r in known))).astype(np.float32) + np.float32(1)
 
     def centroids(pdf: pd.DataFrame) -> pd.DataFrame:
-        found = k_means(weigh(counts(pdf.sort_values("nth")["text"].tolist()), idf), k)
-        return pd.DataFrame({"lang": pdf["lang"].iloc[0], "j": range(len(found)), "c": list(found.astype(np.float32))})
+        x = counts(pdf.sort_values("nth")["text"].tolist())
+        found = k_means(weigh(x, idf), k)
+        return pd.DataFrame({"lang": pdf["lang"].iloc[0], "j": range(len(found)), "floor": floor_of(x, idf, k), "c": list(found.astype(np.float32))})
 
-    got = sorted(sample.groupBy("lang").applyInPandas(centroids, "lang string, j int, c array<float>").collect(), key=lambda r: (r.lang, r.j))
-    return {"idf": idf, "langs": [r.lang for r in got], "centroids": np.array([r.c for r in got], np.float32)}
+    got = sorted(sample.groupBy("lang").applyInPandas(centroids, "lang string, j int, floor double, c array<float>").collect(), key=lambda r: (r.lang, r.j))
+    return {"idf": idf, "langs": [r.lang for r in got], "centroids": np.array([r.c for r in got], np.float32), "floors": [r.floor for r in got]}
 
 
 def identify(df: DataFrame, model: dict, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """``df`` with lang_pred, score (cosine with the nearest centroid, 0 to 1) and rejected.
 
     A text that is null or has no letter gets ``und``, score 0 and is rejected; any other gets a learnt
-    language, and is rejected if the score is below LEAST_COSINE. If no language was learnt, the others
+    language, and is rejected if the score is below that language's floor (below LEAST_COSINE if it has
+    fewer than FLOOR_GRAMS different n-grams). If no language was learnt, the others
     get ``und`` and score 0 too, and are not rejected. Ties go to the first language. One
     row for each input row; new columns replace input columns of the same name.
     """
@@ -150,7 +166,8 @@ def identify(df: DataFrame, model: dict, text: str = "text", keep: list[str] | N
                 score = 0.0 if blank or not langs else float(min(1.0, max(0.0, cosine[i, j])))
                 out["lang_pred"].append(UNKNOWN if blank or not langs else langs[j])
                 out["score"].append(score)
-                out["rejected"].append(bool(blank or (langs and score < LEAST_COSINE)))
+                short = (x[i] > 0).sum() < FLOOR_GRAMS
+                out["rejected"].append(bool(blank or (langs and score < (LEAST_COSINE if short else shared.value["floors"][j]))))
         return out
 
     return map_texts(df, text, compute, OUT, keep, as_bytes=False)

@@ -1,5 +1,6 @@
 """Operator 10: held-out accuracy, rejection and odd rows."""
 
+import random
 import zlib
 
 from plumbline.llm import catalog, language
@@ -29,6 +30,20 @@ def test_foreign_and_odd_texts(spark):
     assert language.identify(df.limit(0), model).count() == 0
 
 
+def test_unlearnt_texts_are_rejected_at_any_length(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = language.fit_on_fold(docs)
+    rng = random.Random(3)
+    scripts = {"latin": (0x61, 0x7A), "cyrillic": (0x430, 0x44F), "cjk": (0x4E00, 0x9FA5)}
+    said = [(f"{name} {n}", " ".join("".join(chr(rng.randint(a, b)) for _ in range(rng.randint(2, 9))) for _ in range(n)))
+            for name, (a, b) in scripts.items() for n in (10, 30, 300, 3000, 10_000)]
+    df = spark.createDataFrame([*said, ("word", "Éaux.")], "doc_id string, text string")
+    kept = [r.doc_id for r in language.identify(df, model).collect() if not r.rejected]
+    assert kept == ["word"]  # one word of a learnt alphabet is too little to be judged
+    own = language.identify(docs.where(language.held_out("doc_id") & docs.text.rlike(r"\p{L}")), model).collect()
+    assert sum(r.rejected for r in own) / len(own) < 0.01
+
+
 def test_without_labels_nothing_is_learnt(spark):
     df = spark.createDataFrame([(1, "some text", None), (2, None, "en"), (3, "12", "en")], "doc_id long, text string, lang string")
     model = language.fit(df)
