@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,8 +9,14 @@ from plumbline.llm import binary, chat, decontaminate, language, linededup, near
 from plumbline.llm.common import table
 from plumbline.llm.oracles import ORACLES
 
-BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
-WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
+BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
+
+
+def tokenizer(name: str) -> str:
+    """The place of a public tokenizer's file; only the queries that need one import the package."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def op1_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,7 +38,7 @@ def op3_jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    counted = tokens.token_counts(docs, BYTE_BPE, keep=["doc_id"])
+    counted = tokens.token_counts(docs, tokenizer(BYTE_BPE), keep=["doc_id"])
     return counted.withColumn("over_limit", F.col("n_tokens") > 512)
 
 
@@ -49,7 +54,7 @@ def op5_chat_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_bin_slack(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    pieces = packing.token_pieces(docs, WORD_BPE, with_ids=False)
+    pieces = packing.token_pieces(docs, tokenizer(WORD_BPE), with_ids=False)
     placed = packing.pack(pieces, "length", ["doc_id", "start", "ids_crc32"])
     return placed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
@@ -62,7 +67,7 @@ def op8_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_elias_fano(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     path = binary.block_path(spark)
-    binary.write_blocks(docs, path, WORD_BPE)
+    binary.write_blocks(docs, path, tokenizer(WORD_BPE))
     found = binary.read_blocks(spark.read.schema(binary.BLOCK).parquet(path), with_ids=False)
     return found.withColumnRenamed("key", "doc_id")
 

@@ -19,8 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbline.llm.common import cut, free_name, numbered, steps
-from plumbline.llm.tokens import PieceIds, load
+from plumbline.llm.common import cut, free_name, numbered
+from plumbline.llm.tokens import ended, load, text_steps
 
 CAPACITY = 2048
 END_ID = 1
@@ -85,18 +85,17 @@ def pack(df: DataFrame, length: str, order: list[str], capacity: int = CAPACITY)
     """``df`` (pieces with a length of 1 to ``capacity``) with sequence_id and offset.
 
     Every piece gets one place; in a sequence, offsets are gapless from 0 and reach at most
-    ``capacity``. ``order`` should tell the pieces apart; equal rows are interchangeable. The counts
-    of lengths (at most ``capacity`` rows) and the plan made from them are all that passes through the
-    driver. No rows give no rows; other columns pass, nulls too, and columns named like the new
-    ones are replaced.
+    ``capacity``. ``order`` should tell the pieces apart; equal rows are interchangeable. A row whose
+    length is null, below 1 or above ``capacity`` fits no sequence: it stays, with a null sequence_id
+    and offset. The counts of lengths (at most ``capacity`` rows) and the plan made from them are all
+    that passes through the driver. No rows give no rows; other columns pass, nulls too, and columns
+    named like the new ones are replaced.
     """
     # the pieces may come from a tokenizer: they are made once, before anything samples their order
     df = cut(df.drop("sequence_id", "offset"))
-    rank = free_name(df, "rank_of_length")
+    rank, fits = free_name(df, "rank_of_length"), F.coalesce(F.col(f"`{length}`").between(1, capacity), F.lit(False))
     ranked = numbered(df, [length], [*order, length], rank)
-    counts = {int(r[0]): int(r[1]) for r in ranked.groupBy(length).agg(F.count(F.lit(1))).collect()}
-    if any(not 1 <= x <= capacity for x in counts):
-        raise ValueError(f"pieces must have lengths from 1 to {capacity}")
+    counts = {int(r[0]): int(r[1]) for r in ranked.where(fits).groupBy(length).agg(F.count(F.lit(1))).collect()}
     table = df.sparkSession.sparkContext.broadcast(places(plan(counts, capacity)))
 
     @F.pandas_udf("sequence_id long, offset long")
@@ -113,7 +112,10 @@ def pack(df: DataFrame, length: str, order: list[str], capacity: int = CAPACITY)
             yield pd.DataFrame({"sequence_id": seq, "offset": off})
 
     at = free_name(df, "place")
-    return ranked.withColumn(at, place(F.col(length), F.col(rank))).select(*df.columns, f"{at}.sequence_id", f"{at}.offset")
+    placed = ranked.where(fits).withColumn(at, place(F.col(length), F.col(rank)))
+    nowhere = F.lit(None).cast("long")
+    rest = df.where(~fits).select(*(F.col(f"`{c}`") for c in df.columns), nowhere.alias("sequence_id"), nowhere.alias("offset"))
+    return placed.select(*(F.col(f"`{c}`") for c in df.columns), f"{at}.sequence_id", f"{at}.offset").unionByName(rest)
 
 
 def token_pieces(
@@ -128,22 +130,23 @@ def token_pieces(
     fields = [source.schema[0], *(T.StructField(n, T.LongType()) for n in ("start", "length", "doc_tokens", "ids_crc32"))]
     if with_ids:
         fields.append(T.StructField("ids", T.ArrayType(T.IntegerType())))
-    end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys, texts = batch.column(0), batch.column(1)
-            for a, b in steps([len(t) if t is not None else 1 for t in texts.to_pylist()], 4 << 20):
-                rows: list[list] = [[] for _ in range(6)]
-                for i, ids in enumerate(load(tokenizer, PieceIds)(texts.slice(a, b - a).to_pylist()), a):
-                    whole = ids + end
-                    for at in range(0, len(whole), 4 * capacity):
-                        piece = whole[at : at + 4 * capacity]
-                        for own, v in zip(rows, (i, at // 4, len(piece) // 4, len(whole) // 4, zlib.crc32(piece), piece), strict=True):
-                            own.append(v)
-                cols = [keys.take(pa.array(rows[0], pa.int64())), *(pa.array(r, pa.int64()) for r in rows[1:5])]
-                if with_ids:
-                    cols.append(pa.array([np.frombuffer(x, "<u4").astype(np.int32) for x in rows[5]], pa.list_(pa.int32())))
+            for a, b in text_steps(texts):
+                ids, ends = ended(*load(tokenizer).encode(texts.slice(a, b - a)), end_id)
+                tokens = np.diff(ends, prepend=0)
+                n = -(-tokens // capacity)
+                doc = np.repeat(np.arange(b - a), n)
+                start = (np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)) * capacity
+                first = (ends - tokens)[doc] + start
+                length = np.minimum(capacity, tokens[doc] - start)
+                raw = memoryview(ids.tobytes())
+                crc = [zlib.crc32(raw[4 * x : 4 * (x + k)]) for x, k in zip(first.tolist(), length.tolist(), strict=True)]
+                cols = [keys.take(pa.array(doc + a)), pa.array(start), pa.array(length), pa.array(tokens[doc]), pa.array(crc, pa.int64())]
+                if with_ids:  # the pieces cover all ids in order
+                    cols.append(pa.ListArray.from_arrays(pa.array(np.append(first, len(ids)), pa.int32()), pa.array(ids.astype(np.int32))))
                 yield pa.RecordBatch.from_arrays(cols, names=[f.name for f in fields])
 
     return source.mapInArrow(run, T.StructType(fields))

@@ -4,7 +4,6 @@ import itertools
 import zlib
 
 import numpy as np
-import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
@@ -55,13 +54,16 @@ def test_pack_with_ties_nulls_and_clashes(spark):
     n = check(got, 64)
     assert n <= 1.02 * -(-sum(r[1] for r in rows) // 64) + 1
     assert packing.pack(df.limit(0), "length", ["doc_id"], 64).count() == 0
-    with pytest.raises(ValueError, match="lengths"):
-        packing.pack(df, "length", ["doc_id"], 10)
+    odd = df.unionByName(spark.createDataFrame([(1, None, "x"), (2, 0, "x")], df.schema))
+    few = packing.pack(odd, "length", ["doc_id"], 10).collect()
+    assert len(few) == len(rows) + 2
+    assert all((r.sequence_id is None) == (r.offset is None) == (r.length is None or not 1 <= r.length <= 10) for r in few)
+    check([r for r in few if r.sequence_id is not None], 10)
 
 
 def test_query_holds_every_token_once(spark):
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
-    tok = Tokenizer.from_file(catalog.WORD_BPE)
+    tok = Tokenizer.from_file(catalog.tokenizer(catalog.WORD_BPE))
     ids = {k: np.array([*tok.encode(t or "", add_special_tokens=False).ids, 1], "<u4") for k, t in docs.items()}
     rows = catalog.op6_bin_slack(spark, SF).collect()
     check(rows, 2048)
@@ -76,7 +78,7 @@ def test_query_holds_every_token_once(spark):
 
 def test_sequences_are_padded(spark):
     docs = spark.createDataFrame([(1, "a b c"), (2, None), (3, "d " * 3000)], "doc_id long, text string")
-    placed = packing.pack(packing.token_pieces(docs, catalog.WORD_BPE), "length", ["doc_id", "start"])
+    placed = packing.pack(packing.token_pieces(docs, catalog.tokenizer(catalog.WORD_BPE)), "length", ["doc_id", "start"])
     made = packing.sequences(placed).collect()
     assert all(len(r.ids) == 2048 for r in made) and len(made) == 2
     assert sum(x == 1 for r in made for x in r.ids) >= 3
