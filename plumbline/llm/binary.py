@@ -19,8 +19,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbline.llm.common import shared_folder, steps
-from plumbline.llm.tokens import PieceIds, load
+from plumbline.llm.common import shared_folder
+from plumbline.llm.tokens import ended, load, text_steps
 
 END_ID = 1
 #: Ids in a block; a longer document has a block of its own.
@@ -28,9 +28,14 @@ BLOCK_IDS = 1 << 20
 #: Every so many ones, the select structure remembers a position.
 SAMPLE = 64
 
+# Ones in a byte, and where the k-th one of a byte stands.
+_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
+_ONES = _BITS.sum(axis=1)
+_PLACE = np.argsort(1 - _BITS, axis=1, kind="stable")
+
 BLOCK = T.StructType(
     [
-        T.StructField("part", T.IntegerType()), T.StructField("block", T.IntegerType()), T.StructField("n_docs", T.LongType()),
+        T.StructField("part", T.IntegerType()), T.StructField("block", T.IntegerType()), T.StructField("n_docs", T.LongType()), T.StructField("n_keyless", T.LongType()),
         T.StructField("n_ids", T.LongType()), T.StructField("ids", T.BinaryType()), T.StructField("ends", T.BinaryType()), T.StructField("keys", T.BinaryType()),
     ]
 )
@@ -67,21 +72,22 @@ class EliasFano:
         found = (self.low[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1
         return (found.astype(np.int64) << np.arange(self.low_bits)).sum(axis=1)
 
-    def select(self, i: int) -> int:
-        """Value i, from the nearest remembered position on."""
-        if not 0 <= i < self.n:
-            raise IndexError(i)
-        at = int(self.samples[i // SAMPLE])
-        left, byte = i % SAMPLE, at >> 3
-        word = int(self.high[byte]) >> (at & 7) << (at & 7)
-        while left >= word.bit_count():
-            left -= word.bit_count()
-            byte += 1
-            word = int(self.high[byte])
-        for _ in range(left):
-            word &= word - 1
-        one = (byte << 3) + (word & -word).bit_length() - 1
-        return self.base + ((one - i) << self.low_bits | int(self._low(np.array([i]))[0]))
+    def select(self, i: np.ndarray) -> np.ndarray:
+        """Values at the places ``i``, each from the nearest remembered position on; other values are not decoded."""
+        i = np.asarray(i, np.int64)
+        if len(i) and not (0 <= i.min() and i.max() < self.n):
+            raise IndexError("no such value")
+        at = self.samples[i // SAMPLE].astype(np.int64)
+        # ones still to pass, counted from the start of the byte that holds the remembered one
+        byte = at >> 3
+        left = i % SAMPLE + _ONES[self.high[byte] & ((1 << (at & 7)) - 1)] if len(i) else i
+        live = np.flatnonzero(left >= _ONES[self.high[byte]])
+        while len(live):
+            left[live] -= _ONES[self.high[byte[live]]]
+            byte[live] += 1
+            live = live[left[live] >= _ONES[self.high[byte[live]]]]
+        one = (byte << 3) + _PLACE[self.high[byte], left]
+        return self.base + ((one - i) << self.low_bits | self._low(i))
 
     def all(self) -> np.ndarray:
         """Every value."""
@@ -95,8 +101,8 @@ def write_blocks(df: DataFrame, path: str, tokenizer: str, key: str = "doc_id",
 
     Ids are 16-bit where the vocabulary allows, else 32-bit, little-endian (the width follows from
     n_ids and the bytes). Each document ends with ``end_id``; a null text is empty. Rows of one key
-    stay neighbours; a null key is not allowed. Texts are dealt by range of key, so that parts in
-    order hold keys in order.
+    stay neighbours; rows with a null key stand before all others. Texts are dealt by range of key, so
+    that parts in order hold keys in order. No rows give an empty table. Other columns are not read.
     """
     source = df.select(F.col(f"`{key}`").cast("long").alias("key"), F.col(f"`{text}`").cast("string").alias("text"))
     source = source.withColumn("tie", F.monotonically_increasing_id())
@@ -106,41 +112,50 @@ def write_blocks(df: DataFrame, path: str, tokenizer: str, key: str = "doc_id",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, encode = TaskContext.get().partitionId(), load(tokenizer, PieceIds)
+        part, encode = TaskContext.get().partitionId(), load(tokenizer)
         kind = "<u2" if encode.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4"
-        end, block = np.array([end_id], "<u4").tobytes(), 0
-        held: list[bytes] = []
-        keys: list[int] = []
+        block = total = 0
+        held: list[np.ndarray] = []
+        sizes: list[np.ndarray] = []
+        keys: list[pa.Array] = []
 
         def flush() -> pa.RecordBatch:
-            ends = np.cumsum([len(x) // 4 for x in held])
-            ids = np.frombuffer(b"".join(held), "<u4").astype(kind).tobytes()
-            row = [part, block, len(held), int(ends[-1]), ids, EliasFano.encode(ends), EliasFano.encode(np.array(keys))]
-            kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
+            ends, own = np.cumsum(np.concatenate(sizes)), pa.concat_arrays(keys)
+            known = own.drop_null().to_numpy(zero_copy_only=False)
+            ids = np.concatenate(held).astype(kind).tobytes()
+            row = [part, block, len(own), own.null_count, int(ends[-1]), ids, EliasFano.encode(ends), EliasFano.encode(known)]
+            kinds = (pa.int32(), pa.int32(), *[pa.int64()] * 3, *[pa.binary()] * 3)
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], names=BLOCK.names)
 
-        total = 0
         for batch in batches:
             names, texts = batch.column(0), batch.column(1)
-            if names.null_count:
-                raise ValueError("a document without a key cannot be put in order")
-            for a, b in steps([len(t) if t is not None else 1 for t in texts.to_pylist()], 4 << 20):
-                for k, ids in zip(names.slice(a, b - a).to_pylist(), encode(texts.slice(a, b - a).to_pylist()), strict=True):
-                    size = len(ids) // 4 + 1
-                    if held and total + size > block_ids:
+            for a, b in text_steps(texts):
+                ids, ends = ended(*encode.encode(texts.slice(a, b - a)), end_id)
+                first = 0
+                while first < len(ends):
+                    before = int(ends[first - 1]) if first else 0
+                    last = int(np.searchsorted(ends, before + block_ids - total, "right"))
+                    if last == first and total:  # the next document does not fit any more
                         yield flush()
-                        held, keys, total, block = [], [], 0, block + 1
-                    held.append(ids + end)
-                    keys.append(k)
-                    total += size
-        if held:
+                        held, sizes, keys, total, block = [], [], [], 0, block + 1
+                        continue
+                    last = max(last, first + 1)
+                    after = int(ends[last - 1])
+                    held.append(ids[before:after])
+                    sizes.append(np.diff(ends[first:last], prepend=before))
+                    keys.append(names.slice(a + first, last - first))
+                    total, first = total + after - before, last
+        if total:
             yield flush()
 
     dealt.mapInArrow(run, BLOCK).write.option("compression", "zstd").parquet(path)
 
 
 def read_blocks(df: DataFrame, with_ids: bool = True) -> DataFrame:
-    """The documents of written blocks: key, start (ids of all documents before it), n_tokens, ids_crc32, ids."""
+    """The documents of written blocks: key, start (ids of all documents before it), n_tokens, ids_crc32, ids.
+
+    Where a document starts and ends comes from the select structure of its block's boundaries.
+    """
     sizes = df.groupBy("part").agg(F.sum("n_ids").alias("n"))
     before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     parts = sizes.select("part", before.alias("part_start"))  # one narrow row per written part
@@ -154,20 +169,22 @@ def read_blocks(df: DataFrame, with_ids: bool = True) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
-                _, _, n_ids, ids, ends, keys = (batch.column(i)[row].as_py() for i in range(6))
-                at = EliasFano(ends).all()
-                begin = np.concatenate([[0], at[:-1]])
+                part, block, n_ids, n_keyless, ids, ends, keys = (batch.column(i)[row].as_py() for i in range(7))
+                ends, keys = EliasFano(ends), EliasFano(keys)
+                end = ends.select(np.arange(ends.n))
+                begin = np.concatenate([[0], end[:-1]])
                 whole = np.frombuffer(ids, f"<u{len(ids) // n_ids}").astype("<u4")
                 data = memoryview(whole.tobytes())
-                crc = [zlib.crc32(data[4 * a : 4 * b]) for a, b in zip(begin, at, strict=True)]
-                cols = [pa.array(EliasFano(keys).all()), pa.array(begin), pa.array(at - begin), pa.array(crc, pa.int64())]
+                crc = [zlib.crc32(data[4 * a : 4 * b]) for a, b in zip(begin.tolist(), end.tolist(), strict=True)]
+                named = pa.concat_arrays([pa.nulls(n_keyless, pa.int64()), pa.array(keys.select(np.arange(keys.n)), pa.int64())])
+                cols = [named, pa.array(begin), pa.array(end - begin), pa.array(crc, pa.int64())]
                 if with_ids:
-                    cols.append(pa.ListArray.from_arrays(pa.array(np.concatenate([begin, at[-1:]]).astype(np.int32)), pa.array(whole.astype(np.int32))))
-                part = [pa.array([batch.column(i)[row].as_py()] * len(at), pa.int32()) for i in (0, 1)]
-                yield pa.RecordBatch.from_arrays([*part, *cols], names=["part", "block", *(f.name for f in fields)])
+                    cols.append(pa.ListArray.from_arrays(pa.array(np.append(begin, end[-1]).astype(np.int32)), pa.array(whole.astype(np.int32))))
+                place = [pa.array(np.full(len(end), x, np.int32)) for x in (part, block)]
+                yield pa.RecordBatch.from_arrays([*place, *cols], names=["part", "block", *(f.name for f in fields)])
 
     wide = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("block", T.IntegerType()), *fields])
-    docs = df.select("part", "block", "n_ids", "ids", "ends", "keys").mapInArrow(run, wide)
+    docs = df.select("part", "block", "n_ids", "n_keyless", "ids", "ends", "keys").mapInArrow(run, wide)
     joined = docs.join(first, ["part", "block"])
     return joined.select("key", (F.col("first") + F.col("start")).alias("start"), *(f.name for f in fields[2:]))
 

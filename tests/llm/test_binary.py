@@ -19,9 +19,11 @@ def test_sequences_come_back(values, shift):
     values = np.sort(np.array([v >> shift for v in values], np.int64))
     ef = binary.EliasFano(binary.EliasFano.encode(values))
     assert ef.all().tolist() == values.tolist()
-    assert [ef.select(i) for i in range(len(values))] == values.tolist()
+    some = np.arange(len(values))[::-1]
+    assert ef.select(some).tolist() == values[::-1].tolist()
+    assert [int(ef.select(np.array([i]))[0]) for i in some[:20]] == values[::-1][:20].tolist()
     with pytest.raises(IndexError):
-        ef.select(len(values))
+        ef.select(np.array([len(values)]))
 
 
 def test_space_is_near_the_minimum():
@@ -34,25 +36,30 @@ def test_order_nulls_repeats_and_long_texts(spark, tmp_path, block):
     texts = [(5, "b"), (-3, None), (7, "long " * 3000), (0, ""), (5, "b"), (2**40, "Ünï code")] + [(100 + i, f"t {i}") for i in range(200)]
     df = spark.createDataFrame([(*t, "x") for t in texts], "doc_id long, text string, key string")
     path = str(tmp_path / f"b{block}")
-    binary.write_blocks(df, path, catalog.WORD_BPE, block_ids=block)
+    binary.write_blocks(df, path, catalog.tokenizer(catalog.WORD_BPE), block_ids=block)
     got = sorted(binary.read_blocks(spark.read.parquet(path)).collect(), key=lambda r: r.start)
-    tok, at = Tokenizer.from_file(catalog.WORD_BPE), 0
+    tok, at = Tokenizer.from_file(catalog.tokenizer(catalog.WORD_BPE)), 0
     for r, (k, t) in zip(got, sorted(texts, key=lambda x: x[0]), strict=True):
         ids = [*tok.encode(t or "", add_special_tokens=False).ids, 1]
         assert (r.key, r.start, r.n_tokens, r.ids) == (k, at, len(ids), ids)
         at += len(ids)
     empty = str(tmp_path / f"e{block}")
-    binary.write_blocks(df.limit(0), empty, catalog.WORD_BPE)
+    binary.write_blocks(df.limit(0), empty, catalog.tokenizer(catalog.WORD_BPE))
     assert binary.read_blocks(spark.read.schema(binary.BLOCK).parquet(empty)).count() == 0
 
 
-def test_a_null_key_is_refused(spark, tmp_path):
-    with pytest.raises(Exception, match="without a key"):
-        binary.write_blocks(spark.createDataFrame([(None, "x")], "doc_id long, text string"), str(tmp_path / "n"), catalog.WORD_BPE)
+@pytest.mark.parametrize("block", [3, 1 << 20])
+def test_null_keys_stand_first(spark, tmp_path, block):
+    df = spark.createDataFrame([(4, "x"), (None, "a b"), (-9, "y"), (None, "a b"), (None, None)], "doc_id long, text string")
+    path = str(tmp_path / f"n{block}")
+    binary.write_blocks(df, path, catalog.tokenizer(catalog.WORD_BPE), block_ids=block)
+    got = sorted(binary.read_blocks(spark.read.parquet(path)).collect(), key=lambda r: r.start)
+    assert [r.key for r in got] == [None, None, None, -9, 4]
+    assert sorted(r.n_tokens for r in got[:3]) == [1, 3, 3] and [r.start for r in got[3:]] == [7, 9]
 
 
 def test_query_against_the_library(spark):
-    tok, at = Tokenizer.from_file(catalog.WORD_BPE), 0
+    tok, at = Tokenizer.from_file(catalog.tokenizer(catalog.WORD_BPE)), 0
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     for r in sorted(catalog.op9_elias_fano(spark, SF).collect(), key=lambda r: r.doc_id):
         ids = np.array([*tok.encode(docs[r.doc_id] or "", add_special_tokens=False).ids, 1], "<u4")
