@@ -13,6 +13,7 @@ its content is escaped with backslashes: first the control strings, then backsla
 from __future__ import annotations
 
 import hashlib
+import io
 import re
 from collections.abc import Iterator
 
@@ -26,34 +27,60 @@ OPEN, COLON, CLOSE = "### ", ": ", " </turn>\n"
 LEARNT = ("assistant",)
 #: Characters of formatted text in one row; a longer conversation takes more rows.
 CHUNK_CHARS = 1 << 20
+#: Characters that are unescaped at a time.
+SLICE = 1 << 16
 
-_BODY = r"(?:[^\\]|\\.)*?"
-_TURN = re.compile(f"{re.escape(OPEN)}(?P<name>{_BODY}){re.escape(COLON)}(?P<body>{_BODY}){re.escape(CLOSE)}", re.S)
 _ESCAPED = re.compile(r"\\(.)", re.S)
-_CONTROL = re.compile("|".join(map(re.escape, (OPEN, COLON, CLOSE, CLOSE.strip()))))
+#: Backslashes, and the characters that begin a mark or stand inside one.
+_EVERY = {ord(c): f"\\{c}" for c in "\\#:< "}
 
-FORMATTED = T.StructType(
-    [
-        T.StructField("chunk", T.IntegerType()),
-        T.StructField("formatted", T.StringType()),
-        T.StructField("loss_spans", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))),
-    ]
-)
+SPANS = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
+FORMATTED = T.StructType([T.StructField("chunk", T.IntegerType()), T.StructField("formatted", T.StringType()), T.StructField("loss_spans", SPANS)])
 
 
 def unescape(text: str) -> str:
-    return _ESCAPED.sub(r"\1", text)
+    """The text without its escapes, in slices that end between escapes."""
+    if "\\" not in text:
+        return text
+    out, at = io.StringIO(), 0
+    while at < len(text):
+        end = min(at + SLICE, len(text))
+        own = text[at:end]
+        if (len(own) - len(own.rstrip("\\"))) % 2 and end < len(text):  # the last escape goes on
+            end += 1
+            own = text[at:end]
+        out.write(_ESCAPED.sub(r"\1", own))
+        at = end
+    return out.getvalue()
+
+
+def _until(text: str, mark: str, at: int) -> int:
+    """Where the first unescaped ``mark`` stands from ``at`` on: an even number of backslashes stands before it."""
+    place = text.find(mark, at)
+    while place >= 0:
+        back = place
+        while back > at and text[back - 1] == "\\":
+            back -= 1
+        if (place - back) % 2 == 0:
+            return place
+        place = text.find(mark, place + 1)
+    raise ValueError(f"no {mark!r} after character {at}")
 
 
 def parse(text: str) -> Iterator[tuple[str, str, int, int]]:
-    """(role, text, start and end of the escaped body) of each turn; raises ValueError where no turn starts."""
+    """(role, text, start and end of the escaped body) of each turn; raises ValueError where no turn starts.
+
+    Every character is looked at a fixed number of times, and nothing but the turn is held.
+    """
     at = 0
     while at < len(text):
-        m = _TURN.match(text, at)
-        if m is None:
+        if not text.startswith(OPEN, at):
             raise ValueError(f"no turn at character {at}")
-        yield unescape(m["name"]), unescape(m["body"]), m.start("body"), m.end("body")
-        at = m.end()
+        colon = _until(text, COLON, at + len(OPEN))
+        body = colon + len(COLON)
+        close = _until(text, CLOSE, body)
+        yield unescape(text[at + len(OPEN) : colon]), unescape(text[body:close]), body, close
+        at = close + len(CLOSE)
 
 
 def _plain(text: str) -> str:
@@ -61,12 +88,13 @@ def _plain(text: str) -> str:
 
 
 def _controls(text: str) -> str:
-    return _CONTROL.sub(lambda m: f"\\{m[0]}", text)
+    for mark in (OPEN, COLON, CLOSE.strip()):
+        text = text.replace(mark, f"\\{mark}")
+    return text
 
 
 def _all(text: str) -> str:
-    """Backslashes, and the first character of anything that could begin or end a mark together with its neighbours."""
-    return re.sub(r"[\\#:< ]", lambda m: f"\\{m[0]}", text)
+    return text.translate(_EVERY)
 
 
 def render(role: str, text: str) -> tuple[str, int]:
@@ -74,27 +102,59 @@ def render(role: str, text: str) -> tuple[str, int]:
     for escape in (_plain, _controls, _all):
         made = f"{OPEN}{escape(role)}{COLON}{escape(text)}{CLOSE}"
         try:
-            turns = list(parse(made))
-            if [x[:2] for x in turns] == [(role, text)]:
-                return made, turns[0][2]
+            turns = parse(made)
+            said, body = next(turns), None
+            if said[:2] == (role, text) and next(turns, None) is None:
+                body = said[2]
         except ValueError:
-            pass
+            continue
+        if body is not None:
+            return made, body
     raise AssertionError("escaping every control character is always reversible")
 
 
+def _sized(sizes: list[int], limit: int = CHUNK_CHARS) -> Iterator[tuple[int, int]]:
+    """Ranges of rows of about ``limit`` characters."""
+    start = total = 0
+    for i, n in enumerate(sizes, 1):
+        total += n
+        if total >= limit or i == len(sizes):
+            yield start, i
+            start, total = i, 0
+
+
+def rendered(df: DataFrame, conv: str, turn: str, role: str, text: str) -> DataFrame:
+    """(conv, turn, role, made, body, learnt): every turn rendered where it lies, without a shuffle."""
+    source = df.select(F.col(f"`{conv}`").alias("conv"), F.col(f"`{turn}`").alias("turn"), F.col(f"`{role}`").cast("string").alias("role"), F.col(f"`{text}`").cast("string").alias("text"))
+    schema = T.StructType([*source.schema.fields[:3], T.StructField("made", T.StringType()), T.StructField("body", T.LongType()), T.StructField("learnt", T.BooleanType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = pa.compute.binary_length(batch.column(3)).fill_null(0).to_pylist()
+            for a, b in _sized(sizes):
+                own = batch.slice(a, b - a)
+                roles = [r or "" for r in own.column(2).to_pylist()]
+                made = [render(r, t or "") for r, t in zip(roles, own.column(3).to_pylist(), strict=True)]
+                cols = [pa.array([m for m, _ in made], batch.schema.field(3).type), pa.array([x for _, x in made], pa.int64()), pa.array([r in LEARNT for r in roles])]
+                yield pa.RecordBatch.from_arrays([*own.columns[:3], *cols], names=schema.names)
+
+    return source.mapInArrow(run, schema)
+
+
 def format_chats(
     df: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", chunk_chars: int = CHUNK_CHARS
 ) -> DataFrame:
     """One row per conversation and chunk: conv, chunk (from 0), formatted and loss_spans.
 
-    Turns are ordered by turn, then role, then text (null first); a null text or role is the empty
-    string, and a null conversation key is a conversation like any other. loss_spans are the escaped
-    texts of the roles in LEARNT, as [start, end) in the chunk. Chunks end between turns, at
-    ``chunk_chars`` characters or more, so a conversation of any length streams through its task.
-    Other columns are not read; an empty table gives no rows.
+    Turns are ordered by turn, then role (null first), then as rendered; a null text or role is the
+    empty string, and a null conversation key is a conversation like any other. Repeated rows are turns
+    of their own. loss_spans are the escaped texts of the roles in LEARNT, as [start, end) in the chunk.
+    Chunks end between turns, at ``chunk_chars`` characters or more. Turns are rendered and parsed
+    where they lie; only finished turns are dealt by conversation and joined there, so a conversation
+    of any length streams through its task. Other columns are not read; an empty table gives no rows.
     """
-    source = df.select(F.col(f"`{conv}`").alias("conv"), F.col(f"`{turn}`").alias("turn"), F.col(f"`{role}`").cast("string").alias("role"), F.col(f"`{text}`").cast("string").alias("text"))
-    dealt = source.repartition("conv").sortWithinPartitions("conv", "turn", "role", "text").select("conv", "role", "text")
+    made = rendered(df, conv, turn, role, text)
+    dealt = made.repartition("conv").sortWithinPartitions("conv", "turn", "role", "made").select("conv", "made", "body", "learnt")
     schema = T.StructType([T.StructField(conv, dealt.schema["conv"].dataType), *FORMATTED.fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -102,33 +162,37 @@ def format_chats(
 
         kinds = [to_arrow_type(f.dataType) for f in schema.fields]
         rows: list[tuple] = []
+        waiting = 0
         now, chunk, parts, size, marks = None, -1, [], 0, []
 
         def end_chunk() -> None:
-            nonlocal chunk, parts, size, marks
+            nonlocal chunk, parts, size, marks, waiting
             rows.append((now, chunk, "".join(parts), marks))
+            waiting += size
             chunk, parts, size, marks = chunk + 1, [], 0, []
 
         def out() -> pa.RecordBatch:
-            made = [pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
+            nonlocal waiting
+            done = [pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
             rows.clear()
-            return pa.RecordBatch.from_arrays(made, names=schema.names)
+            waiting = 0
+            return pa.RecordBatch.from_arrays(done, names=schema.names)
 
         for batch in batches:
-            for key, who, said in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            for at in range(batch.num_rows):
+                key, one, body, learnt = (batch.column(i)[at].as_py() for i in range(4))
                 if chunk < 0 or key != now:
                     if parts:
                         end_chunk()
                     now, chunk = key, 0
-                made, body = render(who or "", said or "")
-                if (who or "") in LEARNT:
-                    marks.append({"start": size + body, "end": size + len(made) - len(CLOSE)})
-                parts.append(made)
-                size += len(made)
+                if learnt:
+                    marks.append({"start": size + body, "end": size + len(one) - len(CLOSE)})
+                parts.append(one)
+                size += len(one)
                 if size >= chunk_chars:
                     end_chunk()
-            if len(rows) >= 1000 or sum(len(r[2]) for r in rows) > chunk_chars:
-                yield out()
+                if len(rows) >= 1000 or waiting > chunk_chars:
+                    yield out()
         if parts:
             end_chunk()
         if rows:
@@ -137,11 +201,45 @@ def format_chats(
     return dealt.mapInArrow(run, schema)
 
 
+def parsed(formatted: DataFrame, conv: str = "conv_id") -> DataFrame:
+    """(conv, chunk, n_turns, turns, learnt, chars): each chunk parsed where it lies: the bytes of role, line feed,
+    text, line feed per turn, and the unescaped text under the loss mask."""
+    source = formatted.select(F.col(f"`{conv}`").alias("conv"), "chunk", "formatted", "loss_spans")
+    schema = T.StructType(
+        [
+            *source.schema.fields[:2], T.StructField("n_turns", T.LongType()), T.StructField("turns", T.BinaryType()),
+            T.StructField("learnt", T.StringType()), T.StructField("chars", T.LongType()),
+        ]
+    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = pa.compute.binary_length(batch.column(2)).to_pylist()
+            for a, b in _sized(sizes):
+                own = batch.slice(a, b - a)
+                got: list[list] = [[], [], [], []]
+                for i in range(b - a):
+                    text, marks = own.column(2)[i].as_py(), own.column(3)[i].as_py()
+                    turns = [f"{role}\n{said}\n".encode() for role, said, _, _ in parse(text)]
+                    learnt = "".join(unescape(text[m["start"] : m["end"]]) for m in marks)
+                    for column, v in zip(got, (len(turns), b"".join(turns), learnt, len(text)), strict=True):
+                        column.append(v)
+                cols = [pa.array(got[0], pa.int64()), pa.array(got[1], pa.binary()), pa.array(got[2], pa.string()), pa.array(got[3], pa.int64())]
+                yield pa.RecordBatch.from_arrays([*own.columns[:2], *cols], names=schema.names)
+
+    return source.mapInArrow(run, schema)
+
+
 def read_chats(formatted: DataFrame, conv: str = "conv_id") -> DataFrame:
-    """Digests per conversation, parsed back from ``format_chats``'s chunks (one conversation after the other)."""
+    """Digests per conversation, parsed back from chunks, which may stand in any order.
+
+    Chunks are parsed where they lie and then dealt by conversation in their order, because a digest
+    goes over all turns in sequence; that last step only hashes, and holds one chunk at a time.
+    """
     names = ("n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")
     fields = [T.StructField(n, T.StringType() if "sha" in n else T.LongType()) for n in names]
     schema = T.StructType([formatted.schema[conv], *fields])
+    ordered = parsed(formatted, conv).repartition("conv").sortWithinPartitions("conv", "chunk")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_type
@@ -160,19 +258,17 @@ def read_chats(formatted: DataFrame, conv: str = "conv_id") -> DataFrame:
             return pa.RecordBatch.from_arrays(made, names=schema.names)
 
         for batch in batches:
-            for key, chunk, text, marks in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in (conv, "chunk", "formatted", "loss_spans")), strict=True):
-                if chunk == 0:
+            for at in range(batch.num_rows):
+                key, _, n, turns, learnt, chars = (batch.column(i)[at].as_py() for i in range(6))
+                if state is None or key != now:
                     if state is not None:
                         done()
                     now, state = key, [0, hashlib.sha256(), 0, hashlib.sha256(), 0]
-                for role, said, _, _ in parse(text):
-                    state[0] += 1
-                    state[1].update(f"{role}\n{said}\n".encode())
-                for m in marks:
-                    learnt = unescape(text[m["start"] : m["end"]])
-                    state[2] += len(learnt)
-                    state[3].update(learnt.encode())
-                state[4] += len(text)
+                state[0] += n
+                state[1].update(turns)
+                state[2] += len(learnt)
+                state[3].update(learnt.encode())
+                state[4] += chars
             if len(rows) >= 1000:
                 yield out()
         if state is not None:
@@ -180,7 +276,7 @@ def read_chats(formatted: DataFrame, conv: str = "conv_id") -> DataFrame:
         if rows:
             yield out()
 
-    return formatted.mapInArrow(run, schema)
+    return ordered.mapInArrow(run, schema)
 
 
 def with_probe(spark: SparkSession, conversations: DataFrame) -> DataFrame:

@@ -1,9 +1,12 @@
 """Operator 5: every text survives the round trip."""
 
 import hashlib
+import tracemalloc
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from plumbline.llm import catalog, chat
 
@@ -43,6 +46,28 @@ def test_nulls_ties_and_chunks(spark):
     assert chat.read_chats(chat.format_chats(df.limit(0))).count() == 0
 
 
+def test_chunks_may_be_read_in_any_order(spark, tmp_path):
+    rows = [(c, i, "assistant" if i % 2 else "user", f"turn {i}: \\\\ ### {c} " * (i % 7)) for c in (1, None, 3) for i in range(60)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    path = str(tmp_path / "chunks")
+    chat.format_chats(df, chunk_chars=50).orderBy(F.rand(3)).write.parquet(path)
+    read = spark.read.parquet(path)
+    assert read.count() > 60
+    got = {r.conv_id: (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) for r in chat.read_chats(read).collect()}
+    assert got == {c: digests([r[2:] for r in rows if r[0] == c]) for c in (1, None, 3)}
+
+
+@pytest.mark.parametrize("part", ["plain words of a text ", "\\\\: ### </turn>\n"])
+def test_a_long_turn_takes_memory_in_proportion(part):
+    text = part * ((2 << 20) // len(part))
+    tracemalloc.start()
+    made, _ = chat.render("user", text)
+    ((role, said, _, _),) = chat.parse(made)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (role, said) == ("user", text) and peak < 16 * len(text)
+
+
 def test_query_against_the_table(spark):
     rows = spark.read.parquet(f"{SF}/conversations.parquet").orderBy("conv_id", "turn").collect()
     said = {-7: [(r, "\\### Assistant: </turn> ok") for r in ("user", "assistant")]}
