@@ -9,6 +9,7 @@ that one is too far. How far is too far is learnt for each language from its own
 from __future__ import annotations
 
 import sys
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -16,15 +17,17 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbline.llm.common import map_texts
+from plumbline.llm.common import cut, map_texts
 
 #: Width of a vector; centroids per language; rounds of k-means.
 WIDTH, CENTROIDS, ROUNDS = 1 << 13, 4, 12
 #: Labelled rows per language that the fit uses (the documented bound); characters of each in the vector are all of it.
 SAMPLE_PER_LANGUAGE = 600
-#: Different languages that a model may have; their counts are broadcast.
-MOST_LANGUAGES = 10_000
-#: Rows looked at for each row of the sample; more where texts without letters are common.
+#: Languages whose row counts are broadcast; more are joined by shuffle.
+BROADCAST_LANGUAGES = 10_000
+#: Languages whose centroids one pass over the texts holds (128 KB each); more take more passes.
+PASS_LANGUAGES = 256
+#: Rows looked at for each row of the sample.
 MARGIN = 8
 #: A text is rejected below its nearest language's floor: this share of the low quantile of the cosines that the
 #: language's own labelled texts have with centroids learnt from others of them.
@@ -56,7 +59,8 @@ def grams(text: str | None) -> np.ndarray:
         return np.zeros(0, np.int64)
     stay = is_letter | np.concatenate([[True], is_letter[:-1]])
     c = np.where(is_letter, code, np.uint32(32))[stay]
-    c = np.concatenate([np.array([32], np.uint32), c[np.argmax(c != 32) :], np.array([32], np.uint32)])
+    ends = np.flatnonzero(c != 32)
+    c = np.concatenate([np.array([32], np.uint32), c[ends[0] : ends[-1] + 1], np.array([32], np.uint32)])
     one = c * np.uint32(P1)
     two = one[:-1] ^ c[1:] * np.uint32(P2)
     three = two[:-1] * np.uint32(P1) ^ c[2:] * np.uint32(P3)
@@ -104,73 +108,114 @@ def floor_of(x: np.ndarray, idf: np.ndarray, k: int) -> float:
     return max(LEAST_COSINE, FLOOR_SHARE * float(np.quantile(np.concatenate(own), FLOOR_QUANTILE)))
 
 
-def fit(df: DataFrame, text: str = "text", lang: str = "lang", order: str | None = None, per_language: int = SAMPLE_PER_LANGUAGE, k: int = CENTROIDS) -> dict:
-    """The model: idf (WIDTH values), langs, centroids and floors (one row each, k per language).
+@dataclass
+class Model:
+    """idf (WIDTH values) and the table (lang, j, floor, c): a unit centroid a row, k per language at most."""
 
-    At most ``per_language`` rows of each language with letters in their text are used: those of least
-    hash of ``order`` (by default of the text). Rows without text or language are left out; from a
-    table without any, no language is learnt. Only sums and centroids, whose size the parameters bound for each
-    language, reach the driver.
+    idf: np.ndarray
+    table: DataFrame | None
+    langs: list[str]
+
+
+def vectors(df: DataFrame, text: str, keep: list[str]) -> DataFrame:
+    """``keep`` with dims and counts: the n-grams of each whole text, at most WIDTH of them whatever its length."""
+    out = T.StructType([T.StructField("dims", T.ArrayType(T.IntegerType())), T.StructField("counts", T.ArrayType(T.FloatType()))])
+
+    def compute(texts: list) -> dict[str, list]:
+        found = [np.unique(grams(t), return_counts=True) for t in texts]
+        return {"dims": [d.astype(np.int32) for d, _ in found], "counts": [c.astype(np.float32) for _, c in found]}
+
+    return map_texts(df, text, compute, out, keep, as_bytes=False)
+
+
+def fit(df: DataFrame, text: str = "text", lang: str = "lang", order: str | None = None, per_language: int = SAMPLE_PER_LANGUAGE, k: int = CENTROIDS) -> Model:
+    """The model learnt from at most ``per_language`` rows of each language: those with letters in their
+    text and the least hash of ``order`` (by default of the text).
+
+    Rows without text or language are left out; from a table without any, no language is learnt.
+    Sampled texts are turned into vectors where they lie, so what a language's task gathers is bounded
+    by ``per_language`` vectors. The driver gets document frequencies (WIDTH numbers) and the names of
+    the languages; centroids stay a table.
     """
     at = F.pmod(F.xxhash64(F.col(f"`{order or text}`")), F.lit(1 << 40)) / F.lit(float(1 << 40))
     rows = df.select(F.col(f"`{lang}`").cast("string").alias("lang"), F.col(f"`{text}`").cast("string").alias("text"), at.alias("at"))
     rows = rows.where(r"lang is not null and text rlike '\\p{L}'")
     # rows that can be among the first of their language: a few times as many as are wanted, at any size
-    sizes = df.groupBy(F.col(f"`{lang}`").cast("string").alias("of")).agg(F.count(F.lit(1)).alias("n"))
-    if sizes.limit(MOST_LANGUAGES + 1).count() > MOST_LANGUAGES:
-        raise ValueError(f"column {lang!r} has more than {MOST_LANGUAGES} values")
-    near = rows.join(F.broadcast(sizes), (rows["lang"] == sizes["of"]) & (F.col("at") * F.col("n") <= MARGIN * per_language)).drop("of", "n")
+    sizes = cut(rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")))
+    near = rows.join(F.broadcast(sizes) if sizes.count() <= BROADCAST_LANGUAGES else sizes, "lang").where(F.col("at") * F.col("n") <= MARGIN * per_language)
     nth = F.row_number().over(Window.partitionBy("lang").orderBy("at", F.length("text"), "text"))
     sample = near.withColumn("nth", nth).where(F.col("nth") <= per_language).select("lang", "nth", "text")
-
-    def frequency(pdf: pd.DataFrame) -> pd.DataFrame:
-        df_ = (counts(pdf["text"].tolist()) > 0).sum(axis=0)
-        return pd.DataFrame({"lang": [pdf["lang"].iloc[0]], "n": [len(pdf)], "df": [df_.astype(np.int64)]})
-
-    # counts by language: bounded by the sample
-    known = sorted(sample.groupBy("lang").applyInPandas(frequency, "lang string, n long, df array<long>").collect(), key=lambda r: r.lang)
-    if not known:
-        return {"idf": np.ones(WIDTH, np.float32), "langs": [], "centroids": np.zeros((0, WIDTH), np.float32), "floors": []}
-    total = sum(r.n for r in known)
-    idf = np.log((1 + total) / (1 + sum(np.array(r.df) for r in known))).astype(np.float32) + np.float32(1)
+    known = cut(vectors(sample, "text", ["lang", "nth"]))
+    langs = sorted(r.lang for r in sizes.select("lang").collect())
+    if not langs:
+        return Model(np.ones(WIDTH, np.float32), None, [])
+    total, within = known.count(), np.zeros(WIDTH)
+    for r in known.select(F.explode("dims").alias("dim")).groupBy("dim").count().collect():
+        within[r["dim"]] = r["count"]
+    idf = np.log((1 + total) / (1 + within)).astype(np.float32) + np.float32(1)
 
     def centroids(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = counts(pdf.sort_values("nth")["text"].tolist())
+        pdf = pdf.sort_values("nth")
+        x = np.zeros((len(pdf), WIDTH), np.float32)
+        for i, (d, c) in enumerate(zip(pdf["dims"], pdf["counts"], strict=True)):
+            x[i, d] = c
         found = k_means(weigh(x, idf), k)
         return pd.DataFrame({"lang": pdf["lang"].iloc[0], "j": range(len(found)), "floor": floor_of(x, idf, k), "c": list(found.astype(np.float32))})
 
-    got = sorted(sample.groupBy("lang").applyInPandas(centroids, "lang string, j int, floor double, c array<float>").collect(), key=lambda r: (r.lang, r.j))
-    return {"idf": idf, "langs": [r.lang for r in got], "centroids": np.array([r.c for r in got], np.float32), "floors": [r.floor for r in got]}
+    return Model(idf, cut(known.groupBy("lang").applyInPandas(centroids, "lang string, j int, floor double, c array<float>")), langs)
 
 
-def identify(df: DataFrame, model: dict, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """``df`` with lang_pred, score (cosine with the nearest centroid, 0 to 1) and rejected.
-
-    A text that is null or has no letter gets ``und``, score 0 and is rejected; any other gets a learnt
-    language, and is rejected if the score is below that language's floor (below LEAST_COSINE if it has
-    fewer than FLOOR_GRAMS different n-grams). If no language was learnt, the others
-    get ``und`` and score 0 too, and are not rejected. Ties go to the first language. One
-    row for each input row; new columns replace input columns of the same name.
-    """
-    shared = df.sparkSession.sparkContext.broadcast(model)
+def _nearest(df: DataFrame, text: str, keep: list[str], idf: np.ndarray, rows: list, names: list[str]) -> DataFrame:
+    """``keep`` with the nearest of these centroids (lang, floor, c), its cosine and whether it is too far, under ``names``."""
+    centres = np.array([r.c for r in rows], np.float32).reshape(len(rows), WIDTH)
+    shared = df.sparkSession.sparkContext.broadcast((idf, centres.T.copy(), [(r.lang, r.floor) for r in rows]))
+    out = T.StructType([T.StructField(n, f.dataType) for n, f in zip(names, OUT.fields, strict=True)])
 
     def compute(texts: list) -> dict[str, list]:
-        out: dict[str, list] = {n: [] for n in OUT.names}
+        idf, centres, of = shared.value
+        found: list[list] = [[], [], []]
         for a in range(0, len(texts), 64):
             x = counts(texts[a : a + 64])
-            langs = shared.value["langs"]
-            cosine = weigh(x, shared.value["idf"]) @ shared.value["centroids"].T
-            best = cosine.argmax(axis=1) if langs else np.zeros(len(x), np.int64)
-            for i, j in enumerate(best):
-                blank = not x[i].any()
-                score = 0.0 if blank or not langs else float(min(1.0, max(0.0, cosine[i, j])))
-                out["lang_pred"].append(UNKNOWN if blank or not langs else langs[j])
-                out["score"].append(score)
-                short = (x[i] > 0).sum() < FLOOR_GRAMS
-                out["rejected"].append(bool(blank or (langs and score < (LEAST_COSINE if short else shared.value["floors"][j]))))
-        return out
+            blank, few = ~x.any(axis=1), (x > 0).sum(axis=1) < FLOOR_GRAMS
+            cosine = weigh(x, idf) @ centres
+            best = cosine.argmax(axis=1) if of else np.zeros(len(x), np.int64)
+            for i, j in enumerate(best.tolist()):
+                if blank[i] or not of:
+                    one = (UNKNOWN, 0.0, bool(blank[i]))
+                else:
+                    score = min(1.0, max(0.0, float(cosine[i, j])))
+                    one = (of[j][0], score, score < (LEAST_COSINE if few[i] else of[j][1]))
+                for column, v in zip(found, one, strict=True):
+                    column.append(v)
+        return dict(zip(names, found, strict=True))
+
+    return map_texts(df, text, compute, out, keep, as_bytes=False)
+
+
+def identify(df: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """``df`` with lang_pred, score (cosine with the nearest centroid, 0 to 1) and rejected.
 
-    return map_texts(df, text, compute, OUT, keep, as_bytes=False)
+    A text that is null or has no letter gets ``und``, score 0 and is rejected; any other gets a learnt
+    language, and is rejected if the score is below that language's floor (below LEAST_COSINE if it has
+    fewer than FLOOR_GRAMS different n-grams). If no language was learnt, the others get ``und`` and
+    score 0 too, and are not rejected. Ties go to the first language. One row for each input row; new
+    columns replace input columns of the same name. No shuffle; more than PASS_LANGUAGES languages take
+    more passes over the texts.
+    """
+    fresh = {n.lower() for n in OUT.names}
+    kept = [c for c in (df.columns if keep is None else keep) if c.lower() not in fresh]
+    blocks = [model.langs[i : i + PASS_LANGUAGES] for i in range(0, len(model.langs), PASS_LANGUAGES)] or [[]]
+    found, made = df.select(*(F.col(f"`{c}`") for c in dict.fromkeys([*kept, text]))), []
+    for b, block in enumerate(blocks):
+        rows = sorted(model.table.where(F.col("lang").between(block[0], block[-1])).collect(), key=lambda r: (r.lang, r.j)) if block else []
+        names = OUT.names if len(blocks) == 1 else [f"{n}_of_pass_{b}" for n in OUT.names]
+        found = _nearest(found, text, kept if len(blocks) == 1 else found.columns, model.idf, rows, names)
+        made.append(names)
+    if len(blocks) == 1:
+        return found
+    passes = [F.struct(F.col(s).alias("score"), F.lit(-b).alias("first"), F.col(p).alias("lang_pred"), F.col(r).alias("rejected")) for b, (p, s, r) in enumerate(made)]
+    best = F.array_max(F.array(*passes))
+    return found.select(*(F.col(f"`{c}`") for c in kept), *(best[n].alias(n) for n in OUT.names))
 
 
 def held_out(key: str) -> F.Column:
@@ -178,9 +223,7 @@ def held_out(key: str) -> F.Column:
     return F.coalesce(F.pmod(F.crc32(F.col(f"`{key}`").cast("string").cast("binary")), F.lit(3)) == 1, F.lit(True))
 
 
-def fit_on_fold(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> dict:
+def fit_on_fold(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> Model:
     """The model learnt from the rows that are not held out."""
     fold = df.select(F.col(f"`{key}`").alias("k"), F.col(f"`{text}`").alias("t"), F.col(f"`{lang}`").alias("l")).where(~held_out("k"))
     return fit(fold, "t", "l", "k")
-
-
