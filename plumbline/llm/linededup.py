@@ -25,8 +25,9 @@ WHITE = " \t\x0b\f\r"
 
 
 def _row_key(df: DataFrame) -> list[Column]:
-    """Two hashes over all columns: rows equal in every column are one document here."""
-    parts = [F.to_json(F.struct(F.col(f"`{c}`"))) if t.startswith(("map", "variant")) else F.col(f"`{c}`") for c, t in df.dtypes]
+    """Two hashes over all columns: rows equal in every column are one document here. Hashes cannot read
+    maps and variants, however deep they lie; those columns count as their JSON text."""
+    parts = [F.to_json(F.struct(F.col(f"`{c}`"))) if "map<" in t or "variant" in t else F.col(f"`{c}`") for c, t in df.dtypes]
     return [F.xxhash64(*parts), F.hash(*parts)]
 
 

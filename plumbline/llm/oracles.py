@@ -140,10 +140,10 @@ FROM placed
 
 ORACLES = {"op1_line_quality": OP1, "op2_wu_manber": OP2, "op3_jump_shards": OP3}
 
-#: White space inside a line, and blocks of just enough words that start or end at a line.
+#: White space inside a line, and blocks of just enough words that start or end at a line. Equal rows are one document.
 OP8 = rf"""
 WITH d AS (
-  SELECT row_number() OVER (ORDER BY doc_id NULLS FIRST) AS r, doc_id, text FROM documents
+  SELECT row_number() OVER (ORDER BY doc_id NULLS FIRST) AS r, doc_id, text, n FROM (SELECT doc_id, text, count(*) AS n FROM documents GROUP BY ALL)
 ),
 l AS (
   SELECT r, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^ \t\x0b\f\r]')) AS lines FROM d WHERE text IS NOT NULL
@@ -177,7 +177,7 @@ gone AS (
 SELECT doc_id, coalesce(len(lines), 0)::BIGINT AS n_lines, coalesce(len(ps), 0)::BIGINT AS n_removed_lines,
   CASE WHEN ps IS NULL THEN text
     ELSE coalesce(array_to_string(list_filter(list_transform(generate_series(1, len(lines)), lambda i: CASE WHEN list_contains(ps, i) THEN NULL ELSE lines[i] END), lambda x: x IS NOT NULL), chr(10)), '') END AS text
-FROM d LEFT JOIN l USING (r) LEFT JOIN gone USING (r)
+FROM d LEFT JOIN l USING (r) LEFT JOIN gone USING (r), (SELECT unnest(generate_series(1, (SELECT max(n) FROM d))) AS k) WHERE k <= n
 """
 
 ORACLES["op8_line_runs"] = OP8
