@@ -9,15 +9,12 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Iterable
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import decontaminate, language, linededup, neardup, packing
+from plumbline.llm import catalog, decontaminate, language, linededup, neardup, packing
 from plumbline.llm.common import free_name, shared_folder
 
-TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
-
 
 def shielded(docs: DataFrame, fresh: Iterable[str]) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
     """``docs`` with columns that share a name with an operator's new ones put aside, and what restores them."""
@@ -57,7 +54,7 @@ def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The kept documents' token pieces with their places in sequences of at most 2048 tokens."""
-    pieces = packing.token_pieces(docs, TOKENIZER, with_ids=False)
+    pieces = packing.token_pieces(docs, catalog.tokenizer(catalog.WORD_BPE), with_ids=False)
     return packing.pack(pieces, "length", ["doc_id", "start", "ids_crc32"])
 
 
