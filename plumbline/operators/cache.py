@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -17,18 +18,27 @@ def batch_hits(wanted: DataFrame, cached: DataFrame, key: str, batch: Column, va
     return joined.groupBy("batch").agg(F.count(F.lit(1)).alias("n"), F.sum(inside.cast("long")).alias("found"), F.bool_and(inside).alias("hit"))
 
 
+def _stored(spark: SparkSession, path: str) -> DataFrame | None:
+    """The table at ``path``, or None if there is none yet."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as gone:
+        if gone.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        return None
+
+
 def read_through(wanted: DataFrame, path: str, key: str, compute: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Features of all wanted keys from the parquet table at ``path``; missing ones are computed and appended.
 
-    Errors are raised, never swallowed.
+    One row per wanted key that has features, however often the table holds it: two runs at a time may
+    both append a key. Errors are raised, never swallowed.
     """
-    spark = wanted.sparkSession
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    there = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
-    missing = wanted.join(spark.read.parquet(path).select(key), key, "left_anti") if there else wanted
+    spark, keys = wanted.sparkSession, wanted.dropDuplicates([key])
+    there = _stored(spark, path)
+    missing = keys if there is None else keys.join(there.select(key), key, "left_anti")
     compute(missing).write.mode("append").parquet(path)
-    return spark.read.parquet(path).join(wanted.select(key).distinct(), key, "left_semi")
+    return spark.read.parquet(path).join(keys.select(key), key, "left_semi").dropDuplicates([key])
 
 
 def matching_entries(state: DataFrame, target: DataFrame, by: tuple[str, ...] = ("name", "shape"), drop_prefix: str | None = None) -> DataFrame:

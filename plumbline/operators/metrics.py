@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.text import ngrams, plain_answer
-from plumbline.functions.vectors import log_sum_exp
+from plumbline.functions.vectors import let, log_sum_exp
 
 ORDERS = (1, 2, 3, 4)
 #: Width of the length penalty of CIDEr-D.
@@ -51,66 +51,91 @@ def gram_counts(df: DataFrame, keys: Sequence[str], toks: str, orders: Sequence[
     return df.select(*keys, F.explode(both).alias("g")).groupBy(*keys, "g.n", "g.gram").agg(F.count(F.lit(1)).alias("c")).select(*keys, "n", "gram", "c")
 
 
-def document_frequency(reference_grams: DataFrame, group: str) -> DataFrame:
-    """(n, gram, df): in how many groups' references an n-gram occurs."""
-    return reference_grams.select(group, "n", "gram").distinct().groupBy("n", "gram").agg(F.count(F.lit(1)).alias("df"))
+def hashed_counts(df: DataFrame, keys: Sequence[str], toks: str, orders: Sequence[int] = ORDERS) -> DataFrame:
+    """(keys, n, x, y, c): ``gram_counts`` with n-grams named by two hashes (96 bits) of their tokens' hashes.
+
+    The rows are dealt by ``keys`` before they are taken apart, so that n-grams are counted where they
+    arise and none is shuffled.
+    """
+
+    def of_order(h: Column, n: int) -> Column:
+        at = F.when(F.size(h) >= n, F.sequence(F.lit(0), F.size(h) - n)).otherwise(F.array().cast("array<int>"))
+
+        def named(i: Column) -> Column:
+            own = [F.get(h, i + k) for k in range(n)]
+            return F.struct(F.lit(n).alias("n"), F.xxhash64(*own).alias("x"), F.hash(*own).alias("y"))
+
+        return F.transform(at, named)
+
+    token_hashes = F.transform(F.col(toks), lambda t: F.xxhash64(t))
+    both = let(token_hashes, lambda h: F.flatten(F.array(*(of_order(h, n) for n in orders))))
+    long = df.repartition(*keys).select(*keys, F.explode(both).alias("g"))
+    return long.groupBy(*keys, "g.n", "g.x", "g.y").agg(F.count(F.lit(1)).alias("c"))
+
+
+GRAM = ("n", "x", "y")
+
+
+def document_frequency(reference_grams: DataFrame, group: str, gram: Sequence[str] = ("n", "gram")) -> DataFrame:
+    """(gram, df): in how many groups' references an n-gram occurs."""
+    return reference_grams.select(group, *gram).distinct().groupBy(*gram).agg(F.count(F.lit(1)).alias("df"))
 
 
 def bleu(hyps: DataFrame, refs: DataFrame, group: str, toks: str, orders: Sequence[int] = ORDERS) -> DataFrame:
     """(n, clipped, total, bleu): corpus BLEU-n with clipped counts and the closest reference length.
 
     ``hyps``: one row per group; ``refs``: any number of rows, told apart by ``ref``. The references'
-    n-grams are reduced to the hypotheses' before they are counted.
+    n-grams are reduced to the hypotheses' before the maximum over references is taken. Clipped counts
+    and lengths are one row each; everything after is arithmetic on that row.
     """
+    h = hashed_counts(hyps, [group], toks, orders)
+    r = hashed_counts(refs, [group, "ref"], toks, orders)
+    most = r.join(h.select(group, *GRAM), [group, *GRAM], "left_semi").groupBy(group, *GRAM).agg(F.max("c").alias("most"))
+    met = h.join(most, [group, *GRAM], "left").withColumn("clip", F.least("c", F.coalesce("most", F.lit(0))))
+    clipped = met.agg(*(F.coalesce(F.sum(F.when(F.col("n") == n, F.col("clip"))), F.lit(0)).alias(f"clipped_{n}") for n in orders))
     sizes = hyps.select(group, F.size(toks).alias("hyp_len"))
-    h = gram_counts(hyps, [group], toks, orders)
-    wanted = h.select(group, "n", "gram")
-    r = gram_counts(refs, [group, "ref"], toks, orders).join(wanted, [group, "n", "gram"], "left_semi")
-    most = r.groupBy(group, "n", "gram").agg(F.max("c").alias("most"))
-    clipped = h.join(most, [group, "n", "gram"], "left").groupBy("n").agg(F.sum(F.least("c", F.coalesce("most", F.lit(0)))).alias("clipped"))
     lens = refs.select(group, F.size(toks).alias("ref_len")).distinct().join(sizes, group)
     apart = F.abs(F.col("ref_len") - F.col("hyp_len"))
     close = lens.groupBy(group).agg(F.min_by("ref_len", F.struct(apart, "ref_len")).alias("ref_len"))
-    sums = sizes.join(close, group, "left").agg(F.sum("hyp_len").alias("hyp_len"), F.coalesce(F.sum("ref_len"), F.lit(0)).alias("ref_len"))
-    totals = None
-    for n in orders:
-        one = sizes.agg(F.lit(n).alias("n"), F.sum(F.greatest(F.col("hyp_len") - (n - 1), F.lit(0))).alias("total"))
-        totals = one if totals is None else totals.unionByName(one)
-    # one row per order from here on
-    table = totals.join(clipped, "n", "left").crossJoin(F.broadcast(sums)).withColumn("clipped", F.coalesce("clipped", F.lit(0)))
-    p = F.coalesce(F.try_divide(F.col("clipped").cast("double"), F.col("total").cast("double")), F.lit(0.0))
+    totals = [F.coalesce(F.sum(F.greatest(F.col("hyp_len") - (n - 1), F.lit(0))), F.lit(0)).alias(f"total_{n}") for n in orders]
+    sums = sizes.join(close, group, "left").agg(F.coalesce(F.sum("hyp_len"), F.lit(0)).alias("hyp_len"), F.coalesce(F.sum("ref_len"), F.lit(0)).alias("ref_len"), *totals)
+    one = sums.crossJoin(F.broadcast(clipped))  # one row each
+    share = {n: F.coalesce(F.try_divide(F.col(f"clipped_{n}").cast("double"), F.col(f"total_{n}").cast("double")), F.lit(0.0)) for n in orders}
     shortness = F.when(F.col("hyp_len") == 0, 0.0).when(F.col("hyp_len") > F.col("ref_len"), 1.0).otherwise(
         F.exp(1.0 - F.col("ref_len") / F.greatest(F.col("hyp_len"), F.lit(1)))
     )
-    table = table.select("n", "clipped", "total", p.alias("p"), shortness.alias("bp"))
-    upto = table.alias("a").join(table.alias("b"), F.col("b.n") <= F.col("a.n")).groupBy("a.n", "a.clipped", "a.total", "a.p", "a.bp")
-    log = F.sum(F.when(F.col("b.p") > 0, F.ln(F.col("b.p"))).otherwise(-1e9))
-    return upto.agg(log.alias("log")).select("n", "clipped", "total", F.when(F.col("p") > 0, F.col("bp") * F.exp(F.col("log") / F.col("n"))).otherwise(0.0).alias("bleu"))
+    rows, log = [], F.lit(0.0)
+    for n in orders:
+        log = log + F.when(share[n] > 0, F.ln(share[n])).otherwise(-1e9)
+        score = F.when(share[n] > 0, shortness * F.exp(log / n)).otherwise(0.0)
+        rows.append(F.struct(F.lit(n).alias("n"), F.col(f"clipped_{n}").alias("clipped"), F.col(f"total_{n}").alias("total"), score.alias("bleu")))
+    return one.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
 
 
 def cider_d(hyps: DataFrame, refs: DataFrame, group: str, toks: str, orders: Sequence[int] = ORDERS) -> DataFrame:
     """(group, cider): ten times the mean over orders and references of the clipped TF-IDF cosine.
 
     References' n-grams meet only the n-grams of their own group's hypothesis; a pair without any in
-    common counts as 0.
+    common counts as 0. Each reference n-gram is weighed once: its norm and its product with the
+    hypothesis are sums over the same rows.
     """
-    h = gram_counts(hyps, [group], toks, orders)
-    r = gram_counts(refs, [group, "ref"], toks, orders)
-    df = document_frequency(r, group)
+    h = hashed_counts(hyps, [group], toks, orders)
+    r = hashed_counts(refs, [group, "ref"], toks, orders)
+    df = document_frequency(r, group, GRAM)
     n_groups = refs.agg(F.count_distinct(group).alias("groups"))
     idf = F.ln(F.greatest("groups", F.lit(1)).cast("double")) - F.ln(F.greatest(F.coalesce("df", F.lit(0)), F.lit(1)).cast("double"))
 
     def weighed(counts: DataFrame, name: str) -> DataFrame:
-        joined = counts.join(df, ["n", "gram"], "left").crossJoin(F.broadcast(n_groups))
+        joined = counts.join(df, list(GRAM), "left").crossJoin(F.broadcast(n_groups))
         return joined.withColumn(name, F.col("c") * idf).drop("df", "groups", "c")
 
-    hw, rw = weighed(h, "wh"), weighed(r, "wr")
+    hw = weighed(h, "wh")
+    both = weighed(r, "wr").join(hw, [group, *GRAM], "left")
+    dot = F.coalesce(F.sum(F.when(F.col("wh").isNotNull(), F.least("wh", "wr") * F.col("wr"))), F.lit(0.0))
+    sums = both.groupBy(group, "ref", "n").agg(F.sqrt(F.sum(F.col("wr") * F.col("wr"))).alias("nr"), dot.alias("dot"))
     hn = hw.groupBy(group, "n").agg(F.sqrt(F.sum(F.col("wh") * F.col("wh"))).alias("nh"))
-    rn = rw.groupBy(group, "ref", "n").agg(F.sqrt(F.sum(F.col("wr") * F.col("wr"))).alias("nr"))
-    dots = rw.join(hw, [group, "n", "gram"]).groupBy(group, "ref", "n").agg(F.sum(F.least("wh", "wr") * F.col("wr")).alias("dot"))
-    scored = dots.join(rn, [group, "ref", "n"]).join(hn, [group, "n"])
     norm = F.col("nh") * F.col("nr")
-    per_ref = scored.groupBy(group, "ref").agg(F.sum(F.when(norm != 0, F.col("dot") / norm).otherwise(F.col("dot"))).alias("cosines"))
+    per_ref = sums.join(hn, [group, "n"]).groupBy(group, "ref").agg(F.sum(F.when(norm != 0, F.col("dot") / norm).otherwise(F.col("dot"))).alias("cosines"))
     pairs = refs.select(group, "ref", F.size(toks).alias("lr")).join(hyps.select(group, F.size(toks).alias("lh")), group)
     delta = (F.col("lh") - F.col("lr")).cast("double")
     kept = pairs.join(per_ref, [group, "ref"], "left").select(

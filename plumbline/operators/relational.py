@@ -52,11 +52,45 @@ def with_list(df: DataFrame, lists: DataFrame, key: str, values: str) -> DataFra
 
 
 def grouped_list(df: DataFrame, key: str, order: str, value: str, name: str) -> DataFrame:
-    """Per key, its values in the order of ``order``."""
+    """Per key, its values in the order of ``order``. For keys of few rows, as an image's captions are; where
+    a key may hold much of the table, use ``numbered`` and its places."""
     pairs = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(value).alias("v"))))
     return df.groupBy(key).agg(F.transform(pairs, lambda p: p["v"]).alias(name))
 
 
+def numbered(df: DataFrame, group: Sequence[str], order: str, name: str) -> DataFrame:
+    """``df`` with ``name``: the row's place in its group by the number ``order``, from 0 (equal ones in any order).
+
+    No group is ordered in one task: rows are parted at quantiles of ``order`` over the whole table,
+    numbered within (group, part), and each part starts where the group's parts before it end.
+    """
+    parts = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    bounds = sorted(set(df.approxQuantile(order, [i / parts for i in range(1, parts)], 0.5 / parts))) if parts > 1 else []
+    part = F.size(F.filter(F.array(*map(F.lit, bounds)).cast("array<double>"), lambda x: x <= F.col(order)))
+    dealt = df.withColumn("_part", part)
+    counts = dealt.groupBy(*group, "_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    starts = counts.select(*group, "_part", F.coalesce(before, F.lit(0)).alias("_start"))
+    local = dealt.withColumn("_nth", F.row_number().over(Window.partitionBy(*group, "_part").orderBy(order)) - 1)
+    same = [local[c].eqNullSafe(starts[c]) for c in (*group, "_part")]
+    return local.join(starts, same).select(*(local[c] for c in df.columns), (local["_nth"] + starts["_start"]).cast("long").alias(name))
+
+
+def list_digest(df: DataFrame, key: str, place: str, value: str, size: int = 4096) -> DataFrame:
+    """(key, n, digest): md5 over a key's values by place, taken in two steps: of each ``size`` values, then of those."""
+    ordered = lambda at, v: F.transform(F.array_sort(F.collect_list(F.struct(F.col(at).alias("at"), F.col(v).cast("string").alias("v")))), lambda p: p["v"])
+    chunk = F.floor(F.col(place) / size).alias("chunk")
+    inner = df.groupBy(key, chunk).agg(F.count(F.lit(1)).alias("n"), F.md5(F.array_join(ordered(place, value), ",")).alias("md5"))
+    return inner.groupBy(key).agg(F.sum("n").alias("n"), F.md5(F.array_join(ordered("chunk", "md5"), ",")).alias("digest"))
+
+
+def picked(df: DataFrame, key: str, order: str, value: str, places: Sequence[int]) -> DataFrame:
+    """Per key, an array of its values at ``places`` (from 0); null beyond its rows. Only as many rows of a key as asked for are kept."""
+    nth = F.row_number().over(Window.partitionBy(key).orderBy(order)) - 1
+    few = df.select(key, F.col(value).alias("_v"), order).withColumn("_nth", nth).where(F.col("_nth") <= max(places))
+    return few.groupBy(key).agg(F.array(*(F.max(F.when(F.col("_nth") == p, F.col("_v"))) for p in places)).alias(value))
+
+
 def look_up(splits: Sequence[tuple[str, DataFrame]], key: str, wanted: DataFrame) -> DataFrame:
     """Per wanted key, its row from the first split that has it, and the split's name."""
     both = None
@@ -89,16 +123,20 @@ def mode(df: DataFrame, key: str, value: Column, order: str) -> DataFrame:
 
 
 def in_batches(df: DataFrame, group: Sequence[str], order: str, size: int) -> DataFrame:
-    """``df`` with batch: floor of the row's place in its group over ``size``."""
-    nth = F.row_number().over(Window.partitionBy(*group).orderBy(order))
-    return df.withColumn("batch", F.floor((nth - 1) / size).cast("long"))
+    """``df`` with batch: floor of the row's place in its group by the number ``order``, over ``size``."""
+    return numbered(df, group, order, "_place").withColumn("batch", F.floor(F.col("_place") / size)).drop("_place")
+
+
+def shuffle_key(key: str, seed: int) -> Column:
+    """A number of 60 bits that depends on the seed and the key only, as if drawn."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string"))), 1, 15), 16, 10).cast("long")
 
 
 def sampled(df: DataFrame, key: str, n: int, seed: int) -> DataFrame:
     """n rows without replacement, the same for the same seed and rows, whatever the partitions."""
-    return df.orderBy(F.xxhash64(F.lit(seed), F.col(key)), key).limit(n)
+    return df.orderBy(shuffle_key(key, seed), key).limit(n)
 
 
 def shuffled(df: DataFrame, seed: int, key: str) -> DataFrame:
-    """All rows in an order that depends on the seed and the key only."""
-    return df.orderBy(F.xxhash64(F.lit(seed), F.col(key)), key)
+    """``df`` with place: all rows in an order that depends on the seed and the key only."""
+    return numbered(df.withColumn("_drawn", shuffle_key(key, seed)), [], "_drawn", "place").drop("_drawn")

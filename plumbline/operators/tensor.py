@@ -72,6 +72,21 @@ def relation_mean(df: DataFrame, group: str, order: str, vector: str, k: int) ->
     return kept.join(means, [group, "i"]).select(group, F.col("i").alias("slot"), v.fused(F.col("x"), F.col("m"), "add").alias(vector))
 
 
+def question_context(df: DataFrame, key: str, ids: str, table: DataFrame | None, id_: str, vector: str, width: int) -> DataFrame:
+    """(key, vector): mean of the vectors looked up for all ids of a row, padding ids too; zeros where a row has no ids.
+
+    ValueError if there are ids but no table to look them up in.
+    """
+    if table is None:
+        raise ValueError("ids need a table of vectors")
+    long = df.select(key, F.explode(ids).alias(id_)).groupBy(key, id_).agg(F.count(F.lit(1)).alias("times"))
+    dims = table.select(id_, F.posexplode(v.doubles(F.col(vector))).alias("dim", "x"))
+    means = long.join(dims, id_).groupBy(key, "dim").agg((F.sum(F.col("times") * F.col("x")) / F.sum("times")).alias("m"))
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("dim", "m"))), lambda p: p["m"])  # ``width`` numbers
+    pooled = means.groupBy(key).agg(ordered.alias(vector))
+    return df.select(key).join(pooled, key, "left").withColumn(vector, F.coalesce(vector, F.array_repeat(F.lit(0.0), width)))
+
+
 def up_to_first(df: DataFrame, group: str, order: str, ends: Column) -> DataFrame:
     """Rows up to and with the first of their group where ``ends`` is true; all rows if there is none."""
     first = df.where(ends).groupBy(group).agg(F.min(order).alias("_end"))

@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+from functools import cached_property
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,9 +31,9 @@ def build(df: DataFrame, text: str, min_freq: int = 1) -> DataFrame:
     by itself and starts after the words of the partitions before it.
     """
     words = word_counts(df, text).where(F.col("n") >= min_freq)
-    placed = words.withColumn("bucket", F.substring("word", 1, 2))
+    placed = words.withColumn("bucket", F.substring("word", 1, 3))
     sizes = placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"))
-    # buckets are pairs of token characters: at most 37 * 38 rows
+    # buckets are triples of token characters: at most 37 * 38 * 38 rows
     before = F.coalesce(F.sum("size").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = sizes.select("bucket", before.alias("start"))
     nth = F.row_number().over(Window.partitionBy("bucket").orderBy("word"))
@@ -41,27 +47,49 @@ def itos(vocab: DataFrame) -> DataFrame:
     return head.unionByName(vocab.select("id", "word"))
 
 
-def _small(vocab: DataFrame) -> DataFrame:
-    """Broadcast if a bounded count proves it small."""
-    n = vocab.limit(BROADCAST_WORDS + 1).count()
-    return F.broadcast(vocab) if n <= BROADCAST_WORDS else vocab
+class Vocabulary:
+    """A (word, id) table that is measured once: up to BROADCAST_WORDS words it is broadcast and looked up in place."""
 
+    def __init__(self, table: DataFrame):
+        self.table = table
 
-def token_ids(df: DataFrame, key: str, text: str, vocab: DataFrame, most: int | None = None) -> DataFrame:
-    """(key, pos, id) of every token (the first ``most`` of each text); unknown words are 3."""
-    toks = tokens(F.col(text))
-    toks = toks if most is None else F.slice(toks, 1, most)
-    long = df.select(key, F.posexplode(toks).alias("pos", "word"))
-    return long.join(_small(vocab.select("word", "id")), "word", "left").select(key, "pos", F.coalesce("id", F.lit(UNK)).cast("long").alias("id"))
+    @cached_property
+    def broadcast(self) -> Broadcast | None:
+        """Words and ids as arrays; None if there are too many. The one action: it reads one word more than the bound."""
+        found = self.table.select("word", "id").limit(BROADCAST_WORDS + 1).toArrow()
+        if len(found) > BROADCAST_WORDS:
+            return None
+        return self.table.sparkSession.sparkContext.broadcast((found["word"].combine_chunks(), found["id"].combine_chunks()))
+
+
+def _in_place(vocab: Broadcast, words: Column) -> Column:
+    """Ids of an array of words, looked up by Arrow for a batch at a time; 3 for unknown words."""
+
+    @F.arrow_udf("array<bigint>")
+    def ids(lists: pa.Array) -> pa.Array:
+        known, own = vocab.value
+        flat = pc.take(own, pc.index_in(lists.flatten(), value_set=known)).fill_null(UNK)
+        sizes = pc.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False)
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), flat)
+
+    return ids(words)
 
 
-def encode(df: DataFrame, key: str, text: str, vocab: DataFrame, most: int | None = None) -> DataFrame:
-    """(key, ids): begin id, ids, end id; at most ``most`` in all if given. A text without tokens has just the two."""
-    ids = token_ids(df, key, text, vocab, None if most is None else max(0, most - 2))
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("pos", "id"))), lambda p: p["id"])
-    full = ids.groupBy(key).agg(ordered.alias("own"))
+def encode(df: DataFrame, key: str, text: str, vocab: Vocabulary, most: int | None = None) -> DataFrame:
+    """(key, ids): begin id, ids, end id; at most ``most`` in all if given. A text without tokens has just the two.
+
+    No shuffle while the vocabulary can be broadcast; beyond, tokens are joined and gathered by key.
+    """
+    toks = tokens(F.col(text))
+    toks = F.coalesce(toks if most is None else F.slice(toks, 1, max(0, most - 2)), F.array().cast("array<string>"))
+    begin, end = (F.array(F.lit(x).cast("long")) for x in (BOS, EOS))
+    if vocab.broadcast is not None:
+        return df.select(key, _in_place(vocab.broadcast, toks).alias("ids")).select(key, F.concat(begin, "ids", end).alias("ids"))
+    long = df.select(key, F.posexplode(toks).alias("pos", "word")).join(vocab.table.select("word", "id"), "word", "left")
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("pos", F.coalesce("id", F.lit(UNK)).cast("long").alias("id")))), lambda p: p["id"])
+    full = long.groupBy(key).agg(ordered.alias("own"))
     own = F.coalesce("own", F.array().cast("array<bigint>"))
-    return df.select(key).join(full, key, "left").select(key, F.concat(F.array(F.lit(BOS).cast("long")), own, F.array(F.lit(EOS).cast("long"))).alias("ids"))
+    return df.select(key).join(full, key, "left").select(key, F.concat(begin, own, end).alias("ids"))
 
 
 def padded(encoded: DataFrame, batch: str, ids: str = "ids") -> DataFrame:
@@ -72,15 +100,22 @@ def padded(encoded: DataFrame, batch: str, ids: str = "ids") -> DataFrame:
     return joined.withColumn(ids, F.concat(ids, fill)).drop("_w").select(*encoded.columns)
 
 
-def decode(encoded: DataFrame, key: str, ids: str, vocab: DataFrame) -> DataFrame:
+def decode(encoded: DataFrame, key: str, ids: str, vocab: Vocabulary) -> DataFrame:
     """(key, text): words of the ids but 0, begin and end, and ids outside the vocabulary; 3 stays ``<unk>``."""
+    if vocab.broadcast is not None:
+        shared = vocab.broadcast
+
+        @F.arrow_udf("array<string>")
+        def words(lists: pa.Array) -> pa.Array:
+            known, own = shared.value
+            head = pa.array(["<unk>"], known.type)
+            flat = pc.take(pa.concat_arrays([head, known]), pc.index_in(lists.flatten(), value_set=pa.concat_arrays([pa.array([UNK], own.type), own])))
+            sizes = pc.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False)
+            return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), flat.cast(pa.string()))
+
+        return encoded.select(key, words(F.col(ids)).alias("w")).select(key, F.array_join("w", " ").alias("text"))
     long = encoded.select(key, F.posexplode(ids).alias("pos", "id")).where(F.col("id") >= UNK)
-    named = long.join(_small(itos(vocab)), "id")
+    named = long.join(itos(vocab.table), "id")
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("pos", "word"))), lambda p: p["word"])
     full = named.groupBy(key).agg(F.array_join(ordered, " ").alias("text"))
     return encoded.select(key).join(full, key, "left").select(key, F.coalesce("text", F.lit("")).alias("text"))
-
-
-def framed(ids: Column, most: int) -> Column:
-    """Begin id, the first ``most`` - 2 ids, end id."""
-    return F.concat(F.array(F.lit(BOS).cast("long")), F.slice(ids, 1, most - 2), F.array(F.lit(EOS).cast("long")))

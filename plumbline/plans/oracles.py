@@ -195,9 +195,9 @@ _TURNS = """pairs AS (
 _VEC = "vec AS (SELECT vec_id, label, embedding::DOUBLE[] AS x FROM embeddings)"
 _TOP = f"top AS (SELECT *, (row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1)::INT AS slot FROM vec QUALIFY slot < {q.REGIONS})"
 _LONG = "long AS (SELECT *, unnest(generate_series(0, len(x) - 1))::INT AS dim, unnest(x) AS v FROM {})"
-_QUERIED = "quer AS (SELECT top.*, f.x AS query FROM top JOIN (SELECT label, x FROM top WHERE slot = 0) f USING (label))"
-_ATTEND = """sc AS (SELECT label, slot, x, {} AS s FROM quer),
-e AS (SELECT label, slot, x, exp(s - max(s) OVER (PARTITION BY label)) AS e FROM sc),
+_QUERIED = "quer AS (SELECT vec.*, f.query FROM vec JOIN (SELECT label, arg_min(x, vec_id) AS query FROM vec GROUP BY label) f USING (label))"
+_ATTEND = """sc AS (SELECT label, x, {} AS s FROM quer),
+e AS (SELECT label, x, exp(s - max(s) OVER (PARTITION BY label)) AS e FROM sc),
 el AS (SELECT label, e, unnest(generate_series(0, len(x) - 1))::INT AS dim, unnest(x) AS v FROM e)
 SELECT label, dim, round(sum(e * v) / sum(e), 6) AS value FROM el GROUP BY label, dim"""
 _DOT = "list_sum(list_transform(list_zip(x, query), lambda p: p[1] * p[2]))"
@@ -206,8 +206,11 @@ _LSE = "(list_max(x) + ln(list_sum(list_transform(x, lambda y: exp(y - list_max(
 
 
 def _fused(expr: str) -> str:
-    return f"""WITH {_VEC}, {_TOP}, {_QUERIED}, f AS (SELECT label, slot, {expr} AS x FROM quer), {_LONG.format('f')}
-SELECT label, slot, dim, round(v, 6) + 0 AS value FROM long"""
+    return f"""WITH {_VEC}, {_QUERIED}, f AS (SELECT label, vec_id, {expr} AS x FROM quer), {_LONG.format('f')}
+SELECT label, vec_id, dim, round(v, 6) + 0 AS value FROM long"""
+
+
+_DRAWN = "('0x' || left(md5('{}:' || {}), 15))::BIGINT"
 
 
 ORACLES = {
@@ -251,7 +254,8 @@ WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem)""",
     "first_n_distinct": "SELECT user_id, min(event_id) AS first_at FROM events GROUP BY user_id ORDER BY first_at, user_id LIMIT 100",
     "split_lookup": """SELECT d.doc_id, coalesce(l.quality::BIGINT, d.n_chars) AS n_chars, CASE WHEN l.doc_id IS NULL THEN 'train' ELSE 'val' END AS split
 FROM documents d LEFT JOIN labels l USING (doc_id)""",
-    "captions_by_image": f"WITH {_LISTS} SELECT grp, len(ids)::BIGINT AS n, md5(array_to_string(ids, ',')) AS ids_md5 FROM lists",
+    "captions_by_image": f"""WITH {_LISTS}, p AS (SELECT grp, ids, unnest(generate_series(0, (len(ids) - 1) // {q.LIST_PART})) AS k FROM lists)
+SELECT grp, any_value(len(ids))::BIGINT AS n, md5(string_agg(md5(array_to_string(ids[k * {q.LIST_PART} + 1 : (k + 1) * {q.LIST_PART}], ',')), ',' ORDER BY k)) AS ids_md5 FROM p GROUP BY grp""",
     "flatten_captions": f"WITH {_LISTS} SELECT grp, unnest(generate_series(0, len(ids) - 1))::INT AS pos, unnest(ids) AS doc_id FROM lists",
     "path_template": "SELECT doc_id, 'COCO_val2014_' || lpad(doc_id::VARCHAR, 12, '0') || '.jpg' AS file FROM documents",
     "ngram_counts": f"WITH {_TEXTS}, {_grams('g', 'texts', 'grp')} SELECT grp, n, count(*) AS grams, sum(c)::BIGINT AS total, max(c) AS most FROM g GROUP BY grp, n",
@@ -263,8 +267,8 @@ SELECT n, df, count(*) AS grams FROM df GROUP BY n, df""",
 (SELECT round(bleu, 6) FROM bleu WHERE n = 3) AS bleu_3, (SELECT round(bleu, 6) FROM bleu WHERE n = 4) AS bleu_4, (SELECT round(avg(cider), 6) FROM cider) AS cider""",
     "token_accuracy": f"""WITH {_TURNS}, tk AS (
   SELECT conv_id, regexp_extract_all(lower(answer), '[a-z0-9'']+') AS a, regexp_extract_all(lower(question), '[a-z0-9'']+') AS q FROM pairs
-), l AS (SELECT conv_id, a[i] AS t, coalesce(q[i], '') AS p FROM (SELECT conv_id, a, q, unnest(generate_series(1, len(a))) AS i FROM tk))
-SELECT conv_id, round(CASE WHEN sum((length(t) > 1)::INT) = 0 THEN 0 ELSE sum((length(t) > 1 AND t = p)::INT)::DOUBLE / sum((length(t) > 1)::INT) END, 6) AS accuracy FROM l GROUP BY conv_id""",
+), l AS (SELECT conv_id, coalesce(a[i], '') AS t, coalesce(q[i], '') AS p FROM (SELECT conv_id, a, q, unnest(generate_series(1, greatest(len(a), len(q), 1))) AS i FROM tk))
+SELECT conv_id, round(CASE WHEN sum((t <> '')::INT) = 0 THEN 0 ELSE sum((t <> '' AND t = p)::INT)::DOUBLE / sum((t <> '')::INT) END, 6) AS accuracy FROM l GROUP BY conv_id""",
     "normalize_vector": f"WITH {_VEC}, {_LONG.format('vec')} SELECT vec_id, dim, round((v - 0.485::DOUBLE) / 0.229::DOUBLE, 6) AS value FROM long",
     "pairwise_self": f"""WITH {_VEC}, {_TOP} SELECT a.label, a.slot AS i, b.slot AS j,
   round(list_sum(list_transform(list_zip(a.x, b.x), lambda p: p[1] * p[2])), 6) AS score FROM top a JOIN top b USING (label)""",
@@ -273,8 +277,8 @@ SELECT vec_id, dim, round(v - lse, 6) AS value FROM l""",
     "topk_pad": f"""WITH {_VEC}, k AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS slot FROM vec),
 s AS (SELECT DISTINCT label, unnest(generate_series(0, {q.SLOTS - 1})) AS slot FROM vec)
 SELECT s.label, s.slot::INT AS slot, coalesce(vec_id, -1) AS vec_id, vec_id IS NULL AS is_pad, round(coalesce(list_sum(x), 0), 6) AS total FROM s LEFT JOIN k ON k.label = s.label AND k.slot = s.slot""",
-    "attention_pool": f"WITH {_VEC}, {_TOP}, {_QUERIED}, {_ATTEND.format(_DOT)}",
-    "tanh_attention": f"WITH {_VEC}, {_TOP}, {_QUERIED}, {_ATTEND.format(_TANH)}",
+    "attention_pool": f"WITH {_VEC}, {_QUERIED}, {_ATTEND.format(_DOT)}",
+    "tanh_attention": f"WITH {_VEC}, {_QUERIED}, {_ATTEND.format(_TANH)}",
     "relation_mean": f"""WITH {_VEC}, {_TOP}, {_LONG.format('top')}
 SELECT a.label, a.slot, a.dim, round(any_value(a.v) + avg(a.v * b.v), 6) AS value FROM long a JOIN long b ON a.label = b.label AND a.dim = b.dim GROUP BY a.label, a.slot, a.dim""",
     "mean_pool_tanh": f"WITH {_VEC}, {_LONG.format('vec')} SELECT label, dim, round(tanh(avg(v)), 6) AS value FROM long GROUP BY label, dim",
@@ -304,6 +308,29 @@ SELECT o_custkey, o_orderkey, seen, seen // 500 - (seen - samples) // 500 AS sav
 FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)""",
     "cache_hit_miss": """SELECT d.doc_id // 4 AS batch, count(*) AS n, count(l.doc_id) AS found, count(l.doc_id) = count(*) AS hit
 FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM labels WHERE quality = 1) l USING (doc_id) GROUP BY 1""",
+    "seeded_sample": f"SELECT doc_id, lang FROM documents ORDER BY {_DRAWN.format(42, 'doc_id')}, doc_id LIMIT 100",
+    "shuffled_rows": f"SELECT doc_id, row_number() OVER (ORDER BY {_DRAWN.format(42, 'doc_id')}) - 1 AS place FROM documents",
+    "batch_ids": f"SELECT lang, doc_id, (row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1) // {q.BATCH} AS batch FROM documents",
+    "question_context": f"""WITH {_VEC}, ev AS (SELECT user_id AS c, event_id % {q.LOOKED_UP} AS vec_id FROM events),
+n AS (SELECT c, count(*) AS n FROM ev GROUP BY c), w AS (SELECT c, n, max(n) OVER (PARTITION BY c // {q.BATCH}) AS w FROM n),
+ids AS (SELECT c, vec_id FROM ev UNION ALL SELECT c, 0 FROM (SELECT c, unnest(generate_series(1, w - n)) FROM w)),
+{_LONG.format('vec')}, m AS (SELECT c, dim, avg(v) AS m FROM ids JOIN long USING (vec_id) GROUP BY c, dim)
+SELECT c_custkey, d.dim, round(coalesce(m, 0), 6) + 0 AS value FROM customer, (SELECT unnest(generate_series(0, {q.WIDTH - 1}))::INT AS dim) d LEFT JOIN m ON c = c_custkey AND m.dim = d.dim""",
+    "split_batches": f"""WITH t AS (SELECT conv_id * 100 + turn AS sample, conv_id, {_TOKS} AS ws FROM conversations WHERE role = 'assistant'),
+voc AS (SELECT word, row_number() OVER (ORDER BY word) + 3 AS id FROM (SELECT unnest(ws) AS word FROM t WHERE conv_id % 10 <> 0) GROUP BY word HAVING count(*) >= 2),
+v AS (SELECT sample, ws[1:{q.MOST_TOKENS - 2}] AS ws, (row_number() OVER (ORDER BY sample) - 1) // 8 AS batch FROM t WHERE conv_id % 10 = 0),
+l AS (SELECT sample, unnest(generate_series(1, len(ws))) AS pos, unnest(ws) AS word FROM v),
+g AS (SELECT sample, list(coalesce(id, 3) ORDER BY pos) AS own FROM l LEFT JOIN voc USING (word) GROUP BY sample),
+e AS (SELECT v.sample, batch, list_concat([1::BIGINT], coalesce(own, []), [2::BIGINT]) AS ids FROM v LEFT JOIN g USING (sample)),
+w AS (SELECT *, max(len(ids)) OVER (PARTITION BY batch) AS w FROM e)
+SELECT sample, batch, array_to_string(list_concat(ids, list_transform(generate_series(1, w - len(ids)), lambda x: 0::BIGINT)), ' ') AS ids FROM w""",
+    "sample_report": f"""WITH {_LISTS}, s AS (SELECT grp, list_max(ids) AS doc_id, ids FROM lists ORDER BY {_DRAWN.format(7, 'grp')}, grp LIMIT 20)
+SELECT grp, 'about ' || doc_id AS predicted, ids[1] AS first_caption, ids[5] AS fifth_caption FROM s""",
+    "sample_run": f"""WITH {CAPTIONS}, l AS (SELECT image_id, list(caption ORDER BY question_id) AS c FROM captions GROUP BY image_id)
+SELECT image_id, upper(c[-1]) AS predicted, c[1] AS first_caption, c[5] AS fifth_caption FROM l ORDER BY {_DRAWN.format(11, 'image_id')}, image_id LIMIT 30""",
+    "latest_state": "SELECT o_custkey, max(o_orderkey) AS samples_seen, arg_max(o_totalprice, o_orderkey) AS best FROM orders GROUP BY o_custkey",
+    "matching_entries": """SELECT p_partkey, 'w' || (p_partkey % 40) AS name, p_size AS shape FROM part
+WHERE p_partkey % 3 <> 0 AND (p_partkey % 40, p_size) IN (SELECT (n_nationkey, n_regionkey * 10 + 1) FROM nation)""",
     "fuse_mul": _fused("list_transform(list_zip(x, query), lambda p: p[1] * p[2])"),
     "fuse_add": _fused("list_transform(list_zip(x, query), lambda p: p[1] + p[2])"),
     "fuse_concat": _fused("list_concat(x, query)"),

@@ -8,11 +8,14 @@ from pyspark.sql import functions as F
 from plumbline.functions import text as t
 from plumbline.functions import vectors as v
 from plumbline.operators import cache, metrics, relational, rules, schedule, tensor, vocab
+from plumbline.sources import sinks, vqa
 from plumbline.sources.images import image_name
 
 #: Rows that stand for image regions in a group, and slots of a padded group.
 REGIONS, SLOTS, WIDTH = 32, 50, 64
 MIN_FREQ, BATCH, MOST_TOKENS = 4, 32, 20
+#: Values of a list that one digest is taken of; vectors that events stand for.
+LIST_PART, LOOKED_UP = 50, 200
 BEAM = 5
 
 # Question templates by key (fixed values of the test queries): {n} is a part's name, {k} its type.
@@ -58,8 +61,9 @@ def rule_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranked = shares.select(F.lit("rule").alias("part"), F.concat_ws(": ", "rule", F.col("n").cast("string")).alias("line"), F.round("percent", 6).alias("share"))
     head = made.agg(F.count(F.lit(1)).alias("n")).select(F.lit("samples").alias("part"), F.col("n").cast("string").alias("line"), F.lit(100.0).alias("share"))
     first = relational.capped(made, ["question_id"], 5).select(F.lit("row").alias("part"), F.concat_ws(" | ", "question", "answer", "caption", "rule").alias("line"), F.lit(None).cast("double").alias("share"))
-    lists = captions_by_source(spark, sf_dir).select(
-        F.lit("group").alias("part"), F.concat_ws(" | ", "grp", F.get("ids", F.lit(0)).cast("string"), F.coalesce(F.get("ids", F.lit(4)).cast("string"), F.lit("-"))).alias("line"), F.lit(None).cast("double").alias("share")
+    two = relational.picked(_grouped_docs(spark, sf_dir), "grp", "doc_id", "doc_id", (0, 4))
+    lists = two.select(
+        F.lit("group").alias("part"), F.concat_ws(" | ", "grp", F.get("doc_id", F.lit(0)).cast("string"), F.coalesce(F.get("doc_id", F.lit(1)).cast("string"), F.lit("-"))).alias("line"), F.lit(None).cast("double").alias("share")
     )
     return head.unionByName(ranked).unionByName(first).unionByName(lists)
 
@@ -93,8 +97,12 @@ def vocab_minfreq(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vocab.build(load(spark, sf_dir, "documents"), "text", MIN_FREQ)
 
 
-def _encoded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vocab.encode(load(spark, sf_dir, "documents"), "doc_id", "text", vocab_minfreq(spark, sf_dir))
+def _vocabulary(spark: SparkSession, sf_dir: str) -> vocab.Vocabulary:
+    return vocab.Vocabulary(vocab_minfreq(spark, sf_dir))
+
+
+def _encoded(spark: SparkSession, sf_dir: str, words: vocab.Vocabulary | None = None) -> DataFrame:
+    return vocab.encode(load(spark, sf_dir, "documents"), "doc_id", "text", words or _vocabulary(spark, sf_dir))
 
 
 def _ids(df: DataFrame) -> DataFrame:
@@ -107,7 +115,7 @@ def encode_bos_eos(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def encode_truncated(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sequence caps are the feature: at most MOST_TOKENS ids with begin and end."""
-    found = vocab.encode(load(spark, sf_dir, "documents"), "doc_id", "text", vocab_minfreq(spark, sf_dir), MOST_TOKENS)
+    found = vocab.encode(load(spark, sf_dir, "documents"), "doc_id", "text", _vocabulary(spark, sf_dir), MOST_TOKENS)
     return found.select("doc_id", F.array_join(F.col("ids").cast("array<string>"), " ").alias("ids"))
 
 
@@ -117,7 +125,8 @@ def pad_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def decode_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = vocab.decode(_encoded(spark, sf_dir), "doc_id", "ids", vocab_minfreq(spark, sf_dir))
+    words = _vocabulary(spark, sf_dir)
+    found = vocab.decode(_encoded(spark, sf_dir, words), "doc_id", "ids", words)
     return found.select("doc_id", F.md5("text").alias("text_md5"))
 
 
@@ -183,18 +192,18 @@ def split_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relational.look_up([("val", labelled), ("train", docs)], "doc_id", docs)
 
 
-def captions_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = load(spark, sf_dir, "documents").select("doc_id", F.concat_ws("/", "lang", "source").alias("grp"))
-    return relational.grouped_list(docs, "grp", "doc_id", "doc_id", "ids")
+def _grouped_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return load(spark, sf_dir, "documents").select("doc_id", F.concat_ws("/", "lang", "source").alias("grp"))
 
 
 def captions_by_image(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = captions_by_source(spark, sf_dir)
-    return found.select("grp", F.size("ids").cast("long").alias("n"), F.md5(F.array_join(F.col("ids").cast("array<string>"), ",")).alias("ids_md5"))
+    """The list of each group in order, as a digest of the digests of its parts."""
+    found = relational.list_digest(relational.numbered(_grouped_docs(spark, sf_dir), ["grp"], "doc_id", "pos"), "grp", "pos", "doc_id", LIST_PART)
+    return found.select("grp", "n", F.col("digest").alias("ids_md5"))
 
 
 def flatten_captions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return captions_by_source(spark, sf_dir).select("grp", F.posexplode("ids").alias("pos", "doc_id"))
+    return relational.numbered(_grouped_docs(spark, sf_dir), ["grp"], "doc_id", "pos").select("grp", F.col("pos").cast("int").alias("pos"), "doc_id")
 
 
 def path_template(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -247,9 +256,11 @@ def caption_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 def token_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per conversation: tokens of assistant turns against the tokens at the same place of the turn before."""
     pairs = turn_pairs(spark, sf_dir).select("conv_id", "turn", t.tokens(F.col("answer")).alias("a"), t.tokens(F.col("question")).alias("q"))
-    long = pairs.select("conv_id", F.explode(F.transform("a", lambda x, i: F.struct(x.alias("target"), F.get("q", i).alias("pred")))).alias("p"))
-    target = F.when(F.length("p.target") > 1, F.col("p.target")).otherwise("")  # one-letter tokens play the padding
-    return long.groupBy("conv_id").agg(F.round(metrics.token_accuracy(target, F.coalesce("p.pred", F.lit("")), F.lit("")), 6).alias("accuracy"))
+    # both are as long as the longer one; no token is empty, so the empty string is the padding
+    places = F.sequence(F.lit(0), F.greatest(F.size("a"), F.size("q"), F.lit(1)) - 1)
+    at = lambda c, i: F.coalesce(F.get(c, i), F.lit(""))
+    long = pairs.select("conv_id", F.explode(F.transform(places, lambda i: F.struct(at("a", i).alias("target"), at("q", i).alias("pred")))).alias("p"))
+    return long.groupBy("conv_id").agg(F.round(metrics.token_accuracy(F.col("p.target"), F.col("p.pred"), F.lit("")), 6).alias("accuracy"))
 
 
 def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -279,9 +290,9 @@ def topk_pad(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _queried(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first regions of each group, with the group's first vector as the query."""
-    kept = tensor.top_k(_vectors(spark, sf_dir), "label", "vec_id", REGIONS)
-    return kept.join(kept.where("slot = 0").select("label", F.col("x").alias("query")), "label")
+    """All vectors of each group, with the group's first vector as the query."""
+    every = _vectors(spark, sf_dir)
+    return every.join(every.groupBy("label").agg(F.min_by("x", "vec_id").alias("query")), "label")
 
 
 def attention_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -310,7 +321,7 @@ def masked_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _fuse(how: str):
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         df = _queried(spark, sf_dir)
-        return _by_dim(df.select("label", "slot", v.fused(F.col("x"), F.col("query"), how).alias("y")), ["label", "slot"], "y")
+        return _by_dim(df.select("label", "vec_id", v.fused(F.col("x"), F.col("query"), how).alias("y")), ["label", "vec_id"], "y")
 
     return query
 
@@ -388,6 +399,69 @@ def seeded_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relational.sampled(load(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id", 100, 42)
 
 
+def question_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per customer, the mean of the vectors that their events stand for, padded with vector 0 to the longest of a
+    batch of 32 customers; zeros for customers without events."""
+    events = load(spark, sf_dir, "events").select("user_id", (F.col("event_id") % LOOKED_UP).alias("vec_id"))
+    lists = events.groupBy(F.col("user_id").alias("c_custkey")).agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))  # one customer's events
+    padded = vocab.padded(lists.withColumn("batch", F.floor(F.col("c_custkey") / BATCH)), "batch")
+    rows = load(spark, sf_dir, "customer").select("c_custkey").join(padded.drop("batch"), "c_custkey", "left")
+    found = tensor.question_context(rows, "c_custkey", "ids", load(spark, sf_dir, "embeddings"), "vec_id", "embedding", WIDTH)
+    return _by_dim(found, ["c_custkey"], "embedding")
+
+
+def batch_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Batches of 32 documents within each language, by document."""
+    docs = load(spark, sf_dir, "documents").select("lang", "doc_id")
+    return relational.in_batches(docs, ["lang"], "doc_id", BATCH)
+
+
+def shuffled_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return relational.shuffled(load(spark, sf_dir, "documents").select("doc_id"), 42, "doc_id")
+
+
+def split_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Padded batches of the assistant turns of the split ``val`` (every tenth conversation), with the vocabulary of ``train``."""
+    turns = load(spark, sf_dir, "conversations").where("role = 'assistant'").select((F.col("conv_id") * 100 + F.col("turn")).alias("sample"), "conv_id", "text")
+    splits = {"train": turns.where("conv_id % 10 <> 0"), "val": turns.where("conv_id % 10 = 0")}
+    words = vocab.Vocabulary(vocab.build(splits["train"], "text", 2))
+    found = vqa.batched_samples(splits["val"], "sample", "text", words, MOST_TOKENS, 8)
+    return found.select("sample", "batch", F.array_join(F.col("ids").cast("array<string>"), " ").alias("ids"))
+
+
+def _predicted(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("predicted", F.concat(F.lit("about "), "doc_id"))
+
+
+def sample_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A drawn sample of documents, each beside the first and fifth document of its group."""
+    groups = _grouped_docs(spark, sf_dir).withColumnRenamed("doc_id", "member")
+    docs = load(spark, sf_dir, "documents").select("doc_id", F.concat_ws("/", "lang", "source").alias("grp"))
+    drawn = relational.sampled(docs.groupBy("grp").agg(F.max("doc_id").alias("doc_id")), "grp", 20, 7)
+    return sinks.sample_report(_predicted(drawn), groups, "grp", "member", "member")
+
+
+def sample_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sample driver: questions drawn with a seed, a prediction for each, and the captions of their image."""
+    asked = captions(spark, sf_dir).select("image_id", "question_id", "caption")
+    images = asked.groupBy("image_id").agg(F.max_by("caption", "question_id").alias("said"))
+    return sinks.sample_run(images, asked, 30, 11, lambda rows: rows.withColumn("predicted", F.upper("said")), "image_id", "question_id", "caption")
+
+
+def latest_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as saved states of runs: a customer's orders are seen in order of their keys."""
+    states = load(spark, sf_dir, "orders").select("o_custkey", F.col("o_orderkey").alias("samples_seen"), F.col("o_totalprice").alias("best"))
+    return sinks.latest_state(states, ["o_custkey"])
+
+
+def matching_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as entries of a state under a prefix, kept where the nations' table has the name's number and shape."""
+    part = load(spark, sf_dir, "part")
+    state = part.select(F.concat(F.when(F.col("p_partkey") % 3 == 0, "old.").otherwise("net."), F.lit("w"), F.col("p_partkey") % 40).alias("name"), F.col("p_size").alias("shape"), "p_partkey")
+    target = load(spark, sf_dir, "nation").select(F.concat(F.lit("w"), "n_nationkey").alias("name"), (F.col("n_regionkey") * 10 + 1).alias("shape"))
+    return cache.matching_entries(state, target, drop_prefix="net.").select("p_partkey", "name", "shape")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -396,6 +470,7 @@ QUERIES = {
         cap_sorted, cap_before_join, first_n_distinct, split_lookup, captions_by_image, flatten_captions, path_template, ngram_counts, doc_frequency,
         bleu, cider_d, caption_metrics, token_accuracy, normalize_vector, pairwise_self, log_softmax, topk_pad, attention_pool, tanh_attention,
         relation_mean, mean_pool_tanh, masked_mean, argmax, cross_entropy, ngram_block, beam_step, length_norm_pick, eval_schedule, ss_prob, lr_decay,
-        checkpoint_crossings, best_so_far, cache_hit_miss, seeded_sample,
+        checkpoint_crossings, best_so_far, cache_hit_miss, seeded_sample, question_context, batch_ids, shuffled_rows, split_batches, sample_report,
+        sample_run, latest_state, matching_entries,
     )
 } | {f"fuse_{how}": _fuse(how) for how in ("mul", "add", "concat")}

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.operators.relational import picked, sampled
 from plumbline.operators.rules import rule_histogram
 
 DESCRIPTION = "Statements made from questions and answers by rules"
@@ -30,10 +33,16 @@ def report(captions: DataFrame, first: int = 5) -> tuple[DataFrame, DataFrame]:
     return rule_histogram(captions).orderBy(F.desc("n"), "rule"), captions.orderBy("question_id").limit(first)
 
 
-def sample_report(predicted: DataFrame, lists: DataFrame) -> DataFrame:
-    """(image_id, predicted, first_caption, fifth_caption): what was said beside two of the references."""
-    joined = predicted.join(lists, "image_id", "left")
-    return joined.select("image_id", "predicted", F.get("captions", F.lit(0)).alias("first_caption"), F.get("captions", F.lit(4)).alias("fifth_caption"))
+def sample_report(predicted: DataFrame, captions: DataFrame, key: str = "image_id", order: str = "pos", value: str = "caption") -> DataFrame:
+    """(key, predicted, first_caption, fifth_caption): what was said beside two of the references, null where there are fewer."""
+    own = picked(captions.join(predicted.select(key).distinct(), key, "left_semi"), key, order, value, (0, 4))
+    joined = predicted.join(own, key, "left")
+    return joined.select(key, "predicted", F.get(value, F.lit(0)).alias("first_caption"), F.get(value, F.lit(1)).alias("fifth_caption"))
+
+
+def sample_run(rows: DataFrame, captions: DataFrame, n: int, seed: int, predict: Callable[[DataFrame], DataFrame], key: str = "image_id", order: str = "pos", value: str = "caption") -> DataFrame:
+    """The report of ``n`` rows drawn with ``seed``; ``predict`` adds the column ``predicted``."""
+    return sample_report(predict(sampled(rows, key, n, seed)), captions, key, order, value)
 
 
 def append_state(spark, path: str, **state) -> None:
@@ -41,6 +50,8 @@ def append_state(spark, path: str, **state) -> None:
     spark.createDataFrame([state]).write.mode("append").parquet(path)
 
 
-def latest_state(spark, path: str):
-    """The row with the most samples seen, or None."""
-    return spark.read.parquet(path).orderBy(F.desc("samples_seen")).head()
+def latest_state(states: DataFrame, runs: Sequence[str] = (), seen: str = "samples_seen") -> DataFrame:
+    """Per run (or of all states), the row with the most samples seen."""
+    rest = [c for c in states.columns if c not in runs]
+    last = states.groupBy(*runs).agg(F.max_by(F.struct(*rest), F.col(seen)).alias("_s")).where("_s is not null")
+    return last.select(*runs, *(F.col("_s")[c].alias(c) for c in rest))

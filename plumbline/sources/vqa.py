@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.functions.text import plain_answer
 from plumbline.operators import relational, rules
-from plumbline.sources.json_tables import read_annotations, read_captions, read_questions
+from plumbline.operators.vocab import Vocabulary, encode, padded
+from plumbline.sources.json_tables import read_annotations, read_captions, read_questions, split_of
 
 
 def answered_questions(spark: SparkSession, questions: str, annotations: str) -> DataFrame:
@@ -36,3 +39,18 @@ def caption_samples(spark: SparkSession, captions: str, image_ids: DataFrame | N
     if image_ids is not None and not image_ids.isEmpty():
         lists = lists.join(image_ids.select("image_id").distinct(), "image_id", "left_semi")
     return relational.capped(lists, ["image_id"], most_images).select("image_id", F.explode("captions").alias("caption"))
+
+
+def batched_samples(samples: DataFrame, key: str, text: str, vocab: Vocabulary, most_tokens: int, batch: int, most: int | None = None) -> DataFrame:
+    """(key, ids, batch): the first ``most`` samples by key, encoded, cut to ``most_tokens`` ids, in batches of ``batch``,
+    padded to the longest of their batch. The order is that of the key: nothing is shuffled at random."""
+    rows = relational.capped(samples, [key], most)
+    encoded = encode(rows, key, text, vocab, most_tokens)
+    return padded(relational.in_batches(encoded, [], key, batch), "batch")
+
+
+def split_batches(spark: SparkSession, questions: Mapping[str, str], annotations: Mapping[str, str], split: str, vocab: Vocabulary, most_tokens: int, batch: int, most: int | None = None) -> DataFrame:
+    """(question_id, ids, batch, answer) of a split's answered questions; ValueError for an unknown split."""
+    rows = answered_questions(spark, split_of(questions, split), split_of(annotations, split))
+    made = batched_samples(rows, "question_id", "question", vocab, most_tokens, batch, most)
+    return made.join(rows.select("question_id", "answer"), "question_id")

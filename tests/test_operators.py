@@ -40,10 +40,14 @@ def test_look_up_prefers_the_first_split(spark):
         relational.look_up_one([("val", a), ("train", b)], "k", 3)
 
 
-def test_vocabulary_encodes_and_decodes(spark):
+@pytest.mark.parametrize("most", [1, 1000])
+def test_vocabulary_encodes_and_decodes(spark, monkeypatch, most):
     df = spark.createDataFrame([(1, "b a b"), (2, "a c"), (3, "")], "k int, text string")
-    words = vocab.build(df, "text", 2)
-    assert {r.word: r.id for r in vocab.itos(words).collect()} == {"<pad>": 0, "<bos>": 1, "<eos>": 2, "<unk>": 3, "a": 4, "b": 5}
+    table = vocab.build(df, "text", 2)
+    assert {r.word: r.id for r in vocab.itos(table).collect()} == {"<pad>": 0, "<bos>": 1, "<eos>": 2, "<unk>": 3, "a": 4, "b": 5}
+    monkeypatch.setattr(vocab, "BROADCAST_WORDS", most)
+    words = vocab.Vocabulary(table)
+    assert (words.broadcast is None) == (most == 1)
     encoded = vocab.encode(df, "k", "text", words)
     assert {r.k: r.ids for r in encoded.collect()} == {1: [1, 5, 4, 5, 2], 2: [1, 4, 3, 2], 3: [1, 2]}
     assert {r.k: r.ids for r in vocab.encode(df, "k", "text", words, 4).collect()}[1] == [1, 5, 4, 2]
@@ -158,6 +162,10 @@ def test_files_in_and_out(spark, tmp_path):
     sinks.write_captions(made, str(tmp_path / "out"), *paths[:2])
     info = spark.read.json(str(tmp_path / "out/info")).first()
     assert info.num_samples == 2 and info.rule_counts.what_color == 1
+    words = vocab.Vocabulary(vocab.build(made, "question"))
+    batches = vqa.split_batches(spark, {"val": paths[0]}, {"val": paths[1]}, "val", words, 20, 1).collect()
+    assert sorted(r.batch for r in batches) == list(range(len(batches))) and len(batches) == made.count()
+    assert all(r.ids[0] == 1 and r.ids[-1] == 2 and 3 not in r.ids for r in batches)
     with pytest.raises(ValueError, match="unknown split"):
         json_tables.split_of({"val": "x"}, "test")
     (tmp_path / "c.cfg.json").write_text('{"a": "x/y", "b": "/z", "region_cache": true, "region_cache_dir": "r"}')
@@ -177,3 +185,31 @@ def test_read_through_computes_only_what_is_missing(spark, tmp_path):
     assert cache.read_through(ids(1, 2), path, "k", compute).count() == 2
     assert {r.k: r.f for r in cache.read_through(ids(2, 3), path, "k", compute).collect()} == {2: 4, 3: 6}
     assert seen == [[1, 2], [3]]
+    ids(2).withColumn("f", F.lit(4)).write.mode("append").parquet(path)  # as a second run at the same time might
+    assert cache.read_through(ids(1, 2, 2), path, "k", compute).count() == 2
+
+
+def test_places_in_groups_with_ties_and_null_keys(spark):
+    rows = [(g, i // 2) for g in ("a", None) for i in range(40)] + [("b", 7)]
+    got = relational.numbered(spark.createDataFrame(rows, "g string, o long"), ["g"], "o", "place").collect()
+    for g, n in (("a", 40), (None, 40), ("b", 1)):
+        own = sorted((r.place, r.o) for r in got if r.g == g)
+        assert [p for p, _ in own] == list(range(n)) and [o for _, o in own] == sorted(o for _, o in own)
+    assert relational.numbered(spark.createDataFrame([], "g string, o long"), ["g"], "o", "place").count() == 0
+
+
+def test_question_context_counts_padding_and_needs_a_table(spark):
+    df = spark.createDataFrame([(1, [1, 1, 0]), (2, []), (3, None)], "k long, ids array<long>")
+    table = spark.createDataFrame([(0, [3.0, 0.0]), (1, [6.0, 9.0])], "id long, x array<float>")
+    found = tensor.question_context(df.withColumnRenamed("ids", "own"), "k", "own", table, "id", "x", 2)
+    assert {r.k: r.x for r in found.collect()} == {1: [5.0, 6.0], 2: [0.0, 0.0], 3: [0.0, 0.0]}
+    with pytest.raises(ValueError, match="table of vectors"):
+        tensor.question_context(df, "k", "ids", None, "id", "x", 2)
+
+
+def test_states_are_appended_and_the_latest_is_found(spark, tmp_path):
+    path = str(tmp_path / "states")
+    for epoch, seen in ((1, 50), (2, 150), (3, 100)):
+        sinks.append_state(spark, path, epoch=epoch, samples_seen=seen, best=0.1 * epoch)
+    assert sinks.latest_state(spark.read.parquet(path)).first().epoch == 2
+    assert sinks.latest_state(spark.read.parquet(path).limit(0)).first() is None
