@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from plumbline.llm import linededup, quality
 
-_BOILER = "|".join(quality.BOILERPLATE)
+_BOILER = "|".join(quality.BOILERPLATE).replace("'", "''")
+_LINK = "^(" + "|".join(quality.LINK_STARTS).replace(".", "[.]") + ")"
 
 OP1 = rf"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
@@ -35,13 +36,15 @@ facts AS (
 ),
 counted AS (
   SELECT *, len(list_filter(ws, lambda x: regexp_matches(x, '(!!|\?\?)$'))) AS shouts,
-    len(list_filter(ws, lambda x: x IN ('|', '>', '/', '-', '»', '•', '·'))) AS seps
+    len(list_filter(ws, lambda x: x IN ('|', '>', '/', '-', '»', '•', '·'))) AS seps,
+    len(list_filter(ws, lambda x: regexp_matches(translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_LINK}'))) AS links
   FROM facts
 ),
 ruled AS (
   SELECT *, marks >= {quality.PUNCT_MARKS} AND 100 * marks > {quality.PUNCT_PERCENT} * chars
     OR shouts >= {quality.SHOUTS} AND 100 * shouts > {quality.SHOUT_PERCENT} * len(ws)
     OR seps >= {quality.SEPARATORS} AND 100 * seps > {quality.SEPARATOR_PERCENT} * len(ws)
+    OR links >= {quality.LINKS} AND 100 * links > {quality.LINK_PERCENT} * len(ws)
     OR len(ws) <= {quality.BOILERPLATE_WORDS}
        AND regexp_matches(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_BOILER}') AS failed
   FROM counted

@@ -21,11 +21,18 @@ PUNCT_MARKS, PUNCT_PERCENT = 6, 30
 SHOUTS, SHOUT_PERCENT = 3, 20
 #: A line fails with at least so many words that are only a separator, if they are over so many percent of its words.
 SEPARATORS, SEPARATOR_PERCENT = 3, 20
-#: A line of at most so many words fails if it holds one of the phrases.
+#: A line fails with at least so many words that are web addresses, if they are over so many percent of its words.
+LINKS, LINK_PERCENT = 2, 30
+LINK_STARTS = ("http://", "https://", "www.")
+#: A line of at most so many words fails if it holds one of the phrases, whatever the document's language.
 BOILERPLATE_WORDS = 40
 BOILERPLATE = (
     "all rights reserved", "privacy policy", "terms of use", "terms of service", "cookie policy", "click here", "sign up for", "log in to",
-    "subscribe to our", "follow us on", "enable javascript", "back to top", "powered by", "lorem ipsum",
+    "subscribe to our", "follow us on", "enable javascript", "back to top", "powered by", "lorem ipsum", "skip to content", "accept all cookies",
+    "licensed under", "released under the",
+    "tous droits réservés", "politique de confidentialité", "conditions d'utilisation", "mentions légales", "cliquez ici", "abonnez-vous à", "retour en haut de page",
+    "alle rechte vorbehalten", "datenschutzerklärung", "nutzungsbedingungen", "klicken sie hier", "newsletter abonnieren", "zurück zum seitenanfang", "cookie-einstellungen",
+    "todos los derechos reservados", "política de privacidad", "condiciones de uso", "aviso legal", "haga clic aquí", "suscríbete a", "volver al inicio",
 )
 #: A document is rejected if its removed lines hold over so many percent of its characters (white space aside).
 LOST_PERCENT = 50
@@ -37,6 +44,8 @@ _PUNCT = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 _SYMBOLS = b"#*$%&|<>"
 _FOLLOW = bytes(range(0x80, 0xC0))
 _BOILER = re.compile("|".join(map(re.escape, BOILERPLATE)).encode())
+_LINK = re.compile(b"(?i)https?://|www\\.")
+_LINK_STARTS = tuple(x.encode() for x in LINK_STARTS)
 _SEPARATOR = frozenset((b"|", b">", b"/", b"-", "»".encode(), "•".encode(), "·".encode()))
 _NOT_PUNCT = bytes(set(range(256)) - set(_PUNCT))
 _NOT_SYMBOL = bytes(set(range(256)) - set(_SYMBOLS))
@@ -73,6 +82,9 @@ def failing_rule(line: bytes, words: list[bytes], chars: int) -> str | None:
     separators = sum(w in _SEPARATOR for w in words)
     if separators >= SEPARATORS and 100 * separators > SEPARATOR_PERCENT * len(words):
         return "navigation"
+    links = sum(w.lower().startswith(_LINK_STARTS) for w in words) if _LINK.search(line) else 0
+    if links >= LINKS and 100 * links > LINK_PERCENT * len(words):
+        return "navigation"
     if len(words) <= BOILERPLATE_WORDS and _BOILER.search(line.lower()):
         return "boilerplate"
     return None
