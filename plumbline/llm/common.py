@@ -4,15 +4,18 @@ from __future__ import annotations
 
 import tempfile
 from collections.abc import Callable, Iterable, Iterator
+from functools import reduce
 
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Bytes of text that one Python step works on at a time.
 STEP_BYTES = 8 << 20
+#: Bytes of a narrow table that is broadcast, and bytes that one of its rows takes beside its strings.
+BROADCAST_BYTES, ROW_BYTES = 32 << 20, 64
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -43,6 +46,23 @@ def join_hot(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inn
     return a.join(b, [deal, *keys], how).drop(deal)
 
 
+def join_narrow(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join with ``right``, a table that ``cut`` returned and that has a few numbers a row.
+
+    It is measured first and broadcast up to BROADCAST_BYTES; a larger one is joined by ``join_hot``.
+    """
+    long = [F.coalesce(F.octet_length(f"`{c}`"), F.lit(0)) for c, t in right.dtypes if t in ("string", "binary")]
+    measured = right.agg(F.sum(reduce(lambda a, b: a + b, long, F.lit(ROW_BYTES))).alias("n")).first()["n"] or 0
+    return left.join(F.broadcast(right), keys, how) if measured <= BROADCAST_BYTES else join_hot(left, right, keys, how)
+
+
+def row_key(df: DataFrame) -> list[Column]:
+    """Two hashes over all columns. Hashes cannot read maps and variants, however deep they lie; those
+    columns count as their JSON text."""
+    parts = [F.to_json(F.struct(F.col(f"`{c}`"))) if "map<" in t or "variant" in t else F.col(f"`{c}`") for c, t in df.dtypes]
+    return [F.xxhash64(*parts), F.hash(*parts)]
+
+
 def free_name(df: DataFrame, base: str) -> str:
     """A column name that ``df`` does not have yet."""
     taken = {c.lower() for c in df.columns}
@@ -113,12 +133,15 @@ def numbered(df: DataFrame, keys: list[str], order: list, name: str) -> DataFram
     """``df`` with ``name``: 0, 1, 2, ... within each value of ``keys``, in the order of ``order``.
 
     No key is gathered in one task: rows are dealt by range of ``order`` into chunks, rows are
-    numbered within (key, chunk), and each chunk starts where the chunks before it end. Carry only
-    narrow columns here.
+    numbered within (key, chunk), and each chunk starts where the chunks before it end. Equal rows are
+    told apart by where they lie, so that no value of ``order`` is gathered either. ``df`` must be a
+    table that ``cut`` returned, or columns of one. Carry only narrow columns here.
     """
     spark = df.sparkSession
-    chunk, pos, before = (free_name(df, c) for c in ("chunk", "pos", "before"))
-    dealt = df.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *order).sortWithinPartitions(*order)
+    chunk, pos, before, tie = (free_name(df, c) for c in ("chunk", "pos", "before", "tie"))
+    by = [*order, tie]
+    told = df.withColumn(tie, F.monotonically_increasing_id())
+    dealt = told.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *by).sortWithinPartitions(*by).drop(tie)
     dealt = cut(dealt.withColumn(chunk, F.spark_partition_id()).withColumn(pos, F.monotonically_increasing_id()))
     counts = dealt.groupBy(*keys, chunk).agg(F.count(F.lit(1)).alias(before))
     running = F.sum(before).over(Window.partitionBy(*keys).orderBy(chunk).rowsBetween(Window.unboundedPreceding, -1))

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import cut, free_name, join_hot
+from plumbline.llm.common import cut, free_name, join_hot, row_key
 
 #: A repeated run is removed if it has at least so many words.
 MIN_WORDS = 50
@@ -24,13 +24,6 @@ MIN_WORDS = 50
 WHITE = " \t\x0b\f\r"
 
 
-def _row_key(df: DataFrame) -> list[Column]:
-    """Two hashes over all columns: rows equal in every column are one document here. Hashes cannot read
-    maps and variants, however deep they lie; those columns count as their JSON text."""
-    parts = [F.to_json(F.struct(F.col(f"`{c}`"))) if "map<" in t or "variant" in t else F.col(f"`{c}`") for c, t in df.dtypes]
-    return [F.xxhash64(*parts), F.hash(*parts)]
-
-
 def _filled(text: str) -> Column:
     """The non-blank lines of a text."""
     return F.filter(F.split(F.col(f"`{text}`").cast("string"), "\n"), lambda x: F.btrim(x, F.lit(WHITE)) != "")
@@ -38,8 +31,9 @@ def _filled(text: str) -> Column:
 
 def _lines(df: DataFrame, text: str, key: str) -> DataFrame:
     """(id, hx, hy, pos, x, y, n): each non-blank line's document, place among them, line id (two hashes
-    of the line without white space at its ends) and number of words."""
-    hx, hy = _row_key(df)
+    of the line without white space at its ends) and number of words. Rows equal in every column are one
+    document: they share hx and hy."""
+    hx, hy = row_key(df)
     line = F.btrim("line", F.lit(WHITE))
     cut_up = df.select(F.col(f"`{key}`").alias("id"), hx.alias("hx"), hy.alias("hy"), F.posexplode(_filled(text)).alias("pos", "line"))
     return cut_up.select(
@@ -137,7 +131,7 @@ def drop_repeated_lines(df: DataFrame, key: str = "doc_id", text: str = "text",
     df = df.drop(*fresh)
     runs = repeated_runs(df, key, text, min_words)
     hx, hy, own = free_name(df, "hx"), free_name(df, "hy"), free_name(df, "runs")
-    a, b = _row_key(df)
+    a, b = row_key(df)
     keyed = df.withColumns({hx: a, hy: b})
     runs = runs.select(F.col("hx").alias(hx), F.col("hy").alias(hy), F.col("runs").alias(own))
     joined = keyed.join(runs, [hx, hy], "left")

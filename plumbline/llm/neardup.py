@@ -14,11 +14,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbline.llm.common import cut, free_name, join_hot, map_texts
+from plumbline.llm.common import BROADCAST_BYTES, ROW_BYTES, cut, free_name, join_hot, join_narrow, map_texts, row_key
 from plumbline.llm.components import components
 from plumbline.llm.decontaminate import words_of
 
@@ -131,16 +131,19 @@ def _verified(pairs: DataFrame, at_least: float) -> DataFrame:
     return pairs.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
-def _links(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, at_least: float) -> DataFrame:
-    """The pairs (a, b) of nodes whose whole texts are similar. ``texts``: digest, id, text."""
+def _links(pairs: DataFrame, texts: DataFrame, at_least: float) -> DataFrame:
+    """The pairs (a, b) of nodes whose whole texts are similar. ``texts``: node, text."""
     for side in ("a", "b"):
-        own = nodes.select(F.col("node").alias(side), F.col("digest").alias(f"digest_{side}"), F.col("first_id").alias(f"id_{side}"))
-        pairs = pairs.join(own, side)
-    for side in ("a", "b"):
-        own = texts.select(F.col("digest").alias(f"digest_{side}"), F.col("id").alias(f"id_{side}"), F.col("text").alias(f"text_{side}"))
-        same = pairs[f"digest_{side}"] == own[f"digest_{side}"]
-        pairs = pairs.join(own, same & pairs[f"id_{side}"].eqNullSafe(own[f"id_{side}"])).drop(own[f"digest_{side}"]).drop(own[f"id_{side}"])
-    return _verified(pairs, at_least).distinct()
+        pairs = join_hot(pairs, texts.select(F.col("node").alias(side), F.col("text").alias(f"text_{side}")), [side])
+    return _verified(pairs, at_least)
+
+
+def _texts(base: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(node, text), one row for each wanted node; copies are reduced before they are shuffled. ``wanted``: digest, node."""
+    same = F.any_value("text").alias("text")
+    if wanted.count() * ROW_BYTES <= BROADCAST_BYTES:
+        return base.join(F.broadcast(wanted), "digest").groupBy("node").agg(same)
+    return base.where("digest is not null").groupBy("digest").agg(same).join(wanted, "digest").select("node", "text")
 
 
 def _close(own: int, rest: np.ndarray, ids: np.ndarray, weights: np.ndarray, ends: np.ndarray, lane: np.ndarray, sets: list, at_least: float) -> np.ndarray:
@@ -213,6 +216,60 @@ def _compared(open_: DataFrame, at_least: float) -> DataFrame:
     return dealt.groupBy("bucket", "kind", "i", "j").applyInArrow(compare, "a long, b long").distinct()
 
 
+def _base(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(id, digest, text); the digest tells texts apart."""
+    own = df.select(F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").cast("string").alias("text"))
+    return own.select("id", F.unhex(F.md5("text")).alias("digest"), "text")
+
+
+def _classed(base: DataFrame, at_least: float, rows: int, bands: int) -> DataFrame:
+    """(digest, first_id, copies, class_id, class_size, is_head) of every different text, as a table.
+
+    Copies are collapsed by digest before any banding. In a bucket each text is held against the
+    bucket's hub first: the member with the most company over all its buckets, which is where the
+    source of many copies stands. Buckets that then still hold more than one component are compared
+    exactly, on whole texts, in blocks of bounded size (see ``_compared``). So no bucket is listed as
+    pairs, and every pair that shares a bucket is either in one component already or compared. Texts
+    travel only for the members of shared buckets, once each, and then with their pairs or blocks.
+    """
+    out = T.StructType([T.StructField("bands", T.ArrayType(T.LongType()))])
+    sketched = map_texts(base.where("digest is not null"), "text", lambda texts: sketches(texts, rows, bands), out, ["id", "digest"])
+    grouped = sketched.groupBy("digest").agg(F.min("id").alias("first_id"), F.count(F.lit(1)).alias("copies"), F.any_value("bands").alias("bands"))
+    nodes = cut(grouped.withColumn("node", F.monotonically_increasing_id()))
+    banded = nodes.select("node", F.posexplode("bands").alias("band", "hash")).select("node", "band", F.xxhash64("band", "hash").alias("bucket"))
+    shared = cut(banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    met = cut(join_narrow(banded, shared, ["bucket"]))
+    company = cut(met.groupBy("node").agg(F.sum("n").alias("company")))
+    hubs = cut(join_narrow(met, company, ["node"]).groupBy("bucket").agg(F.max_by("node", F.struct("company", "node")).alias("hub")))
+    members = cut(join_narrow(met.drop("n"), hubs, ["bucket"]))
+    texts = cut(_texts(base, cut(join_narrow(nodes.select("digest", "node"), company.select("node"), ["node"]))))
+
+    pairs = members.where("node <> hub").select(F.greatest("node", "hub").alias("a"), F.least("node", "hub").alias("b")).distinct()
+    comps = cut(components(_links(pairs, texts, at_least)))
+    placed = cut(join_narrow(members, comps, ["node"], "left").select("bucket", "band", "node", F.coalesce("comp", "node").alias("comp")))
+    mixed = cut(placed.groupBy("bucket").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 < c1").select("bucket"))
+    open_ = cut(join_narrow(placed, mixed, ["bucket"]))
+    if not open_.isEmpty():
+        own = join_narrow(nodes.select("node", "bands"), cut(open_.select("node").distinct()), ["node"])
+        more = cut(_compared(open_.join(texts.join(own, "node"), "node"), at_least))
+        if not more.isEmpty():
+            comps = cut(components(more.unionByName(comps.select(F.col("node").alias("a"), F.col("comp").alias("b")))))
+
+    linked = cut(join_narrow(nodes.select("node", "first_id", "copies"), comps, ["node"]))
+    # a null key sorts last
+    head = F.min_by("node", F.struct(F.col("first_id").isNull(), "first_id", "node"))
+    classes = cut(linked.groupBy("comp").agg(F.min("first_id").alias("class_id"), F.sum("copies").alias("class_size"), head.alias("head")))
+    found = cut(join_narrow(linked.select("node", "comp"), classes, ["comp"]).select("node", "class_id", "class_size", (F.col("node") == F.col("head")).alias("is_head")))
+    known = join_narrow(nodes.drop("bands"), found, ["node"], "left")
+    alone = F.col("is_head").isNull()
+    return cut(
+        known.select(
+            "digest", "first_id", "copies", F.when(alone, F.col("first_id")).otherwise(F.col("class_id")).alias("class_id"),
+            F.coalesce("class_size", "copies").alias("class_size"), (alone | F.col("is_head")).alias("is_head"),
+        )
+    )
+
+
 def near_duplicates(
     df: DataFrame, key: str = "doc_id", text: str = "text", at_least: float = SIMILARITY, rows: int = ROWS, bands: int = BANDS
 ) -> DataFrame:
@@ -224,68 +281,34 @@ def near_duplicates(
     are all marked alike). Words are as in operator 2. A text without words is linked to equal texts
     only. A null text has a null digest and is a class of its own. A null key sorts last. Other columns
     are not read. An empty table gives no rows.
-
-    Copies are collapsed by digest before any banding. In a bucket each text is held against the
-    bucket's hub first: the member with the most company over all its buckets, which is where the
-    source of many copies stands. Buckets that then still hold more than one component are compared
-    exactly, on whole texts, in blocks of bounded size (see ``_compared``). So no bucket is listed as
-    pairs, and every pair that shares a bucket is either in one component already or compared.
     """
-    base = df.select(F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").cast("string").alias("text")).select(
-        "id", F.unhex(F.md5("text")).alias("digest"), "text"
+    base = _base(df, key, text)
+    known = _classed(base, at_least, rows, bands)
+    kept = F.col("is_head") & F.col("id").eqNullSafe(F.col("first_id"))
+    found = join_hot(base.where("digest is not null").select("id", "digest"), known, ["digest"]).select(
+        F.col("id").alias(key), "digest", "class_id", "class_size", kept.alias("kept")
     )
-
-    out = T.StructType([T.StructField("bands", T.ArrayType(T.LongType()))])
-    sketched = cut(map_texts(base, "text", lambda texts: sketches(texts, rows, bands), out, ["id", "digest"]))
-    present = sketched.where("digest is not null")
-    nodes = cut(
-        present.groupBy("digest").agg(F.min("id").alias("first_id"), F.count(F.lit(1)).alias("copies")).withColumn("node", F.monotonically_increasing_id())
-    )
-    first = join_hot(present, nodes.select("digest", "first_id", "node"), ["digest"]).where(F.col("id").eqNullSafe(F.col("first_id")))
-    banded = first.select("node", F.posexplode("bands").alias("band", "hash")).select("node", "band", F.xxhash64("band", "hash").alias("bucket"))
-    shared = banded.groupBy("bucket").agg(F.min("node").alias("least"), F.max("node").alias("most"), F.count(F.lit(1)).alias("n")).where("least < most")
-    met = cut(join_hot(banded, shared.select("bucket", "n"), ["bucket"]))
-    company = met.groupBy("node").agg(F.sum("n").alias("company"))
-    hubs = met.join(company, "node").groupBy("bucket").agg(F.max_by("node", "company").alias("hub"))
-    members = cut(join_hot(met.drop("n"), hubs, ["bucket"]))
-    texts = base.where("digest is not null")
-
-    pairs = members.where("node <> hub").select(F.greatest("node", "hub").alias("a"), F.least("node", "hub").alias("b")).distinct()
-    links = cut(_links(pairs, nodes, texts, at_least))
-    comps = cut(components(links))
-    placed = members.join(comps, "node", "left").select("bucket", "band", "node", F.coalesce("comp", "node").alias("comp"))
-    mixed = placed.groupBy("bucket").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 < c1")
-    open_ = cut(join_hot(placed, mixed.select("bucket"), ["bucket"]))
-    wanted = first.join(open_.select("node").distinct(), "node", "left_semi").select("node", F.col("digest").alias("own"), F.col("id").alias("own_id"), "bands")
-    wanted = wanted.dropDuplicates(["node"])
-    read = texts.join(wanted, (F.col("digest") == F.col("own")) & F.col("id").eqNullSafe(F.col("own_id"))).select("node", "bands", "text").dropDuplicates(["node"])
-    more = cut(_compared(open_.join(read, "node"), at_least))
-    if not more.isEmpty():
-        comps = cut(components(links.unionByName(more)))
-
-    named = nodes.join(comps, "node", "left").select("digest", "first_id", "copies", "node", F.coalesce("comp", "node").alias("comp"))
-    classes = named.groupBy("comp").agg(F.min("first_id").alias("class_id"), F.sum("copies").alias("class_size"))
-    heads = join_hot(named, classes, ["comp"]).where(F.col("first_id").eqNullSafe(F.col("class_id"))).groupBy("comp").agg(F.min("node").alias("head"))
-    known = join_hot(named, classes.join(heads, "comp"), ["comp"]).select(
-        "digest", "first_id", "class_id", "class_size", (F.col("node") == F.col("head")).alias("is_head")
-    )
-    found = join_hot(present.select("id", "digest"), known, ["digest"]).select(
-        F.col("id").alias(key), "digest", "class_id", "class_size", (F.col("is_head") & F.col("id").eqNullSafe(F.col("first_id"))).alias("kept")
-    )
-    alone = sketched.where("digest is null").select(
+    alone = base.where("digest is null").select(
         F.col("id").alias(key), "digest", F.col("id").alias("class_id"), F.lit(1).cast("long").alias("class_size"), F.lit(True).alias("kept")
     )
     return found.unionByName(alone)
 
 
-def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The rows of ``df``, one for each near-duplicate class; all columns as they were."""
-    found = near_duplicates(df, key, text, **options).where("kept").select(F.col(f"`{key}`").alias("kept_key"), F.col("digest").alias("kept_digest"))
-    found = found.distinct()
-    digest = F.unhex(F.md5(F.col(f"`{text}`").cast("string")))
-    lone = df.where(F.col(f"`{text}`").isNull())
-    rest = df.where(F.col(f"`{text}`").isNotNull())
-    joined = rest.join(found.where("kept_digest is not null"), F.col(f"`{key}`").eqNullSafe(F.col("kept_key")) & (digest == F.col("kept_digest")), "left_semi")
-    once = Window.partitionBy(F.col(f"`{key}`"), digest).orderBy(F.lit(1))
-    row = free_name(df, "row_of_text")
-    return joined.withColumn(row, F.row_number().over(once)).where(F.col(row) == 1).drop(row).unionByName(lone)
+def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text", at_least: float = SIMILARITY, rows: int = ROWS, bands: int = BANDS) -> DataFrame:
+    """The rows of ``df``, one for each near-duplicate class; all columns as they were.
+
+    The row that ``near_duplicates`` marks as kept stays; of rows that repeat both key and text, the
+    one with the least hash over all its columns. Rows with a null text all stay. Only texts that are
+    not alone in their class are looked up: their table is broadcast while it is small, and then no
+    whole row is shuffled but the one that stays of rows with equal texts.
+    """
+    known = _classed(_base(df, key, text), at_least, rows, bands).where("class_size > 1").select("digest", "first_id", "copies", "is_head")
+    fresh = {c: free_name(df, f"{c}_of_class") for c in known.columns}
+    digest, first, copies, head = (F.col(fresh[c]) for c in ("digest", "first_id", "copies", "is_head"))
+    own = df.withColumn(fresh["digest"], F.unhex(F.md5(F.col(f"`{text}`").cast("string"))))
+    joined = join_narrow(own, cut(known.withColumnsRenamed(fresh)), [fresh["digest"]], "left")
+    columns = [F.col(f"`{c}`") for c in df.columns]
+    once = joined.where(head.isNull() | (head & (copies == 1))).select(*columns)
+    several = joined.where(head & (copies > 1) & F.col(f"`{key}`").eqNullSafe(first))
+    row = F.min_by(F.struct(*columns), F.struct(*row_key(df)))
+    return once.unionByName(several.groupBy(digest).agg(row.alias("row")).select("row.*"))

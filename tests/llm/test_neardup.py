@@ -5,12 +5,13 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from plumbline.llm import catalog, neardup
+from plumbline.llm import catalog, common, neardup
 from plumbline.llm.components import components
 from plumbline.llm.neardup import probability_jaccard, shingles, signatures
 
-SF = "/root/testdata/sf0.001"
+SF, MEDIUM = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
 
 
 def brute_similarity(x, y):
@@ -57,7 +58,8 @@ def test_registers_agree_as_often_as_the_similarity_says():
     assert abs((a == b).mean() - brute_similarity(x, y)) < 0.03
 
 
-def test_classes_with_copies_chains_and_odd_rows(spark):
+@pytest.mark.parametrize("small", [0, 1])
+def test_classes_with_copies_chains_and_odd_rows(spark, monkeypatch, small):
     rng = random.Random(3)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
     base = [word() for _ in range(120)]
@@ -67,14 +69,20 @@ def test_classes_with_copies_chains_and_odd_rows(spark):
         texts[k] = " ".join(base)
     for k in range(40, 60):
         texts[k] = " ".join(word() for _ in range(50))
-    rows = [(i, t, 1) for i, t in texts.items()] + [(0, texts[0], 1)]
-    df = spark.createDataFrame(rows, "doc_id long, text string, class_id int")
+    rows = [(i, t, 1, f"of {i}") for i, t in texts.items()] + [(0, texts[0], 1, "again")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, class_id int, kept_key string").withColumns({"digest": F.lit("x"), "digest_of_class": F.create_map(F.lit(1), F.lit(2))})
+    if small == 0:
+        monkeypatch.setattr(common, "BROADCAST_BYTES", 0)
+        monkeypatch.setattr(neardup, "BROADCAST_BYTES", 0)
     got = neardup.near_duplicates(df).collect()
     assert len(got) == len(rows)
     assert {r.doc_id: r.class_id for r in got} == brute_classes(texts)
     kept = neardup.keep_one(df).collect()
     assert sorted(r.doc_id for r in kept) == sorted(set(brute_classes(texts).values()))
-    assert all(r.class_id == 1 for r in kept)
+    assert all(r.class_id == 1 and r.digest == "x" and r.digest_of_class == {1: 2} for r in kept) and kept[0].asDict().keys() == set(df.columns)
+    # of two rows with equal key and text, the same one stays however the rows are dealt
+    stay = {next(r.kept_key for r in neardup.keep_one(d).collect() if r.doc_id == 0) for d in (df, df.repartition(7, "kept_key"), df.orderBy(F.desc("kept_key")))}
+    assert len(stay) == 1
     assert neardup.near_duplicates(df.limit(0)).count() == 0 and neardup.keep_one(df.limit(0)).count() == 0
 
 
@@ -89,6 +97,15 @@ def test_query_against_brute_force(spark):
     assert all(r.class_size == sizes[r.class_id] and r.kept == (r.doc_id == r.class_id) for r in got.values())
 
 
+def test_recall_of_searches(spark):
+    """Every row whose id is divisible by 50 against all rows: each text of similarity 0.8 or more shares its class."""
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{MEDIUM}/documents.parquet").collect()}
+    got = {r.doc_id: r.class_id for r in catalog.op4_prob_minhash(spark, MEDIUM).collect()}
+    sets = {i: shingles(t.encode()) for i, t in docs.items()}
+    pairs = [(i, j) for i in docs if i % 50 == 0 for j in docs if i != j and probability_jaccard(sets[i], sets[j]) >= neardup.SIMILARITY]
+    assert pairs and all(got[i] == got[j] for i, j in pairs)
+
+
 def test_components_of_a_path_and_a_hub(spark):
     pairs = [(i, i + 1) for i in range(30)] + [(100, i) for i in range(101, 160)] + [(5, 5)]
     got = {r.node: r.comp for r in components(spark.createDataFrame(pairs, "a long, b long")).collect()}
