@@ -7,7 +7,6 @@ patterns that end in the block found, and a direct comparison confirms an occurr
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame
@@ -173,7 +172,3 @@ def digest(df: DataFrame) -> DataFrame:
             "contaminated": n_hit > 0,
         }
     )
-
-
-def sha256_of(items: Iterable[str]) -> str:
-    return hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()

@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import free_name, numbered
+from plumbline.llm.common import cut, free_name, numbered
 
 # Fixed values of the published algorithm (Lamping and Veach, 2014).
 MULTIPLIER = 2862933555777941757
@@ -72,7 +72,7 @@ def place(df: DataFrame, key: str, n: int, ties: list[str] | None = None) -> Dat
     Carry narrow columns only: the rows are dealt out again by range of key, so that no shard is
     ordered in a single task. Repeated rows take slots of their own; an empty table gives no rows.
     """
-    put = assign_shards(df.drop("slot"), key, n)
+    put = cut(assign_shards(df.drop("slot"), key, n))
     return numbered(put, ["shard"], [key, *(ties or [])], "slot")
 
 
