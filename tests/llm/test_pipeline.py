@@ -1,10 +1,18 @@
 """The pipeline's stages on planted cases, and the whole on the smallest tables."""
 
+import itertools
+import zlib
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 import corpus_pipeline
+from plumbline.llm import catalog, language, linededup
 from plumbline.llm.decontaminate import words_of
+from tests.llm.test_linededup import brute as brute_lines
+from tests.llm.test_neardup import brute_classes
 
 SF = "/root/testdata/sf0.001"
 
@@ -56,6 +64,41 @@ def test_no_window_of_the_benchmark_is_left(spark, results):
         assert not any(tuple(w[i : i + m]) in wanted for m in sizes for i in range(len(w) - m + 1)), r.doc_id
 
 
+def test_run_against_brute_force(spark):
+    """The stages after language identification by plain loops over the smallest tables; ids by the library."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    known = language.identify(docs, language.fit_on_fold(docs)).where("not rejected").select("doc_id", "text").collect()
+    known.sort(key=lambda r: r.doc_id)
+    lines = brute_lines([r.text for r in known], linededup.MIN_WORDS)
+    texts = {r.doc_id: text for r, (_, removed, text) in zip(known, lines, strict=True) if not (removed and not text)}
+    assert any(removed for _, removed, _ in lines)
+    left = sorted({c for i, c in brute_classes(texts).items()})
+    assert len(left) < len(texts)
+    wanted = set()
+    for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect():
+        w = words_of(r.text.encode())
+        m = min(10, len(w))
+        wanted |= {tuple(w[i : i + m]) for i in range(len(w) - m + 1)} if m else set()
+    sizes = {len(x) for x in wanted}
+
+    def leaks(text):
+        w = words_of(text.encode())
+        return any(tuple(w[i : i + m]) in wanted for m in sizes for i in range(len(w) - m + 1))
+
+    library = Tokenizer.from_file(catalog.tokenizer(catalog.WORD_BPE))
+    ids = {i: np.array([*library.encode(texts[i], add_special_tokens=False).ids, 1], "<u4") for i in left if not leaks(texts[i])}
+    assert len(ids) < len(left)
+    rows = sorted(corpus_pipeline.run(spark, SF).collect(), key=lambda r: (r.sequence_id, r.offset))
+    for own in (list(g) for _, g in itertools.groupby(rows, lambda r: r.sequence_id)):
+        assert [r.offset for r in own] == [sum(x.length for x in own[:k]) for k in range(len(own))]
+        assert sum(r.length for r in own) <= 2048
+    found = {}
+    for r in sorted(rows, key=lambda r: (r.doc_id, r.start)):
+        assert r.start == found.get(r.doc_id, 0) and r.ids_crc32 == zlib.crc32(ids[r.doc_id][r.start : r.start + r.length].tobytes())
+        found[r.doc_id] = r.start + r.length
+    assert found == {i: len(x) for i, x in ids.items()}
+
+
 def test_run_gives_pieces_and_empty_tables_pass(spark, tmp_path):
     assert corpus_pipeline.run(spark, SF).columns[:3] == ["doc_id", "start", "length"]
     for name in ("documents", "benchmark"):
