@@ -71,12 +71,19 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the table ``documents``; between stages the rows are written and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over the table ``documents``; between stages the rows are written and read again.
+
+    A stage's table is emptied once the next stage's is written; the last one stays for the result.
+    """
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
-            docs.write.parquet(f"{folder}/{k}-{name}")
-            docs = spark.read.parquet(f"{folder}/{k}-{name}")
+            path = f"{folder}/{k}-{name}"
+            docs.write.parquet(path)
+            docs = spark.read.parquet(path)
+            if before is not None:
+                spark.createDataFrame([], docs.schema).write.mode("overwrite").parquet(before)
+            before = path
     return docs
