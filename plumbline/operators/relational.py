@@ -8,6 +8,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Parts of a group that ``numbered`` orders by themselves; every row is held against their bounds.
+MOST_PARTS = 512
+
+
 def keep_last(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """One row per key: the last by ``order`` (a total order makes it definite).
 
@@ -64,7 +68,7 @@ def numbered(df: DataFrame, group: Sequence[str], order: str, name: str) -> Data
     No group is ordered in one task: rows are parted at quantiles of ``order`` over the whole table,
     numbered within (group, part), and each part starts where the group's parts before it end.
     """
-    parts = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    parts = min(MOST_PARTS, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     bounds = sorted(set(df.approxQuantile(order, [i / parts for i in range(1, parts)], 0.5 / parts))) if parts > 1 else []
     part = F.size(F.filter(F.array(*map(F.lit, bounds)).cast("array<double>"), lambda x: x <= F.col(order)))
     dealt = df.withColumn("_part", part)
