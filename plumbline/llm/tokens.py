@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 from plumbline.llm.common import steps
 
 #: Pieces, and ids of pieces, that one Python worker remembers; it forgets all of them beyond.
-MEMO_PIECES, MEMO_IDS = 500_000, 8_000_000
+MEMO_PIECES, MEMO_IDS = 300_000, 4_000_000
 #: Characters of a piece that is remembered; pieces given to the library at a time.
 PIECE_CHARS, ASK = 64, 4096
 #: Bytes of a buffer that are cut at a time.
