@@ -15,7 +15,7 @@ from __future__ import annotations
 import hashlib
 import io
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -35,7 +35,9 @@ _ESCAPED = re.compile(r"\\(.)", re.S)
 _EVERY = {ord(c): f"\\{c}" for c in "\\#:< "}
 
 SPANS = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
-FORMATTED = T.StructType([T.StructField("chunk", T.IntegerType()), T.StructField("formatted", T.StringType()), T.StructField("loss_spans", SPANS)])
+FORMATTED = T.StructType(
+    [T.StructField("chunk", T.IntegerType()), T.StructField("last", T.BooleanType()), T.StructField("formatted", T.StringType()), T.StructField("loss_spans", SPANS)]
+)
 
 
 def unescape(text: str) -> str:
@@ -144,7 +146,7 @@ def rendered(df: DataFrame, conv: str, turn: str, role: str, text: str) -> DataF
 def format_chats(
     df: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", chunk_chars: int = CHUNK_CHARS
 ) -> DataFrame:
-    """One row per conversation and chunk: conv, chunk (from 0), formatted and loss_spans.
+    """One row per conversation and chunk: conv, chunk (from 0), last (whether the conversation ends with it), formatted and loss_spans.
 
     Turns are ordered by turn, then role (null first), then as rendered; a null text or role is the
     empty string, and a null conversation key is a conversation like any other. Repeated rows are turns
@@ -165,9 +167,9 @@ def format_chats(
         waiting = 0
         now, chunk, parts, size, marks = None, -1, [], 0, []
 
-        def end_chunk() -> None:
+        def end_chunk(last: bool) -> None:
             nonlocal chunk, parts, size, marks, waiting
-            rows.append((now, chunk, "".join(parts), marks))
+            rows.append((now, chunk, last, "".join(parts), marks))
             waiting += size
             chunk, parts, size, marks = chunk + 1, [], 0, []
 
@@ -183,63 +185,75 @@ def format_chats(
                 key, one, body, learnt = (batch.column(i)[at].as_py() for i in range(4))
                 if chunk < 0 or key != now:
                     if parts:
-                        end_chunk()
+                        end_chunk(True)
                     now, chunk = key, 0
+                if size >= chunk_chars:  # another turn follows
+                    end_chunk(False)
                 if learnt:
                     marks.append({"start": size + body, "end": size + len(one) - len(CLOSE)})
                 parts.append(one)
                 size += len(one)
-                if size >= chunk_chars:
-                    end_chunk()
                 if len(rows) >= 1000 or waiting > chunk_chars:
                     yield out()
         if parts:
-            end_chunk()
+            end_chunk(True)
         if rows:
             yield out()
 
     return dealt.mapInArrow(run, schema)
 
 
-def parsed(formatted: DataFrame, conv: str = "conv_id") -> DataFrame:
-    """(conv, chunk, n_turns, turns, learnt, chars): each chunk parsed where it lies: the bytes of role, line feed,
-    text, line feed per turn, and the unescaped text under the loss mask."""
-    source = formatted.select(F.col(f"`{conv}`").alias("conv"), "chunk", "formatted", "loss_spans")
-    schema = T.StructType(
-        [
-            *source.schema.fields[:2], T.StructField("n_turns", T.LongType()), T.StructField("turns", T.BinaryType()),
-            T.StructField("learnt", T.StringType()), T.StructField("chars", T.LongType()),
-        ]
-    )
+def _digests(conv: T.StructField) -> T.StructType:
+    names = ("n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")
+    return T.StructType([conv, *(T.StructField(n, T.StringType() if "sha" in n else T.LongType()) for n in names)])
+
+
+def _read(text: str, marks: list) -> tuple[int, bytes, str]:
+    """Of a chunk: its number of turns, the bytes of role, line feed, text, line feed per turn, and the unescaped
+    text under the loss mask."""
+    turns = [f"{role}\n{said}\n".encode() for role, said, _, _ in parse(text)]
+    return len(turns), b"".join(turns), "".join(unescape(text[m["start"] : m["end"]]) for m in marks)
+
+
+def _each(df: DataFrame, schema: T.StructType, row: Callable[[str, list], tuple]) -> DataFrame:
+    """``df``'s columns before formatted and loss_spans, and what ``row`` makes of these two."""
+    own = len(df.columns) - 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark.sql.pandas.types import to_arrow_type
+
+        kinds = [to_arrow_type(f.dataType) for f in schema.fields[own:]]
         for batch in batches:
-            sizes = pa.compute.binary_length(batch.column(2)).to_pylist()
+            sizes = pa.compute.binary_length(batch.column(own)).to_pylist()
             for a, b in _sized(sizes):
-                own = batch.slice(a, b - a)
-                got: list[list] = [[], [], [], []]
-                for i in range(b - a):
-                    text, marks = own.column(2)[i].as_py(), own.column(3)[i].as_py()
-                    turns = [f"{role}\n{said}\n".encode() for role, said, _, _ in parse(text)]
-                    learnt = "".join(unescape(text[m["start"] : m["end"]]) for m in marks)
-                    for column, v in zip(got, (len(turns), b"".join(turns), learnt, len(text)), strict=True):
-                        column.append(v)
-                cols = [pa.array(got[0], pa.int64()), pa.array(got[1], pa.binary()), pa.array(got[2], pa.string()), pa.array(got[3], pa.int64())]
-                yield pa.RecordBatch.from_arrays([*own.columns[:2], *cols], names=schema.names)
+                part = batch.slice(a, b - a)
+                got = [row(part.column(own)[i].as_py(), part.column(own + 1)[i].as_py()) for i in range(b - a)]
+                cols = [pa.array(list(c), k) for c, k in zip(zip(*got, strict=True), kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays([*part.columns[:own], *cols], names=schema.names)
 
-    return source.mapInArrow(run, schema)
+    return df.mapInArrow(run, schema)
 
 
 def read_chats(formatted: DataFrame, conv: str = "conv_id") -> DataFrame:
     """Digests per conversation, parsed back from chunks, which may stand in any order.
 
-    Chunks are parsed where they lie and then dealt by conversation in their order, because a digest
-    goes over all turns in sequence; that last step only hashes, and holds one chunk at a time.
+    A conversation of one chunk is read where it lies. The chunks of longer ones are parsed where they
+    lie and then dealt by conversation in their order, because a digest goes over all turns in
+    sequence; that last step only hashes, and holds one chunk at a time.
     """
-    names = ("n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")
-    fields = [T.StructField(n, T.StringType() if "sha" in n else T.LongType()) for n in names]
-    schema = T.StructType([formatted.schema[conv], *fields])
-    ordered = parsed(formatted, conv).repartition("conv").sortWithinPartitions("conv", "chunk")
+    schema = _digests(formatted.schema[conv])
+    whole = (F.col("chunk") == 0) & F.col("last")
+    body = (F.col("formatted"), F.col("loss_spans"))
+
+    def digest(text: str, marks: list) -> tuple:
+        n, turns, learnt = _read(text, marks)
+        return n, hashlib.sha256(turns).hexdigest(), len(learnt), hashlib.sha256(learnt.encode()).hexdigest(), len(text)
+
+    short = _each(formatted.where(whole).select(F.col(f"`{conv}`"), *body), schema, digest)
+    parts = formatted.where(~whole).select(F.col(f"`{conv}`").alias("conv"), "chunk", *body)
+    fields = [T.StructField("n_turns", T.LongType()), T.StructField("turns", T.BinaryType()), T.StructField("learnt", T.StringType()), T.StructField("chars", T.LongType())]
+    parsed = _each(parts, T.StructType([*parts.schema.fields[:2], *fields]), lambda text, marks: (*_read(text, marks), len(text)))
+    ordered = parsed.repartition("conv").sortWithinPartitions("conv", "chunk")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_type
@@ -276,7 +290,7 @@ def read_chats(formatted: DataFrame, conv: str = "conv_id") -> DataFrame:
         if rows:
             yield out()
 
-    return ordered.mapInArrow(run, schema)
+    return short.unionByName(ordered.mapInArrow(run, schema))
 
 
 def with_probe(spark: SparkSession, conversations: DataFrame) -> DataFrame:
