@@ -13,6 +13,8 @@ DataFrame functions only.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,16 +31,21 @@ def _filled(text: str) -> Column:
     return F.filter(F.split(F.col(f"`{text}`").cast("string"), "\n"), lambda x: F.btrim(x, F.lit(WHITE)) != "")
 
 
+def _n_words(line: str) -> Column:
+    """Words of a line without white space at its ends; where only single spaces part them, one more than the spaces."""
+    odd = reduce(lambda a, b: a | b, (F.contains(line, F.lit(w)) for w in ("  ", *WHITE.strip(" "))))
+    spaces = F.octet_length(line) - F.octet_length(F.replace(F.col(line), F.lit(" "), F.lit("")))
+    return F.when(odd, F.size(F.split(line, f"[{WHITE}]+"))).otherwise(spaces + 1).cast("long")
+
+
 def _lines(df: DataFrame, text: str, key: str) -> DataFrame:
     """(id, hx, hy, pos, x, y, n): each non-blank line's document, place among them, line id (two hashes
     of the line without white space at its ends) and number of words. Rows equal in every column are one
     document: they share hx and hy."""
     hx, hy = row_key(df)
-    line = F.btrim("line", F.lit(WHITE))
     cut_up = df.select(F.col(f"`{key}`").alias("id"), hx.alias("hx"), hy.alias("hy"), F.posexplode(_filled(text)).alias("pos", "line"))
-    return cut_up.select(
-        "id", "hx", "hy", "pos", F.xxhash64(line).alias("x"), F.hash(line, F.lit(7)).alias("y"), F.size(F.split(line, f"[{WHITE}]+")).cast("long").alias("n")
-    )
+    own = cut_up.withColumn("line", F.btrim("line", F.lit(WHITE)))
+    return own.select("id", "hx", "hy", "pos", F.xxhash64("line").alias("x"), F.hash("line", F.lit(7)).alias("y"), _n_words("line").alias("n"))
 
 
 def _repeated(pairs: DataFrame, by: list[str], name: str) -> DataFrame:

@@ -2,6 +2,9 @@
 
 import random
 
+import pytest
+from pyspark.sql import functions as F
+
 from plumbline.llm import catalog, linededup
 from tests.duck import assert_same, connect
 
@@ -66,6 +69,26 @@ def test_repeated_rows_are_one_document(spark):
     assert [r.text for r in got] == ["\n".join([*passage, "between"])] * 3
 
 
+@pytest.mark.parametrize("copies", [1, 2, 50])
+def test_repeated_rows_against_sql_and_brute_force(spark, tmp_path, copies):
+    rng = random.Random(copies)
+    runs = [[" ".join(f"w{k}_{i}_{j}" for j in range(9)) for i in range(8)] for k in range(3)]
+    texts = ["\n".join([f"head {i}", *rng.choice(runs), "", f"between {i}", *rng.choice(runs)[1:], f"tail {i}"]) for i in range(12)]
+    rows = [(i, t) for i, t in enumerate(texts) for _ in range(copies if i % 3 else 1)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert_same(catalog.op8_line_runs(spark, str(tmp_path)), connect(str(tmp_path)), catalog.ORACLES["op8_line_runs"])
+    want = brute(texts, linededup.MIN_WORDS)
+    got = [(r.doc_id, (r.n_lines, r.n_removed_lines, r.text)) for r in catalog.op8_line_runs(spark, str(tmp_path)).collect()]
+    assert sorted(got) == sorted((i, want[i]) for i, _ in rows) and any(n for _, n, _ in want)
+
+
+def test_maps_anywhere_in_other_columns(spark):
+    passage = " ".join(f"w{i}" for i in range(60))
+    df = spark.createDataFrame([(1, passage), (2, passage)], "doc_id long, text string")
+    df = df.withColumns({"m": F.create_map(F.lit("a"), F.lit(1)), "s": F.struct(F.create_map(F.lit("a"), F.lit(1)).alias("deep")), "l": F.array(F.create_map(F.lit(1), F.lit(2)))})
+    assert sorted((r.doc_id, r.n_removed_lines, r.s.deep["a"]) for r in linededup.drop_repeated_lines(df).collect()) == [(1, 0, 1), (2, 1, 1)]
+
+
 def test_query_against_sql(spark):
     assert_same(catalog.op8_line_runs(spark, SF), connect(SF), catalog.ORACLES["op8_line_runs"])
 
