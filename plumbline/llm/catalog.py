@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import hashlib
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from plumbline.llm import binary, chat, decontaminate, language, linededup, neardup, packing, quality, shards, tokens
-from plumbline.llm.common import table
+from plumbline.llm import binary, chat, decontaminate, drake, importance, language, linededup, neardup, packing, quality, shards, tokens
+from plumbline.llm.common import cut, table
 from plumbline.llm.oracles import ORACLES
 
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
@@ -79,10 +81,27 @@ def op10_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", language.held_out("doc_id").alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op11_drake_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, centroids = drake.cluster(table(spark, sf_dir, "embeddings"))
+    found, total = cut(found.withColumnRenamed("key", "vec_id")), F.sum("cluster_inertia").over(Window.partitionBy())
+    digests = [(j, hashlib.sha256(",".join(map(str, c)).encode()).hexdigest()) for j, c in enumerate(centroids.tolist())]
+    named = spark.createDataFrame(digests, "cluster int, centroid_sha256 string")
+    # one row for each of the few centroids
+    sums = found.groupBy("cluster").agg(F.sum("distance").alias("cluster_inertia")).withColumn("inertia", total).join(F.broadcast(named), "cluster")
+    return found.join(F.broadcast(sums), "cluster").select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
+def op12_target_draw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = importance.resampled(docs, table(spark, sf_dir, "benchmark"), keep=["doc_id"])
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_line_quality, op2_wu_manber, op3_jump_shards, op4_prob_minhash, op5_chat_round_trip,
         op6_bin_slack, op7_token_counts, op8_line_runs, op9_elias_fano, op10_centroids,
+        op11_drake_bounds, op12_target_draw,
     )
 }

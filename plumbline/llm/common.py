@@ -35,6 +35,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def emptied(spark: SparkSession, path: str, schema: T.StructType) -> None:
+    """Puts an empty table in the place of one in the shared folder that nothing reads any more."""
+    spark.createDataFrame([], schema).write.mode("overwrite").parquet(path)
+
+
 def join_hot(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """Join on ``keys`` where one of them may hold much of ``left``.
 

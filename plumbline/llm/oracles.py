@@ -184,3 +184,71 @@ FROM d LEFT JOIN l USING (r) LEFT JOIN gone USING (r), (SELECT unnest(generate_s
 """
 
 ORACLES["op8_line_runs"] = OP8
+
+
+def _round(r: int, dims: int = 64) -> str:
+    """Assignment ``a<r>`` to the centroids ``c<r>``, and the centroids ``c<r + 1>``; sums are floored downwards."""
+    return f"""
+a{r} AS MATERIALIZED (
+  SELECT r, (min(row(d, j))).d AS distance, (min(row(d, j))).j AS cluster FROM (
+    SELECT v.r, c.j, list_sum(list_transform(generate_series(1, {dims}), lambda i: (v.x[i] - c.x[i]) * (v.x[i] - c.x[i])))::BIGINT AS d FROM v, c{r} c
+  ) GROUP BY r
+),
+s{r} AS (SELECT cluster, i, sum(v.x[i])::BIGINT AS s, count(*) AS n FROM a{r} JOIN v USING (r), (SELECT unnest(generate_series(1, {dims})) AS i) GROUP BY cluster, i),
+c{r + 1} AS MATERIALIZED (
+  SELECT c.j, coalesce(m.x, c.x) AS x FROM c{r} c LEFT JOIN (SELECT cluster, list((s - ((s % n) + n) % n) // n ORDER BY i) AS x FROM s{r} GROUP BY cluster) m ON m.cluster = c.j
+)""".replace("row(d, j)", "{'d': d, 'j': j}")
+
+
+OP11 = f"""
+WITH v AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda e: floor(1024 * e::DOUBLE)::BIGINT) AS x FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda e: e IS NOT NULL AND isfinite(e::DOUBLE))) = 64
+),
+c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY h, x) - 1 AS j, x FROM (SELECT sha256('3:' || coalesce(vec_id::VARCHAR, 'null')) AS h, x FROM v ORDER BY h, x LIMIT 8)
+),
+{",".join(_round(r) for r in range(11))},
+total AS (SELECT cluster, sum(distance)::BIGINT AS cluster_inertia, (SELECT sum(distance) FROM a10)::BIGINT AS inertia FROM a10 GROUP BY cluster)
+SELECT vec_id, cluster::INT AS cluster, distance, cluster_inertia, inertia, sha256(array_to_string(c10.x, ',')) AS centroid_sha256
+FROM a10 JOIN v USING (r) JOIN total USING (cluster) JOIN c10 ON c10.j = a10.cluster
+"""
+
+OP12 = rf"""
+WITH {_CRC},
+d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents
+),
+b AS (
+  SELECT regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark
+),
+dw AS (SELECT r, unnest(ws) AS w FROM d),
+bw AS (SELECT unnest(ws) AS w FROM b),
+words AS (SELECT DISTINCT w FROM (SELECT w FROM dw UNION ALL SELECT w FROM bw)),
+hashed AS (
+  SELECT w, xor(4294967295, list_reduce(
+      list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(hex(encode(w)), '..'), lambda x: ('0x' || x)::BIGINT)),
+      lambda c, b: xor(c >> 8, t[xor(c & 255, b) + 1]))) % 10000 AS bucket
+  FROM words, tab
+),
+s AS (SELECT bucket, count(*) AS s FROM dw JOIN hashed USING (w) GROUP BY bucket),
+t AS (SELECT bucket, count(*) AS t FROM bw JOIN hashed USING (w) GROUP BY bucket),
+gain AS (
+  SELECT bucket, floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * ((SELECT count(*) FROM dw) + 10000)::DOUBLE / ((coalesce(s, 0) + 1)::DOUBLE * ((SELECT count(*) FROM bw) + 10000)::DOUBLE)))::BIGINT AS g
+  FROM s FULL JOIN t USING (bucket)
+),
+weights AS (
+  SELECT r, floor(sum(g)::DOUBLE / count(*))::BIGINT AS weight FROM dw JOIN hashed USING (w) JOIN gain USING (bucket) GROUP BY r
+),
+scored AS (
+  SELECT r, doc_id, len(ws)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight, coalesce(weight, 0)::BIGINT
+    + floor(-1000 * ln(-ln((('0x' || sha256('2024:' || coalesce(doc_id::VARCHAR, 'null'))[1:8])::BIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score
+  FROM d LEFT JOIN weights USING (r)
+),
+placed AS (
+  SELECT r, row_number() OVER (ORDER BY score DESC, doc_id NULLS LAST) AS nth, count(*) OVER () AS n FROM scored WHERE n_features >= 20
+)
+SELECT doc_id, n_features, weight, score, CASE WHEN nth <= 10 * n // 100 THEN nth END::BIGINT AS rank FROM scored LEFT JOIN placed USING (r)
+"""
+
+ORACLES |= {"op11_drake_bounds": OP11, "op12_target_draw": OP12}
