@@ -7,7 +7,7 @@ import hashlib
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from plumbline.llm import binary, chat, decontaminate, drake, importance, language, linededup, neardup, packing, quality, shards, tokens
+from plumbline.llm import binary, chat, decontaminate, drake, importance, language, linededup, neardup, packing, quality, shards, suffixdedup, tokens
 from plumbline.llm.common import cut, table
 from plumbline.llm.oracles import ORACLES
 
@@ -97,11 +97,19 @@ def op12_target_draw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_features", "weight", "score", "rank")
 
 
+def op13_column_bwt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = suffixdedup.repeated_spans(docs)
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
+    left = F.sha2(suffixdedup.remaining(F.col("text"), F.col("spans")), 256)
+    return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), left.alias("kept_sha256"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_line_quality, op2_wu_manber, op3_jump_shards, op4_prob_minhash, op5_chat_round_trip,
         op6_bin_slack, op7_token_counts, op8_line_runs, op9_elias_fano, op10_centroids,
-        op11_drake_bounds, op12_target_draw,
+        op11_drake_bounds, op12_target_draw, op13_column_bwt,
     )
 }
