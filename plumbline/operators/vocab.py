@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import cached_property
 
 import numpy as np
@@ -12,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.text import tokens
+from plumbline.stored import stored
 
 # Reserved ids.
 PAD, BOS, EOS, UNK = 0, 1, 2, 3
@@ -62,34 +64,75 @@ class Vocabulary:
         return self.table.sparkSession.sparkContext.broadcast((found["word"].combine_chunks(), found["id"].combine_chunks()))
 
 
+#: What this worker looks up, by kind: the broadcast value that it was made of, and the tables, made once for all batches.
+_ready: dict[str, tuple] = {}
+
+
+def _made(kind: str, vocab: Broadcast, make: Callable[[pa.Array, pa.Array], tuple]) -> tuple:
+    value = vocab.value
+    if kind not in _ready or _ready[kind][0] is not value:
+        _ready[kind] = value, make(*value)
+    return _ready[kind][1]
+
+
+def _by_word(known: pa.Array, own: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(words in order, their ids)."""
+    words = np.asarray(known.to_numpy(zero_copy_only=False), dtype=object)
+    order = np.argsort(words, kind="stable")
+    return words[order], own.to_numpy()[order]
+
+
+def _by_id(known: pa.Array, own: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """(ids in order, their words), the unknown word's too."""
+    ids = np.append(own.to_numpy(), UNK)
+    order = np.argsort(ids, kind="stable")
+    return ids[order], pa.concat_arrays([known.cast(pa.string()), pa.array([RESERVED[UNK]])]).take(pa.array(order))
+
+
+def _offsets(lists: pa.Array) -> pa.Array:
+    sizes = pc.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False)
+    return pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
+
+
 def _in_place(vocab: Broadcast, words: Column) -> Column:
-    """Ids of an array of words, looked up by Arrow for a batch at a time; 3 for unknown words."""
+    """Ids of an array of words, a batch at a time; 3 for unknown words."""
 
     @F.arrow_udf("array<bigint>")
     def ids(lists: pa.Array) -> pa.Array:
-        known, own = vocab.value
-        flat = pc.take(own, pc.index_in(lists.flatten(), value_set=known)).fill_null(UNK)
-        sizes = pc.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False)
-        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), flat)
+        known, own = _made("words", vocab, _by_word)
+        said = lists.flatten().dictionary_encode()
+        different = np.asarray(said.dictionary.to_numpy(zero_copy_only=False), dtype=object)
+        at = np.searchsorted(known, different) if len(known) else np.zeros(len(different), np.int64)
+        inside = np.minimum(at, max(0, len(known) - 1))
+        hit = known[inside] == different if len(known) else np.zeros(len(different), bool)
+        found = np.full(len(different), UNK, np.int64)
+        found[hit] = own[inside[hit]]
+        return pa.ListArray.from_arrays(_offsets(lists), pa.array(found[said.indices.to_numpy()], pa.int64()))
 
     return ids(words)
 
 
+def _numbered(df: DataFrame, key: str, value: Column, name: str) -> DataFrame:
+    """(key, name, _row): rows told apart by a number that is stored with them, so keys may repeat or be null."""
+    return stored(df.select(key, value.alias(name)).withColumn("_row", F.monotonically_increasing_id()))
+
+
 def encode(df: DataFrame, key: str, text: str, vocab: Vocabulary, most: int | None = None) -> DataFrame:
-    """(key, ids): begin id, ids, end id; at most ``most`` in all if given. A text without tokens has just the two.
+    """(key, ids), one row for each row of ``df``: begin id, ids, end id; at most ``most`` in all if given. A text
+    without tokens, or a null one, has just the two. Keys may repeat and be null.
 
-    No shuffle while the vocabulary can be broadcast; beyond, tokens are joined and gathered by key.
+    No shuffle while the vocabulary can be broadcast; beyond, tokens are joined and gathered by row.
     """
     toks = tokens(F.col(text))
     toks = F.coalesce(toks if most is None else F.slice(toks, 1, max(0, most - 2)), F.array().cast("array<string>"))
     begin, end = (F.array(F.lit(x).cast("long")) for x in (BOS, EOS))
     if vocab.broadcast is not None:
         return df.select(key, _in_place(vocab.broadcast, toks).alias("ids")).select(key, F.concat(begin, "ids", end).alias("ids"))
-    long = df.select(key, F.posexplode(toks).alias("pos", "word")).join(vocab.table.select("word", "id"), "word", "left")
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("pos", F.coalesce("id", F.lit(UNK)).cast("long").alias("id")))), lambda p: p["id"])
-    full = long.groupBy(key).agg(ordered.alias("own"))
-    own = F.coalesce("own", F.array().cast("array<bigint>"))
-    return df.select(key).join(full, key, "left").select(key, F.concat(begin, own, end).alias("ids"))
+    # a row without tokens stays as one row of a null word, so nothing has to be joined back
+    long = _numbered(df, key, toks, "toks").select(key, "_row", F.posexplode_outer("toks").alias("pos", "word")).join(vocab.table.select("word", "id"), "word", "left")
+    pair = F.when(F.col("pos").isNotNull(), F.struct("pos", F.coalesce("id", F.lit(UNK)).cast("long").alias("id")))
+    own = F.transform(F.array_sort(F.collect_list(pair)), lambda p: p["id"])  # collect_list leaves nulls out
+    return long.groupBy("_row").agg(F.first(key).alias(key), own.alias("own")).select(key, F.concat(begin, "own", end).alias("ids"))
 
 
 def padded(encoded: DataFrame, batch: str, ids: str = "ids") -> DataFrame:
@@ -101,21 +144,22 @@ def padded(encoded: DataFrame, batch: str, ids: str = "ids") -> DataFrame:
 
 
 def decode(encoded: DataFrame, key: str, ids: str, vocab: Vocabulary) -> DataFrame:
-    """(key, text): words of the ids but 0, begin and end, and ids outside the vocabulary; 3 stays ``<unk>``."""
+    """(key, text), one row for each row of ``encoded``: words of the ids but 0, begin and end, and ids outside the
+    vocabulary; 3 stays ``<unk>``. A null list reads as an empty one. Keys may repeat and be null."""
     if vocab.broadcast is not None:
         shared = vocab.broadcast
 
         @F.arrow_udf("array<string>")
         def words(lists: pa.Array) -> pa.Array:
-            known, own = shared.value
-            head = pa.array(["<unk>"], known.type)
-            flat = pc.take(pa.concat_arrays([head, known]), pc.index_in(lists.flatten(), value_set=pa.concat_arrays([pa.array([UNK], own.type), own])))
-            sizes = pc.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False)
-            return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), flat.cast(pa.string()))
+            known, names = _made("ids", shared, _by_id)
+            flat = lists.flatten()
+            own = flat.fill_null(-1).to_numpy(zero_copy_only=False)
+            at = np.minimum(np.searchsorted(known, own), len(known) - 1)
+            return pa.ListArray.from_arrays(_offsets(lists), names.take(pa.array(at, mask=known[at] != own)))
 
         return encoded.select(key, words(F.col(ids)).alias("w")).select(key, F.array_join("w", " ").alias("text"))
-    long = encoded.select(key, F.posexplode(ids).alias("pos", "id")).where(F.col("id") >= UNK)
-    named = long.join(itos(vocab.table), "id")
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("pos", "word"))), lambda p: p["word"])
-    full = named.groupBy(key).agg(F.array_join(ordered, " ").alias("text"))
-    return encoded.select(key).join(full, key, "left").select(key, F.coalesce("text", F.lit("")).alias("text"))
+    long = _numbered(encoded, key, F.col(ids), "ids").select(key, "_row", F.posexplode_outer("ids").alias("pos", "id"))
+    named = long.join(itos(vocab.table).where(F.col("id") >= UNK), "id", "left")
+    pair = F.when(F.col("word").isNotNull(), F.struct("pos", "word"))
+    ordered = F.transform(F.array_sort(F.collect_list(pair)), lambda p: p["word"])
+    return named.groupBy("_row").agg(F.first(key).alias(key), F.array_join(ordered, " ").alias("text")).select(key, "text")

@@ -56,6 +56,27 @@ def test_vocabulary_encodes_and_decodes(spark, monkeypatch, most):
     assert {r.k: r.text for r in vocab.decode(padded, "k", "ids", words).collect()} == {1: "b a b", 2: "a <unk>", 3: ""}
 
 
+@pytest.mark.parametrize("most", [0, 1, 1000])
+def test_repeated_and_null_keys_keep_their_rows_on_both_paths(spark, monkeypatch, most):
+    rows = [(1, "a b"), (1, "a c"), (1, "a b"), (None, "b c"), (None, None), (None, ""), (2, "zz a")]
+    df = spark.createDataFrame(rows, "k int, text string")
+    table = vocab.build(df, "text", 2)
+    ids = {r.word: r.id for r in table.collect()}
+    monkeypatch.setattr(vocab, "BROADCAST_WORDS", most)
+    words = vocab.Vocabulary(table)
+    assert (words.broadcast is None) == (most < 2)
+    encoded = vocab.encode(df, "k", "text", words)
+    want = [(k, [1, *(ids.get(w, 3) for w in (x or "").split()), 2]) for k, x in rows]
+    assert sorted(map(str, ((r.k, r.ids) for r in encoded.collect()))) == sorted(map(str, want))
+    mixed = spark.createDataFrame([(k, [*i, 0, 77]) for k, i in want] + [(None, None), (3, [])], "k int, ids array<long>")
+    told = sorted(map(str, ((r.k, r.text) for r in vocab.decode(mixed, "k", "ids", words).collect())))
+    say = lambda x: " ".join(w if w in ids else "<unk>" for w in (x or "").split())
+    text = lambda rows: sorted(map(str, rows))
+    in_place = [(k, say(x)) for k, x in rows] + [(3, "")]
+    assert told in (text([*in_place, (None, "")]), text([*in_place, (None, None)]))
+    assert told.count("(1, 'a b')") == 2
+
+
 def _bleu(hyps, refs):
     grams = lambda x, n: Counter(tuple(x[i : i + n]) for i in range(len(x) - n + 1))
     out, logs = {}, 0.0
