@@ -6,9 +6,10 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
-#: Parts of a group that ``numbered`` orders by themselves; every row is held against their bounds.
+#: Parts of a group that ``numbered`` and ``running`` order by themselves.
 MOST_PARTS = 512
 
 
@@ -62,16 +63,28 @@ def grouped_list(df: DataFrame, key: str, order: str, value: str, name: str) ->
     return df.groupBy(key).agg(F.transform(pairs, lambda p: p["v"]).alias(name))
 
 
+def with_part(df: DataFrame, order: str, name: str = "_part") -> DataFrame:
+    """``df`` with ``name``: which of MOST_PARTS (or as many as shuffle partitions) ranges of the number ``order`` the row is in.
+
+    Ranges end at quantiles of the whole table; a row's one is found by halving. Null stands in the first.
+    """
+    if not isinstance(df.schema[order].dataType, T.NumericType):
+        raise ValueError(f"{order} must be a number, not {df.schema[order].dataType.simpleString()}")
+    parts = min(MOST_PARTS, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    bounds = sorted(set(df.approxQuantile(order, [i / parts for i in range(1, parts)], 0.5 / parts))) if parts > 1 else []
+    every, x = F.array(*map(F.lit, bounds)).cast("array<double>"), F.col(order)
+    steps = F.array(*(F.lit(1 << k) for k in reversed(range(len(bounds).bit_length()))))
+    up = lambda at, s: F.when((at + s <= len(bounds)) & (F.get(every, at + s - 1) <= x), at + s).otherwise(at)
+    return df.withColumn(name, F.aggregate(steps, F.lit(0), up) if bounds else F.lit(0))
+
+
 def numbered(df: DataFrame, group: Sequence[str], order: str, name: str) -> DataFrame:
     """``df`` with ``name``: the row's place in its group by the number ``order``, from 0 (equal ones in any order).
 
     No group is ordered in one task: rows are parted at quantiles of ``order`` over the whole table,
     numbered within (group, part), and each part starts where the group's parts before it end.
     """
-    parts = min(MOST_PARTS, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    bounds = sorted(set(df.approxQuantile(order, [i / parts for i in range(1, parts)], 0.5 / parts))) if parts > 1 else []
-    part = F.size(F.filter(F.array(*map(F.lit, bounds)).cast("array<double>"), lambda x: x <= F.col(order)))
-    dealt = df.withColumn("_part", part)
+    dealt = with_part(df, order)
     counts = dealt.groupBy(*group, "_part").agg(F.count(F.lit(1)).alias("_n"))
     before = F.sum("_n").over(Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
     starts = counts.select(*group, "_part", F.coalesce(before, F.lit(0)).alias("_start"))
@@ -80,6 +93,25 @@ def numbered(df: DataFrame, group: Sequence[str], order: str, name: str) -> Data
     return local.join(starts, same).select(*(local[c] for c in df.columns), (local["_nth"] + starts["_start"]).cast("long").alias(name))
 
 
+def running(df: DataFrame, group: Sequence[str], order: str, sums: dict[str, Column], tops: dict[str, Column]) -> DataFrame:
+    """``df`` with running values within each group by the number ``order``: the sums up to and with the row, and the
+    greatest values of all rows before it (null for the first).
+
+    A scan in two levels: within ranges of ``order``, and over the ranges' totals (MOST_PARTS rows a group at
+    most). No task holds a group that is a large part of the table.
+    """
+    dealt = with_part(df, order).withColumns({f"_of_{n}": c for n, c in (sums | tops).items()})
+    totals = dealt.groupBy(*group, "_part").agg(*(F.sum(f"_of_{n}").alias(n) for n in sums), *(F.max(f"_of_{n}").alias(n) for n in tops))
+    earlier = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = totals.select(*group, "_part", *(F.coalesce(F.sum(n).over(earlier), F.lit(0)).alias(n) for n in sums), *(F.max(n).over(earlier).alias(n) for n in tops))
+    own = Window.partitionBy(*group, "_part").orderBy(order)
+    upto, before = own.rowsBetween(Window.unboundedPreceding, 0), own.rowsBetween(Window.unboundedPreceding, -1)
+    local = dealt.withColumns({f"_in_{n}": F.sum(f"_of_{n}").over(upto) for n in sums} | {f"_in_{n}": F.max(f"_of_{n}").over(before) for n in tops})
+    same = [local[c].eqNullSafe(starts[c]) for c in (*group, "_part")]
+    whole = [(local[f"_in_{n}"] + starts[n]).alias(n) for n in sums] + [F.greatest(local[f"_in_{n}"], starts[n]).alias(n) for n in tops]
+    return local.join(starts, same).select(*(local[c] for c in df.columns), *whole)
+
+
 def list_digest(df: DataFrame, key: str, place: str, value: str, size: int = 4096) -> DataFrame:
     """(key, n, digest): md5 over a key's values by place, taken in two steps: of each ``size`` values, then of those."""
     ordered = lambda at, v: F.transform(F.array_sort(F.collect_list(F.struct(F.col(at).alias("at"), F.col(v).cast("string").alias("v")))), lambda p: p["v"])

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.operators.relational import running
 
-def should_evaluate(epoch: Column, every: int, last: int) -> Column:
+
+def should_evaluate(epoch: Column, every: int, last: int | Column) -> Column:
     return (epoch % every == 0) | (epoch == last)
 
 
@@ -23,17 +25,16 @@ def next_threshold(seen: Column, every: int) -> Column:
 
 
 def crossings(df: DataFrame, group: str, order: str, samples: str, every: int) -> DataFrame:
-    """``df`` with seen (running sum) and saves (thresholds that the row crosses, maybe several)."""
-    seen = F.sum(samples).over(Window.partitionBy(group).orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
-    summed = df.withColumn("seen", seen)
+    """``df`` with seen (running sum) and saves (thresholds that the row crosses, maybe several); ``order`` is a number."""
+    summed = running(df, [group], order, {"seen": F.col(samples)}, {})
     return summed.withColumn("saves", (F.floor(F.col("seen") / every) - F.floor((F.col("seen") - F.col(samples)) / every)).cast("long"))
 
 
 def best_so_far(df: DataFrame, group: str, order: str, value: str) -> DataFrame:
-    """``df`` with best (running maximum) and improved (strictly above all before)."""
-    w = Window.partitionBy(group).orderBy(order)
-    before = F.max(value).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    return df.withColumn("best", F.greatest(before, F.col(value))).withColumn("improved", before.isNull() | (F.col(value) > before))
+    """``df`` with best (running maximum) and improved (strictly above all before); ``order`` is a number."""
+    found = running(df, [group], order, {}, {"_before": F.col(value)})
+    before = F.col("_before")
+    return found.withColumn("best", F.greatest(before, F.col(value))).withColumn("improved", before.isNull() | (F.col(value) > before)).drop("_before")
 
 
 def save_kind(name: str, allowed: tuple[str, ...] = ("samples", "epoch")) -> str:

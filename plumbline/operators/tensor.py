@@ -79,12 +79,20 @@ def question_context(df: DataFrame, key: str, ids: str, table: DataFrame | None,
     """
     if table is None:
         raise ValueError("ids need a table of vectors")
-    long = df.select(key, F.explode(ids).alias(id_)).groupBy(key, id_).agg(F.count(F.lit(1)).alias("times"))
-    dims = table.select(id_, F.posexplode(v.doubles(F.col(vector))).alias("dim", "x"))
-    means = long.join(dims, id_).groupBy(key, "dim").agg((F.sum(F.col("times") * F.col("x")) / F.sum("times")).alias("m"))
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("dim", "m"))), lambda p: p["m"])  # ``width`` numbers
-    pooled = means.groupBy(key).agg(ordered.alias(vector))
-    return df.select(key).join(pooled, key, "left").withColumn(vector, F.coalesce(vector, F.array_repeat(F.lit(0.0), width)))
+    counts = df.select(key, F.explode(ids).alias(id_)).groupBy(key, id_).agg(F.count(F.lit(1)).alias("times"))
+    return counted_context(df.select(key), counts, key, "times", table, id_, vector, width)
+
+
+def counted_context(keys: DataFrame, counts: DataFrame, key: str, times: str, table: DataFrame, id_: str, vector: str, width: int) -> DataFrame:
+    """(key, vector): mean of the vectors of each key's ids, each as often as ``times`` says; zeros where a key has none.
+
+    ``counts``: key, id, times, one row a pair; so a key of many ids is a number of rows, never a list. Ids are
+    joined with whole vectors, and partial sums of ``width`` numbers are made before the shuffle by key.
+    """
+    weighed = counts.join(table.select(id_, v.doubles(F.col(vector)).alias("_x")), id_)
+    sums = [F.sum(F.col(times) * F.get("_x", F.lit(d))).alias(f"s{d}") for d in range(width)]
+    pooled = weighed.groupBy(key).agg(F.sum(times).alias("_n"), *sums).select(key, F.array(*(F.col(f"s{d}") / F.col("_n") for d in range(width))).alias(vector))
+    return keys.select(key).join(pooled, key, "left").withColumn(vector, F.coalesce(vector, F.array_repeat(F.lit(0.0), width)))
 
 
 def up_to_first(df: DataFrame, group: str, order: str, ends: Column) -> DataFrame:

@@ -1,6 +1,6 @@
 """Registry of every query of the library outside the training-data subpackage, with its SQL."""
 
-from plumbline.plans.oracles import ORACLES
-from plumbline.plans.queries import QUERIES
+from plumbline.plans import oracles, queries, runs
 
-__all__ = ["ORACLES", "QUERIES"]
+QUERIES = queries.QUERIES | runs.QUERIES
+ORACLES = oracles.ORACLES | runs.ORACLES

@@ -188,6 +188,7 @@ sim AS (
   FROM refs r JOIN hyps h USING (grp) LEFT JOIN cos ON cos.grp = r.grp AND cos.ref = r.ref
 ),
 cider AS (SELECT grp, 10 * avg(s) AS cider FROM sim GROUP BY grp)"""
+_EPOCHS = """(SELECT epoch, max(epoch) OVER () AS last, (sum(n) OVER (ORDER BY epoch))::BIGINT AS seen FROM (SELECT ((year(o_orderdate) - 1992) * 12 + month(o_orderdate))::BIGINT AS epoch, count(*) AS n FROM orders GROUP BY 1))"""
 _TURNS = """pairs AS (
   SELECT a.conv_id, b.turn, a.text AS question, b.text AS answer FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1
   WHERE a.role = 'user' AND b.role = 'assistant'
@@ -298,9 +299,9 @@ c AS (SELECT label, parent, token, -parent / 10.0::DOUBLE + CASE WHEN parent = 2
 SELECT label, (row_number() OVER w - 1)::INT AS nth, parent, token, round(score, 6) AS score FROM c WINDOW w AS (PARTITION BY label ORDER BY score DESC, parent, token) QUALIFY nth < {q.BEAM}""",
     "length_norm_pick": f"""WITH {_TEXTS}, n AS (SELECT grp, doc_id, (-len(toks) * 1.5::DOUBLE - doc_id % 7) / greatest(len(toks), 1)::DOUBLE ** 0.7::DOUBLE AS norm FROM texts)
 SELECT grp, doc_id, round(norm, 6) AS norm FROM n QUALIFY row_number() OVER (PARTITION BY grp ORDER BY norm DESC, doc_id) = 1""",
-    "eval_schedule": "SELECT epoch, epoch % 5 = 0 OR epoch = 32 AS evaluate FROM (SELECT unnest(generate_series(1, 32)) AS epoch)",
-    "ss_prob": "SELECT epoch, round(least(0.24::DOUBLE, (epoch // 4) * 0.06::DOUBLE), 6) AS probability FROM (SELECT unnest(generate_series(1, 32)) AS epoch)",
-    "lr_decay": "SELECT epoch, round(0.0005::DOUBLE * pow(0.6::DOUBLE, epoch // 4), 12) AS rate FROM (SELECT unnest(generate_series(1, 32)) AS epoch)",
+    "eval_schedule": f"SELECT epoch, seen, epoch % 5 = 0 OR epoch = last AS evaluate FROM {_EPOCHS}",
+    "ss_prob": f"SELECT epoch, seen, round(least(0.24::DOUBLE, (epoch // 4) * 0.06::DOUBLE), 6) AS probability FROM {_EPOCHS}",
+    "lr_decay": f"SELECT epoch, seen, round(0.0005::DOUBLE * pow(0.6::DOUBLE, epoch // 4), 12) AS rate FROM {_EPOCHS}",
     "checkpoint_crossings": """WITH s AS (SELECT o_custkey, o_orderkey, o_orderkey % 700 + 1 AS samples, sum(o_orderkey % 700 + 1) OVER (PARTITION BY o_custkey ORDER BY o_orderkey)::BIGINT AS seen FROM orders)
 SELECT o_custkey, o_orderkey, seen, seen // 500 - (seen - samples) // 500 AS saves, (seen // 500 + 1) * 500 AS next_at FROM s""",
     "best_so_far": """SELECT o_custkey, o_orderkey, max(o_totalprice) OVER w AS best,
@@ -311,7 +312,7 @@ FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM labels WHERE quality = 1
     "seeded_sample": f"SELECT doc_id, lang FROM documents ORDER BY {_DRAWN.format(42, 'doc_id')}, doc_id LIMIT 100",
     "shuffled_rows": f"SELECT doc_id, row_number() OVER (ORDER BY {_DRAWN.format(42, 'doc_id')}) - 1 AS place FROM documents",
     "batch_ids": f"SELECT lang, doc_id, (row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1) // {q.BATCH} AS batch FROM documents",
-    "question_context": f"""WITH {_VEC}, ev AS (SELECT user_id AS c, event_id % {q.LOOKED_UP} AS vec_id FROM events),
+    "question_context": f"""WITH {_VEC}, ev AS (SELECT user_id AS c, event_id % (SELECT count(*) FROM embeddings) AS vec_id FROM events),
 n AS (SELECT c, count(*) AS n FROM ev GROUP BY c), w AS (SELECT c, n, max(n) OVER (PARTITION BY c // {q.BATCH}) AS w FROM n),
 ids AS (SELECT c, vec_id FROM ev UNION ALL SELECT c, 0 FROM (SELECT c, unnest(generate_series(1, w - n)) FROM w)),
 {_LONG.format('vec')}, m AS (SELECT c, dim, avg(v) AS m FROM ids JOIN long USING (vec_id) GROUP BY c, dim)

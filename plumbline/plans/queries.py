@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions import text as t
@@ -14,8 +14,8 @@ from plumbline.sources.images import image_name
 #: Rows that stand for image regions in a group, and slots of a padded group.
 REGIONS, SLOTS, WIDTH = 32, 50, 64
 MIN_FREQ, BATCH, MOST_TOKENS = 4, 32, 20
-#: Values of a list that one digest is taken of; vectors that events stand for.
-LIST_PART, LOOKED_UP = 50, 200
+#: Values of a list that one digest is taken of.
+LIST_PART = 50
 BEAM = 5
 
 # Question templates by key (fixed values of the test queries): {n} is a part's name, {k} its type.
@@ -359,23 +359,27 @@ def length_norm_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("grp", "doc_id", F.round("norm", 6).alias("norm"))
 
 
-def _epochs(spark: SparkSession, n: int) -> DataFrame:
-    return spark.range(1, n + 1).withColumnRenamed("id", "epoch")
+def _epochs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(epoch, last, seen): the months with orders as epochs, counted from 1992, and the orders up to and with each."""
+    month = (F.year("o_orderdate") - 1992) * 12 + F.month("o_orderdate")
+    counts = load(spark, sf_dir, "orders").groupBy(month.cast("long").alias("epoch")).agg(F.count(F.lit(1)).alias("n"))
+    sofar = F.sum("n").over(Window.orderBy("epoch"))  # a row a month
+    return counts.select("epoch", F.max("epoch").over(Window.partitionBy()).alias("last"), sofar.alias("seen"))
 
 
 def eval_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = F.col("epoch")
-    return _epochs(spark, 32).select(e, schedule.should_evaluate(e, 5, 32).alias("evaluate"))
+    return _epochs(spark, sf_dir).select(e, "seen", schedule.should_evaluate(e, 5, F.col("last")).alias("evaluate"))
 
 
 def ss_prob(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = F.col("epoch")
-    return _epochs(spark, 32).select(e, F.round(schedule.sampling_probability(e, 0.06, 4, 0.24), 6).alias("probability"))
+    return _epochs(spark, sf_dir).select(e, "seen", F.round(schedule.sampling_probability(e, 0.06, 4, 0.24), 6).alias("probability"))
 
 
 def lr_decay(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = F.col("epoch")
-    return _epochs(spark, 32).select(e, F.round(schedule.step_rate(5e-4, 0.6, 4, e), 12).alias("rate"))
+    return _epochs(spark, sf_dir).select(e, "seen", F.round(schedule.step_rate(5e-4, 0.6, 4, e), 12).alias("rate"))
 
 
 def checkpoint_crossings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -401,12 +405,15 @@ def seeded_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def question_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per customer, the mean of the vectors that their events stand for, padded with vector 0 to the longest of a
-    batch of 32 customers; zeros for customers without events."""
-    events = load(spark, sf_dir, "events").select("user_id", (F.col("event_id") % LOOKED_UP).alias("vec_id"))
-    lists = events.groupBy(F.col("user_id").alias("c_custkey")).agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))  # one customer's events
-    padded = vocab.padded(lists.withColumn("batch", F.floor(F.col("c_custkey") / BATCH)), "batch")
-    rows = load(spark, sf_dir, "customer").select("c_custkey").join(padded.drop("batch"), "c_custkey", "left")
-    found = tensor.question_context(rows, "c_custkey", "ids", load(spark, sf_dir, "embeddings"), "vec_id", "embedding", WIDTH)
+    batch of 32 customers; zeros for customers without events. Events stand for all vectors in turn."""
+    table = load(spark, sf_dir, "embeddings")
+    events = load(spark, sf_dir, "events").select(F.col("user_id").alias("c_custkey"), (F.col("event_id") % table.count()).alias("vec_id"))
+    counts = events.groupBy("c_custkey", "vec_id").agg(F.count(F.lit(1)).alias("times"))
+    lengths = counts.groupBy("c_custkey").agg(F.sum("times").alias("n")).withColumn("batch", F.floor(F.col("c_custkey") / BATCH))
+    longest = F.max("n").over(Window.partitionBy("batch"))  # BATCH rows
+    padding = lengths.select("c_custkey", F.lit(0).cast("long").alias("vec_id"), (longest - F.col("n")).alias("times")).where("times > 0")
+    both = counts.unionByName(padding)
+    found = tensor.counted_context(load(spark, sf_dir, "customer"), both, "c_custkey", "times", table, "vec_id", "embedding", WIDTH)
     return _by_dim(found, ["c_custkey"], "embedding")
 
 

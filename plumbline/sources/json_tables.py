@@ -1,7 +1,6 @@
 """Question, annotation and caption files: one JSON object each, with an array of records.
 
-Schemas are fixed, never inferred. A multi-line file is one split; write the tables as parquet once
-(``as_parquet``) before heavy use.
+Schemas are fixed, never inferred. A file is read by byte ranges, however long its only line is.
 """
 
 from __future__ import annotations
@@ -11,15 +10,16 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-QUESTIONS = "questions array<struct<question_id:bigint,image_id:bigint,question:string>>"
-ANNOTATIONS = "annotations array<struct<question_id:bigint,answers:array<struct<answer:string>>>>"
-CAPTIONS = "annotations array<struct<image_id:bigint,caption:string>>"
+from plumbline.sources.json_split import read_records
 
+QUESTIONS = "question_id bigint, image_id bigint, question string"
+ANNOTATIONS = "question_id bigint, answers array<struct<answer:string>>"
+CAPTIONS = "image_id bigint, caption string"
 
-def _records(spark: SparkSession, path: str, schema: str, field: str) -> DataFrame:
+
+def _records(spark: SparkSession, path: str, element: str, field: str) -> DataFrame:
     """The records of the array, with pos: their place in the file."""
-    whole = spark.read.option("multiLine", True).schema(schema).json(path)
-    return whole.select(F.posexplode(field).alias("pos", "r")).select("pos", "r.*")
+    return read_records(spark, path, field, element).drop("file").withColumn("pos", F.col("pos").cast("int"))
 
 
 def read_questions(spark: SparkSession, path: str) -> DataFrame:

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,6 +30,30 @@ def write_captions(captions: DataFrame, path: str, questions: str, annotations:
     captions.write.mode("overwrite").json(f"{path}/annotations")
 
 
+def write_array_files(df: DataFrame, path: str, field: str) -> None:
+    """One file per task: a JSON object whose array ``field`` holds the task's rows, a record a line. Each is valid JSON by itself."""
+    rows = df.select(F.to_json(F.struct(*df.columns)).alias("value"))
+
+    def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one = lambda values: pa.RecordBatch.from_arrays([values], names=["value"])
+        yield one(pa.array([f'{{"{field}": [']))
+        waiting = None  # the last record has no comma behind it
+        for batch in batches:
+            if not len(batch):
+                continue
+            if waiting is not None:
+                yield one(pc.binary_join_element_wise(waiting, ",", ""))
+            own = batch.column(0)
+            if len(own) > 1:
+                yield one(pc.binary_join_element_wise(own.slice(0, len(own) - 1), ",", ""))
+            waiting = own.slice(len(own) - 1)
+        if waiting is not None:
+            yield one(waiting)
+        yield one(pa.array(["]}"]))
+
+    rows.mapInArrow(lines, "value string").write.mode("overwrite").text(path)
+
+
 def report(captions: DataFrame, first: int = 5) -> tuple[DataFrame, DataFrame]:
     """Rules by count with their share, and the first rows by question id."""
     return rule_histogram(captions).orderBy(F.desc("n"), "rule"), captions.orderBy("question_id").limit(first)
