@@ -17,18 +17,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbline.llm.common import cut, map_texts
+from plumbline.llm.common import cut, join_narrow, map_texts
 
 #: Width of a vector; centroids per language; rounds of k-means.
 WIDTH, CENTROIDS, ROUNDS = 1 << 13, 4, 12
 #: Labelled rows per language that the fit uses (the documented bound); characters of each in the vector are all of it.
 SAMPLE_PER_LANGUAGE = 600
-#: Languages whose row counts are broadcast; more are joined by shuffle.
-BROADCAST_LANGUAGES = 10_000
 #: Languages whose centroids one pass over the texts holds (128 KB each); more take more passes.
 PASS_LANGUAGES = 256
-#: Rows looked at for each row of the sample.
-MARGIN = 8
 #: A text is rejected below its nearest language's floor: this share of the low quantile of the cosines that the
 #: language's own labelled texts have with centroids learnt from others of them.
 FLOOR_QUANTILE, FLOOR_SHARE = 0.01, 2 / 3
@@ -128,25 +124,35 @@ def vectors(df: DataFrame, text: str, keep: list[str]) -> DataFrame:
     return map_texts(df, text, compute, out, keep, as_bytes=False)
 
 
+def sampled(rows: DataFrame, per_language: int) -> DataFrame:
+    """(lang, nth, text): of each language, the ``per_language`` rows of the least ``at``, then ``tie``; all if there are fewer.
+
+    ``rows``: lang, at, tie (two hashes of the row), text. The choice is made on the hashes alone, and exactly: each
+    partition keeps its own first ones before anything is shuffled, so neither a language nor a key that holds
+    much of the table comes to one task. Rows that are equal in both hashes are one text that counts as often
+    as it was chosen; its copies are reduced where they lie.
+    """
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy("at", "tie"))
+    chosen = rows.select("lang", "at", "tie").withColumn("nth", nth).where(F.col("nth") <= per_language)
+    times = cut(chosen.groupBy("lang", "at", "tie").agg(F.count(F.lit(1)).alias("times")))
+    found = join_narrow(rows, times, ["lang", "at", "tie"]).groupBy("lang", "at", "tie").agg(F.max("times").alias("times"), F.any_value("text").alias("text"))
+    each = found.select("lang", "at", "tie", "text", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))).alias("k"))
+    return each.select("lang", F.row_number().over(Window.partitionBy("lang").orderBy("at", "tie", "k")).alias("nth"), "text")
+
+
 def fit(df: DataFrame, text: str = "text", lang: str = "lang", order: str | None = None, per_language: int = SAMPLE_PER_LANGUAGE, k: int = CENTROIDS) -> Model:
     """The model learnt from at most ``per_language`` rows of each language: those with letters in their
-    text and the least hash of ``order`` (by default of the text).
+    text and the least hash of ``order`` (if given) and the text.
 
     Rows without text or language are left out; from a table without any, no language is learnt.
     Sampled texts are turned into vectors where they lie, so what a language's task gathers is bounded
     by ``per_language`` vectors. The driver gets document frequencies (WIDTH numbers) and the names of
     the languages; centroids stay a table.
     """
-    at = F.pmod(F.xxhash64(F.col(f"`{order or text}`")), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    rows = df.select(F.col(f"`{lang}`").cast("string").alias("lang"), F.col(f"`{text}`").cast("string").alias("text"), at.alias("at"))
-    rows = rows.where(r"lang is not null and text rlike '\\p{L}'")
-    # rows that can be among the first of their language: a few times as many as are wanted, at any size
-    sizes = cut(rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")))
-    near = rows.join(F.broadcast(sizes) if sizes.count() <= BROADCAST_LANGUAGES else sizes, "lang").where(F.col("at") * F.col("n") <= MARGIN * per_language)
-    nth = F.row_number().over(Window.partitionBy("lang").orderBy("at", F.length("text"), "text"))
-    sample = near.withColumn("nth", nth).where(F.col("nth") <= per_language).select("lang", "nth", "text")
-    known = cut(vectors(sample, "text", ["lang", "nth"]))
-    langs = sorted(r.lang for r in sizes.select("lang").collect())
+    own = [F.col(f"`{c}`") for c in ([order] if order else []) + [text]]
+    rows = df.select(F.col(f"`{lang}`").cast("string").alias("lang"), F.col(f"`{text}`").cast("string").alias("text"), F.xxhash64(*own).alias("at"), F.hash(*own).alias("tie"))
+    known = cut(vectors(sampled(rows.where(r"lang is not null and text rlike '\\p{L}'"), per_language), "text", ["lang", "nth"]))
+    langs = sorted(r.lang for r in known.select("lang").distinct().collect())
     if not langs:
         return Model(np.ones(WIDTH, np.float32), None, [])
     total, within = known.count(), np.zeros(WIDTH)

@@ -5,6 +5,7 @@ import random
 import zlib
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from plumbline.llm import catalog, language
@@ -61,13 +62,38 @@ def test_more_languages_than_a_pass_holds(spark, monkeypatch):
     model = language.fit_on_fold(docs)
     one = {r.doc_id: r for r in language.identify(docs, model).collect()}
     monkeypatch.setattr(language, "PASS_LANGUAGES", 1)
-    monkeypatch.setattr(language, "BROADCAST_LANGUAGES", 1)
     many = language.identify(docs, language.fit_on_fold(docs), keep=["doc_id", "Score"])
     assert many.columns == ["doc_id", "lang_pred", "score", "rejected"]
     for r in many.collect():
         assert (r.lang_pred, r.rejected) == (one[r.doc_id].lang_pred, one[r.doc_id].rejected) and abs(r.score - one[r.doc_id].score) < 1e-5
 
 
+def test_a_key_that_holds_all_rows_of_a_language(spark):
+    words = {"es": "el perro grande come la manzana roja y bebe agua fresca cada noche".split(), "en": "the small bird sings while the old farmer walks home through wet fields".split()}
+    rng = random.Random(4)
+    say = lambda lang: " ".join(rng.choices(words[lang], k=12))
+    for key in (1, 2, 3, 17, -5, 2**62):  # hashes at both ends of the range
+        rows = [(key, say("es"), "es") for _ in range(900)] + [(i, say("en"), "en") for i in range(300)]
+        df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+        model = language.fit(df, order="doc_id", per_language=60)
+        assert model.langs == ["en", "es"]
+        got = language.identify(df, model).groupBy("lang", "lang_pred").count().collect()
+        assert {(r.lang, r.lang_pred) for r in got} == {("es", "es"), ("en", "en")}
+
+
+def test_the_sample_is_exact_and_holds_repeats_as_often_as_they_are_chosen(spark):
+    rows = [("a", i * 7 % 11, i % 3, f"t{i * 7 % 11}-{i % 3}") for i in range(500)] + [("b", 5, 5, "same")] * 40 + [("c", 1, 1, "one")]
+    df = spark.createDataFrame(rows, "lang string, at long, tie int, text string").repartition(7)
+    got = sorted((r.lang, r.nth, r.text) for r in language.sampled(df, 30).collect())
+    want = []
+    for lang in "abc":
+        own = sorted((r[1], r[2], r[3]) for r in rows if r[0] == lang)[:30]
+        want += [(lang, k + 1, t) for k, (_, _, t) in enumerate(own)]
+    assert got == want
+    # a partition keeps a language's first rows before they are shuffled
+    assert "WindowGroupLimit" in df.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("at", "tie"))).where("n <= 600")._jdf.queryExecution().toString()
+
+
 def test_letterless_texts_take_no_place_of_the_sample(spark):
     rows = [(i, "12 34" if i % 50 else f"abc def {i}", "x") for i in range(2000)]
     sampled = language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), order="doc_id", per_language=30, k=2)
