@@ -1,6 +1,9 @@
 """Operator 2: Wu-Manber over words against a plain search."""
 
 import hashlib
+import pickle
+import random
+import tracemalloc
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -40,8 +43,8 @@ def test_cases_and_many_passes(spark):
     texts = [None, "", "!!", f"x {long.upper()} y", "short ITEM! short item", " ".join(f"w{i}" for i in range(5, 15)), "an ÉTÉ été", ("w1 " * 50_000) + long, f"x {long.upper()} y"]
     bench = spark.createDataFrame(items, "item_id string, text string")
     docs = spark.createDataFrame([(i, t, "clash") for i, t in enumerate(texts)], "doc_id long, text string, Hits string")
-    for limit in (decontaminate.PASS_BYTES, 100):
-        got = {r.doc_id: r for r in digest(benchmark_hits(docs, bench, pass_bytes=limit)).collect()}
+    for limit in ({}, {"pass_bytes": 100}, {"pass_windows": 3}):  # the first item is split over passes
+        got = {r.doc_id: r for r in digest(benchmark_hits(docs, bench, **limit)).collect()}
         assert len(got) == len(texts)
         for i, t in enumerate(texts):
             if len(t or "") < 1000:
@@ -51,5 +54,18 @@ def test_cases_and_many_passes(spark):
     assert benchmark_hits(docs.limit(0), bench).count() == 0
 
 
+def test_a_pass_of_windows_stays_small():
+    """A tenth of a full pass; its tables and its pickle must stay below a tenth of 500 MB."""
+    rng, n = random.Random(1), decontaminate.PASS_WINDOWS // 10
+    words = [f"word{i}" for i in range(20_000)]
+    text = " ".join(rng.choices(words, k=n + decontaminate.WINDOW - 1)).encode()
+    tracemalloc.start()
+    tables = pickle.loads(pickle.dumps(decontaminate.build((w, ["item"]) for w in decontaminate.windows_of(text))))
+    held = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert sum(len(p) for b in tables[0].bucket.values() for p in b.values()) == n
+    assert held < 50_000_000
+
+
 def test_query_against_sql(spark):
     assert_same(catalog.op2_wu_manber(spark, SF), connect(SF), catalog.ORACLES["op2_wu_manber"])
