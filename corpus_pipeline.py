@@ -32,12 +32,14 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def drop_repeated_runs(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without later copies of repeated line runs; documents of which nothing is left go, and
-    n_chars follows the text where it changed."""
+    n_chars, if there is one, follows the text where it changed."""
     own, restored = shielded(docs, ("n_lines", "n_removed_lines"))
     found = linededup.drop_repeated_lines(own)
     changed = F.col("n_removed_lines") > 0
     left = found.where(~(changed & (F.col("text") == "")))
-    return restored(left.withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars"))))
+    if "n_chars" in left.columns:
+        left = left.withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    return restored(left)
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
