@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import text as t
 from plumbline.functions import vectors as v
-from plumbline.operators import decode, relation, sampler
-from plumbline.plans.queries import REGIONS, WIDTH, load
-from plumbline.sources import json_split, sinks
+from plumbline.operators import decode, relation, resize, sampler
+from plumbline.plans import oracles
+from plumbline.plans.queries import REGIONS, WIDTH, captions, load
+from plumbline.sources import caption_sink, json_split, sinks
+from plumbline.sources.feature_cache import FeatureCache
 from plumbline.stored import shared_folder
 from plumbline.streaming import run_states
 
@@ -94,7 +96,33 @@ def stream_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/out").withColumnsRenamed({"run": "o_custkey", "batch": "o_orderkey"})
 
 
-QUERIES = {f.__name__: f for f in (json_turns, relation_update, beam_captions, greedy_captions, scheduled_mix, sampler_ranks, stream_runs)}
+def resized_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors as images of 8 x 8 pixels at 5 x 11, bilinear, corners not aligned."""
+    found = resize.resize_images(load(spark, sf_dir, "embeddings"), "vec_id", "embedding", (1, 8, 8), 5, 11)
+    return found.select("vec_id", F.posexplode("embedding").alias("at", "value")).withColumn("value", F.round("value", 6) + 0.0)
+
+
+def feature_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Features of documents through a cache in two batches that share keys; the second finds the first's."""
+    docs = load(spark, sf_dir, "documents")
+    cache = FeatureCache(spark, f"{shared_folder(spark)}/features-{uuid.uuid4().hex}", "doc_id")
+    compute = lambda keys: docs.join(keys, "doc_id").select("doc_id", F.length("text").cast("long").alias("chars"))
+    cache.read_through("labelled", load(spark, sf_dir, "labels"), compute)
+    known = cache.table().select("doc_id", F.lit(True).alias("was_there"))
+    found = cache.read_through("all", docs, compute, whole=False)
+    return found.join(known, "doc_id", "left").select("doc_id", "chars", F.coalesce("was_there", F.lit(False)).alias("was_there"))
+
+
+def sink_header(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Captions written by the sink that counts as it writes; its header, one row a rule."""
+    caption_sink.register(spark)
+    path = f"{shared_folder(spark)}/captions-{uuid.uuid4().hex}"
+    captions(spark, sf_dir).write.format("caption_json").mode("overwrite").option("path", path).save()
+    head = spark.read.schema("num_samples bigint, rule_counts map<string,bigint>").json(f"{path}/{caption_sink.HEADER}")
+    return head.select("num_samples", F.explode("rule_counts").alias("rule", "n"))
+
+
+QUERIES = {f.__name__: f for f in (json_turns, relation_update, beam_captions, greedy_captions, scheduled_mix, sampler_ranks, stream_runs, resized_images, feature_cache, sink_header)}
 
 _W = "((r * 31 + c * 17 + {0} * 7) % 23 - 11) / 64.0::DOUBLE"
 _B = "((r * 5 + {0}) % 7 - 3) / 16.0::DOUBLE"
@@ -192,5 +220,12 @@ ORACLES = {
 SELECT o_custkey, o_orderkey, seen, seen // 500 - (seen - samples) // 500 AS saves, (seen // 500 + 1) * 500 AS next_at, best,
   o_totalprice > coalesce(max(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '-inf'::DOUBLE) AS improved
 FROM s""",
+    "resized_images": """WITH p AS (SELECT a * 11 + b AS spot, greatest(0, least(7, (a + 0.5::DOUBLE) * 1.6::DOUBLE - 0.5::DOUBLE)) AS y, greatest(0, least(7, (b + 0.5::DOUBLE) * (8 / 11::DOUBLE) - 0.5::DOUBLE)) AS x
+  FROM (SELECT unnest(generate_series(0, 4)) AS a), (SELECT unnest(generate_series(0, 10)) AS b)),
+c AS (SELECT spot, floor(y)::INT AS y0, least(floor(y)::INT + 1, 7) AS y1, y - floor(y) AS fy, floor(x)::INT AS x0, least(floor(x)::INT + 1, 7) AS x1, x - floor(x) AS fx FROM p),
+e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings)
+SELECT vec_id, spot::INT AS "at", round((v[y0 * 8 + x0 + 1] * (1 - fy) + v[y1 * 8 + x0 + 1] * fy) * (1 - fx) + (v[y0 * 8 + x1 + 1] * (1 - fy) + v[y1 * 8 + x1 + 1] * fy) * fx, 6) + 0 AS value FROM e, c""",
+    "feature_cache": "SELECT doc_id, length(text) AS chars, doc_id IN (SELECT doc_id FROM labels) AS was_there FROM documents",
+    "sink_header": oracles.ORACLES["rule_histogram"].join(["SELECT (sum(n) OVER ())::BIGINT AS num_samples, rule, n FROM (", ")"]),
     "scheduled_mix": _MIX, "sampler_ranks": _SAMPLER,
 }
