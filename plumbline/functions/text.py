@@ -79,6 +79,7 @@ def _sentence(*parts) -> Column:
 def negated(c: Column) -> Column:
     """``not`` after the first auxiliary of a simple statement, else a denial of the whole of it."""
     s = F.regexp_replace(c, r"\.+$", "")
+    # fixed value: the shape of a statement that takes "not"
     shape = r"(?i)^(The|There|This|That|These|Those)\s+(.+?)\s+(is|are|was|were|has|have|can)\s+(.+)$"
     part = [F.regexp_extract(s, shape, k) for k in range(1, 5)]
     return F.when(F.rlike(s, F.lit(shape)), _sentence(part[0], " ", part[1], " ", part[2], " not ", part[3], ".")).otherwise(

@@ -78,6 +78,11 @@ def with_part(df: DataFrame, order: str, name: str = "_part") -> DataFrame:
     return df.withColumn(name, F.aggregate(steps, F.lit(0), up) if bounds else F.lit(0))
 
 
+def small(df: DataFrame, rows: int = 100_000) -> DataFrame:
+    """``df``, marked for broadcast if it has at most so many rows (of a few values each); counted first, no further than that."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def numbered(df: DataFrame, group: Sequence[str], order: str, name: str) -> DataFrame:
     """``df`` with ``name``: the row's place in its group by the number ``order``, from 0 (equal ones in any order).
 

@@ -37,6 +37,9 @@ def _be(question: Column) -> Column:
     return F.when(F.contains(question, F.lit(" are ")), "are").otherwise("is")
 
 
+# Fixed values that results depend on: the rules' names and order, their patterns and their sentences.
+
+
 def what_color(q: Column, a: Column) -> Column:
     return _matched(q, r"^what color(?:s)? (?:is|are) (?:the )?(.+)$", lambda x: _say("The ", t.strip(x), " ", _be(q), " ", a, "."))
 

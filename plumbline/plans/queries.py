@@ -218,7 +218,7 @@ def _hyps_refs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Per (lang, source): the first document is the hypothesis, the others are its references."""
     docs = _texts(spark, sf_dir)
     first = docs.groupBy("grp").agg(F.min("doc_id").alias("first"))
-    both = docs.join(F.broadcast(first), "grp")  # groups of language and source: a bounded dimension
+    both = docs.join(relational.small(first), "grp")
     refs = both.where("doc_id <> first").select("grp", F.col("doc_id").alias("ref"), "toks")
     hyps = both.where("doc_id = first").select("grp", "toks")
     return hyps.join(refs.select("grp").distinct(), "grp", "left_semi"), refs

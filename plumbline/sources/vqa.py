@@ -34,11 +34,16 @@ def caption_lists(spark: SparkSession, captions: str) -> DataFrame:
 
 
 def caption_samples(spark: SparkSession, captions: str, image_ids: DataFrame | None = None, most_images: int | None = None) -> DataFrame:
-    """(image_id, caption), one row per caption, of the first ``most_images`` ids; an empty id table means all."""
-    lists = caption_lists(spark, captions)
+    """(image_id, pos, caption), one row per caption, of the first ``most_images`` ids; an empty id table means all.
+
+    pos is the caption's place in the file. No list is made: captions stay rows, and only ids are capped.
+    """
+    rows = read_captions(spark, captions)
     if image_ids is not None and not image_ids.isEmpty():
-        lists = lists.join(image_ids.select("image_id").distinct(), "image_id", "left_semi")
-    return relational.capped(lists, ["image_id"], most_images).select("image_id", F.explode("captions").alias("caption"))
+        rows = rows.join(image_ids.select("image_id").distinct(), "image_id", "left_semi")
+    if most_images is not None and most_images > 0:
+        rows = rows.join(relational.capped(rows.select("image_id").distinct(), ["image_id"], most_images), "image_id", "left_semi")
+    return rows.select("image_id", "pos", "caption")
 
 
 def batched_samples(samples: DataFrame, key: str, text: str, vocab: Vocabulary, most_tokens: int, batch: int, most: int | None = None) -> DataFrame:

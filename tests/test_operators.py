@@ -180,6 +180,10 @@ def test_files_in_and_out(spark, tmp_path):
     assert [r.question_id for r in json_tables.all_question_ids(spark, paths[0], 2).collect()] == [2, 1]
     assert {r.image_id: r.captions for r in vqa.caption_lists(spark, paths[2]).collect()} == {9: ["one", "two"], 8: ["x"]}
     assert vqa.caption_samples(spark, paths[2], most_images=1).count() == 1
+    samples = lambda ids=None: sorted((r.image_id, r.pos, r.caption) for r in vqa.caption_samples(spark, paths[2], ids).collect())
+    assert [(i, c) for i, _, c in samples()] == [(8, "x"), (9, "one"), (9, "two")]
+    assert [c for _, _, c in samples(spark.createDataFrame([(9,), (9,), (77,)], "image_id long"))] == ["one", "two"]
+    assert len(samples(spark.createDataFrame([], "image_id long"))) == 3
     sinks.write_captions(made, str(tmp_path / "out"), *paths[:2])
     info = spark.read.json(str(tmp_path / "out/info")).first()
     assert info.num_samples == 2 and info.rule_counts.what_color == 1
@@ -194,6 +198,12 @@ def test_files_in_and_out(spark, tmp_path):
     assert (cfg["a"], cfg["b"], config.cache_folder(cfg, "region", "val"), config.cache_folder(cfg, "global", "val")) == ("/root/x/y", "/z", "r/val", None)
 
 
+def test_yaml_settings_read_as_json_ones(tmp_path):
+    pytest.importorskip("yaml")
+    (tmp_path / "c.yaml").write_text("a: x/y\nnested:\n  on: true\nlist: [1, 2]\n")
+    assert config.load_config(str(tmp_path / "c.yaml")) == {"a": "x/y", "nested": {True: True}, "list": [1, 2]}
+
+
 def test_read_through_computes_only_what_is_missing(spark, tmp_path):
     seen = []
 
