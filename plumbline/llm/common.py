@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 from collections.abc import Callable, Iterable, Iterator
 from functools import reduce
@@ -35,6 +36,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def give_back() -> None:
+    """Hands memory that this Python worker has freed back to the machine; workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def emptied(spark: SparkSession, path: str, schema: T.StructType) -> None:
     """Puts an empty table in the place of one in the shared folder that nothing reads any more."""
     spark.createDataFrame([], schema).write.mode("overwrite").parquet(path)
@@ -77,6 +86,11 @@ def free_name(df: DataFrame, base: str) -> str:
     return name
 
 
+def key_name(key: str, fresh: Iterable[str]) -> str:
+    """The name of a key in a result: its own, or ``<key>_of_input`` where a new column has that name (in any case)."""
+    return f"{key}_of_input" if key.lower() in {n.lower() for n in fresh} else key
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

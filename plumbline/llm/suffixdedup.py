@@ -23,13 +23,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbline.llm.common import BROADCAST_BYTES, cut, free_name, join_hot, shared_folder
+from plumbline.llm.common import BROADCAST_BYTES, cut, free_name, give_back, join_hot, shared_folder
 
 LENGTH, ANCHOR = 50, 16
 #: Bytes of text in a block, and in one step of the hashing of a block.
-BLOCK_BYTES, STEP = 4 << 20, 1 << 19
+BLOCK_BYTES, STEP = 1 << 20, 1 << 19
 #: Anchors in one group that is looked through, and bytes of the whole texts for each collection.
-GROUP_ANCHORS, COLLECTION_BYTES = 1 << 21, 4 << 20
+GROUP_ANCHORS, COLLECTION_BYTES = 1 << 21, 2 << 20
 #: Stretches of one anchor beyond which it is no longer a collection's key: each of its strings chooses for itself.
 HEAVY = 1 << 15
 #: The order of rows without a key: after all others, and equal to each other.
@@ -49,27 +49,55 @@ def _schema(longs: str = "", ints: str = "", blobs: str = "", long_lists: str =
 BLOCKS = _schema(longs="block", blobs="body", long_lists="ords ends", blob_lists="digests")
 ASKED = _schema(longs="block", ints="bucket", blobs="keys many")
 TOLD = _schema(longs="block", ints="bucket", blobs="shared heavy")
-PIECES = _schema(longs="block", ints="bucket", blobs="body", long_lists="lo start ord", int_lists="lens piece doc")
-FOUND = _schema(longs="block", ints="bucket", long_lists="least", int_lists="runs sizes")
+PIECES = _schema(longs="block", ints="bucket", blobs="body", long_lists="ord", int_lists="lens piece doc start")
+GONE = _schema(longs="block start end", ints="doc")
 
 
 # --- the collection ---------------------------------------------------------------------------------------
 
 
 class _RangeMin:
-    """Least value of ranges of an array, by doubling."""
-
-    def __init__(self, values: np.ndarray, longest: int):
-        self.levels = np.empty((max(1, longest.bit_length()), len(values)), np.uint8)
-        self.levels[0] = values
-        for k in range(1, len(self.levels)):
-            half, last, own = 1 << (k - 1), self.levels[k - 1], self.levels[k]
+    """Least value of ranges of an array: by doubling up to WIDE places, and beyond that over blocks of as many."""
+
+    LEVELS = 6
+    WIDE = 1 << LEVELS
+
+    def __init__(self, values: np.ndarray):
+        self.near = self._levels(values, self.LEVELS + 1)
+        whole = len(values) // self.WIDE
+        ends = self.near[-1][: whole * self.WIDE : self.WIDE]
+        self.far = self._levels(ends, max(1, len(ends).bit_length()))
+
+    @staticmethod
+    def _levels(values: np.ndarray, n: int) -> np.ndarray:
+        levels = np.empty((n, len(values)), np.uint8)
+        levels[0] = values
+        for k in range(1, n):
+            half, last, own = 1 << (k - 1), levels[k - 1], levels[k]
             np.minimum(last[:-half], last[half:], out=own[:-half])
             own[-half:] = last[-half:]
+        return levels
 
-    def __call__(self, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    @staticmethod
+    def _least(levels: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
         k = np.frexp((last - first + 1).astype(np.float64))[1] - 1
-        return np.minimum(self.levels[k, first], self.levels[k, last + 1 - (1 << k.astype(np.int64))])
+        return np.minimum(levels[k, first], levels[k, last + 1 - (1 << k.astype(np.int64))])
+
+    def __call__(self, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """The least of values[first..last], range by range."""
+        wide = last - first >= self.WIDE
+        if not wide.any():
+            return self._least(self.near, first, last)
+        out = np.empty(len(first), np.uint8)
+        out[~wide] = self._least(self.near, first[~wide], last[~wide])
+        a, b = first[wide], last[wide]
+        least = np.minimum(self.near[-1][a], self.near[-1][b + 1 - self.WIDE])
+        x, y = -(-a // self.WIDE), (b + 1) // self.WIDE - 1  # blocks that lie inside
+        inner = x <= y
+        if inner.any():
+            least[inner] = np.minimum(least[inner], self._least(self.far, x[inner], y[inner]))
+        out[wide] = least
+        return out
 
 
 def collection_bwt(body: np.ndarray, lens: np.ndarray, cap: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -83,43 +111,44 @@ def collection_bwt(body: np.ndarray, lens: np.ndarray, cap: int) -> tuple[np.nda
     those behind them get new common prefixes, one more than the least between their origins.
     """
     m, ends = len(lens), np.cumsum(lens)
-    bwt, lcp, origin, begin = body[ends - 1].copy(), np.zeros(m, np.uint8), np.zeros(0, np.int32), np.zeros(257, np.int64)
-    who, at = np.arange(m), np.arange(m)  # documents still growing, in the order of their longest suffix, and its place
+    both, origin, begin = body[ends - 1].astype(np.uint16), np.zeros(0, np.int32), np.zeros(257, np.int64)  # a prefix above its symbol
+    who, at, symbol = np.arange(m), np.arange(m), body[ends - 1]  # documents still growing, in order, and what comes next
     for j in range(1, int(lens.max(initial=0)) + 1):
-        by_symbol = np.argsort(bwt[at], kind="stable")
-        who, at = who[by_symbol], at[by_symbol]
-        fresh = np.bincount(bwt[at], minlength=256)
+        by_symbol = np.argsort(symbol, kind="stable")
+        who, at, symbol = who[by_symbol], at[by_symbol], symbol[by_symbol]
+        fresh = np.bincount(symbol, minlength=256)
         stops = np.cumsum(fresh)
-        rank = np.empty(len(at), np.int64)
+        rank, narrow = np.arange(len(at)), at.astype(np.int32)
         for c in np.flatnonzero(fresh).tolist():
             a, b = stops[c] - fresh[c], stops[c]
-            rank[a:b] = begin[c] + np.searchsorted(origin[begin[c] : begin[c + 1]], at[a:b].astype(np.int32))
-        rank += np.arange(len(at))
+            rank[a:b] += begin[c] + np.searchsorted(origin[begin[c] : begin[c + 1]], narrow[a:b])
         begin[1:] += stops
-        size = len(bwt) + len(at)
+        size = len(both) + len(at)
         old = np.ones(size, bool)
         old[m + rank] = False
-        grown_origin = np.empty(size - m, np.int32)
-        grown_origin[old[m:]], grown_origin[rank] = origin, at
-        changed = np.zeros(size - m + 1, bool)
-        changed[rank] = changed[rank + 1] = True
-        touched = np.flatnonzero(changed[:-1])
-        here, before = grown_origin[touched], grown_origin[np.maximum(touched - 1, 0)]
-        same = touched > begin[bwt[here]]
-        common = np.zeros(len(touched), np.uint8)
-        if same.any():
-            a, b = before[same] + 1, here[same]
-            common[same] = np.minimum(_RangeMin(lcp, int((b - a).max()) + 1)(a, b) + np.uint8(1), cap)
+        origins = np.empty(size - m, np.int32)
+        origins[old[m:]], origins[rank] = origin, narrow
+        # the new suffixes, each after the one before it, and what now stands behind a new one
+        least = _RangeMin((both >> np.uint16(8)).astype(np.uint8))
+        prefix = np.zeros(len(at), np.uint16)
+        same = np.flatnonzero(rank > begin[symbol])
+        prefix[same] = np.minimum(least(origins[rank[same] - 1] + 1, at[same]) + np.uint16(1), cap)
+        behind = np.append(rank[1:] != rank[:-1] + 1, True)[: len(rank)] & (rank + 1 < begin[symbol.astype(np.int64) + 1])
+        moved = rank[behind] + 1
+        prefix_behind = np.minimum(least(at[behind] + 1, origins[moved]) + np.uint16(1), cap).astype(np.uint16)
         grows = lens[who] > j
-        symbols = np.full(len(who), FRONT, np.uint8)
-        symbols[grows] = body[ends[who[grows]] - j - 1]
-        merged, prefixes = np.empty(size, np.uint8), np.empty(size, np.uint8)
-        merged[old], merged[m + rank] = bwt, symbols
-        prefixes[old] = lcp
-        prefixes[m + touched] = common
-        origin = np.flatnonzero(old).astype(np.int32)[grown_origin]
-        bwt, lcp, who, at = merged, prefixes, who[grows], m + rank[grows]
-    return bwt, lcp, origin
+        symbol = np.full(len(who), FRONT, np.uint8)
+        symbol[grows] = body[ends[who[grows]] - j - 1]
+        merged = np.empty(size, np.uint16)
+        merged[old] = both
+        merged[m + rank] = prefix << np.uint16(8) | symbol
+        merged[m + moved] = (merged[m + moved] & np.uint16(255)) | prefix_behind << np.uint16(8)
+        # an old place moves by the new suffixes before it; a narrow table of that stays near the processor
+        behind_new = np.diff(np.concatenate([[0], m + rank - np.arange(len(rank)), [len(both)]]))
+        shift = np.repeat(np.arange(len(rank) + 1, dtype=np.uint16 if len(rank) < 65535 else np.int32), behind_new)
+        origin = origins + shift.take(origins.astype(np.intp), mode="clip")
+        both, who, at, symbol = merged, who[grows], m + rank[grows], symbol[grows]
+    return (both & np.uint16(255)).astype(np.uint8), (both >> np.uint16(8)).astype(np.uint8), origin
 
 
 def least_holders(body: np.ndarray, lens: np.ndarray, lo: np.ndarray, length: int) -> np.ndarray:
@@ -154,9 +183,11 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 def _eights(x: np.ndarray) -> np.ndarray:
     """At every place, the eight bytes from there on as a number."""
-    two = x[:-1].astype(np.uint16) | x[1:].astype(np.uint16) << np.uint16(8)
-    four = two[:-2].astype(np.uint32) | two[2:].astype(np.uint32) << np.uint32(16)
-    return four[:-4].astype(np.uint64) | four[4:].astype(np.uint64) << np.uint64(32)
+    raw, out = x.tobytes(), np.empty(max(0, len(x) - 7), np.uint64)
+    for k in range(min(8, len(out))):
+        lane = out[k::8]
+        lane[:] = np.frombuffer(raw, "<u8", len(lane), k)
+    return out
 
 
 def _hashes(eight: np.ndarray, n: int, length: int) -> np.ndarray:
@@ -217,12 +248,12 @@ def _texts_of(ends: np.ndarray, start: np.ndarray) -> np.ndarray:
     return np.searchsorted(ends, start, "right")
 
 
-def _batch(schema: T.StructType, **row: object) -> pa.RecordBatch:
-    """One row, whose values are numpy arrays, lists, bytes or numbers."""
+def _batch(schema: T.StructType, rows: list[dict]) -> pa.RecordBatch:
+    """Rows whose values are numpy arrays, lists, bytes or numbers."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
     fields = to_arrow_schema(schema)
-    return pa.RecordBatch.from_arrays([pa.array([row[f.name]], f.type) for f in fields], names=fields.names)
+    return pa.RecordBatch.from_arrays([pa.array([r[f.name] for r in rows], f.type) for f in fields], names=fields.names)
 
 
 def _unpacked(row: dict) -> tuple[np.ndarray, np.ndarray]:
@@ -235,6 +266,7 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
     for batch in batches:
         for i in range(len(batch)):
             yield batch.slice(i, 1).to_pylist()[0]
+            give_back()
 
 
 # --- steps ------------------------------------------------------------------------------------------------
@@ -251,7 +283,7 @@ def _blocks(texts: DataFrame) -> DataFrame:
 
         def packed() -> pa.RecordBatch:
             ords, digests, bodies = zip(*held, strict=True)
-            return _batch(BLOCKS, block=block, ords=ords, digests=digests, ends=np.cumsum([len(b) for b in bodies]), body=press.compress(b"".join(bodies)))
+            return _batch(BLOCKS, [{"block": block, "ords": ords, "digests": digests, "ends": np.cumsum([len(b) for b in bodies]), "body": press.compress(b"".join(bodies))}])
 
         for batch in batches:
             for i in range(len(batch)):
@@ -264,6 +296,7 @@ def _blocks(texts: DataFrame) -> DataFrame:
                 if size >= BLOCK_BYTES:
                     yield packed()
                     held, size, block = [], 0, block + 1
+                    give_back()
         if held:
             yield packed()
 
@@ -286,11 +319,12 @@ def _ask(blocks: DataFrame, buckets: int, length: int) -> DataFrame:
             several = np.maximum.reduceat(text, first) > np.minimum.reduceat(text, first)
             many, own = (np.minimum(runs, 32767) << 1 | several).astype(np.uint16), key[first]
             bucket = _share(own, buckets)
-            cuts = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
+            cuts, made = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])), []
             for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(own)], strict=True):
                 short = own[a:b] >> np.uint64(16)
                 keys = (short >> np.uint64(16)).astype(np.uint32).tobytes() + short.astype(np.uint16).tobytes()
-                yield _batch(ASKED, block=row["block"], bucket=int(bucket[a]), keys=keys, many=many[a:b].tobytes())
+                made.append({"block": row["block"], "bucket": int(bucket[a]), "keys": keys, "many": many[a:b].tobytes()})
+            yield _batch(ASKED, made)
 
     return blocks.select("block", "ends", "body").mapInArrow(run, ASKED)
 
@@ -351,38 +385,41 @@ def _pieces(told: DataFrame, buckets: int, collections: int, length: int) -> Dat
             order = np.argsort(to, kind="stable")
             start, lens, text, to = start[order], (count + length - 1)[order], text[order], to[order]
             origin, ords = np.append(0, ends)[text], np.array(row["ords"], np.int64)[text]
-            cuts = np.flatnonzero(np.append(True, to[1:] != to[:-1])[: len(to)])
+            cuts, made = np.flatnonzero(np.append(True, to[1:] != to[:-1])[: len(to)]), []
+            raw, stops = _gathered(body, start, lens).tobytes(), [0, *np.cumsum(lens).tolist()]
+            own_ords, own_starts, own_texts, buckets_of = ords.tolist(), (start - origin).tolist(), text.tolist(), to.tolist()
             for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(to)], strict=True):
                 seen: dict[bytes, int] = {}
-                raw, stops = _gathered(body, start[a:b], lens[a:b]).tobytes(), np.cumsum(lens[a:b]).tolist()
-                piece = [seen.setdefault(raw[x:y], len(seen)) for x, y in zip([0, *stops], stops, strict=False)]
-                lo = np.full(len(seen), LAST, np.int64)
-                np.minimum.at(lo, piece, ords[a:b])
-                yield _batch(
-                    PIECES, block=row["block"], bucket=int(to[a]), body=b"".join(seen), lo=lo, start=(start - origin)[a:b], ord=ords[a:b], lens=[len(s) for s in seen], piece=piece, doc=text[a:b]
+                piece = [seen.setdefault(raw[stops[i] : stops[i + 1]], len(seen)) for i in range(a, b)]
+                made.append(
+                    {
+                        "block": row["block"], "bucket": buckets_of[a], "body": b"".join(seen), "start": own_starts[a:b], "ord": own_ords[a:b],
+                        "lens": list(map(len, seen)), "piece": piece, "doc": own_texts[a:b],
+                    }
                 )
+            yield _batch(PIECES, made)
 
     return told.select("block", "ords", "ends", "body", "told").mapInArrow(run, PIECES)
 
 
 def _repeats(length: int):
     def run(table: pa.Table) -> pa.Table:
-        """The least holder of every string of one collection, by block, in runs of equal ones per stretch."""
+        """(block, start, end, doc) of one collection: byte ranges covered by strings that a text of a smaller key has."""
+        lists = {c: table[c].combine_chunks() for c in ("lens", "piece", "start", "ord", "doc")}
+        flat = {c: v.flatten().to_numpy(zero_copy_only=False).astype(np.int64) for c, v in lists.items()}
+        sizes = {c: pa.compute.list_value_length(lists[c]).to_numpy(zero_copy_only=False) for c in ("lens", "piece")}
         seen: dict[bytes, int] = {}
-        lo, ids, out = [], [], {"block": [], "bucket": [], "runs": [], "sizes": [], "least": []}
-        for body, lens, own in zip(table["body"].to_pylist(), table["lens"].to_pylist(), table["lo"].to_pylist(), strict=True):
-            at, mine = 0, []
-            for n, first in zip(lens, own, strict=True):
-                i = seen.setdefault(body[at : at + n], len(seen))
-                at += n
-                mine.append(i)
-                if i == len(lo):
-                    lo.append(first)
-                elif first < lo[i]:
-                    lo[i] = first
-            ids.append(np.array(mine))
+        stops = np.cumsum(flat["lens"]).tolist()
+        raw = b"".join(table["body"].to_pylist())
+        ids = np.fromiter((seen.setdefault(raw[x:y], len(seen)) for x, y in zip([0, *stops], stops, strict=False)), np.int64, len(stops))
+        # where the stretches stand, and the least text that has each
+        shift = np.cumsum(sizes["lens"]) - sizes["lens"]
+        own = ids[flat["piece"] + np.repeat(shift, sizes["piece"])]
+        lo = np.full(len(seen), LAST, np.int64)
+        np.minimum.at(lo, own, flat["ord"])
         lens = np.fromiter(map(len, seen), np.int64, len(seen))
-        least = least_holders(np.frombuffer(b"".join(seen), np.uint8), lens, np.array(lo, np.int64), length)
+        least = least_holders(np.frombuffer(b"".join(seen), np.uint8), lens, lo, length)
+        # the strings of a stretch in runs of one least holder
         ends = np.cumsum(lens - length + 1)
         fresh = np.append(True, least[1:] != least[:-1])[: len(least)]
         fresh[ends[:-1]] = True
@@ -390,55 +427,38 @@ def _repeats(length: int):
         size, value = np.diff(np.append(first, len(least))), least[first]
         stop = np.searchsorted(first, ends, "left")
         begin = np.append(0, stop[:-1])
-        for block, bucket, mine in zip(table["block"].to_pylist(), table["bucket"].to_pylist(), ids, strict=True):
-            n = (stop - begin)[mine]
-            at = np.repeat(begin[mine] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-            for name, v in (("block", block), ("bucket", bucket), ("runs", n), ("sizes", size[at]), ("least", value[at])):
-                out[name].append(v)
-        from pyspark.sql.pandas.types import to_arrow_schema
-
-        fields = to_arrow_schema(FOUND)
-        return pa.table([pa.array(out[f.name], f.type) for f in fields], names=fields.names)
+        into = first - np.append(0, ends)[np.repeat(np.arange(len(lens)), stop - begin)]
+        block = np.repeat(table["block"].to_numpy(), sizes["piece"])
+        n = (stop - begin)[own]
+        at = np.repeat(begin[own] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        of = np.repeat(np.arange(len(own)), n)
+        gone = value[at] < flat["ord"][of]
+        at, of = at[gone], of[gone]
+        start = flat["start"][of] + into[at]
+        return pa.table({"block": block[of], "start": start, "end": start + size[at] + length - 1, "doc": pa.array(flat["doc"][of], pa.int32())})
 
     return run
 
 
-def _removed(met: DataFrame, length: int) -> DataFrame:
-    """(block, doc, start, end): byte ranges covered by strings that a text of a smaller key has."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for row in _rows(batches):
-            runs, sizes, least = (np.array(row[c], np.int64) for c in ("runs", "sizes", "least"))
-            piece, doc, start, ords = (np.array(row[c], np.int64) for c in ("piece", "doc", "start", "ord"))
-            begin, into = np.cumsum(runs) - runs, np.cumsum(sizes) - sizes
-            n = runs[piece]
-            at = np.repeat(begin[piece] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-            of = np.repeat(np.arange(len(piece)), n)
-            gone = least[at] < ords[of]
-            at, of = at[gone], of[gone]
-            first = start[of] + into[at] - into[begin[piece[of]]]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(of), row["block"]), pa.int64()), pa.array(doc[of], pa.int32()), pa.array(first, pa.int64()), pa.array(first + sizes[at] + length - 1, pa.int64())], names=["block", "doc", "start", "end"]
-            )
-
-    return met.mapInArrow(run, "block long, doc int, start long, end long")
-
-
 def _joined_spans(ranges: Column) -> Column:
     """The sorted union of ranges."""
 
     @F.arrow_udf(SPANS)
     def union(lists: pa.Array) -> pa.Array:
-        out = []
-        for one in lists.to_pylist():
-            merged: list[list[int]] = []
-            for r in sorted((r["start"], r["end"]) for r in one):
-                if merged and r[0] <= merged[-1][1]:
-                    merged[-1][1] = max(merged[-1][1], r[1])
-                else:
-                    merged.append(list(r))
-            out.append([{"start": a, "end": b} for a, b in merged])
-        return pa.array(out, lists.type)
+        flat = lists.flatten()
+        start, end = (flat.field(i).to_numpy().astype(np.int64) for i in (0, 1))
+        row = np.repeat(np.arange(len(lists)), pa.compute.list_value_length(lists).to_numpy(zero_copy_only=False))
+        order = np.lexsort((start, row))
+        start, end, row = start[order], end[order], row[order]
+        # every row on a stretch of its own, so that one running maximum serves all
+        far = (int(end.max(initial=0)) + 1) * row
+        reach = np.maximum.accumulate(end + far)
+        first = np.append(True, (start + far)[1:] > reach[:-1])[: len(row)]
+        at = np.flatnonzero(first)
+        last = np.append(at[1:], len(row))[: len(at)] - 1
+        made = pa.StructArray.from_arrays([pa.array(start[at]), pa.array((reach - far)[last])], names=["start", "end"])
+        sizes = np.bincount(row[at], minlength=len(lists))
+        return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), made).cast(lists.type)
 
     return union(ranges)
 
@@ -460,14 +480,10 @@ def _spans(texts: DataFrame, total: int, length: int) -> DataFrame:
     size = told.agg(F.sum(F.octet_length("shared") * 2 + 64)).first()[0] or 0
     by_block = told.groupBy("block").agg(F.collect_list(F.struct("bucket", "shared", "heavy")).alias("told"))  # two bits for each anchor of the block
     asked = blocks.join(F.broadcast(by_block) if size <= BROADCAST_BYTES else by_block, "block")
-    _pieces(asked, buckets, collections, length).write.parquet(f"{folder}/pieces")
-    pieces = spark.read.schema(PIECES).parquet(f"{folder}/pieces")
-    found = pieces.select("block", "bucket", "lens", "lo", "body").groupBy("bucket").applyInArrow(_repeats(length), FOUND)
-    met = pieces.select("block", "bucket", "piece", "doc", "start", "ord").join(found, ["block", "bucket"])
-    per_text = cut(_removed(met, length).groupBy("block", "doc").agg(F.collect_list(F.struct("start", "end")).alias("ranges")))
+    gone = _pieces(asked, buckets, collections, length).groupBy("bucket").applyInArrow(_repeats(length), GONE)
     named = blocks.select("block", F.posexplode("digests").alias("doc", "digest"))
-    spans = named.join(per_text, ["block", "doc"]).select("digest", _joined_spans(F.col("ranges")).alias("spans"))
-    return spans.groupBy("digest").agg(F.any_value("spans").alias("spans"))  # equal rows of different tasks
+    ranges = join_hot(gone, named, ["block", "doc"]).groupBy("digest").agg(F.collect_list(F.struct("start", "end")).alias("ranges"))  # of one text
+    return ranges.select("digest", _joined_spans(F.col("ranges")).alias("spans"))
 
 
 def repeated_spans(df: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, keep: list[str] | None = None) -> DataFrame:
@@ -489,12 +505,13 @@ def repeated_spans(df: DataFrame, key: str = "doc_id", text: str = "text", lengt
     ).withColumn(digest, F.unhex(F.md5(body)))
     long = rows.where(F.octet_length(body) >= length)
     same = [F.col(digest).alias("digest"), F.octet_length(body).cast("long").alias("size")]
-    firsts = cut(long.groupBy(*same).agg(F.min(ord_).alias("first")))
+    firsts = cut(long.groupBy(*same).agg(F.min(ord_).alias("first"), F.max(ord_).alias("last")))
     total = firsts.agg(F.sum("size")).first()[0] or 0
     texts = long.select(F.col(ord_).alias("ord"), F.col(digest).alias("digest"), F.col(body).alias("body"))
     near = _narrow(firsts, F.lit(32))
     spans = cut(_spans(texts.join(near, "digest").where("ord = first"), total, length))
-    classes = cut(firsts.join(spans, "digest", "left")) if total else firsts.withColumn("spans", F.lit(None).cast(SPANS))
+    marked = firsts.join(spans, "digest", "left") if total else firsts.withColumn("spans", F.lit(None).cast(SPANS))
+    classes = cut(marked.where("spans is not null or first < last"))  # from all other texts nothing goes
     size = classes.agg(F.sum(F.coalesce(F.size("spans"), F.lit(0)) * 24 + 96)).first()[0] or 0
     to = classes.select(F.col("digest").alias(digest), "first", F.col("spans").alias("own"))
     found = rows.join(F.broadcast(to), digest, "left") if size <= BROADCAST_BYTES else join_hot(rows, to, [digest], "left")
@@ -509,14 +526,18 @@ def remaining(text: Column, spans: Column) -> Column:
 
     @F.arrow_udf("binary")
     def outside(bodies: pa.Array, spans: pa.Array) -> pa.Array:
-        out = []
-        for body, gone in zip(bodies, spans.to_pylist(), strict=True):
-            b = body.as_py()
-            if b is not None:
-                cuts = [0, *(x for r in gone for x in (r["start"], r["end"])), len(b)]
-                b = b"".join(b[x:y] for x, y in zip(cuts[::2], cuts[1::2], strict=True))
-            out.append(b)
-        return pa.array(out, pa.binary())
+        made = []
+        for a in range(0, len(bodies), 256):
+            out = []
+            for body, gone in zip(bodies.slice(a, 256), spans.slice(a, 256).to_pylist(), strict=True):
+                b = body.as_py()
+                if b is not None:
+                    cuts = [0, *(x for r in gone for x in (r["start"], r["end"])), len(b)]
+                    b = b"".join(b[x:y] for x, y in zip(cuts[::2], cuts[1::2], strict=True))
+                out.append(b)
+            made.append(pa.array(out, pa.binary()))
+        give_back()
+        return pa.concat_arrays(made) if made else pa.array([], pa.binary())
 
     body = F.coalesce(text.cast("string"), F.lit("")).cast("binary")
     changed = F.size(spans) > 0  # only changed texts go to Python
