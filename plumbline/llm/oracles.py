@@ -46,7 +46,7 @@ ruled AS (
     OR seps >= {quality.SEPARATORS} AND 100 * seps > {quality.SEPARATOR_PERCENT} * len(ws)
     OR links >= {quality.LINKS} AND 100 * links > {quality.LINK_PERCENT} * len(ws)
     OR len(ws) <= {quality.BOILERPLATE_WORDS}
-       AND regexp_matches(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_BOILER}') AS failed
+       AND regexp_matches(lower(line), '{_BOILER}') AS failed
   FROM counted
 ),
 per AS (

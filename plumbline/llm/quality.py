@@ -43,7 +43,8 @@ SPACE = b" \t\n\x0b\x0c\r"
 _PUNCT = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 _SYMBOLS = b"#*$%&|<>"
 _FOLLOW = bytes(range(0x80, 0xC0))
-_BOILER = re.compile("|".join(map(re.escape, BOILERPLATE)).encode())
+_BOILER_TEXT = re.compile("|".join(map(re.escape, BOILERPLATE)))
+_BOILER = re.compile(_BOILER_TEXT.pattern.encode())
 _LINK = re.compile(b"(?i)https?://|www\\.")
 _LINK_STARTS = tuple(x.encode() for x in LINK_STARTS)
 _SEPARATOR = frozenset((b"|", b">", b"/", b"-", "»".encode(), "•".encode(), "·".encode()))
@@ -85,11 +86,16 @@ def failing_rule(line: bytes, words: list[bytes], chars: int) -> str | None:
     links = sum(w.lower().startswith(_LINK_STARTS) for w in words) if _LINK.search(line) else 0
     if links >= LINKS and 100 * links > LINK_PERCENT * len(words):
         return "navigation"
-    if len(words) <= BOILERPLATE_WORDS and _BOILER.search(line.lower()):
+    if len(words) <= BOILERPLATE_WORDS and boilerplate(line):
         return "boilerplate"
     return None
 
 
+def boilerplate(line: bytes) -> bool:
+    """Whether the line holds one of the phrases, in upper or lower case of any script."""
+    return bool(_BOILER.search(line.lower()) if line.isascii() else _BOILER_TEXT.search(line.decode().lower()))
+
+
 def judge(text: bytes | None) -> tuple:
     """The values of OUT for one text."""
     words = (text or b"").split()

@@ -56,3 +56,9 @@ def test_labelled_good_documents_are_kept(spark):
     found = catalog.op1_line_quality(spark, LARGE).where("not base_failed").join(labels, "doc_id").where("toxic = 0").groupBy("quality", "kept").count().collect()
     n = {(r.quality, r.kept): r["count"] for r in found}
     assert n.get((1, False), 0) == 0 and n.get((0, True), 0) <= n.get((0, False), 0)
+
+
+def test_phrases_in_capitals_of_any_script():
+    for line in ("DATENSCHUTZERKLÄRUNG und Impressum", "POLITIQUE DE CONFIDENTIALITÉ", "SUSCRÍBETE A nuestro boletín", "Zurück Zum Seitenanfang", "ALL RIGHTS RESERVED"):
+        assert quality.failing_rule(line.encode(), line.encode().split(), len(line.replace(" ", ""))) == "boilerplate"
+    assert quality.failing_rule("Größe und Stärke".encode(), [b"x"] * 3, 14) is None
