@@ -41,6 +41,10 @@ BLOCK = T.StructType(
 )
 
 
+#: Values whose low bits are spread out at a time; a multiple of 8.
+SLICE = 1 << 13
+
+
 class EliasFano:
     """A sequence of integers that never falls, in near-minimal space."""
 
@@ -60,7 +64,9 @@ class EliasFano:
         top = int(rest[-1]) if n else 0
         low_bits = max(0, (top // n).bit_length() - 1) if n else 0
         shifts = np.arange(low_bits, dtype=np.uint64)
-        low = np.packbits(((rest[:, None] >> shifts) & np.uint64(1)).astype(np.uint8).ravel(), bitorder="little")
+        # in slices of whole bytes: a slice's bits take low_bits numbers a value
+        parts = [np.packbits(((rest[a : a + SLICE, None] >> shifts) & np.uint64(1)).astype(np.uint8).ravel(), bitorder="little") for a in range(0, n, SLICE)]
+        low = np.concatenate([np.zeros(0, np.uint8), *parts])
         ones = (rest >> np.uint64(low_bits)).astype(np.int64) + np.arange(n)
         bits = np.zeros(int(ones[-1]) + 1 if n else 0, np.uint8)
         bits[ones] = 1
@@ -68,9 +74,12 @@ class EliasFano:
         return struct.pack("<qqqqq", n, base, low_bits, len(low), len(high)) + low.tobytes() + high.tobytes() + ones[::SAMPLE].astype("<u4").tobytes()
 
     def _low(self, i: np.ndarray) -> np.ndarray:
-        bit = i[:, None] * self.low_bits + np.arange(self.low_bits)
-        found = (self.low[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1
-        return (found.astype(np.int64) << np.arange(self.low_bits)).sum(axis=1)
+        out = np.empty(len(i), np.int64)
+        for a in range(0, len(i), SLICE):
+            bit = i[a : a + SLICE, None] * self.low_bits + np.arange(self.low_bits)
+            found = (self.low[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1
+            out[a : a + SLICE] = (found.astype(np.int64) << np.arange(self.low_bits)).sum(axis=1)
+        return out
 
     def select(self, i: np.ndarray) -> np.ndarray:
         """Values at the places ``i``, each from the nearest remembered position on; other values are not decoded."""
