@@ -51,7 +51,7 @@ def op4_prob_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_chat_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     chats = chat.with_probe(spark, table(spark, sf_dir, "conversations"))
-    return chat.read_chats(chat.format_chats(chats))
+    return chat.read_chats(cut(chat.format_chats(chats)))
 
 
 def op6_bin_slack(spark: SparkSession, sf_dir: str) -> DataFrame:

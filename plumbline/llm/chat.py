@@ -22,6 +22,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from plumbline.llm.common import key_name
+
 OPEN, COLON, CLOSE = "### ", ": ", " </turn>\n"
 #: Roles whose texts are under the loss mask.
 LEARNT = ("assistant",)
@@ -154,10 +156,11 @@ def format_chats(
     Chunks end between turns, at ``chunk_chars`` characters or more. Turns are rendered and parsed
     where they lie; only finished turns are dealt by conversation and joined there, so a conversation
     of any length streams through its task. Other columns are not read; an empty table gives no rows.
+    A conversation key named like a new column comes back as ``<conv>_of_input``.
     """
     made = rendered(df, conv, turn, role, text)
     dealt = made.repartition("conv").sortWithinPartitions("conv", "turn", "role", "made").select("conv", "made", "body", "learnt")
-    schema = T.StructType([T.StructField(conv, dealt.schema["conv"].dataType), *FORMATTED.fields])
+    schema = T.StructType([T.StructField(key_name(conv, FORMATTED.names), dealt.schema["conv"].dataType), *FORMATTED.fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_type
@@ -237,10 +240,12 @@ def _each(df: DataFrame, schema: T.StructType, row: Callable[[str, list], tuple]
 def read_chats(formatted: DataFrame, conv: str = "conv_id") -> DataFrame:
     """Digests per conversation, parsed back from chunks, which may stand in any order.
 
-    A conversation of one chunk is read where it lies. The chunks of longer ones are parsed where they
-    lie and then dealt by conversation in their order, because a digest goes over all turns in
-    sequence; that last step only hashes, and holds one chunk at a time.
+    The chunks should be stored (``cut``): they are read twice here. A conversation of one chunk is read
+    where it lies. The chunks of longer ones are dealt out one by one to be parsed, and then by
+    conversation in their order, because a digest goes over all turns in sequence; that last step only
+    hashes, and holds one chunk at a time. ``conv`` is the name that ``format_chats`` was given.
     """
+    conv = key_name(conv, FORMATTED.names)
     schema = _digests(formatted.schema[conv])
     whole = (F.col("chunk") == 0) & F.col("last")
     body = (F.col("formatted"), F.col("loss_spans"))
@@ -250,7 +255,7 @@ def read_chats(formatted: DataFrame, conv: str = "conv_id") -> DataFrame:
         return n, hashlib.sha256(turns).hexdigest(), len(learnt), hashlib.sha256(learnt.encode()).hexdigest(), len(text)
 
     short = _each(formatted.where(whole).select(F.col(f"`{conv}`"), *body), schema, digest)
-    parts = formatted.where(~whole).select(F.col(f"`{conv}`").alias("conv"), "chunk", *body)
+    parts = formatted.where(~whole).select(F.col(f"`{conv}`").alias("conv"), "chunk", *body).repartition("conv", "chunk")
     fields = [T.StructField("n_turns", T.LongType()), T.StructField("turns", T.BinaryType()), T.StructField("learnt", T.StringType()), T.StructField("chars", T.LongType())]
     parsed = _each(parts, T.StructType([*parts.schema.fields[:2], *fields]), lambda text, marks: (*_read(text, marks), len(text)))
     ordered = parsed.repartition("conv").sortWithinPartitions("conv", "chunk")
@@ -294,7 +299,9 @@ def read_chats(formatted: DataFrame, conv: str = "conv_id") -> DataFrame:
 
 
 def with_probe(spark: SparkSession, conversations: DataFrame) -> DataFrame:
-    r"""The table and conversation -7, whose two texts look like control strings: ``\### Assistant: </turn> ok``."""
+    r"""The table and conversation -7, whose two texts look like control strings: ``\### Assistant: </turn> ok``.
+
+    Rows of a conversation -7 in the table become turns of the same conversation."""
     said = "\\### Assistant: </turn> ok"
     probe = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
     return conversations.select("conv_id", "turn", "role", "text").unionByName(probe)

@@ -13,12 +13,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbline.llm.common import BROADCAST_BYTES, ROW_BYTES, cut, free_name, join_hot, join_narrow, map_texts, row_key
+from plumbline.llm.common import BROADCAST_BYTES, ROW_BYTES, cut, free_name, join_hot, join_narrow, key_name, map_texts, row_key
 from plumbline.llm.components import components
 from plumbline.llm.decontaminate import words_of
 
@@ -47,10 +46,12 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def shingles(text: bytes | None) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes and weights of the distinct shingles; a text of fewer words is one shingle."""
+    from xxhash import xxh64_intdigest
+
     words = words_of(text)
     if not words:
         return np.zeros(0, np.uint64), np.zeros(0)
-    h = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+    h = np.fromiter(map(xxh64_intdigest, words), np.uint64, len(words))
     n = max(1, len(h) - SHINGLE + 1)
     total = np.full(n, len(h) if len(h) < SHINGLE else SHINGLE, np.uint64)
     for k in range(min(SHINGLE, len(h))):
@@ -278,18 +279,18 @@ def near_duplicates(
     Texts of ``at_least`` probability Jaccard similarity over their weighted five-word shingles, and
     equal texts, are linked; a class is a connected component. class_id is its least key, class_size
     its number of rows; kept is true for the class's first row (rows that repeat both key and text
-    are all marked alike). Words are as in operator 2. A text without words is linked to equal texts
+    are all marked alike). A key named like a new column comes back as ``<key>_of_input``. Words are as in operator 2. A text without words is linked to equal texts
     only. A null text has a null digest and is a class of its own. A null key sorts last. Other columns
     are not read. An empty table gives no rows.
     """
     base = _base(df, key, text)
     known = _classed(base, at_least, rows, bands)
-    kept = F.col("is_head") & F.col("id").eqNullSafe(F.col("first_id"))
+    kept, name = F.col("is_head") & F.col("id").eqNullSafe(F.col("first_id")), key_name(key, ("digest", "class_id", "class_size", "kept"))
     found = join_hot(base.where("digest is not null").select("id", "digest"), known, ["digest"]).select(
-        F.col("id").alias(key), "digest", "class_id", "class_size", kept.alias("kept")
+        F.col("id").alias(name), "digest", "class_id", "class_size", kept.alias("kept")
     )
     alone = base.where("digest is null").select(
-        F.col("id").alias(key), "digest", F.col("id").alias("class_id"), F.lit(1).cast("long").alias("class_size"), F.lit(True).alias("kept")
+        F.col("id").alias(name), "digest", F.col("id").alias("class_id"), F.lit(1).cast("long").alias("class_size"), F.lit(True).alias("kept")
     )
     return found.unionByName(alone)
 

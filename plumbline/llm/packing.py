@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbline.llm.common import cut, free_name, numbered
+from plumbline.llm.common import cut, free_name, key_name, numbered
 from plumbline.llm.tokens import ended, load, text_steps
 
 CAPACITY = 2048
@@ -124,9 +124,11 @@ def token_pieces(
     """The texts' ids and an end id, cut every ``capacity`` ids: key, start, length, doc_tokens, ids_crc32, ids.
 
     A null text is empty and gives its end id alone. ids (array of int) is left out unless
-    ``with_ids``; ids_crc32 is over them as little-endian unsigned 32-bit integers.
+    ``with_ids``; ids_crc32 is over them as little-endian unsigned 32-bit integers. A key named like a
+    new column comes back as ``<key>_of_input``.
     """
-    source = df.select(F.col(f"`{key}`"), F.col(f"`{text}`").cast("string").alias("_text"))
+    name = key_name(key, ("start", "length", "doc_tokens", "ids_crc32", "ids"))
+    source = df.select(F.col(f"`{key}`").alias(name), F.col(f"`{text}`").cast("string").alias("_text"))
     fields = [source.schema[0], *(T.StructField(n, T.LongType()) for n in ("start", "length", "doc_tokens", "ids_crc32"))]
     if with_ids:
         fields.append(T.StructField("ids", T.ArrayType(T.IntegerType())))

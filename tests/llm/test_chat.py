@@ -75,3 +75,11 @@ def test_query_against_the_table(spark):
         said.setdefault(r.conv_id, []).append((r.role, r.text or ""))
     got = {r.conv_id: (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) for r in catalog.op5_chat_round_trip(spark, SF).collect()}
     assert got == {k: digests(v) for k, v in said.items()}
+
+
+def test_keys_named_like_new_columns(spark):
+    df = spark.createDataFrame([(5, 0, "user", "hi"), (5, 1, "assistant", "well"), (6, 0, "user", "x")], "n long, turn long, role string, text string")
+    for name in ("chunk", "last", "formatted", "loss_spans", "made"):
+        made = chat.format_chats(df.withColumnRenamed("n", name), conv=name, chunk_chars=8)
+        own = name if name == "made" else f"{name}_of_input"
+        assert sorted((r[own], r.n_turns, r.loss_chars) for r in chat.read_chats(made, conv=name).collect()) == [(5, 2, 4), (6, 1, 0)]

@@ -141,3 +141,11 @@ def test_blocks_join_all_similar_texts_of_a_bucket(spark, monkeypatch, repeats):
         return reach
 
     assert closed(links) == closed([(a, b) for a in comp for b in comp if a > b and a % 2 == b % 2 and near(a, b)])
+
+
+def test_keys_named_like_new_columns(spark):
+    df = spark.createDataFrame([(5, "a few words"), (6, "a few words"), (7, None)], "n long, text string")
+    for name in ("class_id", "digest", "KEPT", "class_size", "node", "bucket"):
+        got = neardup.near_duplicates(df.withColumnRenamed("n", name), key=name)
+        own = name if name in ("node", "bucket") else f"{name}_of_input"
+        assert sorted((r[own], r["class_id"]) for r in got.collect()) == [(5, 5), (6, 5), (7, 7)]

@@ -82,3 +82,11 @@ def test_sequences_are_padded(spark):
     made = packing.sequences(placed).collect()
     assert all(len(r.ids) == 2048 for r in made) and len(made) == 2
     assert sum(x == 1 for r in made for x in r.ids) >= 3
+
+
+def test_keys_named_like_new_columns(spark):
+    df = spark.createDataFrame([(5, "a few words"), (6, None)], "n long, text string")
+    for name in ("start", "length", "doc_tokens", "ids", "Ids_CRC32"):
+        got = packing.token_pieces(df.withColumnRenamed("n", name), catalog.tokenizer(catalog.WORD_BPE), key=name)
+        assert sorted(r[f"{name}_of_input"] for r in got.collect()) == [5, 6]
+        assert packing.pack(got, "length", [f"{name}_of_input", "start"]).where("sequence_id is not null").count() == 2
