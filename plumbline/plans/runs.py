@@ -199,15 +199,18 @@ SELECT doc_id, epoch, (pos % {WORLD})::INT AS rank, (pos // {WORLD})::BIGINT AS
 _MIX = f"""
 WITH RECURSIVE {_BIGRAMS},
 best AS (SELECT token, next FROM big QUALIFY row_number() OVER (PARTITION BY token ORDER BY lp DESC, next) = 1),
-fed(doc_id, ws, pos, token, said) AS (
-  SELECT doc_id, ws, 1, ws[1], [ws[1]] FROM toks WHERE len(ws) > 0
+said AS (SELECT doc_id, unnest(ws) AS token, unnest(generate_series(0, len(ws) - 1)) AS pos FROM toks WHERE len(ws) > 0),
+kept AS (
+  SELECT *, CASE WHEN pos > 0 AND ('0x' || md5('{DRAW_SEED}:' || doc_id || ':' || pos)[1:8])::BIGINT < {round(SHARE * (1 << 32))} THEN NULL ELSE pos END AS own FROM said
+),
+runs AS (SELECT k.doc_id, k.pos, o.token AS origin, k.pos - k.at_own AS run FROM (
+  SELECT *, max(own) OVER (PARTITION BY doc_id ORDER BY pos) AS at_own FROM kept) k JOIN said o ON o.doc_id = k.doc_id AND o.pos = k.at_own),
+chain(origin, run, token) AS (
+  SELECT DISTINCT origin, 0::BIGINT, origin FROM runs
   UNION ALL
-  SELECT doc_id, ws, pos + 1, now, list_append(said, now) FROM (
-    SELECT doc_id, ws, pos, said, CASE WHEN ('0x' || md5('{DRAW_SEED}:' || doc_id || ':' || pos)[1:8])::BIGINT < {round(SHARE * (1 << 32))} THEN coalesce(next, token) ELSE ws[pos + 1] END AS now
-    FROM fed LEFT JOIN best USING (token) WHERE pos < len(ws)
-  )
+  SELECT origin, run + 1, coalesce(next, token) FROM chain LEFT JOIN best USING (token) WHERE run < (SELECT max(run) FROM runs)
 )
-SELECT doc_id, len(said)::BIGINT AS n_inputs, md5(array_to_string(said, ' ')) AS inputs_md5 FROM fed WHERE pos = len(ws)
+SELECT doc_id, count(*) AS n_inputs, md5(string_agg(token, ' ' ORDER BY pos)) AS inputs_md5 FROM runs JOIN chain USING (origin, run) GROUP BY doc_id
 UNION ALL SELECT doc_id, 0, md5('') FROM toks WHERE len(ws) = 0
 """
 
