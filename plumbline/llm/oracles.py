@@ -252,3 +252,26 @@ SELECT doc_id, n_features, weight, score, CASE WHEN nth <= 10 * n // 100 THEN nt
 """
 
 ORACLES |= {"op11_drake_bounds": OP11, "op12_target_draw": OP12}
+
+#: A byte goes if one of the 50 strings that cover it starts in a document of a smaller id; null ids stand last.
+OP13 = """
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(doc_id, 9223372036854775807) AS k, regexp_extract_all(hex(encode(coalesce(text, ''))), '..') AS bytes FROM documents
+),
+p AS (SELECT r, k, unnest(bytes) AS b, unnest(generate_series(1, len(bytes))) AS i FROM d),
+w AS MATERIALIZED (
+  SELECT r, k, i, b, CASE WHEN count(*) OVER ahead = 50 THEN string_agg(b, '') OVER ahead END AS s
+  FROM p WINDOW ahead AS (PARTITION BY r ORDER BY i ROWS BETWEEN CURRENT ROW AND 49 FOLLOWING)
+),
+f AS (SELECT s, min(k) AS k FROM w WHERE s IS NOT NULL GROUP BY s HAVING min(k) < max(k)),
+g AS (SELECT w.r, w.i, w.b, CASE WHEN f.k < w.k THEN w.i END AS gone FROM w LEFT JOIN f USING (s)),
+c AS (SELECT r, i, b, coalesce(max(gone) OVER (PARTITION BY r ORDER BY i) >= i - 49, false) AS covered FROM g),
+e AS (SELECT *, covered AND NOT coalesce(lag(covered) OVER (PARTITION BY r ORDER BY i), false) AS opens FROM c),
+t AS (
+  SELECT r, count(*) AS n, sum(covered::INT) AS n_removed, sum(opens::INT) AS n_spans, sha256(unhex(coalesce(string_agg(b, '' ORDER BY i) FILTER (WHERE NOT covered), ''))) AS kept FROM e GROUP BY r
+)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, coalesce(kept, sha256('')) AS kept_sha256
+FROM d LEFT JOIN t USING (r)
+"""
+
+ORACLES["op13_column_bwt"] = OP13

@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 
 from plumbline.llm import catalog, suffixdedup
+from tests.duck import assert_same, connect
 
 SF = "/root/testdata/sf0.001"
 
@@ -93,3 +94,7 @@ def test_query_against_a_plain_search(spark):
         want[key] = (n, len(gone), sum(i - 1 not in gone for i in gone), hashlib.sha256(left).hexdigest())
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in catalog.op13_column_bwt(spark, SF).collect()}
     assert got == want and len(got) == len(docs)
+
+
+def test_query_against_sql(spark):
+    assert_same(catalog.op13_column_bwt(spark, SF), connect(SF), catalog.ORACLES["op13_column_bwt"])
