@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.text import ngrams, plain_answer
 from plumbline.functions.vectors import let, log_sum_exp
+from plumbline.operators import grams
 
 ORDERS = (1, 2, 3, 4)
 #: Width of the length penalty of CIDEr-D.
@@ -112,36 +113,17 @@ def bleu(hyps: DataFrame, refs: DataFrame, group: str, toks: str, orders: Sequen
     return one.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
 
 
-def cider_d(hyps: DataFrame, refs: DataFrame, group: str, toks: str, orders: Sequence[int] = ORDERS) -> DataFrame:
+def cider_d(hyps: DataFrame, refs: DataFrame, group: str, toks: str, orders: Sequence[int] = ORDERS, blocks: DataFrame | None = None) -> DataFrame:
     """(group, cider): ten times the mean over orders and references of the clipped TF-IDF cosine.
 
-    References' n-grams meet only the n-grams of their own group's hypothesis; a pair without any in
-    common counts as 0. Each reference n-gram is weighed once: its norm and its product with the
-    hypothesis are sums over the same rows.
+    References' n-grams meet only the n-grams of their own group's hypothesis, in the blocks of ``grams.blocks``
+    (made here unless given); a pair without any in common counts as 0. Between blocks only document
+    frequencies are exchanged. Null lists make no pair.
     """
-    h = hashed_counts(hyps, [group], toks, orders)
-    r = hashed_counts(refs, [group, "ref"], toks, orders)
-    df = document_frequency(r, group, GRAM)
     n_groups = refs.agg(F.count_distinct(group).alias("groups"))
-    idf = F.ln(F.greatest("groups", F.lit(1)).cast("double")) - F.ln(F.greatest(F.coalesce("df", F.lit(0)), F.lit(1)).cast("double"))
-
-    def weighed(counts: DataFrame, name: str) -> DataFrame:
-        joined = counts.join(df, list(GRAM), "left").crossJoin(F.broadcast(n_groups))
-        return joined.withColumn(name, F.col("c") * idf).drop("df", "groups", "c")
-
-    hw = weighed(h, "wh")
-    both = weighed(r, "wr").join(hw, [group, *GRAM], "left")
-    dot = F.coalesce(F.sum(F.when(F.col("wh").isNotNull(), F.least("wh", "wr") * F.col("wr"))), F.lit(0.0))
-    sums = both.groupBy(group, "ref", "n").agg(F.sqrt(F.sum(F.col("wr") * F.col("wr"))).alias("nr"), dot.alias("dot"))
-    hn = hw.groupBy(group, "n").agg(F.sqrt(F.sum(F.col("wh") * F.col("wh"))).alias("nh"))
-    norm = F.col("nh") * F.col("nr")
-    per_ref = sums.join(hn, [group, "n"]).groupBy(group, "ref").agg(F.sum(F.when(norm != 0, F.col("dot") / norm).otherwise(F.col("dot"))).alias("cosines"))
-    pairs = refs.select(group, "ref", F.size(toks).alias("lr")).join(hyps.select(group, F.size(toks).alias("lh")), group)
-    delta = (F.col("lh") - F.col("lr")).cast("double")
-    kept = pairs.join(per_ref, [group, "ref"], "left").select(
-        group, (F.coalesce("cosines", F.lit(0.0)) * F.exp(-(delta * delta) / (2 * SIGMA * SIGMA)) / len(orders)).alias("s")
-    )
-    return kept.groupBy(group).agg((10.0 * F.avg("s")).alias("cider"))
+    made = grams.blocks(refs, group, toks, hyps) if blocks is None else blocks
+    sums = grams.cosines(made.crossJoin(F.broadcast(n_groups)), orders, SIGMA).groupBy("grp").agg((10.0 * F.sum("s") / F.sum("pairs")).alias("cider"))
+    return sums.select(F.col("grp").alias(group), "cider")
 
 
 def cross_entropy(logits: Column, target: Column, smoothing: float = 0.0) -> Column:
