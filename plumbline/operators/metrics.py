@@ -82,18 +82,15 @@ def document_frequency(reference_grams: DataFrame, group: str, gram: Sequence[st
     return reference_grams.select(group, *gram).distinct().groupBy(*gram).agg(F.count(F.lit(1)).alias("df"))
 
 
-def bleu(hyps: DataFrame, refs: DataFrame, group: str, toks: str, orders: Sequence[int] = ORDERS) -> DataFrame:
+def bleu(hyps: DataFrame, refs: DataFrame, group: str, toks: str, orders: Sequence[int] = ORDERS, blocks: DataFrame | None = None) -> DataFrame:
     """(n, clipped, total, bleu): corpus BLEU-n with clipped counts and the closest reference length.
 
-    ``hyps``: one row per group; ``refs``: any number of rows, told apart by ``ref``. The references'
-    n-grams are reduced to the hypotheses' before the maximum over references is taken. Clipped counts
+    ``hyps``: one row per group; ``refs``: any number of rows. Counts are clipped in the blocks of
+    ``grams.blocks`` (made here unless given), so that only the hypotheses' n-grams are shuffled. Clipped counts
     and lengths are one row each; everything after is arithmetic on that row.
     """
-    h = hashed_counts(hyps, [group], toks, orders)
-    r = hashed_counts(refs, [group, "ref"], toks, orders)
-    most = r.join(h.select(group, *GRAM), [group, *GRAM], "left_semi").groupBy(group, *GRAM).agg(F.max("c").alias("most"))
-    met = h.join(most, [group, *GRAM], "left").withColumn("clip", F.least("c", F.coalesce("most", F.lit(0))))
-    clipped = met.agg(*(F.coalesce(F.sum(F.when(F.col("n") == n, F.col("clip"))), F.lit(0)).alias(f"clipped_{n}") for n in orders))
+    met = grams.clipped(grams.blocks(refs, group, toks, hyps) if blocks is None else blocks, orders)
+    clipped = met.agg(*(F.coalesce(F.sum(F.when(F.col("n") == n, F.col("clipped"))), F.lit(0)).alias(f"clipped_{n}") for n in orders))
     sizes = hyps.select(group, F.size(toks).alias("hyp_len"))
     lens = refs.select(group, F.size(toks).alias("ref_len")).distinct().join(sizes, group)
     apart = F.abs(F.col("ref_len") - F.col("hyp_len"))
