@@ -50,7 +50,10 @@ BLOCKS = _schema(longs="block", blobs="body", long_lists="ords ends", blob_lists
 ASKED = _schema(longs="block", ints="bucket", blobs="keys many")
 TOLD = _schema(longs="block", ints="bucket", blobs="shared heavy")
 PIECES = _schema(longs="block", ints="bucket", blobs="body", long_lists="ord", int_lists="lens piece doc start")
-GONE = _schema(longs="block start end", ints="doc")
+#: What one collection removes in one block of texts: ranges, sorted by text and apart.
+GONE = T.StructType(
+    [T.StructField("block", T.LongType()), T.StructField("doc", T.ArrayType(T.IntegerType())), T.StructField("start", T.ArrayType(T.LongType())), T.StructField("end", T.ArrayType(T.LongType()))]
+)
 
 
 # --- the collection ---------------------------------------------------------------------------------------
@@ -404,7 +407,7 @@ def _pieces(told: DataFrame, buckets: int, collections: int, length: int) -> Dat
 
 def _repeats(length: int):
     def run(table: pa.Table) -> pa.Table:
-        """(block, start, end, doc) of one collection: byte ranges covered by strings that a text of a smaller key has."""
+        """GONE of one collection: byte ranges covered by strings that a text of a smaller key has."""
         lists = {c: table[c].combine_chunks() for c in ("lens", "piece", "start", "ord", "doc")}
         flat = {c: v.flatten().to_numpy(zero_copy_only=False).astype(np.int64) for c, v in lists.items()}
         sizes = {c: pa.compute.list_value_length(lists[c]).to_numpy(zero_copy_only=False) for c in ("lens", "piece")}
@@ -435,32 +438,43 @@ def _repeats(length: int):
         gone = value[at] < flat["ord"][of]
         at, of = at[gone], of[gone]
         start = flat["start"][of] + into[at]
-        return pa.table({"block": block[of], "start": start, "end": start + size[at] + length - 1, "doc": pa.array(flat["doc"][of], pa.int32())})
+        return _by_block(block[of], flat["doc"][of], start, start + size[at] + length - 1)
 
     return run
 
 
-def _joined_spans(ranges: Column) -> Column:
-    """The sorted union of ranges."""
-
-    @F.arrow_udf(SPANS)
-    def union(lists: pa.Array) -> pa.Array:
-        flat = lists.flatten()
-        start, end = (flat.field(i).to_numpy().astype(np.int64) for i in (0, 1))
-        row = np.repeat(np.arange(len(lists)), pa.compute.list_value_length(lists).to_numpy(zero_copy_only=False))
-        order = np.lexsort((start, row))
-        start, end, row = start[order], end[order], row[order]
-        # every row on a stretch of its own, so that one running maximum serves all
-        far = (int(end.max(initial=0)) + 1) * row
-        reach = np.maximum.accumulate(end + far)
-        first = np.append(True, (start + far)[1:] > reach[:-1])[: len(row)]
-        at = np.flatnonzero(first)
-        last = np.append(at[1:], len(row))[: len(at)] - 1
-        made = pa.StructArray.from_arrays([pa.array(start[at]), pa.array((reach - far)[last])], names=["start", "end"])
-        sizes = np.bincount(row[at], minlength=len(lists))
-        return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), made).cast(lists.type)
-
-    return union(ranges)
+def _union(owner: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The sorted union of each owner's ranges; owners are 0, 1, ..."""
+    order = np.lexsort((start, owner))
+    owner, start, end = owner[order], start[order], end[order]
+    # every owner on a stretch of its own, so that one running maximum serves all
+    far = (int(end.max(initial=0)) + 1) * owner
+    reach = np.maximum.accumulate(end + far)
+    at = np.flatnonzero(np.append(True, (start + far)[1:] > reach[:-1])[: len(owner)])
+    last = np.append(at[1:], len(owner))[: len(at)] - 1
+    return owner[at], start[at], (reach - far)[last]
+
+
+def _by_block(block: np.ndarray, doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Table:
+    """GONE: a row a block, with the union of each of its texts' ranges; so a common string gives no row of its own for each text."""
+    names, at = np.unique(block, return_inverse=True)
+    wide = int(doc.max(initial=0)) + 1
+    texts, owner = np.unique(at * wide + doc, return_inverse=True)
+    owner, start, end = _union(owner, start, end)
+    of = texts[owner]
+    offsets = pa.array(np.searchsorted(of // wide, np.arange(len(names) + 1)), pa.int32())
+    lists = {"doc": pa.array((of % wide).astype(np.int32)), "start": pa.array(start), "end": pa.array(end)}
+    return pa.table({"block": pa.array(names, pa.int64()), **{c: pa.ListArray.from_arrays(offsets, v) for c, v in lists.items()}})
+
+
+def _of_block(table: pa.Table) -> pa.Table:
+    """(block, doc, spans) of one block: the union of what its collections have found."""
+    doc, start, end = (table[c].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.int64) for c in ("doc", "start", "end"))
+    texts, owner = np.unique(doc, return_inverse=True)
+    owner, start, end = _union(owner, start, end)
+    offsets = pa.array(np.searchsorted(owner, np.arange(len(texts) + 1)), pa.int32())
+    spans = pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays([pa.array(start), pa.array(end)], names=["start", "end"]))
+    return pa.table({"block": pa.array(np.full(len(texts), table["block"][0].as_py()), pa.int64()), "doc": pa.array(texts.astype(np.int32)), "spans": spans})
 
 
 def _narrow(df: DataFrame, size: Column) -> DataFrame:
@@ -482,8 +496,9 @@ def _spans(texts: DataFrame, total: int, length: int) -> DataFrame:
     asked = blocks.join(F.broadcast(by_block) if size <= BROADCAST_BYTES else by_block, "block")
     gone = _pieces(asked, buckets, collections, length).groupBy("bucket").applyInArrow(_repeats(length), GONE)
     named = blocks.select("block", F.posexplode("digests").alias("doc", "digest"))
-    ranges = join_hot(gone, named, ["block", "doc"]).groupBy("digest").agg(F.collect_list(F.struct("start", "end")).alias("ranges"))  # of one text
-    return ranges.select("digest", _joined_spans(F.col("ranges")).alias("spans"))
+    spans = gone.groupBy("block").applyInArrow(_of_block, T.StructType([GONE["block"], T.StructField("doc", T.IntegerType()), T.StructField("spans", SPANS)]))
+    # a row a text at most; rows that are equal in key and text lose the same
+    return named.join(spans, ["block", "doc"]).groupBy("digest").agg(F.first("spans").alias("spans"))
 
 
 def repeated_spans(df: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, keep: list[str] | None = None) -> DataFrame:

@@ -4,6 +4,8 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute
 import pytest
 
 from plumbline.llm import catalog, suffixdedup
@@ -98,3 +100,24 @@ def test_query_against_a_plain_search(spark):
 
 def test_query_against_sql(spark):
     assert_same(catalog.op13_column_bwt(spark, SF), connect(SF), catalog.ORACLES["op13_column_bwt"])
+
+
+def test_ranges_leave_a_collection_as_a_row_a_block_and_a_block_as_a_row_a_text():
+    rng = np.random.default_rng(5)
+    block, doc, start = rng.integers(0, 3, 400) * 7, rng.integers(0, 5, 400), rng.integers(0, 900, 400)
+    end = start + rng.integers(1, 60, 400)
+    covered = {}
+    for b, d, x, y in zip(block.tolist(), doc.tolist(), start.tolist(), end.tolist(), strict=True):
+        covered.setdefault((b, d), set()).update(range(x, y))
+    rows = [suffixdedup._by_block(block[i::3], doc[i::3], start[i::3], end[i::3]) for i in range(3)]
+    assert [t.num_rows for t in rows] == [3, 3, 3]
+    met = {}
+    for b in (0, 7, 14):
+        one = pa.concat_tables([t.filter(pa.compute.equal(t["block"], b)) for t in rows])
+        for r in suffixdedup._of_block(one).to_pylist():
+            spans = [(s["start"], s["end"]) for s in r["spans"]]
+            assert all(y < x for (_, y), (x, _) in zip(spans, spans[1:], strict=False))
+            met[r["block"], r["doc"]] = {i for x, y in spans for i in range(x, y)}
+    assert met == covered
+    none = np.zeros(0, np.int64)
+    assert suffixdedup._by_block(none, none, none, none).num_rows == 0
