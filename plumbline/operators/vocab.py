@@ -75,11 +75,9 @@ def _made(kind: str, vocab: Broadcast, make: Callable[[pa.Array, pa.Array], tupl
     return _ready[kind][1]
 
 
-def _by_word(known: pa.Array, own: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(words in order, their ids)."""
-    words = np.asarray(known.to_numpy(zero_copy_only=False), dtype=object)
-    order = np.argsort(words, kind="stable")
-    return words[order], own.to_numpy()[order]
+def _by_word(known: pa.Array, own: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """(words, their ids): words stay in Arrow, as a million of them would be 100 MB of Python objects in every worker."""
+    return known, own.to_numpy()
 
 
 def _by_id(known: pa.Array, own: pa.Array) -> tuple[np.ndarray, pa.Array]:
@@ -94,20 +92,20 @@ def _offsets(lists: pa.Array) -> pa.Array:
     return pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
 
 
+def _looked_up(lists: pa.Array, known: pa.Array, own: np.ndarray) -> pa.Array:
+    """Ids of lists of words; only a batch's different words are looked for."""
+    said = lists.flatten().dictionary_encode()
+    at = pc.index_in(said.dictionary, value_set=known.cast(said.dictionary.type)).fill_null(-1).to_numpy(zero_copy_only=False)
+    found = np.append(own, UNK)[at]  # -1 is the last place
+    return pa.ListArray.from_arrays(_offsets(lists), pa.array(found[said.indices.to_numpy()], pa.int64()))
+
+
 def _in_place(vocab: Broadcast, words: Column) -> Column:
     """Ids of an array of words, a batch at a time; 3 for unknown words."""
 
     @F.arrow_udf("array<bigint>")
     def ids(lists: pa.Array) -> pa.Array:
-        known, own = _made("words", vocab, _by_word)
-        said = lists.flatten().dictionary_encode()
-        different = np.asarray(said.dictionary.to_numpy(zero_copy_only=False), dtype=object)
-        at = np.searchsorted(known, different) if len(known) else np.zeros(len(different), np.int64)
-        inside = np.minimum(at, max(0, len(known) - 1))
-        hit = known[inside] == different if len(known) else np.zeros(len(different), bool)
-        found = np.full(len(different), UNK, np.int64)
-        found[hit] = own[inside[hit]]
-        return pa.ListArray.from_arrays(_offsets(lists), pa.array(found[said.indices.to_numpy()], pa.int64()))
+        return _looked_up(lists, *_made("words", vocab, _by_word))
 
     return ids(words)
 

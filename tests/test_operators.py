@@ -244,3 +244,21 @@ def test_states_are_appended_and_the_latest_is_found(spark, tmp_path):
         sinks.append_state(spark, path, epoch=epoch, samples_seen=seen, best=0.1 * epoch)
     assert sinks.latest_state(spark.read.parquet(path)).first().epoch == 2
     assert sinks.latest_state(spark.read.parquet(path).limit(0)).first() is None
+
+
+def test_looking_up_words_makes_no_python_objects_of_the_vocabulary():
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    known = pa.array([f"w{i:06d}" for i in range(100_000)])
+    own = pa.array(np.arange(100_000) + 4)
+    lists = pa.array([["w000007", "no"], [], None, ["w099999", "w000000"]])
+    tracemalloc.start()
+    found = vocab._looked_up(lists, *vocab._by_word(known, own)).to_pylist()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found == [[11, 3], [], [], [100_003, 4]]
+    assert peak < 3_000_000  # as Python strings they take 6 MB and more
+    assert vocab._looked_up(lists, *vocab._by_word(known[:0], own[:0])).to_pylist() == [[3, 3], [], [], [3, 3]]
