@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbline.llm.common import cut, join_narrow, map_texts
+from plumbline.llm.common import cut, give_back, join_narrow, map_texts
 
 #: Width of a vector; centroids per language; rounds of k-means.
 WIDTH, CENTROIDS, ROUNDS = 1 << 13, 4, 12
@@ -166,7 +166,10 @@ def fit(df: DataFrame, text: str = "text", lang: str = "lang", order: str | None
         for i, (d, c) in enumerate(zip(pdf["dims"], pdf["counts"], strict=True)):
             x[i, d] = c
         found = k_means(weigh(x, idf), k)
-        return pd.DataFrame({"lang": pdf["lang"].iloc[0], "j": range(len(found)), "floor": floor_of(x, idf, k), "c": list(found.astype(np.float32))})
+        floor = floor_of(x, idf, k)
+        del x
+        give_back()
+        return pd.DataFrame({"lang": pdf["lang"].iloc[0], "j": range(len(found)), "floor": floor, "c": list(found.astype(np.float32))})
 
     return Model(idf, cut(known.groupBy("lang").applyInPandas(centroids, "lang string, j int, floor double, c array<float>")), langs)
 

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbline.llm.common import cut, free_name, key_name, numbered
+from plumbline.llm.common import cut, free_name, key_name, lean, numbered
 from plumbline.llm.tokens import ended, load, text_steps
 
 CAPACITY = 2048
@@ -151,7 +151,7 @@ def token_pieces(
                     cols.append(pa.ListArray.from_arrays(pa.array(np.append(first, len(ids)), pa.int32()), pa.array(ids.astype(np.int32))))
                 yield pa.RecordBatch.from_arrays(cols, names=[f.name for f in fields])
 
-    return source.mapInArrow(run, T.StructType(fields))
+    return source.mapInArrow(lambda batches: lean(run(batches)), T.StructType(fields))
 
 
 def sequences(placed: DataFrame, capacity: int = CAPACITY, pad_id: int = 0) -> DataFrame:

@@ -170,3 +170,15 @@ def test_rows_of_the_held_out_fold_teach_nothing(spark):
     rows = [(i, "aaa bbb" if zlib.crc32(str(i).encode()) % 3 != 1 else "ccc ddd", "x" if zlib.crc32(str(i).encode()) % 3 != 1 else "y") for i in range(30)]
     model = language.fit_on_fold(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
     assert set(model.langs) == {"x"}
+
+
+def test_workers_give_memory_back_when_a_task_ends(monkeypatch):
+    from plumbline.llm import common
+
+    done = []
+    monkeypatch.setattr(common, "give_back", lambda: done.append(1))
+    assert list(common.lean(iter([1, 2]))) == [1, 2] and done == [1]
+    stopped = common.lean(iter([1, 2]))
+    next(stopped)
+    stopped.close()  # a task that needs no more rows
+    assert done == [1, 1]
