@@ -24,6 +24,11 @@ def tokens(c: Column) -> Column:
     return F.regexp_extract_all(F.lower(c), F.lit(TOKEN), F.lit(1))
 
 
+def first_token(c: Column) -> Column:
+    """The first of ``tokens``; null if there is none."""
+    return F.nullif(F.regexp_extract(F.lower(c), TOKEN, 1), F.lit(""))
+
+
 def ngrams(toks: Column, n: int) -> Column:
     """Every run of n tokens, joined by spaces; none if there are fewer."""
     at = F.when(F.size(toks) >= n, F.sequence(F.lit(1), F.size(toks) - (n - 1))).otherwise(F.array().cast("array<int>"))

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumbline.operators import coded
 from plumbline.operators.tensor import blocked_words
 from plumbline.stored import stored
 
@@ -15,18 +16,21 @@ UNIT = 1_000_000
 END = "</s>"
 
 
-def bigrams(df: DataFrame, toks: Column, end: str = END) -> DataFrame:
-    """(token, next, score): how likely ``next`` follows, from all token arrays, each closed by ``end``."""
-    closed = df.select(F.concat(toks, F.array(F.lit(end))).alias("t")).where(F.size("t") > 1)
-    at = F.sequence(F.lit(0), F.size("t") - 2)
-    pairs = closed.select(F.explode(F.transform(at, lambda i: F.struct(F.get("t", i).alias("token"), F.get("t", i + 1).alias("next")))).alias("p"))
-    counts = pairs.groupBy("p.token", "p.next").agg(F.count(F.lit(1)).alias("n"))
-    totals = counts.groupBy("token").agg(F.sum("n").alias("total"))
-    return counts.join(totals, "token").select("token", "next", F.round(F.lit(float(UNIT)) * F.ln(F.col("n") / F.col("total"))).cast("long").alias("score"))
+def successors(df: DataFrame, toks: Column, most: int, end: str = END, made: DataFrame | None = None) -> DataFrame:
+    """(token, successors): the first ``most`` that follow each token in all token arrays, each closed by ``end``.
+
+    A score is the log probability over all that follow the token. ``made``: the arrays as blocks, if they are there.
+    """
+    found = coded.frequent_pairs(coded.blocks(df, toks) if made is None else made, most, end)
+    score = lambda n: F.round(F.lit(float(UNIT)) * F.ln(n / F.col("total"))).cast("long")
+    scored = F.array_sort(F.zip_with("nexts", "counts", lambda w, n: F.struct((-score(n)).alias("cost"), w.alias("next"))))
+    return found.select("token", F.transform(F.slice(scored, 1, most), lambda s: F.struct(s["next"].alias("next"), (-s["cost"]).alias("score"))).alias("successors"))
 
 
 def best_successors(step: DataFrame, most: int) -> DataFrame:
-    """(token, successors): the first ``most`` of each token, best first, equal ones by name."""
+    """(token, successors): the first ``most`` of each token, best first, equal ones by name. A table that has them stays."""
+    if "successors" in step.columns:
+        return step
     nth = F.row_number().over(Window.partitionBy("token").orderBy(F.desc("score"), "next"))
     kept = step.withColumn("nth", nth).where(F.col("nth") <= most)
     ordered = F.array_sort(F.collect_list(F.struct("nth", "next", "score")))
@@ -38,8 +42,8 @@ def decode(
 ) -> DataFrame:
     """(item, tokens, score, rounds): the best sequence of at most ``most`` tokens for every item.
 
-    ``start``: item and its first token; ``step``: token, next, score (additive, higher is better). Each round joins
-    the last tokens of all open beams with their successors, leaves out what would complete an n-gram of
+    ``start``: item and its first token; ``step``: token, next, score (additive, higher is better), or token and its first
+    ``width`` + ``most`` ``successors`` in order. Each round joins the last tokens of all open beams with their successors, leaves out what would complete an n-gram of
     ``no_repeat`` tokens that the beam has (0: nothing), and keeps the best ``width`` by score, then beam, then token. A
     beam that reaches ``end``, or has no successor, stays as it is. ``width`` 1 is the greedy loop. The winner has the
     best score over its length to the power ``alpha``; ties go to the first beam.
@@ -80,32 +84,36 @@ def decode(
     return every.groupBy(item).agg(F.max_by(F.struct("tokens", "score", "rounds"), F.struct(norm, -F.col("beam"))).alias("b")).select(item, "b.tokens", "b.score", "b.rounds")
 
 
-def scheduled_inputs(df: DataFrame, key: str, toks: str, step: DataFrame, share: float, seed: int) -> DataFrame:
+def _chains(origins: DataFrame, best: DataFrame) -> DataFrame:
+    """(block, origin, chain): what follows each origin, ``longest`` tokens of it. Chains are followed once per different
+    origin by joins, as many rounds as the longest run; no token table is held in one place."""
+    longest = origins.groupBy("origin").agg(F.max("longest").alias("longest"))
+    now = stored(longest.select("origin", F.col("origin").alias("token"), "longest", F.array().cast("array<string>").alias("chain")))
+    ended = []
+    while not now.isEmpty():
+        on = now.join(best, "token", "left").withColumn("token", F.coalesce("next", "token"))
+        on = stored(on.select("origin", "token", "longest", F.concat("chain", F.array("token")).alias("chain")))
+        ended.append(on.where(F.size("chain") >= F.col("longest")))
+        now = on.where(F.size("chain") < F.col("longest"))
+    if not ended:
+        return origins.select("block", "origin", F.array().cast("array<string>").alias("chain"))
+    found = reduce(DataFrame.unionByName, ended).select("origin", "chain")
+    return origins.join(found, "origin").select("block", "origin", F.slice("chain", F.lit(1), F.col("longest")).alias("chain"))
+
+
+def scheduled_inputs(df: DataFrame, key: str, toks: str, step: DataFrame | None, share: float, seed: int) -> DataFrame:
     """(key, inputs): the tokens that a decoder is fed. The first is the target's; then each is, with probability ``share``,
     what the table says best after the input before it, and else the target's own.
 
-    Draws depend on the seed, the key and the place alone, not on how rows lie. A run of r drawn places after a target
-    token is the r-th best successor of it in a chain, so chains are followed once per different (token, run)
-    by joins, as many rounds as the longest run; no token table is held in one place. A token without a
-    successor is followed by itself. ``share`` 0 gives the targets. Keys are distinct; a null array stays null.
+    ``step``: as in ``decode``; None: what follows most often in the rows themselves. Draws depend on the seed, the key and
+    the place alone, not on how rows lie. A run of r drawn places after a target token is the r-th best successor of it in
+    a chain. Rows stay in blocks; only a block's different origins of runs are joined with their chains, and come back to
+    it. A token without a successor is followed by itself. ``share`` 0 gives the targets. Keys are distinct; a null array
+    stays null.
     """
-    best = stored(step.groupBy("token").agg(F.min_by("next", F.struct(-F.col("score"), "next")).alias("next")))
-    long = df.select(key, F.posexplode(toks).alias("at", "said"))
-    number = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string"), F.col("at").cast("string"))), 1, 8), 16, 10).cast("long")
-    drawn = (F.col("at") > 0) & (number < F.lit(round(share * (1 << 32))))
-    own = Window.partitionBy(key).orderBy("at")
-    long = long.withColumn("from_at", F.last(F.when(~drawn, F.col("at")), ignorenulls=True).over(own)).withColumn("origin", F.last(F.when(~drawn, F.col("said")), ignorenulls=True).over(own))
-    long = stored(long.withColumn("run", F.col("at") - F.col("from_at")))
-    wanted = long.where("run > 0").groupBy("origin").agg(F.max("run").alias("longest"))  # a token's shorter runs are on the way
-    now = stored(wanted.select("origin", F.col("origin").alias("token"), "longest", F.lit(0).alias("run")))
-    chains = []
-    while not now.isEmpty():
-        nxt = now.where("run < longest").join(best, "token", "left").select("origin", F.coalesce("next", "token").alias("token"), "longest", (F.col("run") + 1).alias("run"))
-        now = stored(nxt)
-        chains.append(now.select("origin", "run", "token"))
-    found = reduce(DataFrame.unionByName, chains) if chains else None
-    fed = long.withColumn("token", F.col("origin")) if found is None else long.join(found, ["origin", "run"], "left")
-    pairs = F.array_sort(F.collect_list(F.struct("at", F.coalesce("token", "origin").alias("token"))))  # as many as the row's own tokens
-    lists = fed.groupBy(key).agg(F.transform(pairs, lambda p: p["token"]).alias("inputs"))
-    empty = F.when(F.col(toks).isNotNull(), F.array().cast("array<string>"))
-    return df.select(key, toks).join(lists, key, "left").select(key, F.coalesce("inputs", empty).alias("inputs"))
+    made = coded.blocks(df, F.col(toks), key, share, seed)
+    if step is None:
+        step = successors(df, F.col(toks), 1, made=made)
+    best = stored(best_successors(step, 1).select("token", F.get("successors", F.lit(0))["next"].alias("next")))
+    chains = _chains(stored(coded.run_origins(made)), best)
+    return coded.with_chains(made, chains, key, df.schema[key].dataType, "inputs")

@@ -1,12 +1,15 @@
 """Loops, relations, epochs and scans on small tables: early stop, bijections, hot groups, draws."""
 
+import hashlib
+import math
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from plumbline.operators import decode, relation, relational, sampler, schedule
+from plumbline.operators import coded, decode, relation, relational, sampler, schedule
 
 
 def test_relation_update_against_pairs(spark):
@@ -134,3 +137,56 @@ def test_running_values_of_a_hot_group(spark):
     assert max(r["count"] for r in parts) < 500  # no task holds the hot group
     with pytest.raises(ValueError, match="number"):
         relational.numbered(df, [], "g", "p")
+
+
+@pytest.mark.parametrize("ranges", [1 << 20, 40])
+def test_successors_against_a_plain_count(spark, monkeypatch, ranges):
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(60)]
+    rows = [(rng.choices(words, weights=[900] + [1] * 59, k=rng.randint(0, 30)),) for _ in range(80)] + [([],), (None,), (["w0", decode.END],)]
+    monkeypatch.setattr(coded, "BLOCK_TOKENS", 50)
+    monkeypatch.setattr(coded, "RANGE_PAIRS", ranges)
+    df = spark.createDataFrame(rows, "t array<string>").repartition(3)
+    counts = {}
+    for (t,) in rows:
+        for a, b in zip(t or [], [*(t or [])[1:], decode.END], strict=False):
+            counts.setdefault(a, Counter())[b] += 1
+    score = lambda a, b: round(decode.UNIT * math.log(counts[a][b] / counts[a].total()))
+    for most in (1, 4, 100):
+        got = {r.token: [(s["next"], s.score) for s in r.successors] for r in decode.successors(df, F.col("t"), most).collect()}
+        assert got == {a: sorted(((b, score(a, b)) for b in nexts), key=lambda s: (-s[1], s[0]))[:most] for a, nexts in counts.items()}
+
+
+def test_no_row_is_a_token_or_a_pair(spark, monkeypatch):
+    """Tokens and their pairs stay in blocks: what is stored or shuffled has far fewer rows than tokens."""
+    sizes = []
+    real = coded.stored
+    monkeypatch.setattr(coded, "stored", lambda df: sizes.append((out := real(df)).count()) or out)
+    monkeypatch.setattr(decode, "stored", coded.stored)
+    rows = [(i, [f"w{(i * j) % 7}" for j in range(500)]) for i in range(40)]
+    df = spark.createDataFrame(rows, "k int, t array<string>")
+    got = decode.scheduled_inputs(df, "k", "t", None, 0.3, 8)
+    assert got.count() == 40 and max(sizes) < 200
+    plan = decode.successors(df, F.col("t"), 3)._jdf.queryExecution().toString()
+    assert "Generate" not in plan
+
+
+def test_scheduled_inputs_of_blocks(spark, monkeypatch):
+    """Small and large blocks, rows in any order, and runs over whole lists give the same; draws are those of the SQL."""
+    rng = random.Random(9)
+    rows = [(i, rng.choices(["a", "b", "c", "d"], k=rng.randint(0, 25))) for i in range(50)] + [(None, ["a", "c", "a"]), (77, None)]
+    df = spark.createDataFrame(rows, "k int, t array<string>")
+    best = {"a": "b", "b": "c", "d": "a"}
+    step = _step(spark, {a: [(b, 0)] for a, b in best.items()})
+    def want(key, toks, share):
+        fed = []
+        for at, own in enumerate(toks or []):
+            number = int(hashlib.md5(f"{'8' if key is None else f'8:{key}'}:{at}".encode()).hexdigest()[:8], 16)
+            fed.append(best.get(fed[-1], fed[-1]) if at and number < round(share * (1 << 32)) else own)
+        return fed if toks is not None else None
+
+    for share in (0.0, 0.5, 1.0):
+        for tokens in (7, 1 << 20):
+            monkeypatch.setattr(coded, "BLOCK_TOKENS", tokens)
+            got = {r.k: r.inputs for r in decode.scheduled_inputs(df.repartition(4), "k", "t", step, share, 8).collect()}
+            assert got == {k: want(k, t, share) for k, t in rows}
