@@ -22,6 +22,8 @@ from plumbline.stored import stored
 
 #: Tokens of a block (a longer list is a block of its own), and pairs of one range of hashes.
 BLOCK_TOKENS, RANGE_PAIRS = 1 << 20, 1 << 20
+#: Bytes of lower-cased text that are cut into tokens at a time.
+STEP_BYTES = 4 << 20
 #: Counts that differ by no more than this share may have one score in whole millionths.
 NEAR = 2e-6
 
@@ -37,6 +39,45 @@ def unpacked(b: bytes, n: int) -> np.ndarray:
     return unplaned(pa.decompress(b, 4 * n, "lz4", asbytes=True), np.int32) if n else np.zeros(0, np.int32)
 
 
+_IN_TOKEN = np.zeros(256, bool)
+_IN_TOKEN[list(b"0123456789abcdefghijklmnopqrstuvwxyz'")] = True  # the characters of text.TOKEN
+
+
+def tokenized(texts: pa.StringArray) -> pa.ListArray:
+    """The tokens of lower-cased texts, as ``text.tokens`` has them; null gives null."""
+    ends = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1]
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]
+    ends = ends - ends[0]
+    inside = _IN_TOKEN[data]
+    first, last = inside.copy(), inside.copy()
+    first[1:] &= ~inside[:-1]
+    last[:-1] &= ~inside[1:]
+    some = ends[1:] > ends[:-1]  # a token ends where its text ends
+    for flags, at in ((first, ends[:-1][some]), (last, ends[1:][some] - 1)):
+        flags[at] = inside[at]
+    at = np.flatnonzero(first)
+    offsets = np.append(0, np.cumsum(np.flatnonzero(last) + 1 - at)).astype(np.int32)
+    words = pa.StringArray.from_buffers(len(at), pa.py_buffer(offsets), pa.py_buffer(data[inside]))
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(at, ends).astype(np.int32)), words, mask=texts.is_null() if texts.null_count else None)
+
+
+def _with_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same batches, ``toks`` as lists of tokens; texts are cut a few MB at a time."""
+    for batch in batches:
+        at = batch.schema.get_field_index("toks")
+        said = batch.column(at)
+        if not pa.types.is_string(said.type):
+            yield batch
+            continue
+        ends = np.cumsum(pc.binary_length(said).fill_null(0).to_numpy(zero_copy_only=False))
+        i = 0
+        while i < len(batch):
+            j = max(i + 1, int(np.searchsorted(ends, (int(ends[i - 1]) if i else 0) + STEP_BYTES, "right")))
+            part = batch.slice(i, j - i)
+            yield part.set_column(at, "toks", tokenized(part.column(at)))
+            i = j
+
+
 def _runs(names: list[str | None], sizes: np.ndarray, share: float, seed: int) -> np.ndarray:
     """For each token, how many drawn places lie between it and the last place before that is not; 0 where it is not drawn."""
     bound = round(share * (1 << 32))
@@ -54,7 +95,8 @@ def _runs(names: list[str | None], sizes: np.ndarray, share: float, seed: int) -
 
 
 def blocks(df: DataFrame, toks: Column, key: str | None = None, share: float = 0.0, seed: int = 0) -> DataFrame:
-    """(block, n_tokens, keys, sizes, words, codes, runs), stored: all token lists of ``df``, each in one block.
+    """(block, n_tokens, keys, sizes, words, codes, runs), stored: all token lists of ``df``, each in one block. ``toks``
+    holds token lists, or texts, which are cut into ``text.tokens`` where the blocks are made.
 
     ``sizes`` is -1 for a null list. With a key, ``keys`` holds those of the rows and ``runs`` the places that are drawn
     with probability ``share`` by seed, key and place (never the first): how far each lies from the last one that is not.
@@ -79,12 +121,13 @@ def blocks(df: DataFrame, toks: Column, key: str | None = None, share: float = 0
             flat = lists.flatten().dictionary_encode()
             runs = b"" if key is None else _packed(_runs(rows["name"].to_pylist(), sizes, share, seed))
             keys = [] if key is None else rows["key"].to_pylist()
-            row = [len(flat), keys, sizes, flat.dictionary, _packed(flat.indices.to_numpy()), runs]
-            return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], names=schema.names)
+            words = pa.ListArray.from_arrays(pa.array([0, len(flat.dictionary)], pa.int32()), flat.dictionary)  # no Python strings
+            row = [len(flat), keys, sizes, None, _packed(flat.indices.to_numpy()), runs]
+            return pa.RecordBatch.from_arrays([words if v is None else pa.array([v], k) for v, k in zip(row, kinds, strict=True)], names=schema.names)
 
         held: list[pa.RecordBatch] = []
         size = 0
-        for batch in batches:
+        for batch in _with_tokens(batches):
             ends = np.cumsum(pc.list_value_length(batch.column("toks")).fill_null(0).to_numpy(zero_copy_only=False))
             at = 0
             while at < len(batch):
@@ -101,7 +144,9 @@ def blocks(df: DataFrame, toks: Column, key: str | None = None, share: float = 0
         if held:
             yield made(held)
 
-    columns = [toks.alias("toks")] if key is None else [toks.alias("toks"), F.col(key).alias("key"), F.col(key).cast("string").alias("name")]
+    said = df.select(toks.alias("toks"))
+    toks = F.lower(toks).alias("toks") if said.schema["toks"].dataType == T.StringType() else toks.alias("toks")
+    columns = [toks] if key is None else [toks, F.col(key).alias("key"), F.col(key).cast("string").alias("name")]
     return stored(df.select(*columns).mapInArrow(build, schema).withColumn("block", F.monotonically_increasing_id()))
 
 
@@ -118,8 +163,11 @@ def _dealt(words: pa.Array, a: np.ndarray, b: np.ndarray, n: np.ndarray, to: np.
 
 
 def _batch(rows: list[tuple]) -> pa.Table:
-    columns = zip(*rows, strict=True) if rows else [[] for _ in _SENT_KINDS]
-    return pa.table({name: pa.array(list(v), k) for (name, k), v in zip(_SENT_KINDS.items(), columns, strict=True)})
+    columns = dict(zip(_SENT_KINDS, zip(*rows, strict=True) if rows else [()] * len(_SENT_KINDS), strict=True))
+    made = {name: pa.array(columns[name], k) for name, k in _SENT_KINDS.items() if name != "words"}
+    offsets = pa.array(np.append(0, np.cumsum([len(w) for w in columns["words"]])).astype(np.int32))
+    made["words"] = pa.ListArray.from_arrays(offsets, pa.concat_arrays(columns["words"] or [pa.array([], pa.string())]))
+    return pa.table({name: made[name] for name in _SENT_KINDS})
 
 
 def _hashes(words: pa.Array) -> np.ndarray:

@@ -19,7 +19,7 @@ END = "</s>"
 def successors(df: DataFrame, toks: Column, most: int, end: str = END, made: DataFrame | None = None) -> DataFrame:
     """(token, successors): the first ``most`` that follow each token in all token arrays, each closed by ``end``.
 
-    A score is the log probability over all that follow the token. ``made``: the arrays as blocks, if they are there.
+    ``toks`` may be texts, too. A score is the log probability over all that follow the token. ``made``: the arrays as blocks, if they are there.
     """
     found = coded.frequent_pairs(coded.blocks(df, toks) if made is None else made, most, end)
     score = lambda n: F.round(F.lit(float(UNIT)) * F.ln(n / F.col("total"))).cast("long")
@@ -102,7 +102,7 @@ def _chains(origins: DataFrame, best: DataFrame) -> DataFrame:
 
 
 def scheduled_inputs(df: DataFrame, key: str, toks: str, step: DataFrame | None, share: float, seed: int) -> DataFrame:
-    """(key, inputs): the tokens that a decoder is fed. The first is the target's; then each is, with probability ``share``,
+    """(key, inputs): the tokens that a decoder is fed, for token lists or texts. The first is the target's; then each is, with probability ``share``,
     what the table says best after the input before it, and else the target's own.
 
     ``step``: as in ``decode``; None: what follows most often in the rows themselves. Draws depend on the seed, the key and

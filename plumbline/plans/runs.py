@@ -48,15 +48,15 @@ def relation_update(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("label", "slot", F.posexplode("embedding").alias("dim", "value")).withColumn("value", F.round("value", 6) + 0.0)
 
 
-def _words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return load(spark, sf_dir, "documents").select("doc_id", t.tokens(F.coalesce("text", F.lit(""))).alias("toks"))
+def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return load(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
 
 
 def _decoded(spark: SparkSession, sf_dir: str, **how) -> DataFrame:
     """Every document goes on from its first token; equal beginnings are decoded once."""
-    docs = _words(spark, sf_dir)
-    step = decode.successors(docs, F.col("toks"), how["width"] + how["most"])
-    own = load(spark, sf_dir, "documents").select("doc_id", t.first_token(F.coalesce("text", F.lit(""))).alias("first"))
+    docs = _texts(spark, sf_dir)
+    step = decode.successors(docs, F.col("text"), how["width"] + how["most"])
+    own = docs.select("doc_id", t.first_token(F.col("text")).alias("first"))
     start = own.where("first is not null").select("first", F.col("first").alias("token")).distinct()
     found = decode.decode(start, step, "first", **how)
     return own.join(found, "first", "left").select("doc_id", F.coalesce(F.size("tokens"), F.lit(0)).cast("long").alias("n_tokens"), F.coalesce(F.array_join("tokens", " "), F.lit("")).alias("caption"), F.coalesce("score", F.lit(0)).cast("long").alias("score"))
@@ -72,8 +72,7 @@ def greedy_captions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def scheduled_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a decoder is fed for each document, with a share of its inputs predicted from the one before."""
-    docs = _words(spark, sf_dir)
-    found = decode.scheduled_inputs(docs, "doc_id", "toks", None, SHARE, DRAW_SEED)
+    found = decode.scheduled_inputs(_texts(spark, sf_dir), "doc_id", "text", None, SHARE, DRAW_SEED)
     return found.select("doc_id", F.size("inputs").cast("long").alias("n_inputs"), F.md5(F.array_join("inputs", " ")).alias("inputs_md5"))
 
 

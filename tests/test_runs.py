@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from plumbline.functions import text
 from plumbline.operators import coded, decode, relation, relational, sampler, schedule
 
 
@@ -190,3 +191,19 @@ def test_scheduled_inputs_of_blocks(spark, monkeypatch):
             monkeypatch.setattr(coded, "BLOCK_TOKENS", tokens)
             got = {r.k: r.inputs for r in decode.scheduled_inputs(df.repartition(4), "k", "t", step, share, 8).collect()}
             assert got == {k: want(k, t, share) for k, t in rows}
+
+
+def test_texts_are_cut_into_tokens_in_blocks(spark, monkeypatch):
+    """Texts go to the blocks as they are: the tokens are those of the column function, at any size of step and block."""
+    odd = ["", " ", "a", "a b", "It's  A\tTEST\n42!", "don't--stop", "ÄÖ ß straße", "Kelvin İstanbul", "日本 go 語x", "x퟿\U0001f600y z'", "'", None, "end"]
+    df = spark.createDataFrame([(i, s) for i, s in enumerate(odd * 3)], "k int, s string").repartition(2)
+    want = {r.k: r.toks for r in df.select("k", text.tokens(F.col("s")).alias("toks")).collect()}
+    for step, size in ((1, 4), (30, 9), (1 << 20, 1 << 20)):
+        monkeypatch.setattr(coded, "STEP_BYTES", step)
+        monkeypatch.setattr(coded, "BLOCK_TOKENS", size)
+        assert {r.k: r.inputs for r in decode.scheduled_inputs(df, "k", "s", _step(spark, {"a": [("b", 0)]}), 0.0, 1).collect()} == want
+    lists = df.select(text.tokens(F.col("s")).alias("s"))
+    both = [sorted(map(tuple, decode.successors(d, F.col("s"), 3).collect())) for d in (df, lists)]
+    assert both[0] == both[1] and len(both[0]) > 5
+    first = {r.k: r.f for r in df.select("k", text.first_token(F.col("s")).alias("f")).collect()}
+    assert first == {k: t[0] if t else None for k, t in want.items()}
