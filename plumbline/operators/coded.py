@@ -22,6 +22,8 @@ from plumbline.stored import stored
 
 #: Tokens of a block (a longer list is a block of its own), and pairs of one range of hashes.
 BLOCK_TOKENS, RANGE_PAIRS = 1 << 20, 1 << 20
+#: A first word of at least this part of all tokens is dealt to all ranges.
+HOT = 1024
 #: Bytes of lower-cased text that are cut into tokens at a time.
 STEP_BYTES = 4 << 20
 #: Counts that differ by no more than this share may have one score in whole millionths.
@@ -220,23 +222,36 @@ def _pruned(words: pa.Array, a: np.ndarray, b: np.ndarray, n: np.ndarray, most:
     return a[order], b[order], n[order]
 
 
+def _frequent(made: DataFrame, total: int) -> set[str]:
+    """At most HOT words: those that are about a part of 1 / HOT of all tokens or more, counted in the blocks where they are half as frequent or more."""
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(len(batch)):
+                n = batch.column("n_tokens")[i].as_py()
+                counts = np.bincount(unpacked(batch.column("codes")[i].as_py(), n))
+                at = np.flatnonzero(counts * HOT * 2 >= n)
+                yield pa.RecordBatch.from_arrays([batch.column("words")[i].values.take(pa.array(at)), pa.array(counts[at].astype(np.int64))], names=["word", "n"])
+
+    found = made.select("n_tokens", "words", "codes").where("n_tokens > 0").mapInArrow(counted, "word string, n long")
+    return {r.word for r in found.groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") * HOT >= total).collect()}
+
+
 def frequent_pairs(made: DataFrame, most: int, end: str) -> DataFrame:
     """(token, total, nexts, counts): how often each token of ``blocks`` is followed at all, and by those that can be among
     the ``most`` best. The last token of a list is followed by ``end``.
 
-    Pairs are dealt by the hash of both words and counted; of each first word a range keeps what can be among the best, and
-    the count of the others. That is dealt by the first word, so a frequent word brings no more than ``most``
-    or so from each range.
+    Pairs are dealt by the hash of their first word, those of a very frequent word by the hash of both, and counted. A
+    range keeps what can be among the best of a first word, and the count of the others, so a frequent word brings no
+    more than ``most`` or so from each range.
     """
     total = made.agg(F.sum("n_tokens")).first()[0] or 0
     bits = int(total // RANGE_PAIRS).bit_length()
+    hot = _frequent(made, total) if bits else set()
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(len(batch)):
                 n = batch.column("n_tokens")[i].as_py()
-                if not n:
-                    continue
                 codes, sizes = unpacked(batch.column("codes")[i].as_py(), n), batch.column("sizes")[i].values.to_numpy()
                 words = pa.concat_arrays([batch.column("words")[i].values, pa.array([end])])
                 nexts = np.append(codes[1:], 0)
@@ -244,14 +259,10 @@ def frequent_pairs(made: DataFrame, most: int, end: str) -> DataFrame:
                 pairs, counts = np.unique(codes.astype(np.int64) * len(words) + nexts, return_counts=True)
                 a, b = pairs // len(words), pairs % len(words)
                 h = _hashes(words)
-                sent = _batch(list(_dealt(words, a, b, counts, _range(mixed(h[a] * P1 + h[b]), bits))))
+                spread = pc.is_in(words, value_set=pa.array(sorted(hot), pa.string())).to_numpy(zero_copy_only=False)
+                sent = _batch(list(_dealt(words, a, b, counts, _range(mixed(h[a] * P1 + np.where(spread[a], h[b], 0).astype(np.uint64)), bits))))
                 yield from sent.to_batches(max_chunksize=1)
 
-    def count(table: pa.Table) -> pa.Table:
-        words, a, b, n = _summed(table)
-        a, b, n = _pruned(words, a, b, n, most)
-        return _batch(list(_dealt(words, a, b, n, _range(mixed(_hashes(words)[a] * P1), bits))))
-
     def choose(table: pa.Table) -> pa.Table:
         words, a, b, n = _summed(table)
         a, b, n = _pruned(words, a, b, n, most)
@@ -261,8 +272,10 @@ def frequent_pairs(made: DataFrame, most: int, end: str) -> DataFrame:
         nexts = pa.ListArray.from_arrays(offsets, words.take(pa.array(b[named])))
         return pa.table({"token": words.take(pa.array(a[first])), "total": np.add.reduceat(n, first), "nexts": nexts, "counts": pa.ListArray.from_arrays(offsets, pa.array(n[named]))})
 
-    counted = made.select("n_tokens", "sizes", "words", "codes").mapInArrow(send, _SENT).groupBy("to").applyInArrow(count, _SENT)
-    return counted.groupBy("to").applyInArrow(choose, "token string, total long, nexts array<string>, counts array<long>")
+    sent = made.select("n_tokens", "sizes", "words", "codes").where("n_tokens > 0").mapInArrow(send, _SENT)
+    found = sent.groupBy("to").applyInArrow(choose, "token string, total long, nexts array<string>, counts array<long>")
+    both = F.flatten(F.collect_list(F.arrays_zip("nexts", "counts"))).alias("p")  # one row of a word, or one from each range
+    return found.groupBy("token").agg(F.sum("total").alias("total"), both).select("token", "total", F.col("p.nexts").alias("nexts"), F.col("p.counts").alias("counts"))
 
 
 def run_origins(made: DataFrame) -> DataFrame:
