@@ -26,11 +26,13 @@ from pyspark.sql import types as T
 from plumbline.llm.common import BROADCAST_BYTES, cut, free_name, give_back, join_hot, shared_folder
 
 LENGTH, ANCHOR = 50, 16
-#: Bytes of text in a block, and in one step of the hashing of a block.
-BLOCK_BYTES, STEP = 1 << 20, 1 << 19
+#: Bytes of text in a block at least and at most, and in one step of the hashing of a block.
+BLOCK_BYTES, MOST_BYTES, STEP = 1 << 20, 1 << 24, 1 << 19
+#: Blocks of a large table: a block sends a row to nearly every collection, so their number is what rows grow by.
+MOST_BLOCKS = 1024
 #: Anchors in one group that is looked through, and bytes of the whole texts for each collection.
 GROUP_ANCHORS, COLLECTION_BYTES = 1 << 21, 2 << 20
-#: Stretches of one anchor beyond which it is no longer a collection's key: each of its strings chooses for itself.
+#: Different stretches of one anchor (of each block) beyond which it is no longer a collection's key: each of its strings chooses for itself.
 HEAVY = 1 << 15
 #: The order of rows without a key: after all others, and equal to each other.
 LAST = (1 << 63) - 1
@@ -203,6 +205,15 @@ def _hashes(eight: np.ndarray, n: int, length: int) -> np.ndarray:
     return h
 
 
+def _hashes_at(eight: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
+    """The same hashes, of the strings at some places only."""
+    h, done = _mixed(eight[at]), 8
+    while done < length:
+        h = _mixed(h + eight[at + min(done, length - 8)] * Q)
+        done += 8
+    return h
+
+
 def stretches(body: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(start, strings, key): stretches of consecutive strings of ``length`` bytes, within one text each, that
     choose the same anchor. A stretch has at most length - ANCHOR + 1 strings."""
@@ -275,8 +286,8 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
 # --- steps ------------------------------------------------------------------------------------------------
 
 
-def _blocks(texts: DataFrame) -> DataFrame:
-    """Texts (ord, digest, body) in blocks of about BLOCK_BYTES, compressed; a text only once in a task."""
+def _blocks(texts: DataFrame, block_bytes: int) -> DataFrame:
+    """Texts (ord, digest, body) in blocks of about ``block_bytes``, compressed; a text only once in a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
@@ -296,7 +307,7 @@ def _blocks(texts: DataFrame) -> DataFrame:
                 seen.add(digest)
                 held.append((ord_, digest, body))
                 size += len(body)
-                if size >= BLOCK_BYTES:
+                if size >= block_bytes:
                     yield packed()
                     held, size, block = [], 0, block + 1
                     give_back()
@@ -306,19 +317,30 @@ def _blocks(texts: DataFrame) -> DataFrame:
     return texts.select("ord", "digest", "body").mapInArrow(run, BLOCKS)
 
 
+def _different(raw: bytes, start: np.ndarray, end: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """How many different byte ranges each run of ranges has; runs begin at ``first``."""
+    runs = np.diff(np.append(first, len(start)))
+    several = np.flatnonzero(runs > 1)
+    at = np.repeat(first[several] - (np.cumsum(runs[several]) - runs[several]), runs[several]) + np.arange(runs[several].sum())
+    seen: dict[bytes, int] = {}  # equal stretches have equal anchors
+    new = np.fromiter((seen.setdefault(raw[x:y], i) == i for i, (x, y) in enumerate(zip(start[at].tolist(), end[at].tolist(), strict=True))), bool, len(at))
+    runs[several] = np.bincount(np.repeat(np.arange(len(several)), runs[several]), new, len(several)).astype(np.int64)
+    return runs
+
+
 def _ask(blocks: DataFrame, buckets: int, length: int) -> DataFrame:
-    """A block's anchors by bucket: 48 bits of each, how many stretches have it and whether several texts do."""
+    """A block's anchors by bucket: 48 bits of each, how many different stretches have it and whether several texts do."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows(batches):
             body, ends = _unpacked(row)
-            start, _, key = stretches(body, ends, length)
+            start, count, key = stretches(body, ends, length)
             order = np.argsort(key, kind="stable")
-            key, text = key[order], _texts_of(ends, start)[order]
+            start, count, key, text = start[order], count[order], key[order], _texts_of(ends, start)[order]
             first = np.flatnonzero(np.append(True, key[1:] != key[:-1])[: len(key)])
             if not len(first):
                 continue
-            runs = np.diff(np.append(first, len(key)))
+            runs = _different(body.tobytes(), start, start + count + length - 1, first)
             several = np.maximum.reduceat(text, first) > np.minimum.reduceat(text, first)
             many, own = (np.minimum(runs, 32767) << 1 | several).astype(np.uint16), key[first]
             bucket = _share(own, buckets)
@@ -377,34 +399,66 @@ def _pieces(told: DataFrame, buckets: int, collections: int, length: int) -> Dat
             alone = heavy[at]
             if alone.any():  # every string of a heavy anchor's stretches goes by its own hash
                 n = count[alone]
-                one = np.repeat(start[alone], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                hashed = np.concatenate([_hashes(_eights(body[a : a + length]), 1, length) for a in one.tolist()])
-                rest = shared[at] & ~alone
+                before = np.repeat(np.cumsum(n) - n, n)
+                nth, wide = np.arange(n.sum()), length - 1
+                gathered = _gathered(body, start[alone], n + wide)
+                hashed = _hashes_at(_eights(gathered), nth + wide * np.repeat(np.arange(len(n)), n), length)
+                one, rest = np.repeat(start[alone], n) + nth - before, shared[at] & ~alone
                 start, count, key = np.append(start[rest], one), np.append(count[rest], np.ones(len(one), np.int64)), np.append(key[rest], hashed)
             else:
                 rest = shared[at]
                 start, count, key = start[rest], count[rest], key[rest]
-            text, to = _texts_of(ends, start), _share(key, collections, low=True)
+            to = _share(key, collections, low=True)
             order = np.argsort(to, kind="stable")
-            start, lens, text, to = start[order], (count + length - 1)[order], text[order], to[order]
-            origin, ords = np.append(0, ends)[text], np.array(row["ords"], np.int64)[text]
-            cuts, made = np.flatnonzero(np.append(True, to[1:] != to[:-1])[: len(to)]), []
-            raw, stops = _gathered(body, start, lens).tobytes(), [0, *np.cumsum(lens).tolist()]
-            own_ords, own_starts, own_texts, buckets_of = ords.tolist(), (start - origin).tolist(), text.tolist(), to.tolist()
-            for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(to)], strict=True):
-                seen: dict[bytes, int] = {}
-                piece = [seen.setdefault(raw[stops[i] : stops[i + 1]], len(seen)) for i in range(a, b)]
-                made.append(
-                    {
-                        "block": row["block"], "bucket": buckets_of[a], "body": b"".join(seen), "start": own_starts[a:b], "ord": own_ords[a:b],
-                        "lens": list(map(len, seen)), "piece": piece, "doc": own_texts[a:b],
-                    }
-                )
-            yield _batch(PIECES, made)
+            start, end, to = start[order], (start + count + length - 1)[order], to[order]
+            text, ords = _texts_of(ends, start), np.array(row["ords"], np.int64)
+            # the different stretches in order; equal ones have equal keys, so those of a collection lie together
+            raw, seen = body.tobytes(), {}
+            piece = np.fromiter((seen.setdefault(raw[x:y], len(seen)) for x, y in zip(start.tolist(), end.tolist(), strict=True)), np.int64, len(to))
+            cuts = np.flatnonzero(np.append(True, to[1:] != to[:-1])[: len(to)])
+            lens = np.fromiter(map(len, seen), np.int64, len(seen))
+            own = np.append(piece[cuts], len(lens))
+            offsets, pieces = pa.array(np.append(cuts, len(to)), pa.int32()), pa.array(own, pa.int32())
+            lists = {"ord": ords[text], "piece": piece - np.repeat(own[:-1], np.diff(np.append(cuts, len(to)))), "doc": text, "start": start - np.append(0, ends)[text]}
+            made = {c: pa.ListArray.from_arrays(offsets, pa.array(v, pa.int64() if c == "ord" else pa.int32())) for c, v in lists.items()}
+            made["lens"] = pa.ListArray.from_arrays(pieces, pa.array(lens, pa.int32()))
+            stops = pa.py_buffer(np.append(0, np.cumsum(lens))[own].astype(np.int32))
+            made["body"] = pa.Array.from_buffers(pa.binary(), len(cuts), [None, stops, pa.py_buffer(b"".join(seen))])
+            made["block"], made["bucket"] = pa.array(np.full(len(cuts), row["block"], np.int64)), pa.array(to[cuts], pa.int32())
+            yield pa.RecordBatch.from_arrays([made[c] for c in PIECES.names], names=PIECES.names)
 
     return told.select("block", "ords", "ends", "body", "told").mapInArrow(run, PIECES)
 
 
+def _near_others(body: np.ndarray, lens: np.ndarray, length: int) -> np.ndarray:
+    """Which of the different stretches may have a string of ``length`` bytes that another has.
+
+    Such a string holds the anchor, at the same place in both, and at least half of its other bytes on one side of it. So
+    a stretch is one of these if another has the same anchor with the same bytes on that side. Where an anchor stands
+    twice in a stretch, all stretches that have it count.
+    """
+    n, end = len(lens), np.cumsum(lens)
+    first, rest = end - lens, length - ANCHOR
+    half, eight = (rest + 1) // 2, _eights(body)
+    h = _hashes(eight, len(body) - ANCHOR + 1, ANCHOR)
+    least, at = np.empty(n, np.uint64), np.empty(n, np.int64)
+    for a in range(0, n, 1 << 14):
+        of = first[a : a + (1 << 14), None] + np.arange(rest + 1)
+        place = h[of].argmin(1)
+        at[a : a + len(of)] = first[a : a + len(of)] + place
+        least[a : a + len(of)] = h[at[a : a + len(of)]]
+    fits = np.ones(len(body), bool)  # anchors that cross the end of a stretch are none
+    for k in range(1, ANCHOR):
+        fits[end - k] = False
+    hit = np.append(h, np.zeros(ANCHOR - 1, np.uint64)) == np.repeat(least, lens)
+    twice = np.add.reduceat((hit & fits).astype(np.int64), first) > 1
+    near = np.isin(least, least[twice])
+    for there, side in ((at - first >= half, at - half), (end - at - ANCHOR >= half, at)):
+        _, own, times = np.unique(_hashes_at(eight, side[there], ANCHOR + half), return_inverse=True, return_counts=True)
+        near[there] |= (times > 1)[own]
+    return near
+
+
 def _repeats(length: int):
     def run(table: pa.Table) -> pa.Table:
         """GONE of one collection: byte ranges covered by strings that a text of a smaller key has."""
@@ -421,7 +475,10 @@ def _repeats(length: int):
         lo = np.full(len(seen), LAST, np.int64)
         np.minimum.at(lo, own, flat["ord"])
         lens = np.fromiter(map(len, seen), np.int64, len(seen))
-        least = least_holders(np.frombuffer(b"".join(seen), np.uint8), lens, lo, length)
+        body, least = np.frombuffer(b"".join(seen), np.uint8), np.repeat(lo, lens - length + 1)
+        near = _near_others(body, lens, length)
+        if near.any():  # the others' strings are their own only
+            least[np.repeat(near, lens - length + 1)] = least_holders(body[np.repeat(near, lens)], lens[near], lo[near], length)
         # the strings of a stretch in runs of one least holder
         ends = np.cumsum(lens - length + 1)
         fresh = np.append(True, least[1:] != least[:-1])[: len(least)]
@@ -488,7 +545,7 @@ def _spans(texts: DataFrame, total: int, length: int) -> DataFrame:
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = max(parts, total // (8 * GROUP_ANCHORS) + 1)  # an anchor for about twenty bytes
     collections = max(parts, total // COLLECTION_BYTES + 1)
-    _blocks(texts).write.parquet(f"{folder}/blocks")
+    _blocks(texts, max(BLOCK_BYTES, min(MOST_BYTES, total // MOST_BLOCKS))).write.parquet(f"{folder}/blocks")
     blocks = spark.read.schema(BLOCKS).parquet(f"{folder}/blocks")
     told = cut(_ask(blocks, buckets, length).groupBy("bucket").applyInArrow(_answer, TOLD))
     size = told.agg(F.sum(F.octet_length("shared") * 2 + 64)).first()[0] or 0

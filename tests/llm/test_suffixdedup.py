@@ -121,3 +121,46 @@ def test_ranges_leave_a_collection_as_a_row_a_block_and_a_block_as_a_row_a_text(
     assert met == covered
     none = np.zeros(0, np.int64)
     assert suffixdedup._by_block(none, none, none, none).num_rows == 0
+
+
+def test_blocks_of_a_large_table_are_larger(spark, monkeypatch):
+    """A block sends a row to nearly every collection: with blocks of one size, rows grow with the square of the table."""
+    monkeypatch.setattr(suffixdedup, "BLOCK_BYTES", 200)
+    monkeypatch.setattr(suffixdedup, "MOST_BLOCKS", 10)
+    met, ask = [], suffixdedup._ask
+    monkeypatch.setattr(suffixdedup, "_ask", lambda blocks, *a: met.append(blocks.count()) or ask(blocks, *a))
+    rng = random.Random(8)
+    text = "".join(rng.choices("abcdefghij ", k=60000))
+    df = spark.createDataFrame([(i, text[i * 100 : i * 100 + 160]) for i in range(599)], "doc_id long, text string").coalesce(1)
+    gone = {r.doc_id: [tuple(s) for s in r.spans] for r in suffixdedup.repeated_spans(df).collect()}
+    assert met[0] <= 11
+    assert gone == {i: [(0, 60)] if i else [] for i in range(599)}
+
+
+def test_a_common_stretch_is_not_heavy():
+    """Heavy is what has many different stretches, not what stands in many places."""
+    start, end = np.array([0, 4, 8, 12, 16]), np.array([4, 8, 12, 16, 20])
+    assert suffixdedup._different(b"abcdabcdabcdxyzwxyzw", start, end, np.array([0, 3, 4])).tolist() == [1, 1, 1]
+    assert suffixdedup._different(b"abcdabcdabcdxyzwxyzw", start, end, np.array([0, 1])).tolist() == [1, 2]
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_only_stretches_that_share_a_side_meet(seed):
+    """Every string that two different stretches have is found, and stretches of one anchor and other surroundings stay out."""
+    rng, length = random.Random(seed), (24, 31, 50, 51)[seed]
+    side = lambda n: bytes(rng.choices(b"ab" if seed % 2 else b"abcdefgh", k=n))
+    anchors, sides = [side(suffixdedup.ANCHOR) for _ in range(5)] + [b"a" * suffixdedup.ANCHOR], [side(length) for _ in range(3)]
+    text = b"".join(rng.choice(sides) + rng.choice(anchors) + rng.choice([side(length), rng.choice(sides)]) for _ in range(150)) + b"a" * 120
+    body = np.frombuffer(text, np.uint8)
+    start, count, _ = suffixdedup.stretches(body, np.array([len(body)]), length)
+    pieces = list(dict.fromkeys(text[a : a + n + length - 1] for a, n in zip(start.tolist(), count.tolist(), strict=True)))
+    near = suffixdedup._near_others(np.frombuffer(b"".join(pieces), np.uint8), np.array([len(p) for p in pieces]), length)
+    strings = [{p[i : i + length] for i in range(len(p) - length + 1)} for p in pieces]
+    holders = {}
+    for k, own in enumerate(strings):
+        for s in own:
+            holders.setdefault(s, []).append(k)
+    meet = {k for ks in holders.values() if len(ks) > 1 for k in ks}
+    assert meet <= set(np.flatnonzero(near).tolist())
+    alone = [side(length) + b"0123456789abcdef" + side(length) for _ in range(20)] if seed == 2 else []
+    assert not alone or not suffixdedup._near_others(np.frombuffer(b"".join(p[33:-33] for p in alone), np.uint8), np.full(20, 50), length).any()
